@@ -144,3 +144,237 @@ def q_top_potential(spark, sf_dir):
 select * from ({_TOP_POTENTIAL_SQL}) x order by expected_profit desc, cust_id limit 1""")
 def q_top_potential_best(spark, sf_dir):
     return RC.best_customers(_top_potential(domain(spark, sf_dir)), 1)
+
+
+# ---------------------------------------------------------------------------
+# Profiles and KPIs (P*, J1-J2, A1-A13, A16)
+# ---------------------------------------------------------------------------
+from ledgerlens.operators import profile as PF  # noqa: E402
+
+REF_DATE = "2025-07-01"  # reference date for ages (a parameter, not today)
+
+
+@query("customer_lookup", O.sql("""
+select * from fx_customers where cust_id in (select cust_id from fx_financing)""",
+                                "fx_customers", "fx_financing"))
+def q_customer_lookup(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PF.customer_lookup(dom.customers, dom.financing)
+
+
+def _category_info_values() -> str:
+    return ", ".join(f"('{k}', '{v}')" for k, v in R.CATEGORY_INFO.items())
+
+
+def _risk_case(col: str) -> str:
+    return ("case " + " ".join(f"when {col} = '{k}' then '{v}'" for k, v in R.RISK_INDICATOR.items())
+            + f" else '{R.RISK_INDICATOR_DEFAULT}' end")
+
+
+@query("product_explain", O.sql(f"""
+select r.request_id, r.identifier, p.prod_id is not null as matched, p.prod_id, p.name, p.category,
+       p.risk_class, p.price, p.interest_rate, cast(null as varchar) as description,
+       case when p.prod_id is not null then coalesce(ci.info, '{R.CATEGORY_INFO_DEFAULT}') end as category_info,
+       case when p.prod_id is not null then {_risk_case('p.risk_class')} end as risk_indicator
+from (select request_id, identifier, try_cast(identifier as integer) as pid from fx_product_requests) r
+left join (select * from fx_products qualify row_number() over (partition by lower(name) order by prod_id) = 1) p
+  on case when r.pid is not null then r.pid = p.prod_id else lower(r.identifier) = lower(p.name) end
+left join (values {_category_info_values()}) as ci(category, info) on p.category = ci.category""",
+                                "fx_product_requests", "fx_products"))
+def q_product_explain(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PF.product_explain(dom.products, dom.view("fx_product_requests"), R.category_info(spark))
+
+
+@query("product_list", O.sql(
+    "select prod_id, name, category, price, risk_class from fx_products order by prod_id", "fx_products"))
+def q_product_list(spark, sf_dir):
+    return PF.product_list(domain(spark, sf_dir).products)
+
+
+@query("income_level_dist", O.sql("""
+select case when revenue > 150000 then 'high' when revenue > 50000 then 'medium' else 'low' end as income_level,
+       count(*) as customers
+from fx_customers group by 1""", "fx_customers"))
+def q_income_level_dist(spark, sf_dir):
+    return PF.income_level_dist(domain(spark, sf_dir).customers)
+
+
+_AGE_SQL = (f"(year(date '{REF_DATE}') - year(birth_date) - case when strftime(date '{REF_DATE}', '%m%d') "
+            f"< strftime(birth_date, '%m%d') then 1 else 0 end)")
+
+
+@query("age_bucket", O.sql(f"""
+select cust_id, birth_date, cast({_AGE_SQL} as int) as age,
+       case when {_AGE_SQL} between 18 and 24 then '18-24' when {_AGE_SQL} between 25 and 39 then '25-39'
+            when {_AGE_SQL} between 40 and 59 then '40-59' else '60+' end as age_bucket
+from fx_customers""", "fx_customers"))
+def q_age_bucket(spark, sf_dir):
+    return PF.with_age_bucket(domain(spark, sf_dir).customers, REF_DATE)
+
+
+@query("financing_need", O.sql("""
+select request_id, cust_id, purchase_price, equity, purchase_price - equity as financing_need,
+       (purchase_price - equity) / nullif(purchase_price, 0e0) * 1e2 as ltv_ratio
+from fx_financing""", "fx_financing"))
+def q_financing_need(spark, sf_dir):
+    return PF.financing_need(domain(spark, sf_dir).financing)
+
+
+@query("customer_label", O.sql("""
+select cust_id, label, cast(regexp_extract(label, '\\(ID (\\d+)\\)', 1) as bigint) as parsed_id
+from (select cust_id, first_name || ' ' || last_name || ' (ID ' || cast(cust_id as varchar) || ')' as label
+      from fx_customers) t""", "fx_customers"))
+def q_customer_label(spark, sf_dir):
+    return PF.customer_labels(domain(spark, sf_dir).customers)
+
+
+@query("portfolio", O.sql("""
+select o.prod_id, o.cust_id, o.since_date, o.deal_volume, o.adviser_id,
+       o.interest_rate as individual_interest_rate, o.risk_class as individual_risk_class,
+       p.name, p.category, p.price, p.interest_rate as catalogue_interest_rate,
+       p.risk_class as catalogue_risk_class
+from fx_ownership o left join fx_products p on o.prod_id = p.prod_id""", "fx_ownership", "fx_products"))
+def q_portfolio(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PF.portfolio(dom.ownership, dom.products)
+
+
+@query("revenue_per_product_customer", O.sql("""
+select s.prod_id, s.cust_id, cast(sum(cast(s.amount as decimal(18,2))) as double) as revenue,
+       count(s.amount) as sales, p.name
+from fx_sales s join fx_products p on s.prod_id = p.prod_id
+group by s.prod_id, s.cust_id, p.name""", "fx_sales", "fx_products"))
+def q_revenue_per_product_customer(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PF.revenue_per_product_customer(dom.sales, dom.products)
+
+
+_SNAP_SALES = """
+select cust_id, cast(sum(cast(amount as decimal(18,2))) as double) as total_sales, count(*) as transactions,
+       cast(sum(cast(amount as decimal(18,2))) as double) / cast(count(amount) as double) as avg_sale
+from fx_sales group by cust_id"""
+_SNAP_PORT = """
+select o.cust_id, count(*) as products,
+       coalesce(cast(sum(cast(p.price as decimal(18,2))) as double), 0e0) as annual_fees
+from fx_ownership o left join fx_products p on o.prod_id = p.prod_id group by o.cust_id"""
+
+
+@query("snapshot_sales", O.sql(_SNAP_SALES, "fx_sales"))
+def q_snapshot_sales(spark, sf_dir):
+    return PF.snapshot_sales(domain(spark, sf_dir).sales)
+
+
+@query("snapshot_portfolio", O.sql(_SNAP_PORT, "fx_ownership", "fx_products"))
+def q_snapshot_portfolio(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PF.snapshot_portfolio(dom.ownership, dom.products)
+
+
+@query("snapshot", O.sql(f"""
+select c.cust_id, c.first_name, c.last_name, c.location, c.age_bucket, c.revenue, c.credit_score,
+       cast(coalesce(p.products, 0) as bigint) as products, coalesce(p.annual_fees, 0e0) as annual_fees,
+       coalesce(s.total_sales, 0e0) as total_sales, cast(coalesce(s.transactions, 0) as bigint) as transactions,
+       s.avg_sale
+from fx_customers c left join ({_SNAP_PORT}) p on c.cust_id = p.cust_id
+left join ({_SNAP_SALES}) s on c.cust_id = s.cust_id""", "fx_customers", "fx_ownership", "fx_products", "fx_sales"))
+def q_snapshot(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PF.snapshot(dom.customers, dom.ownership, dom.products, dom.sales)
+
+
+@query("revenue_per_product", O.sql("""
+select prod_id, cast(sum(cast(amount as decimal(18,2))) as double) as revenue, count(amount) as sales
+from fx_sales group by prod_id""", "fx_sales"))
+def q_revenue_per_product(spark, sf_dir):
+    return PF.revenue_per_product(domain(spark, sf_dir).sales)
+
+
+@query("sales_overview", O.sql("""
+select cast(sum(cast(amount as decimal(18,2))) as double) as total_amount,
+       cast(sum(cast(amount as decimal(18,2))) as double) / cast(count(amount) as double) as avg_amount,
+       count(*) as sales, count(distinct cust_id) as customers, count(distinct prod_id) as products,
+       (select count(*) from fx_ownership) as owned_pairs,
+       cast(count(*) as double) / nullif(cast((select count(*) from fx_ownership) as double), 0e0)
+         as sales_per_owned_pair
+from fx_sales""", "fx_sales", "fx_ownership"))
+def q_sales_overview(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PF.sales_overview(dom.sales, dom.ownership)
+
+
+@query("customer_overview", O.sql("""
+select count(*) as customers,
+       cast(sum(cast(revenue as hugeint)) as double) / count(revenue) as revenue_mean,
+       min(revenue) as revenue_min, max(revenue) as revenue_max, cast(median(revenue) as double) as revenue_median,
+       cast(sum(cast(credit_score as hugeint)) as double) / count(credit_score) as credit_score_mean,
+       min(credit_score) as credit_score_min, max(credit_score) as credit_score_max,
+       cast(median(credit_score) as double) as credit_score_median
+from fx_customers""", "fx_customers"))
+def q_customer_overview(spark, sf_dir):
+    return PF.customer_overview(domain(spark, sf_dir).customers)
+
+
+@query("age_distribution", O.sql("""
+select age_bucket, customers,
+       cast(customers as double) * 1e2 / coalesce(nullif(cast(sum(customers) over () as double), 0e0), 1e0) as share
+from (select age_bucket, count(*) as customers from fx_customers where age_bucket is not null group by age_bucket) t
+order by age_bucket""", "fx_customers"))
+def q_age_distribution(spark, sf_dir):
+    return PF.age_distribution(domain(spark, sf_dir).customers)
+
+
+@query("top_cities", O.sql("""
+select location, count(*) as customers from fx_customers where location is not null
+group by location order by customers desc, location limit 5""", "fx_customers"))
+def q_top_cities(spark, sf_dir):
+    return PF.top_cities(domain(spark, sf_dir).customers)
+
+
+@query("product_penetration", O.sql("""
+select prod_id, count(distinct cust_id) as owners,
+       cast(count(distinct cust_id) as double) * 1e2
+         / coalesce(nullif(cast((select count(*) from fx_customers) as double), 0e0), 1e0) as share
+from fx_ownership group by prod_id""", "fx_ownership", "fx_customers"))
+def q_product_penetration(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PF.product_penetration(dom.ownership, dom.customers)
+
+
+@query("products_per_customer", O.sql("""
+select count(*) as ownership_rows, count(distinct cust_id) as owners,
+       cast(count(*) as double) / nullif(cast(count(distinct cust_id) as double), 0e0) as products_per_customer
+from fx_ownership""", "fx_ownership"))
+def q_products_per_customer(spark, sf_dir):
+    return PF.products_per_customer(domain(spark, sf_dir).ownership)
+
+
+@query("credit_stats", O.sql("""
+select count(*) as credits,
+       cast(sum(cast(interest_rate as decimal(18,2))) as double) / cast(count(interest_rate) as double) as rate_mean,
+       min(interest_rate) as rate_min, max(interest_rate) as rate_max,
+       cast(sum(cast(deal_volume as decimal(18,2))) as double) / cast(count(deal_volume) as double) as deal_volume_mean
+from fx_ownership where interest_rate is not null""", "fx_ownership"))
+def q_credit_stats(spark, sf_dir):
+    return PF.credit_stats(domain(spark, sf_dir).ownership)
+
+
+@query("credit_risk_dist", O.sql("""
+select risk_class, count(*) as credits from fx_ownership
+where interest_rate is not null and risk_class is not null group by risk_class""", "fx_ownership"))
+def q_credit_risk_dist(spark, sf_dir):
+    return PF.credit_risk_dist(domain(spark, sf_dir).ownership)
+
+
+_STACK_FLAGS = " union all ".join(
+    f"select {p} as prod_id, has_{p} as label from fx_features" for p in R.PRODUCT_IDS)
+
+
+@query("class_balance", O.sql(f"""
+select prod_id, label, customers,
+       cast(customers as double) * 1e2
+         / coalesce(nullif(cast(sum(customers) over (partition by prod_id) as double), 0e0), 1e0) as share
+from (select prod_id, label, count(*) as customers from ({_STACK_FLAGS}) s group by prod_id, label) t""",
+                              "fx_features"))
+def q_class_balance(spark, sf_dir):
+    return PF.class_balance(features(domain(spark, sf_dir)))

@@ -83,6 +83,12 @@ where feature <> concat('has_', cast(prod_id as string))""",
 select distinct 100 + cast(substr(p_brand, 7) as int) as prod_id,
        (((100 + cast(substr(p_brand, 7) as int)) * 3) % 11 - 5) / 1e1 as intercept
 from {part} where cast(substr(p_brand, 7) as int) <= 10""",
+    # Product look-up requests: ids, upper-cased names and unknown names mixed.
+    "fx_product_requests": """
+select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as request_id,
+       case l_linenumber % 3 when 0 then cast(100 + cast(substr(p_brand, 7) as int) as string)
+            when 1 then upper(p_brand) else concat('unknown ', p_brand) end as identifier
+from {lineitem} join {part} on l_partkey = p_partkey""",
     # Messages for entity extraction: the documents table is the only driver
     # text with digits; doc_id is the message id, the context customer is derived.
     "fx_messages": """
