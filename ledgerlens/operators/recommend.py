@@ -66,20 +66,31 @@ def scenario_role_rows(scenarios) -> list[tuple[str, int, str]]:
     return rows
 
 
-def scenario_scores(scored: DataFrame, roles: DataFrame, need_col: str | None = None,
-                    ltv_col: str | None = None) -> DataFrame:
+def bonus_flags(need=None, ltv=None):
+    """(first-home bonus applies, investor bonus applies) for need / ltv columns.
+
+    Missing ltv counts as 80 and missing need as 0, so with neither given the
+    first-home bonus always applies.
+    """
+    b = R.MORTGAGE_BONUS
+    need = F.coalesce(need, F.lit(R.DEFAULT_FINANCING_NEED)) if need is not None else F.lit(R.DEFAULT_FINANCING_NEED)
+    ltv = F.coalesce(ltv, F.lit(R.DEFAULT_LTV)) if ltv is not None else F.lit(R.DEFAULT_LTV)
+    return ltv <= F.lit(b["first_home_max_ltv"]), need > F.lit(b["investor_min_need"])
+
+
+def scenario_scores(scored: DataFrame, roles: DataFrame, first_home_ok=None, investor_ok=None) -> DataFrame:
     """Multipliers by role, real-estate bonuses, then clamp (in that order)."""
+    if first_home_ok is None or investor_ok is None:
+        first_home_ok, investor_ok = bonus_flags()
     df = scored.join(roles, "prod_id")
     holistic = F.col("scenario") == R.HOLISTIC
     mult = when_chain([(F.col("role") == r, F.lit(m)) for r, m in R.ROLE_MULTIPLIER.items()], F.lit(1.0))
     s = F.when(holistic, F.col("score")).otherwise(F.col("score") * mult)
-    need = F.coalesce(F.col(need_col), F.lit(R.DEFAULT_FINANCING_NEED)) if need_col else F.lit(R.DEFAULT_FINANCING_NEED)
-    ltv = F.coalesce(F.col(ltv_col), F.lit(R.DEFAULT_LTV)) if ltv_col else F.lit(R.DEFAULT_LTV)
     b = R.MORTGAGE_BONUS
     real_estate = F.col("scenario") == R.REAL_ESTATE
-    bonus = (F.when(real_estate & (F.col("prod_id") == b["first_home_prod"]) & (ltv <= b["first_home_max_ltv"]),
+    bonus = (F.when(real_estate & (F.col("prod_id") == b["first_home_prod"]) & first_home_ok,
                     F.lit(b["first_home_factor"]))
-              .when(real_estate & (F.col("prod_id") == b["investor_prod"]) & (need > b["investor_min_need"]),
+              .when(real_estate & (F.col("prod_id") == b["investor_prod"]) & investor_ok,
                     F.lit(b["investor_factor"]))
               .otherwise(F.lit(1.0)))
     return (df.withColumn("base_score", F.col("score"))
@@ -89,7 +100,7 @@ def scenario_scores(scored: DataFrame, roles: DataFrame, need_col: str | None =
 
 
 def recommend_scenario(scored: DataFrame, roles: DataFrame, k: int = 3, by=("cust_id",),
-                       need_col: str | None = None, ltv_col: str | None = None) -> DataFrame:
+                       first_home_ok=None, investor_ok=None) -> DataFrame:
     """Scenario recommendations with the quota pick.
 
     Holistic: plain top-k.  Otherwise ``np = min(#primary, max(1, k // 2))``,
@@ -97,7 +108,7 @@ def recommend_scenario(scored: DataFrame, roles: DataFrame, k: int = 3, by=("cus
     order primary, cross-sell, other, each by score desc then prod_id.
     """
     keys = list(by) + ["scenario"]
-    df = scenario_scores(scored, roles, need_col, ltv_col)
+    df = scenario_scores(scored, roles, first_home_ok, investor_ok)
     order = [F.col("score").desc(), F.col("prod_id")]
     role_rank = F.row_number().over(Window.partitionBy(*keys, "role").orderBy(*order))
     grp = Window.partitionBy(*keys)
@@ -117,6 +128,24 @@ def recommend_scenario(scored: DataFrame, roles: DataFrame, k: int = 3, by=("cus
               .where(F.col("rank") <= k).drop("_np", "_nc", "role_rank"))
 
 
+def recommend_for_requests(scored: DataFrame, requests: DataFrame, roles: DataFrame, k: int = 5) -> DataFrame:
+    """W2 for financing requests (real-estate scenario with need and ltv).
+
+    A request changes the ranking only through two booleans (first-home and
+    investor bonus), so recommendations are computed once per distinct
+    (customer, flags) - at most four per customer however many requests it
+    has - and joined back to the requests.  A customer holding a third of
+    all requests is then a skewed equi-join key, split by AQE's skew join.
+    """
+    fh, inv = bonus_flags(F.col("financing_need"), F.col("ltv_ratio"))
+    req = requests.select("request_id", "cust_id", fh.alias("first_home_ok"), inv.alias("investor_ok"))
+    keys = req.select("cust_id", "first_home_ok", "investor_ok").distinct()
+    cand = scored.join(keys, "cust_id")
+    recs = recommend_scenario(cand, roles, k, by=("cust_id", "first_home_ok", "investor_ok"),
+                              first_home_ok=F.col("first_home_ok"), investor_ok=F.col("investor_ok"))
+    return req.join(recs, ["cust_id", "first_home_ok", "investor_ok"]).drop("first_home_ok", "investor_ok")
+
+
 def top_potential(recs: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
     """Expected profit per customer = sum(price * score) over its top-k.
 

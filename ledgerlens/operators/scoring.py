@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ledgerlens.functions.expressions import sigmoid
 from ledgerlens.operators.features import flag_col
 from ledgerlens.plans import rules as R
+from ledgerlens.plans.session import broadcast_bounded
 
 MAX_MODEL_ROWS = 100_000
 SCORE_DIGITS = 6
@@ -116,3 +117,33 @@ def contributions(encoded_rows: DataFrame, models: LinearModels, product_col: st
     joined = encoded_rows.join(coef, encoded_rows[product_col] == coef["m_prod_id"]).drop("m_prod_id")
     return (joined.withColumn("value", value)
                   .withColumn("contribution", F.col("coefficient") * F.col("value")))
+
+
+def feature_labels(products: DataFrame) -> DataFrame:
+    """Readable feature labels; ownership flags are labelled with the product name."""
+    spark = products.sparkSession
+    base = spark.createDataFrame(list(R.BASE_FEATURE_LABELS.items()), "feature string, label string")
+    owned = products.select(F.concat(F.lit("has_"), F.col("prod_id").cast("string")).alias("feature"),
+                            F.concat(F.lit("owns "), F.col("name")).alias("label"))
+    return base.unionByName(owned)
+
+
+def top_contributions(contrib: DataFrame, labels: DataFrame, n: int = 5, by=("cust_id", "prod_id")) -> DataFrame:
+    """W3 display: n largest |contribution| per recommendation (ties in feature
+    order), each with its share of the n shown (not of all features).
+
+    The total is summed left to right in rank order over an array of at most
+    n values, so it does not depend on partitioning.
+    """
+    from pyspark.sql import Window
+    w = Window.partitionBy(*by).orderBy(F.abs("contribution").desc(), F.col("feature_pos"))
+    top = contrib.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    totals = top.groupBy(*by).agg(
+        F.aggregate(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.abs("contribution").alias("a")))),
+                                lambda x: x["a"]),
+                    F.lit(0.0), lambda acc, x: acc + x).alias("_total"))
+    out = top.join(totals, list(by)).join(broadcast_bounded(labels, 100_000), "feature", "left")
+    guard = F.coalesce(F.nullif(F.col("_total"), F.lit(0.0)), F.lit(1.0))
+    return out.select(*by, "rank", "feature", F.coalesce("label", "feature").alias("label"), "contribution",
+                      (F.abs("contribution") / guard * F.lit(100.0)).alias("share"),
+                      F.when(F.col("contribution") > 0, "+").otherwise("-").alias("sign"))

@@ -378,3 +378,132 @@ from (select prod_id, label, count(*) as customers from ({_STACK_FLAGS}) s group
                               "fx_features"))
 def q_class_balance(spark, sf_dir):
     return PF.class_balance(features(domain(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------------------
+# Scenario recommendations (W2, J12), mortgage requests, reasons (P10),
+# bundle offers (A19), explanations
+# ---------------------------------------------------------------------------
+def roles_df(spark, scenarios=None):
+    rows = RC.scenario_role_rows(list(R.SCENARIOS) if scenarios is None else scenarios)
+    return F.broadcast(spark.createDataFrame(rows, "scenario string, prod_id int, role string"))
+
+
+def scenario_recs(dom: Domain, k: int = 5) -> DataFrame:
+    return RC.recommend_scenario(scored(dom), roles_df(dom.spark), k)
+
+
+O.scenario_block("fx_scen5", "fx_scores", 5, "cust_id", deps=("fx_scores",))
+
+
+@query("recommend_scenario", O.sql(
+    "select cust_id, scenario, rank, prod_id, role, base_score, score from fx_scen5", "fx_scen5"))
+def q_recommend_scenario(spark, sf_dir):
+    return scenario_recs(domain(spark, sf_dir)).select(
+        "cust_id", "scenario", "rank", "prod_id", "role", "base_score", "score")
+
+
+O.block("fx_requests", ("fx_financing",), """
+select request_id, cust_id, purchase_price - equity as financing_need,
+       (purchase_price - equity) / nullif(purchase_price, 0e0) * 1e2 as ltv_ratio from fx_financing""")
+O.block("fx_request_scores", ("fx_requests", "fx_scores"), """
+select r.request_id, r.financing_need, r.ltv_ratio, s.cust_id, s.prod_id, s.score
+from fx_requests r join fx_scores s on r.cust_id = s.cust_id""")
+O.scenario_block("fx_mortgage5", "fx_request_scores", 5, "request_id", need="coalesce(financing_need, 0e0)",
+                 ltv="coalesce(ltv_ratio, 8e1)", deps=("fx_request_scores",))
+
+
+@query("recommend_mortgage", O.sql(f"""
+select request_id, cust_id, rank, prod_id, role, base_score, score
+from fx_mortgage5 where scenario = '{R.REAL_ESTATE}'""", "fx_mortgage5"))
+def q_recommend_mortgage(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    recs = RC.recommend_for_requests(scored(dom), PF.financing_need(dom.financing),
+                                     roles_df(spark, [R.REAL_ESTATE]), 5)
+    return recs.select("request_id", "cust_id", "rank", "prod_id", "role", "base_score", "score")
+
+
+def _reason_sql() -> str:
+    inc = ("case when c.revenue > 150000 then 'high' when c.revenue > 50000 then 'medium' else 'low' end")
+    tmpl = " ".join(f"when {p} then '{t}'" for p, t in R.REASON_TEMPLATES.items())
+    filled = f"replace(replace(case s.prod_id {tmpl} end, '{{income}}', {inc}), '{{age}}', coalesce(c.age_bucket, ''))"
+    default = (f"replace(replace('{R.REASON_DEFAULT}', '{{name}}', p.name), '{{score}}', "
+               f"cast(cast(round(s.score * 1e2) as int) as varchar) || '%')")
+    pre, post = R.CROSS_SELL_DECORATION
+    reason = f"coalesce({filled}, {default})"
+    return (f"case when s.role = 'cross_sell' and s.scenario <> '{R.HOLISTIC}' "
+            f"then '{pre}' || {reason} || '{post}' else {reason} end")
+
+
+@query("recommend_reasons", O.sql(f"""
+select s.cust_id, s.scenario, s.rank, s.prod_id, p.name, {_reason_sql()} as reason
+from fx_scen5 s join fx_products p on s.prod_id = p.prod_id join fx_customers c on s.cust_id = c.cust_id""",
+                                  "fx_scen5", "fx_products", "fx_customers"))
+def q_recommend_reasons(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    recs = scenario_recs(dom).join(RC.catalogue(dom.products).select("prod_id", "name"), "prod_id")
+    out = RC.with_reason(recs, dom.customers, R.reason_templates(spark), scenario_col="scenario")
+    return out.select("cust_id", "scenario", "rank", "prod_id", "name", "reason")
+
+
+@query("bundle_offer", O.sql("""
+select s.cust_id, s.scenario, count(*) as n_recs,
+       string_agg(p.name, ' + ' order by s.rank) filter (where s.rank <= 3) as bundle_names,
+       cast(sum(cast(p.price as decimal(18,2))) filter (where s.rank <= 3) as double) as total_price,
+       cast(sum(cast(p.price as decimal(18,2))) filter (where s.rank <= 3) * cast(0.9 as decimal(4,2)) as double)
+         as bundle_price,
+       cast(sum(cast(p.price as decimal(18,2))) filter (where s.rank <= 3)
+            - sum(cast(p.price as decimal(18,2))) filter (where s.rank <= 3) * cast(0.9 as decimal(4,2)) as double)
+         as saving
+from fx_scen5 s left join fx_products p on s.prod_id = p.prod_id
+group by s.cust_id, s.scenario having count(*) >= 2""", "fx_scen5", "fx_products"))
+def q_bundle_offer(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return RC.bundle_offer(scenario_recs(dom), dom.products, by=("cust_id", "scenario"))
+
+
+def _xai(dom: Domain) -> DataFrame:
+    _, models = fitted(dom)
+    recs = RC.recommend_topk(scored(dom), 3).select("cust_id", "prod_id", "rank")
+    rows = recs.withColumnRenamed("rank", "rec_rank").join(encoded(dom), "cust_id")
+    return SC.contributions(rows, models)
+
+
+_FPOS = " ".join(f"when '{f}' then {i}" for i, f in enumerate(O.FEATURE_ORDER))
+_FVAL = " ".join(f"when '{f}' then cast(e.{f} as double)" for f in O.FEATURE_ORDER)
+O.block("fx_xai", ("fx_topk3", "fx_encoded", "fx_coefficients"), f"""
+select t.cust_id, t.prod_id, t.rank as rec_rank, c.feature, case c.feature {_FPOS} end as feature_pos,
+       c.coefficient, case c.feature {_FVAL} end as value,
+       c.coefficient * case c.feature {_FVAL} end as contribution
+from fx_topk3 t join fx_encoded e on t.cust_id = e.cust_id join fx_coefficients c on t.prod_id = c.prod_id""")
+
+
+@query("xai_contributions", O.sql("""
+select cust_id, prod_id, rec_rank, feature, coefficient, value, contribution from fx_xai""", "fx_xai"))
+def q_xai_contributions(spark, sf_dir):
+    return _xai(domain(spark, sf_dir)).select("cust_id", "prod_id", "rec_rank", "feature", "coefficient",
+                                              "value", "contribution")
+
+
+_TOT = " + ".join(f"coalesce(max(case when rank = {i} then abs(contribution) end), 0e0)" for i in range(1, 6))
+
+
+@query("xai_top5", O.sql(f"""
+select x.cust_id, x.prod_id, x.rank, x.feature, coalesce(l.label, x.feature) as label, x.contribution,
+       abs(x.contribution) / coalesce(nullif(t.total, 0e0), 1e0) * 1e2 as share,
+       case when x.contribution > 0 then '+' else '-' end as sign
+from (select *, row_number() over (partition by cust_id, prod_id order by abs(contribution) desc, feature_pos) as rank
+      from fx_xai) x
+join (select cust_id, prod_id, 0e0 + {_TOT} as total
+      from (select *, row_number() over (partition by cust_id, prod_id order by abs(contribution) desc, feature_pos)
+                   as rank from fx_xai) y
+      group by cust_id, prod_id) t on x.cust_id = t.cust_id and x.prod_id = t.prod_id
+left join (select feature, label from (values {", ".join(f"('{k}', '{v}')" for k, v in R.BASE_FEATURE_LABELS.items())})
+               as b(feature, label)
+           union all select 'has_' || cast(prod_id as varchar), 'owns ' || name from fx_products) l
+  on x.feature = l.feature
+where x.rank <= 5""", "fx_xai", "fx_products"))
+def q_xai_top5(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    out = SC.top_contributions(_xai(dom), SC.feature_labels(dom.products), 5)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
