@@ -507,3 +507,204 @@ def q_xai_top5(spark, sf_dir):
     dom = domain(spark, sf_dir)
     out = SC.top_contributions(_xai(dom), SC.feature_labels(dom.products), 5)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# ---------------------------------------------------------------------------
+# Cross-sell, upsell, coverage
+# ---------------------------------------------------------------------------
+from ledgerlens.operators import crosssell as CS  # noqa: E402
+
+
+def _cs(dom: Domain):
+    cs = CS.CrossSell(CS.catalogue_rows(dom.products))
+    return CS.owned_sets(dom.customers, dom.ownership), cs
+
+
+_EDGES = ", ".join(f"({s}, {t})" for s, ts in R.CROSS_SELL_EDGES.items() for t in ts)
+O.block("fx_cross_sell", ("fx_ownership", "fx_products"), f"""
+select distinct o.cust_id, cast(e.t as int) as prod_id, p.name
+from fx_ownership o join (values {_EDGES}) as e(s, t) on o.prod_id = e.s
+join fx_products p on p.prod_id = e.t
+where not exists (select 1 from fx_ownership o2 where o2.cust_id = o.cust_id and o2.prod_id = e.t)""")
+
+
+@query("cross_sell", O.sql("select * from fx_cross_sell", "fx_cross_sell"))
+def q_cross_sell(spark, sf_dir):
+    sets, cs = _cs(domain(spark, sf_dir))
+    return CS.cross_sell(sets, cs)
+
+
+_UPSELL = " union all ".join(
+    f"""select o.cust_id, {a} as from_prod_id, {b} as to_prod_id from (select distinct cust_id from fx_ownership) o
+      where exists (select 1 from fx_ownership x where x.cust_id = o.cust_id and x.prod_id = {a})
+        and not exists (select 1 from fx_ownership x where x.cust_id = o.cust_id and x.prod_id = {b})"""
+    for a, bs in R.UPSELL_EDGES.items() for b in bs)
+
+
+@query("upsell", O.sql(_UPSELL, "fx_ownership"))
+def q_upsell(spark, sf_dir):
+    sets, cs = _cs(domain(spark, sf_dir))
+    return CS.upsell(sets, cs)
+
+
+O.block("fx_missing_categories", ("fx_customers", "fx_ownership", "fx_products"), """
+select c.cust_id, k.category
+from fx_customers c cross join (select distinct category from fx_products where category is not null) k
+where not exists (select 1 from fx_ownership o join fx_products p on o.prod_id = p.prod_id
+                  where o.cust_id = c.cust_id and p.category = k.category)""")
+
+
+@query("missing_categories", O.sql("select * from fx_missing_categories", "fx_missing_categories"))
+def q_missing_categories(spark, sf_dir):
+    sets, cs = _cs(domain(spark, sf_dir))
+    return CS.missing_categories(sets, cs)
+
+
+O.block("fx_owned_names", ("fx_customers", "fx_ownership", "fx_products"), """
+select c.cust_id, coalesce(n.owned_names, '') as owned_names
+from fx_customers c left join (
+  select o.cust_id, string_agg(p.name, ', ' order by p.prod_id) as owned_names
+  from fx_ownership o join fx_products p on o.prod_id = p.prod_id group by o.cust_id) n on c.cust_id = n.cust_id""")
+
+
+@query("owned_names", O.sql("select * from fx_owned_names", "fx_owned_names"))
+def q_owned_names(spark, sf_dir):
+    sets, cs = _cs(domain(spark, sf_dir))
+    return CS.owned_names(sets, cs)
+
+
+def _band_sql(c: str) -> str:
+    return ("case " + " ".join(f"when {c} < {O.d(t)} then '{b}'" for t, b in R.COVERAGE_BANDS)
+            + f" else '{R.COVERAGE_DEFAULT_BAND}' end")
+
+
+O.block("fx_coverage", ("fx_customers", "fx_ownership", "fx_products"), """
+select c.cust_id, cast(coalesce(n.n_owned, 0) as bigint) as n_owned,
+       cast(coalesce(n.n_owned, 0) as double) / cast((select count(*) from fx_products) as double) * 1e2 as coverage
+from fx_customers c left join (select cust_id, count(*) as n_owned from fx_ownership group by cust_id) n
+  on c.cust_id = n.cust_id""")
+
+
+@query("coverage", O.sql(f"select *, {_band_sql('coverage')} as potential from fx_coverage", "fx_coverage"))
+def q_coverage(spark, sf_dir):
+    sets, cs = _cs(domain(spark, sf_dir))
+    return CS.coverage(sets, cs)
+
+
+@query("cross_sell_report", O.sql(f"""
+select v.cust_id, n.owned_names, coalesce(x.cross_sell, '') as cross_sell,
+       coalesce(u.upsell, false) as upsell, coalesce(m.missing_categories, '') as missing_categories,
+       v.coverage, {_band_sql('v.coverage')} as potential
+from fx_coverage v join fx_owned_names n on v.cust_id = n.cust_id
+left join (select cust_id, string_agg(name, ', ' order by prod_id) as cross_sell from fx_cross_sell group by cust_id) x
+  on v.cust_id = x.cust_id
+left join (select distinct cust_id, true as upsell from ({_UPSELL}) t) u on v.cust_id = u.cust_id
+left join (select cust_id, string_agg(category, ', ' order by category) as missing_categories
+           from fx_missing_categories group by cust_id) m on v.cust_id = m.cust_id""",
+                                  "fx_coverage", "fx_owned_names", "fx_cross_sell", "fx_missing_categories"))
+def q_cross_sell_report(spark, sf_dir):
+    sets, cs = _cs(domain(spark, sf_dir))
+    return CS.cross_sell_report(sets, cs)
+
+
+# ---------------------------------------------------------------------------
+# Credit terms (C1-C4) and CRM
+# ---------------------------------------------------------------------------
+from ledgerlens.operators import pricing as PR  # noqa: E402
+
+
+def _score_adj_sql(s: str) -> str:
+    return ("case " + " ".join(f"when {s} >= {t} then {O.d(a)}" for t, a in R.CREDIT_SCORE_ADJ)
+            + f" else {O.d(R.CREDIT_SCORE_ADJ_ELSE)} end")
+
+
+def _income_adj_sql(r: str) -> str:
+    return ("case " + " ".join(f"when {r} >= {t} then {O.d(a)}" for t, a in R.CREDIT_INCOME_ADJ)
+            + f" else {O.d(R.CREDIT_INCOME_ADJ_ELSE)} end")
+
+
+def _rate_sql(base: str, s: str, r: str) -> str:
+    raw = f"coalesce(cast({base} as double), {O.d(R.CREDIT_BASE_RATE_DEFAULT)}) + {_score_adj_sql(s)} + {_income_adj_sql(r)} + 0e0"
+    clamped = f"greatest({O.d(R.CREDIT_RATE_MIN)}, least({O.d(R.CREDIT_RATE_MAX)}, {raw}))"
+    return f"cast(round(cast({clamped} as decimal(10,4)), 2) as double)"
+
+
+def _risk_sql(s: str, r: str) -> str:
+    return ("case " + " ".join(f"when {s} >= {ts} and {r} >= {tr} then '{lbl}'" for ts, tr, lbl in R.CREDIT_RISK_RULES)
+            + f" else '{R.CREDIT_RISK_ELSE}' end")
+
+
+def _band_bounds_sql(r: str):
+    lo = ("case " + " ".join(f"when {r} >= {t} then {lo}" for t, lo, _ in R.DEAL_VOLUME_BANDS)
+          + f" else {R.DEAL_VOLUME_ELSE[0]} end")
+    hi = ("case " + " ".join(f"when {r} >= {t} then {hi}" for t, _, hi in R.DEAL_VOLUME_BANDS)
+          + f" else {R.DEAL_VOLUME_ELSE[1]} end")
+    return f"cast({lo} as bigint)", f"cast({hi} as bigint)"
+
+
+_LO, _HI = _band_bounds_sql("c.revenue")
+_CTYPES = ", ".join(f"({p}, '{t}')" for p, t in R.CREDIT_TYPES.items())
+_CREDIT_IDS = ", ".join(f"({p})" for p in R.CREDIT_PRODUCT_IDS)
+
+
+@query("credit_terms", O.sql(f"""
+select c.cust_id, k.prod_id, coalesce(t.credit_type, '{R.CREDIT_TYPE_DEFAULT}') as credit_type,
+       {_rate_sql('p.interest_rate', 'c.credit_score', 'c.revenue')} as interest_rate,
+       {_risk_sql('c.credit_score', 'c.revenue')} as risk_class,
+       {_LO} as deal_volume_min, {_HI} as deal_volume_max
+from fx_customers c cross join (values {_CREDIT_IDS}) as k(prod_id)
+left join fx_products p on p.prod_id = k.prod_id
+left join (values {_CTYPES}) as t(prod_id, credit_type) on t.prod_id = k.prod_id""", "fx_customers", "fx_products"))
+def q_credit_terms(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PR.credit_terms(dom.customers, dom.products)
+
+
+O.block("fx_credit_rows", ("fx_ownership", "fx_customers"), """
+select o.*, c.revenue, c.credit_score from fx_ownership o join fx_customers c on o.cust_id = c.cust_id
+where o.interest_rate is not null""")
+
+
+@query("credit_rate", O.sql(f"""
+select o.cust_id, o.prod_id, o.interest_rate as stored_rate,
+       {_rate_sql('p.interest_rate', 'o.credit_score', 'o.revenue')} as rule_rate
+from fx_credit_rows o left join fx_products p on o.prod_id = p.prod_id""", "fx_credit_rows", "fx_products"))
+def q_credit_rate(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PR.credit_rate_check(dom.ownership, dom.customers, dom.products)
+
+
+@query("credit_risk_class", O.sql(f"""
+select cust_id, prod_id, risk_class as stored_risk_class, {_risk_sql('credit_score', 'revenue')} as rule_risk_class,
+       risk_class = {_risk_sql('credit_score', 'revenue')} as agrees
+from fx_credit_rows""", "fx_credit_rows"))
+def q_credit_risk_class(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PR.credit_risk_check(dom.ownership, dom.customers)
+
+
+_LO2, _HI2 = _band_bounds_sql("revenue")
+
+
+@query("deal_volume_band", O.sql(f"""
+select cust_id, prod_id, deal_volume, {_LO2} as band_min, {_HI2} as band_max,
+       deal_volume between {_LO2} and {_HI2} as in_band
+from fx_credit_rows""", "fx_credit_rows"))
+def q_deal_volume_band(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return PR.deal_volume_check(dom.ownership, dom.customers)
+
+
+@query("adviser_success", O.sql("""
+select adviser_id, successes, total, cast((successes * 20000 + total) // (total * 2) as double) / 1e2 as success_rate
+from (select adviser_id, count(case when decision = 'closed' then 1 end) as successes, count(*) as total
+      from fx_sales where adviser_id is not null group by adviser_id) t""", "fx_sales"))
+def q_adviser_success(spark, sf_dir):
+    return PR.adviser_success(domain(spark, sf_dir).sales)
+
+
+@query("rejection_reasons", O.sql("""
+select reason, count(*) as rejections from fx_sales where decision = 'rejected' and reason is not null
+group by reason order by rejections desc, reason""", "fx_sales"))
+def q_rejection_reasons(spark, sf_dir):
+    return PR.rejection_reasons(domain(spark, sf_dir).sales)
