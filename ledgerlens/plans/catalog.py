@@ -708,3 +708,156 @@ select reason, count(*) as rejections from fx_sales where decision = 'rejected'
 group by reason order by rejections desc, reason""", "fx_sales"))
 def q_rejection_reasons(spark, sf_dir):
     return PR.rejection_reasons(domain(spark, sf_dir).sales)
+
+
+# ---------------------------------------------------------------------------
+# Split (M4), training (M5, M6, S9), evaluation (M9-M12), importance
+# ---------------------------------------------------------------------------
+from ledgerlens.operators import models as MD  # noqa: E402
+from ledgerlens.plans.session import scratch_path  # noqa: E402
+
+_TRAINED: dict[tuple[str, str, str], object] = {}
+
+
+def splits(dom: Domain) -> DataFrame:
+    return MD.product_splits(features(dom))
+
+
+def predictions(dom: Domain) -> DataFrame:
+    return MD.with_prediction(scored(dom, keep_owned=True), splits(dom))
+
+
+_UNPIVOT = " union all ".join(f"select cust_id, {p} as prod_id, has_{p} as label from fx_features"
+                              for p in R.PRODUCT_IDS)
+O.block("fx_split", ("fx_features",), f"""
+select cust_id, prod_id, label,
+       case when row_number() over (partition by prod_id, label
+                                    order by md5(concat_ws(':', '42', cast(cust_id as varchar))), cust_id)
+                 <= ceil(count(*) over (partition by prod_id, label) * 2e-1) then 'test' else 'train' end as split
+from ({_UNPIVOT}) u""")
+O.block("fx_pred", ("fx_split", "fx_scores_all"), """
+select s.cust_id, s.prod_id, s.score, l.label, l.split, cast(s.score > 5e-1 as int) as pred
+from fx_scores_all s join fx_split l on s.cust_id = l.cust_id and s.prod_id = l.prod_id""")
+
+
+@query("train_split", O.sql("select cust_id, prod_id, label, split from fx_split", "fx_split"))
+def q_train_split(spark, sf_dir):
+    return splits(domain(spark, sf_dir)).select("cust_id", "prod_id", "label", "split")
+
+
+@query("eval_accuracy", O.sql("""
+select prod_id, split, cast(count(case when pred = label then 1 end) as double) / cast(count(*) as double) as accuracy,
+       count(*) as rows
+from fx_pred group by prod_id, split""", "fx_pred"))
+def q_eval_accuracy(spark, sf_dir):
+    return MD.accuracy(predictions(domain(spark, sf_dir)))
+
+
+@query("eval_confusion", O.sql("""
+select prod_id, label, pred, count(*) as n from fx_pred where split = 'test' group by prod_id, label, pred""",
+                               "fx_pred"))
+def q_eval_confusion(spark, sf_dir):
+    return MD.confusion(predictions(domain(spark, sf_dir)))
+
+
+def _r(num: str, den: str) -> str:
+    return f"case when {den} = 0 then 0e0 else cast({num} as double) / cast({den} as double) end"
+
+
+@query("eval_report", O.sql(f"""
+select * from (with c as (
+  select prod_id,
+         count(case when label = 1 and pred = 1 then 1 end) as tp1,
+         count(case when label = 0 and pred = 1 then 1 end) as fp1,
+         count(case when label = 1 and pred = 0 then 1 end) as fn1,
+         count(case when label = 0 and pred = 0 then 1 end) as tp0
+  from fx_pred where split = 'test' group by prod_id),
+k as (
+  select prod_id, '0' as class, {_r('tp0', 'tp0 + fn1')} as precision, {_r('tp0', 'tp0 + fp1')} as recall,
+         {_r('tp0 * 2', 'tp0 * 2 + fn1 + fp1')} as f1, tp0 + fp1 as support from c
+  union all
+  select prod_id, '1', {_r('tp1', 'tp1 + fp1')}, {_r('tp1', 'tp1 + fn1')},
+         {_r('tp1 * 2', 'tp1 * 2 + fp1 + fn1')}, tp1 + fn1 from c),
+w as (
+  select prod_id,
+         max(case when class = '0' then precision end) as p0, max(case when class = '1' then precision end) as p1,
+         max(case when class = '0' then recall end) as r0, max(case when class = '1' then recall end) as r1,
+         max(case when class = '0' then f1 end) as f0, max(case when class = '1' then f1 end) as f1_,
+         max(case when class = '0' then support end) as s0, max(case when class = '1' then support end) as s1
+  from k group by prod_id)
+select prod_id, class, precision, recall, f1, cast(support as bigint) as support from k
+union all
+select prod_id, 'macro avg', (p0 + p1) / 2e0, (r0 + r1) / 2e0, (f0 + f1_) / 2e0, cast(s0 + s1 as bigint) from w
+union all
+select prod_id, 'weighted avg', {_r('p0 * s0 + p1 * s1', 's0 + s1')}, {_r('r0 * s0 + r1 * s1', 's0 + s1')},
+       {_r('f0 * s0 + f1_ * s1', 's0 + s1')}, cast(s0 + s1 as bigint) from w) q""", "fx_pred"))
+def q_eval_report(spark, sf_dir):
+    return MD.report(predictions(domain(spark, sf_dir)))
+
+
+@query("eval_auc", O.sql("""
+select prod_id, cast(sum(pos) as bigint) as positives, cast(sum(neg) as bigint) as negatives,
+       case when sum(pos) * sum(neg) = 0 then null
+            else cast(sum(pos * (2 * neg_below + neg)) as double) / cast(2 * sum(pos) * sum(neg) as double) end as auc
+from (select *, coalesce(sum(neg) over (partition by prod_id order by score
+                                        rows between unbounded preceding and 1 preceding), 0) as neg_below
+      from (select prod_id, score, count(case when label = 1 then 1 end) as pos,
+                   count(case when label = 0 then 1 end) as neg
+            from fx_pred where split = 'test' group by prod_id, score) h) t
+group by prod_id""", "fx_pred"))
+def q_eval_auc(spark, sf_dir):
+    return MD.auc(predictions(domain(spark, sf_dir)))
+
+
+_FPOS2 = " ".join(f"when '{f}' then {i}" for i, f in enumerate(O.FEATURE_ORDER))
+
+
+@query("feature_importance", O.sql(f"""
+select prod_id, feature, coefficient, abs(coefficient) as abs_coefficient,
+       cast(row_number() over (partition by prod_id order by abs(coefficient) desc,
+                               case feature {_FPOS2} else {len(O.FEATURE_ORDER)} end, feature) as int) as rank,
+       case when coefficient > 0 then 'up' else 'down' end as direction
+from fx_coefficients""", "fx_coefficients"))
+def q_feature_importance(spark, sf_dir):
+    return MD.feature_importance(domain(spark, sf_dir).coefficients)
+
+
+@query("model_roundtrip", O.sql("""
+select cast(prod_id as int) as prod_id, feature, coefficient from fx_coefficients
+union all select cast(prod_id as int), '(intercept)', intercept from fx_intercepts""",
+                                "fx_coefficients", "fx_intercepts"))
+def q_model_roundtrip(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    _, models = fitted(dom)
+    path = scratch_path(spark, "models")
+    MD.save_models(spark, models, path)
+    return MD.model_table(spark, MD.load_model_table(spark, path))
+
+
+def trained(dom: Domain, which: str = "multi"):
+    key = (dom.spark.sparkContext.applicationId, dom.sf_dir, which)
+    if key not in _TRAINED:
+        if which == "multi":
+            _TRAINED[key] = MD.train_models(encoded(dom), splits(dom), C=2.0)
+        else:  # single product 102 with the reduced feature list, C = 1
+            feats = ["age_bucket_encoded", "revenue", "credit_score", "has_101", "has_103", "has_104",
+                     "has_105", "has_106"]
+            _TRAINED[key] = MD.train_models(encoded(dom), splits(dom), product_ids=[102], C=1.0,
+                                            feature_map={102: feats})
+    return _TRAINED[key]
+
+
+@query("train_models")
+def q_train_models(spark, sf_dir):
+    return MD.model_table(spark, trained(domain(spark, sf_dir), "multi"))
+
+
+@query("train_single")
+def q_train_single(spark, sf_dir):
+    return MD.model_table(spark, trained(domain(spark, sf_dir), "single"))
+
+
+@query("scores_trained")
+def q_scores_trained(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return SC.score_products(encoded(dom), trained(dom, "multi")).select("cust_id", "prod_id", "score")
