@@ -861,3 +861,285 @@ def q_train_single(spark, sf_dir):
 def q_scores_trained(spark, sf_dir):
     dom = domain(spark, sf_dir)
     return SC.score_products(encoded(dom), trained(dom, "multi")).select("cust_id", "prod_id", "score")
+
+
+# ---------------------------------------------------------------------------
+# Chat store and chat analytics
+# ---------------------------------------------------------------------------
+from ledgerlens.operators import chat as CH  # noqa: E402
+from ledgerlens.sources import chatstore as CSTORE  # noqa: E402
+
+SEARCH_TERM = "sch"  # fixture search term (the driver texts hold no domain words)
+TS_FMT = "yyyy-MM-dd HH:mm:ss"
+_TS_SQL = "strftime(cast(session_date as timestamp), '%Y-%m-%d %H:%M:%S')"
+
+
+def chat_messages(dom: Domain) -> DataFrame:
+    """Flat messages with a session timestamp."""
+    return dom.chat_messages.select("customer_id", "session_id", "seq",
+                                    F.col("session_date").cast("timestamp").alias("timestamp"),
+                                    "turn", "role", "content")
+
+
+def _sessions_out(sessions: DataFrame) -> DataFrame:
+    return sessions.select("customer_id", "session_id", "seq", F.date_format("timestamp", TS_FMT).alias("ts"),
+                           F.col("message_count").cast("bigint").alias("message_count"))
+
+
+_SESSIONS_SQL = O.sql(f"""
+select customer_id, session_id, seq, {_TS_SQL} as ts, count(*) as message_count
+from fx_chat_messages group by customer_id, session_id, seq, session_date""", "fx_chat_messages")
+
+
+@query("chat_sessions", _SESSIONS_SQL)
+def q_chat_sessions(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    path = scratch_path(spark, "chat_store")
+    CSTORE.write_store(CSTORE.to_records(chat_messages(dom)), path)
+    return _sessions_out(CSTORE.sessions_of(CSTORE.read_store(spark, path)))
+
+
+@query("chat_append", _SESSIONS_SQL)
+def q_chat_append(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    path = scratch_path(spark, "chat_store")
+    msgs = chat_messages(dom)
+    cut = F.lit("2024-07-01").cast("timestamp")
+    CSTORE.write_store(CSTORE.to_records(msgs.where(F.col("timestamp") < cut)), path)
+    CSTORE.write_store(CSTORE.to_records(msgs.where(F.col("timestamp") >= cut)), path, mode="append")
+    return _sessions_out(CSTORE.sessions_of(CSTORE.read_store(spark, path)))
+
+
+@query("chat_export", O.sql(f"""
+select customer_id, session_id, {_TS_SQL} as timestamp, turn, role, content from fx_chat_messages""",
+                            "fx_chat_messages"))
+def q_chat_export(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    path = scratch_path(spark, "chat_export")
+    CSTORE.export_csv(chat_messages(dom), path)
+    return CSTORE.read_export(spark, path)
+
+
+@query("chat_customers", O.sql(
+    "select distinct customer_id from fx_chat_messages order by customer_id", "fx_chat_messages"))
+def q_chat_customers(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    path = scratch_path(spark, "chat_store")
+    CSTORE.write_store(CSTORE.to_records(chat_messages(dom)), path)
+    return CSTORE.customers_with_chats(CSTORE.read_store(spark, path))
+
+
+@query("chat_delete", O.sql(f"""
+select customer_id, session_id, seq, {_TS_SQL} as ts, count(*) as message_count
+from fx_chat_messages m
+where not exists (select 1 from fx_chat_messages x where x.customer_id = m.customer_id
+                  and x.session_id = m.session_id and contains(lower(x.content), '{SEARCH_TERM}'))
+group by customer_id, session_id, seq, session_date""", "fx_chat_messages"))
+def q_chat_delete(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    src, dst = scratch_path(spark, "chat_store"), scratch_path(spark, "chat_store")
+    msgs = chat_messages(dom)
+    CSTORE.write_store(CSTORE.to_records(msgs), src)
+    deletes = CH.search_sessions(msgs, SEARCH_TERM).select("customer_id", "session_id")
+    kept, _ = CSTORE.delete_sessions(CSTORE.read_store(spark, src), deletes)
+    CSTORE.write_store(kept, dst)
+    return _sessions_out(CSTORE.sessions_of(CSTORE.read_store(spark, dst)))
+
+
+@query("chat_stats", O.sql(f"""
+select c.cust_id as customer_id, cast(coalesce(s.total_sessions, 0) as bigint) as total_sessions,
+       cast(coalesce(s.total_messages, 0) as bigint) as total_messages,
+       case when coalesce(s.total_sessions, 0) = 0 then 0e0
+            else cast(s.total_messages as double) / cast(s.total_sessions as double) end as avg_messages_per_session,
+       s.first_chat, s.last_chat
+from fx_customers c left join (
+  select customer_id, count(*) as total_sessions, sum(n) as total_messages,
+         strftime(arg_min(ts, seq), '%Y-%m-%d %H:%M:%S') as first_chat,
+         strftime(arg_max(ts, seq), '%Y-%m-%d %H:%M:%S') as last_chat
+  from (select customer_id, session_id, seq, cast(session_date as timestamp) as ts, count(*) as n
+        from fx_chat_messages group by customer_id, session_id, seq, session_date) t
+  group by customer_id) s on c.cust_id = s.customer_id""", "fx_customers", "fx_chat_messages"))
+def q_chat_stats(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    st = CH.chat_stats(dom.customers, chat_messages(dom))
+    return st.withColumn("first_chat", F.date_format("first_chat", TS_FMT)) \
+             .withColumn("last_chat", F.date_format("last_chat", TS_FMT))
+
+
+@query("chat_latest", O.sql(f"""
+select customer_id, arg_max(session_id, seq) as session_id, strftime(arg_max(ts, seq), '%Y-%m-%d %H:%M:%S') as ts,
+       arg_max(n, seq) as message_count
+from (select customer_id, session_id, seq, cast(session_date as timestamp) as ts, count(*) as n
+      from fx_chat_messages group by customer_id, session_id, seq, session_date) t
+group by customer_id""", "fx_chat_messages"))
+def q_chat_latest(spark, sf_dir):
+    lat = CH.latest_session(chat_messages(domain(spark, sf_dir)))
+    return lat.select("customer_id", "session_id", F.date_format("timestamp", TS_FMT).alias("ts"),
+                      "message_count")
+
+
+@query("chat_recent", O.sql(f"""
+select customer_id, session_id, seq, {_TS_SQL} as display_time, count(*) as message_count
+from fx_chat_messages group by customer_id, session_id, seq, session_date
+order by customer_id, session_date desc nulls last, seq desc""", "fx_chat_messages"))
+def q_chat_recent(spark, sf_dir):
+    return CH.recent_sessions(chat_messages(domain(spark, sf_dir)))
+
+
+@query("chat_search", O.sql(f"""
+select distinct customer_id, session_id, seq from fx_chat_messages
+where contains(lower(content), '{SEARCH_TERM}')""", "fx_chat_messages"))
+def q_chat_search(spark, sf_dir):
+    return CH.search_sessions(chat_messages(domain(spark, sf_dir)), SEARCH_TERM)
+
+
+@query("chat_search_counts", O.sql(f"""
+select customer_id, cast(sum(hit) as bigint) as matching, count(*) as sessions
+from (select customer_id, session_id,
+             coalesce(max(cast(contains(lower(content), '{SEARCH_TERM}') as int)), 0) as hit
+      from fx_chat_messages group by customer_id, session_id) t
+group by customer_id""", "fx_chat_messages"))
+def q_chat_search_counts(spark, sf_dir):
+    return CH.search_counts(chat_messages(domain(spark, sf_dir)), SEARCH_TERM)
+
+
+# ---------------------------------------------------------------------------
+# Message routing (T1-T4) and the streaming variant
+# ---------------------------------------------------------------------------
+from ledgerlens.operators import messages as MS  # noqa: E402
+from ledgerlens.streaming import intents as ST  # noqa: E402
+
+# Fixture parameters: the driver's texts contain none of the domain words, so
+# the registered queries use word lists that occur in them.  The library
+# defaults (rules.INTENT_RULES / BANK_KEYWORDS) stay the domain lists.
+FIXTURE_NAME_TOKENS = ["the", "of", "que", "la", "in", "die"]
+FIXTURE_INTENT_RULES = [
+    (1, "recommend", ["empfehl", "recommend", "sch"]),
+    (2, "snapshot", ["snapshot", "übersicht", "ou"]),
+    (3, "explain", ["erkläre", "preis", "que"]),
+    (4, "list", ["alle produkte", "liste", "the"]),
+    (5, "top_potential", ["top-kunde", "top potential", "ment"]),
+]
+
+
+def _contains_any_sql(t: str, kws) -> str:
+    return "(" + " or ".join(f"contains({t}, '{k}')" for k in kws) + ")"
+
+
+def _intent_sql(t: str, rules) -> str:
+    return ("case " + " ".join(f"when {_contains_any_sql(t, kws)} then '{intent}'"
+                               for _, intent, kws in sorted(rules, key=lambda r: r[0]))
+            + f" else '{R.DEFAULT_INTENT}' end")
+
+
+_NAME_VALUES = ", ".join(f"('{t}')" for t in FIXTURE_NAME_TOKENS)
+
+
+@query("msg_related", O.sql(f"""
+select b.session_id, b.turn,
+       ({_contains_any_sql('b.t', R.BANK_KEYWORDS)} or regexp_matches(b.t, '{R.CUSTOMER_REF_PATTERN}')
+        or coalesce(h.n, 0) >= {R.MIN_NAME_TOKENS}) as related,
+       {_contains_any_sql('b.t', R.BANK_KEYWORDS)} as by_keyword,
+       regexp_matches(b.t, '{R.CUSTOMER_REF_PATTERN}') as by_pattern,
+       coalesce(h.n, 0) >= {R.MIN_NAME_TOKENS} as by_names
+from (select session_id, turn, lower(coalesce(content, '')) as t from fx_chat_messages) b
+left join (
+  select session_id, turn, count(*) as n
+  from (select distinct session_id, turn, unnest(regexp_split_to_array(trim(lower(coalesce(content, ''))), '\\s+')) as token
+        from fx_chat_messages) k
+  join (select lower(first_name) as token from fx_customers union select lower(last_name) from fx_customers
+        union select * from (values {_NAME_VALUES}) as v(token)) nm using (token)
+  group by session_id, turn) h on b.session_id = h.session_id and b.turn = h.turn""",
+                              "fx_chat_messages", "fx_customers"))
+def q_msg_related(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    toks = MS.name_tokens(dom.customers, FIXTURE_NAME_TOKENS)
+    return MS.related(dom.chat_messages, ["session_id", "turn"], toks)
+
+
+@query("msg_intent", O.sql(f"""
+select session_id, turn, {_intent_sql("lower(coalesce(content, ''))", FIXTURE_INTENT_RULES)} as intent
+from fx_chat_messages""", "fx_chat_messages"))
+def q_msg_intent(spark, sf_dir):
+    return MS.intents(domain(spark, sf_dir).chat_messages, ["session_id", "turn"], FIXTURE_INTENT_RULES)
+
+
+@query("msg_entities", O.sql("""
+select m.msg_id, regexp_extract(m.text, '(\\d+)', 1) as customer_ref,
+       case when regexp_extract(m.text, '(\\d+)', 1) <> '' then try_cast(regexp_extract(m.text, '(\\d+)', 1) as bigint)
+            else cast(m.context_customer_id as bigint) end as customer_id,
+       case when coalesce(case when regexp_extract(m.text, '(\\d+)', 1) <> ''
+                               then try_cast(regexp_extract(m.text, '(\\d+)', 1) as bigint)
+                               else cast(m.context_customer_id as bigint) end, 0) = 0
+            then 'id_missing' else 'ok' end as status,
+       cast(coalesce(
+         (select min(p.prod_id) from fx_products p where contains(lower(m.text), lower(p.name))),
+         try_cast(list_filter(regexp_extract_all(m.text, '(\\d+)', 1),
+                              lambda x: list_contains(%s, try_cast(x as bigint)))[1] as int)) as int) as prod_id
+from fx_messages m""" % ("[" + ", ".join(str(p) for p in R.PRODUCT_IDS) + "]"), "fx_messages", "fx_products"))
+def q_msg_entities(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return MS.entities(dom.messages, CS.catalogue_rows(dom.products))
+
+
+@query("stream_intents", O.sql(f"""
+select customer_id, session_id, turn, role, {_intent_sql("lower(coalesce(content, ''))", FIXTURE_INTENT_RULES)} as intent,
+       regexp_extract(content, '(\\d+)', 1) as customer_ref
+from fx_chat_messages""", "fx_chat_messages"))
+def q_stream_intents(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    src, out, ckpt = (scratch_path(spark, "stream_in"), scratch_path(spark, "stream_out"),
+                      scratch_path(spark, "stream_ckpt"))
+    msgs = dom.chat_messages.select(*[F.col(f.name).cast(f.dataType) for f in ST.MESSAGE_SCHEMA.fields])
+    msgs.repartition(4).write.parquet(src)
+    return ST.drain(spark, src, out, ckpt, FIXTURE_INTENT_RULES, max_files_per_trigger=1)
+
+
+# ---------------------------------------------------------------------------
+# Sources and sinks
+# ---------------------------------------------------------------------------
+from ledgerlens.sources import tables as TB  # noqa: E402
+
+
+@query("src_tables", O.sql("""
+select 'customers' as table_name, count(*) as rows from fx_customers
+union all select 'products', count(*) from fx_products
+union all select 'ownership', count(*) from fx_ownership
+union all select 'sales', count(*) from fx_sales""", "fx_customers", "fx_products", "fx_ownership", "fx_sales"))
+def q_src_tables(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    frames = {"customers": dom.customers, "products": dom.products, "ownership": dom.ownership, "sales": dom.sales}
+    out = None
+    for name, df in frames.items():
+        path = scratch_path(spark, f"csv_{name}")
+        TB.write_csv(df.select(*[F.col(f.name).cast(f.dataType) for f in TB.SCHEMAS[name].fields]), path)
+        back = TB.read_csv(spark, path, TB.SCHEMAS[name])
+        cnt = back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
+        out = cnt if out is None else out.unionByName(cnt)
+    return out
+
+
+@query("sink_features", O.sql("select * from fx_features", "fx_features"))
+def q_sink_features(spark, sf_dir):
+    path = scratch_path(spark, "features")
+    TB.write_parquet(features(domain(spark, sf_dir)), path)
+    return TB.read_parquet(spark, path)
+
+
+_RECS_SCHEMA = "cust_id bigint, prod_id int, name string, category string, score double, rank int"
+
+
+@query("sink_recommendations", O.sql(
+    "select cust_id, prod_id, name, category, score, rank from fx_topk3", "fx_topk3"))
+def q_sink_recommendations(spark, sf_dir):
+    path = scratch_path(spark, "recommendations")
+    recs = topk(domain(spark, sf_dir)).select("cust_id", "prod_id", "name", "category", "score", "rank")
+    TB.write_csv(recs, path)
+    return spark.read.schema(_RECS_SCHEMA).option("header", True).option("escape", '"').csv(path)
+
+
+@query("sink_sorted_sales", O.sql("select * from fx_sales", "fx_sales"))
+def q_sink_sorted_sales(spark, sf_dir):
+    path = scratch_path(spark, "sales_sorted")
+    TB.write_sorted(domain(spark, sf_dir).sales, path, ["cust_id", "prod_id", "sale_date"])
+    return TB.read_parquet(spark, path)
