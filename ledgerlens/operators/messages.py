@@ -89,3 +89,39 @@ def entities(messages: DataFrame, catalogue, key: str = "msg_id", text_col: str
         key, ref.alias("customer_ref"), cust.alias("customer_id"),
         F.when(cust.isNull() | (cust == 0), "id_missing").otherwise("ok").alias("status"),
         prod.cast("int").alias("prod_id"))
+
+
+def answers(msgs: DataFrame, intent_rules, catalogue, recs: DataFrame, snapshot: DataFrame,
+            best_customer, key: str = "msg_id", text_col: str = "text",
+            context_col: str = "context_customer_id") -> DataFrame:
+    """T5: answer every message from batch results instead of one call each.
+
+    ``recs`` is (cust_id, payload) for recommendations, ``snapshot`` is
+    (cust_id, payload) for the customer overview, ``best_customer`` a scalar
+    column (e.g. a scalar subquery).  Both tables hold one row per customer,
+    so each is one equi-join on the extracted customer id.
+    """
+    ent = entities(msgs, catalogue, key, text_col, context_col)
+    low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
+    it = msgs.select(key, intent_expr(low, intent_rules).alias("intent"))
+    m = ent.join(it, key)
+    r = recs.select(F.col("cust_id").alias("customer_id"), F.col("payload").alias("_rec"))
+    s = snapshot.select(F.col("cust_id").alias("customer_id"), F.col("payload").alias("_snap"))
+    m = m.join(r, "customer_id", "left").join(s, "customer_id", "left")
+    names = {p: n for p, n, _ in catalogue}
+    name_map = F.create_map(*[x for p, n in sorted(names.items()) for x in (F.lit(p), F.lit(n))])
+    listing = ", ".join(n for _, n in sorted(names.items()) if n is not None)
+    intent = F.col("intent")
+    missing_id = F.col("status") == "id_missing"
+    status = (F.when(intent.isin("recommend", "snapshot") & missing_id, "id_missing")
+               .when((intent == "recommend") & F.col("_rec").isNull(), "no_result")
+               .when((intent == "snapshot") & F.col("_snap").isNull(), "no_result")
+               .when((intent == "explain") & F.col("prod_id").isNull(), "product_missing")
+               .otherwise("ok"))
+    payload = (F.when(intent == "recommend", F.col("_rec"))
+                .when(intent == "snapshot", F.col("_snap"))
+                .when(intent == "explain", name_map[F.col("prod_id")])
+                .when(intent == "list", F.lit(listing))
+                .when(intent == "top_potential", best_customer.cast("string")))
+    return m.select(key, "intent", status.alias("status"),
+                    F.when(status == "ok", payload).alias("payload"))

@@ -1143,3 +1143,66 @@ def q_sink_sorted_sales(spark, sf_dir):
     path = scratch_path(spark, "sales_sorted")
     TB.write_sorted(domain(spark, sf_dir).sales, path, ["cust_id", "prod_id", "sale_date"])
     return TB.read_parquet(spark, path)
+
+
+# ---------------------------------------------------------------------------
+# T5 batch answering
+# ---------------------------------------------------------------------------
+O.block("fx_top_potential", ("fx_customers", "fx_topk3"), """
+select c.cust_id, round(cast(coalesce(t.profit, 0) as double), 6) as expected_profit
+from fx_customers c left join (
+  select cust_id, sum(cast(price * score as decimal(20,6))) as profit from fx_topk3
+  where price is not null group by cust_id) t on c.cust_id = t.cust_id""")
+O.block("fx_ans_snapshot", ("fx_customers", "fx_ownership", "fx_sales"), """
+select c.cust_id, 'products=' || cast(coalesce(p.n, 0) as varchar) || ';transactions=' || cast(coalesce(s.n, 0) as varchar)
+       as payload
+from fx_customers c left join (select cust_id, count(*) as n from fx_ownership group by cust_id) p on c.cust_id = p.cust_id
+left join (select cust_id, count(*) as n from fx_sales group by cust_id) s on c.cust_id = s.cust_id""")
+
+
+@query("msg_answers", O.sql(f"""
+select m.msg_id, m.intent,
+       case when m.intent in ('recommend', 'snapshot') and coalesce(m.cid, 0) = 0 then 'id_missing'
+            when m.intent = 'recommend' and r.payload is null then 'no_result'
+            when m.intent = 'snapshot' and s.payload is null then 'no_result'
+            when m.intent = 'explain' and m.pid is null then 'product_missing' else 'ok' end as status,
+       case when not (m.intent in ('recommend', 'snapshot') and coalesce(m.cid, 0) = 0)
+             and not (m.intent = 'recommend' and r.payload is null)
+             and not (m.intent = 'snapshot' and s.payload is null)
+             and not (m.intent = 'explain' and m.pid is null) then
+         case m.intent when 'recommend' then r.payload when 'snapshot' then s.payload
+              when 'explain' then (select name from fx_products p where p.prod_id = m.pid)
+              when 'list' then (select string_agg(name, ', ' order by prod_id) from fx_products)
+              when 'top_potential' then (select cast(cust_id as varchar) from fx_top_potential
+                                         order by expected_profit desc, cust_id limit 1) end end as payload
+from (select msg_id, {_intent_sql("lower(coalesce(text, ''))", FIXTURE_INTENT_RULES)} as intent,
+             case when regexp_extract(text, '(\\d+)', 1) <> '' then try_cast(regexp_extract(text, '(\\d+)', 1) as bigint)
+                  else cast(context_customer_id as bigint) end as cid,
+             cast(coalesce(
+               (select min(p.prod_id) from fx_products p where contains(lower(text), lower(p.name))),
+               try_cast(list_filter(regexp_extract_all(text, '(\\d+)', 1),
+                        lambda x: list_contains({"[" + ", ".join(str(p) for p in R.PRODUCT_IDS) + "]"},
+                                                try_cast(x as bigint)))[1] as int)) as int) as pid
+      from fx_messages) m
+left join (select cust_id, string_agg(cast(prod_id as varchar), ',' order by rank) as payload
+           from fx_topk3 group by cust_id) r on m.cid = r.cust_id
+left join fx_ans_snapshot s on m.cid = s.cust_id""",
+                              "fx_messages", "fx_products", "fx_topk3", "fx_top_potential", "fx_ans_snapshot"))
+def q_msg_answers(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    recs = RC.recommend_topk(scored(dom), 3).groupBy("cust_id").agg(
+        joined_ids_sorted("prod_id").alias("payload"))
+    own = dom.ownership.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_own"))
+    sal = dom.sales.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_sales"))
+    snap = (dom.customers.select("cust_id").join(own, "cust_id", "left").join(sal, "cust_id", "left")
+            .select("cust_id", F.format_string("products=%d;transactions=%d", F.coalesce("n_own", F.lit(0)),
+                                               F.coalesce("n_sales", F.lit(0))).alias("payload")))
+    best = RC.best_customers(RC.top_potential(RC.recommend_topk(scored(dom), 3), dom.products, dom.customers)
+                             .select("cust_id", "expected_profit"), 1).select("cust_id").scalar()
+    return MS.answers(dom.messages, FIXTURE_INTENT_RULES, CS.catalogue_rows(dom.products), recs, snap, best)
+
+
+def joined_ids_sorted(col: str):
+    """Ids of a top-k group joined with ',' in rank order."""
+    return F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("rank", col))),
+                                        lambda x: x[col].cast("string")))
