@@ -22,11 +22,12 @@ def ownership_flags(ownership: DataFrame, product_ids=R.PRODUCT_IDS) -> DataFram
     A single hash aggregate (partial on the map side, so a customer with very
     many rows ships one partial row per partition), instead of one join per product.
     """
-    pid = F.col("prod_id")
-    aggs = [F.max(F.when(pid == p, 1).otherwise(0)).cast("int").alias(flag_col(p)) for p in product_ids]
+    ids = ", ".join(str(int(p)) for p in product_ids)
+    aggs = [f"CAST(max(CASE WHEN prod_id = {int(p)} THEN 1 ELSE 0 END) AS INT) AS {flag_col(p)}"
+            for p in product_ids]
     return (ownership.select("cust_id", "prod_id")
-            .where(pid.isin(list(product_ids)))
-            .groupBy("cust_id").agg(*aggs))
+            .where(F.expr(f"prod_id IN ({ids})"))
+            .groupBy("cust_id").agg(*[F.expr(a) for a in aggs]))
 
 
 def build_features(customers: DataFrame, ownership: DataFrame, product_ids=R.PRODUCT_IDS) -> DataFrame:
@@ -38,8 +39,8 @@ def build_features(customers: DataFrame, ownership: DataFrame, product_ids=R.PRO
     flags = ownership_flags(ownership, product_ids)
     base = customers.select("cust_id", "age_bucket", "revenue", "credit_score")
     out = base.join(flags, "cust_id", "left")
-    return out.select("cust_id", "age_bucket", "revenue", "credit_score",
-                      *[F.coalesce(F.col(flag_col(p)), F.lit(0)).alias(flag_col(p)) for p in product_ids])
+    return out.selectExpr("cust_id", "age_bucket", "revenue", "credit_score",
+                          *[f"coalesce({flag_col(p)}, 0) AS {flag_col(p)}" for p in product_ids])
 
 
 @dataclass(frozen=True)
@@ -94,18 +95,15 @@ def fit_scaler(features: DataFrame, max_labels: int = 64) -> Scaler:
 
 def encode_features(features: DataFrame, scaler: Scaler) -> DataFrame:
     """M2 + M3 transform: age label index and z-scores, as pure column expressions."""
-    age = None
-    for i, lbl in enumerate(scaler.age_labels):
-        cond = F.col("age_bucket") == lbl
-        age = F.when(cond, i) if age is None else age.when(cond, i)
-    age = (age if age is not None else F.lit(None)).cast("int")
-    others = [c for c in features.columns if c not in ("age_bucket", "revenue", "credit_score")]
-    return features.select(
-        *[F.col(c) for c in others],
-        age.alias("age_bucket_encoded"),
-        ((F.col("revenue") - F.lit(scaler.revenue_mean)) / F.lit(scaler.revenue_std)).alias("revenue"),
-        ((F.col("credit_score") - F.lit(scaler.credit_mean)) / F.lit(scaler.credit_std)).alias("credit_score"),
-    )
+    def lit(x: float) -> str:
+        return f"CAST({float(x)!r} AS DOUBLE)"
+    cases = " ".join(f"WHEN age_bucket = '{lbl}' THEN {i}" for i, lbl in enumerate(scaler.age_labels))
+    age = f"CAST(CASE {cases} END AS INT)" if cases else "CAST(NULL AS INT)"
+    others = [f"`{c}`" for c in features.columns if c not in ("age_bucket", "revenue", "credit_score")]
+    return features.selectExpr(
+        *others, f"{age} AS age_bucket_encoded",
+        f"(revenue - {lit(scaler.revenue_mean)}) / {lit(scaler.revenue_std)} AS revenue",
+        f"(credit_score - {lit(scaler.credit_mean)}) / {lit(scaler.credit_std)} AS credit_score")
 
 
 def scaler_table(spark, scaler: Scaler) -> DataFrame:
@@ -149,12 +147,3 @@ def train_split_hashed(features: DataFrame, test_fraction: float = 0.2, seed: in
     bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10000))
     return features.withColumn(
         "split", F.when(bucket < int(test_fraction * 10000), "test").otherwise("train"))
-
-
-def age_labels_bounded(features: DataFrame, max_labels: int = 64) -> DataFrame:
-    """Distinct age labels with their encoded index (bounded, broadcastable)."""
-    from pyspark.sql import Window
-    labels = features.select("age_bucket").where(F.col("age_bucket").isNotNull()).distinct()
-    labels = broadcast_bounded(labels, max_labels)
-    return labels.withColumn("age_bucket_encoded",
-                             (F.dense_rank().over(Window.orderBy("age_bucket")) - 1).cast("int"))

@@ -55,24 +55,42 @@ def load_models(coefficients: DataFrame, intercepts: DataFrame,
     return LinearModels(order + tuple(extra), weights, icpt)
 
 
-def logit_expr(models: LinearModels, prod_id: int) -> Column | None:
-    """``b + w1*x1 + w2*x2 + ...`` left to right in the fixed feature order."""
+def _dbl(x: float) -> str:
+    """A Spark SQL double literal that parses back to exactly ``x``."""
+    return f"CAST({float(x)!r} AS DOUBLE)"
+
+
+def logit_sql(models: LinearModels, prod_id: int) -> str | None:
+    """``b + w1*x1 + w2*x2 + ...`` left to right in the fixed feature order.
+
+    Built as SQL text so a whole model is one expression handed to the JVM
+    (one round trip instead of one per term).
+    """
     if prod_id not in models.weights and prod_id not in models.intercepts:
         return None
     w = models.weights.get(prod_id, {})
-    expr = F.lit(models.intercepts.get(prod_id, 0.0))
+    expr = _dbl(models.intercepts.get(prod_id, 0.0))
     for f in models.features:
         if f in w:
-            expr = expr + F.lit(w[f]) * F.col(f).cast("double")
+            expr = f"({expr} + {_dbl(w[f])} * CAST(`{f}` AS DOUBLE))"
     return expr
 
 
-def score_expr(models: LinearModels, prod_id: int) -> Column:
+def score_sql(models: LinearModels, prod_id: int) -> str:
     """M7 + M8: rounded P(class 1), or the fallback score without a model."""
-    z = logit_expr(models, prod_id)
+    z = logit_sql(models, prod_id)
     if z is None:
-        return F.lit(R.FALLBACK_SCORE)
-    return F.round(sigmoid(z), SCORE_DIGITS)
+        return _dbl(R.FALLBACK_SCORE)
+    return f"round(CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({z}))), {SCORE_DIGITS})"
+
+
+def logit_expr(models: LinearModels, prod_id: int) -> Column | None:
+    z = logit_sql(models, prod_id)
+    return None if z is None else F.expr(z)
+
+
+def score_expr(models: LinearModels, prod_id: int) -> Column:
+    return F.expr(score_sql(models, prod_id))
 
 
 def score_products(encoded: DataFrame, models: LinearModels, product_ids=R.PRODUCT_IDS,
@@ -85,12 +103,11 @@ def score_products(encoded: DataFrame, models: LinearModels, product_ids=R.PRODU
     """
     items = []
     for p in product_ids:
-        owned = F.col(flag_col(p)) if flag_col(p) in encoded.columns else F.lit(0)
-        has_model = p in models.weights or p in models.intercepts
-        items.append(F.struct(F.lit(p).alias("prod_id"), owned.cast("int").alias("owned"),
-                              F.lit(has_model).alias("has_model"),
-                              score_expr(models, p).cast("double").alias("score")))
-    out = encoded.select("cust_id", F.inline(F.array(*items)))
+        owned = f"CAST(`{flag_col(p)}` AS INT)" if flag_col(p) in encoded.columns else "0"
+        has_model = "true" if (p in models.weights or p in models.intercepts) else "false"
+        items.append(f"named_struct('prod_id', {int(p)}, 'owned', {owned}, 'has_model', {has_model}, "
+                     f"'score', CAST({score_sql(models, p)} AS DOUBLE))")
+    out = encoded.selectExpr("cust_id", f"inline(array({', '.join(items)}))")
     return out if keep_owned else out.where(F.col("owned") == 0)
 
 

@@ -64,14 +64,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/ledgerlens/{name}/{uuid.uuid4().hex}"
 
 
+_BOUND_CHECKS: dict[tuple[str, int, int], int] = {}
+
+
 def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast ``df`` only after proving it has at most ``max_rows`` rows.
 
     The proof is a ``limit(max_rows + 1).count()``, which stops reading as soon
     as the bound is exceeded.  Beyond the bound the frame is returned unhinted
-    and Spark plans a shuffle join (AQE may still demote it at runtime).
+    and Spark plans a shuffle join (AQE may still demote it at runtime).  The
+    result is remembered per application and logical plan, so a dimension
+    used by many queries is checked once.
     """
-    n = df.limit(max_rows + 1).count()
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    n = _BOUND_CHECKS.get(key)
+    if n is None:
+        n = df.limit(max_rows + 1).count()
+        _BOUND_CHECKS[key] = n
     return F.broadcast(df) if n <= max_rows else df
 
 
