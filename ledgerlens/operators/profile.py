@@ -41,20 +41,26 @@ def product_explain(products: DataFrame, requests: DataFrame, category_info: Dat
     """P2 + P4 + P5: resolve identifiers to products.
 
     An identifier that parses as an integer is looked up by id only; anything
-    else by case-insensitive name (first in catalogue order).  Two equi-joins,
-    unioned; unmatched identifiers keep a row with ``matched = false``.
+    else by case-insensitive name (first in catalogue order).  Two broadcast
+    equi-joins in one pass (an OR join would be a nested loop); unmatched
+    identifiers keep a row with ``matched = false``.
     """
-    cat = broadcast_bounded(products, MAX_CATALOGUE)
     parsed = F.col("identifier").try_cast("int")
     req = requests.select("request_id", "identifier", parsed.alias("_pid"))
-    by_id = req.where(F.col("_pid").isNotNull()).join(cat, F.col("_pid") == cat["prod_id"], "left")
-    by_name_cat = (cat.groupBy(F.lower("name").alias("_lname"))
-                      .agg(F.min_by(F.struct(*[F.col(c) for c in products.columns]), F.col("prod_id")).alias("_p"))
-                      .select("_lname", "_p.*"))
-    by_name = (req.where(F.col("_pid").isNull())
-                  .join(F.broadcast(by_name_cat), F.lower(F.col("identifier")) == F.col("_lname"), "left")
-                  .drop("_lname"))
-    out = by_id.unionByName(by_name).drop("_pid")
+    by_id = broadcast_bounded(products.select(F.col("prod_id").alias("_id_pid"),
+                                              F.struct(*[F.col(c) for c in products.columns]).alias("_by_id")),
+                              MAX_CATALOGUE)
+    by_name = broadcast_bounded(
+        products.groupBy(F.lower("name").alias("_lname"))
+                .agg(F.min_by(F.struct(*[F.col(c) for c in products.columns]), F.col("prod_id")).alias("_by_name")),
+        MAX_CATALOGUE)
+    # one scan of the requests, two broadcast lookups: by id when the
+    # identifier parses as an integer, otherwise by case-insensitive name
+    name_key = F.when(F.col("_pid").isNull(), F.lower(F.col("identifier")))
+    out = (req.join(by_id, F.col("_pid") == F.col("_id_pid"), "left")
+              .join(by_name, name_key == F.col("_lname"), "left"))
+    hit = F.when(F.col("_pid").isNotNull(), F.col("_by_id")).otherwise(F.col("_by_name"))
+    out = out.select("request_id", "identifier", hit.alias("_p")).select("request_id", "identifier", "_p.*")
     out = out.join(category_info, "category", "left")
     description = (F.coalesce(F.col("long_desc"), F.col("short_desc"))
                    if "long_desc" in products.columns else F.lit(None).cast("string"))
