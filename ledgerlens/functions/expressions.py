@@ -49,6 +49,21 @@ def sigmoid(z) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col(z)))
 
 
+# Strings Spark's integer cast accepts: optional sign, digits, optional
+# fraction, surrounding whitespace.
+INTEGER_TEXT = r"^\s*[+-]?[0-9]+(\.[0-9]*)?\s*$"
+
+
+def int_or_null(text) -> Column:
+    """``try_cast(text as int)``, with non-numeric text rejected by a regex first.
+
+    Same result as ``try_cast``, but the try-cast path is slow on the many
+    strings that are not numbers, while the regex test is cheap.
+    """
+    t = col(text)
+    return F.when(t.rlike(INTEGER_TEXT), t.try_cast("int"))
+
+
 def customer_label(first, last, cust_id) -> Column:
     """``first last (ID n)``."""
     return F.format_string("%s %s (ID %d)", col(first), col(last), col(cust_id))

@@ -62,41 +62,53 @@ def product_splits(features: DataFrame, product_ids=R.PRODUCT_IDS, **kw) -> Data
 
 # ---------------------------------------------------------------- training ---
 def train_models(encoded: DataFrame, splits: DataFrame, product_ids=R.PRODUCT_IDS, C: float = 2.0,
-                 feature_map: dict | None = None, max_iter: int = 1000, tol: float = 1e-8):
+                 feature_map: dict | None = None, max_iter: int = 1000, tol: float = 1e-8,
+                 parallelism: int = 8):
     """M6 (and M5 with a one-product ``feature_map``): one balanced logistic
     regression per product on its train split.
 
     Returns a :class:`LinearModels`.  The joined training frame is persisted
-    once and reused by every fit.
+    once and reused by every fit; the class counts of all products come from
+    one aggregate.  The fits are independent distributed jobs, submitted from
+    ``parallelism`` driver threads (as Spark ML's tuning does) so that the
+    per-iteration scheduling of one fit overlaps with the others.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
     all_feats = list(default_feature_order())
     base = (splits.where(F.col("split") == "train").join(encoded, "cust_id")
             .persist(StorageLevel.MEMORY_AND_DISK))
-    weights, intercepts = {}, {}
     try:
-        for p in product_ids:
+        counts: dict[int, dict[int, int]] = {}
+        for r in base.groupBy("prod_id", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(int(r["prod_id"]), {})[int(r["label"])] = int(r["n"])
+
+        def fit(p):
+            c = counts.get(int(p), {})
+            n = sum(c.values())
+            if len(c) < 2 or n == 0:
+                return p, None
             feats = (feature_map or {}).get(p) or [f for f in all_feats if f != flag_col(p)]
-            d = base.where(F.col("prod_id") == p)
-            counts = {int(r["label"]): int(r["n"]) for r in
-                      d.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-            n = sum(counts.values())
-            if len(counts) < 2 or n == 0:
-                continue
-            cw = {k: n / (2.0 * v) for k, v in counts.items()}
+            cw = {k: n / (2.0 * v) for k, v in c.items()}
             wcol = F.when(F.col("label") == 1, F.lit(cw[1])).otherwise(F.lit(cw[0]))
+            d = base.where(F.col("prod_id") == p)
             asm = VectorAssembler(inputCols=feats, outputCol="features")
             train = asm.transform(d.withColumn("w", wcol).withColumn("y", F.col("label").cast("double")))
             lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w",
                                     regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
                                     maxIter=max_iter, tol=tol, fitIntercept=True)
             m = lr.fit(train)
-            weights[p] = dict(zip(feats, [float(x) for x in m.coefficients]))
-            intercepts[p] = float(m.intercept)
+            return p, (dict(zip(feats, [float(x) for x in m.coefficients])), float(m.intercept))
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            fitted = list(pool.map(fit, product_ids))
     finally:
         base.unpersist()
+    weights = {p: r[0] for p, r in fitted if r is not None}
+    intercepts = {p: r[1] for p, r in fitted if r is not None}
     return LinearModels(tuple(all_feats), weights, intercepts)
 
 

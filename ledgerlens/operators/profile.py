@@ -45,7 +45,8 @@ def product_explain(products: DataFrame, requests: DataFrame, category_info: Dat
     equi-joins in one pass (an OR join would be a nested loop); unmatched
     identifiers keep a row with ``matched = false``.
     """
-    parsed = F.col("identifier").try_cast("int")
+    from ledgerlens.functions.expressions import int_or_null
+    parsed = int_or_null("identifier")
     req = requests.select("request_id", "identifier", parsed.alias("_pid"))
     by_id = broadcast_bounded(products.select(F.col("prod_id").alias("_id_pid"),
                                               F.struct(*[F.col(c) for c in products.columns]).alias("_by_id")),

@@ -110,12 +110,16 @@ def recommend_scenario(scored: DataFrame, roles: DataFrame, k: int = 3, by=("cus
     keys = list(by) + ["scenario"]
     df = scenario_scores(scored, roles, first_home_ok, investor_ok)
     order = [F.col("score").desc(), F.col("prod_id")]
-    role_rank = F.row_number().over(Window.partitionBy(*keys, "role").orderBy(*order))
+    # The (customer, scenario) windows come first: their hash partitioning
+    # also satisfies the finer (customer, scenario, role) window and the final
+    # ranking, so the whole pick costs one shuffle.
     grp = Window.partitionBy(*keys)
     n_prim = F.sum(F.when(F.col("role") == "primary", 1).otherwise(0)).over(grp)
     n_cross = F.sum(F.when(F.col("role") == "cross_sell", 1).otherwise(0)).over(grp)
-    df = df.withColumn("role_rank", role_rank).withColumn("_np", F.least(n_prim, F.greatest(F.lit(1), F.lit(k // 2))))
+    df = df.withColumn("_np", F.least(n_prim, F.greatest(F.lit(1), F.lit(k // 2))))
     df = df.withColumn("_nc", F.least(n_cross, F.lit(k) - F.col("_np")))
+    role_rank = F.row_number().over(Window.partitionBy(*keys, "role").orderBy(*order))
+    df = df.withColumn("role_rank", role_rank)
     holistic = F.col("scenario") == R.HOLISTIC
     keep = (holistic
             | ((F.col("role") == "primary") & (F.col("role_rank") <= F.col("_np")))
