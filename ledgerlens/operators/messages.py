@@ -62,7 +62,7 @@ def intents(messages: DataFrame, keys, rules=R.INTENT_RULES, text_col: str = "co
 
 
 def entities(messages: DataFrame, catalogue, key: str = "msg_id", text_col: str = "text",
-             context_col: str = "context_customer_id") -> DataFrame:
+             context_col: str = "context_customer_id", extra=()) -> DataFrame:
     """T3 + T4: customer id = first digit run of the message, else the context
     customer (0 or none -> ``id_missing``); product = first catalogue name
     contained in the message (catalogue order), else the first number that is
@@ -86,7 +86,7 @@ def entities(messages: DataFrame, catalogue, key: str = "msg_id", text_col: str
     by_num = F.get(in_cat, 0).try_cast("int")
     prod = F.coalesce(by_name, by_num) if by_name is not None else by_num
     return messages.select(
-        key, ref.alias("customer_ref"), cust.alias("customer_id"),
+        key, *extra, ref.alias("customer_ref"), cust.alias("customer_id"),
         F.when(cust.isNull() | (cust == 0), "id_missing").otherwise("ok").alias("status"),
         prod.cast("int").alias("prod_id"))
 
@@ -101,10 +101,11 @@ def answers(msgs: DataFrame, intent_rules, catalogue, recs: DataFrame, snapshot:
     column (e.g. a scalar subquery).  Both tables hold one row per customer,
     so each is one equi-join on the extracted customer id.
     """
-    ent = entities(msgs, catalogue, key, text_col, context_col)
+    # intent and entities come from one projection over the messages (one
+    # scan of the texts, no self join on the message key)
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    it = msgs.select(key, intent_expr(low, intent_rules).alias("intent"))
-    m = ent.join(it, key)
+    tagged = msgs.select(key, text_col, context_col, intent_expr(low, intent_rules).alias("intent"))
+    m = entities(tagged, catalogue, key, text_col, context_col, extra=("intent",))
     r = recs.select(F.col("cust_id").alias("customer_id"), F.col("payload").alias("_rec"))
     s = snapshot.select(F.col("cust_id").alias("customer_id"), F.col("payload").alias("_snap"))
     m = m.join(r, "customer_id", "left").join(s, "customer_id", "left")
