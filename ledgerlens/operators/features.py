@@ -1,4 +1,7 @@
-"""Feature matrix (M1), label encoding (M2), standardisation (M3), split (M4)."""
+"""Feature matrix (M1), label encoding (M2), standardisation (M3).
+
+The stratified split (M4) lives in :mod:`ledgerlens.operators.models`.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.plans import rules as R
-from ledgerlens.plans.session import broadcast_bounded
 
 
 def flag_col(prod_id: int) -> str:
@@ -108,42 +110,3 @@ def encode_features(features: DataFrame, scaler: Scaler) -> DataFrame:
 
 def scaler_table(spark, scaler: Scaler) -> DataFrame:
     return spark.createDataFrame(scaler.as_rows(), "column string, key string, value double")
-
-
-def train_split(features: DataFrame, label: str, test_fraction: float = 0.2, seed: int = 42,
-                id_col: str = "cust_id", buckets_hex: int = 3, max_labels: int = 64) -> DataFrame:
-    """M4: deterministic stratified split with exact per-class test counts.
-
-    Inside each class rows are ordered by ``md5('<seed>:<id>')`` (ties by id);
-    the first ``ceil(test_fraction * n_class)`` are test.  No window spans a
-    whole class: rows are histogrammed into 16^``buckets_hex`` buckets by hash
-    prefix, a running count over the small histogram decides whole buckets, and
-    only the one boundary bucket per class is ranked row by row.
-    """
-    from pyspark.sql import Window
-    h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-    df = features.withColumn("_h", h).withColumn(
-        "_b", F.conv(F.substring(h, 1, buckets_hex), 16, 10).cast("int"))
-    hist = df.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = (hist.withColumn("_before", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
-                .withColumn("_k", F.ceil(F.sum("_cnt").over(Window.partitionBy(label))
-                                         * F.lit(test_fraction)).cast("bigint")))
-    hist = broadcast_bounded(hist, max_labels * 16 ** buckets_hex)
-    df = df.join(hist, [label, "_b"])
-    boundary = (F.col("_before") < F.col("_k")) & (F.col("_before") + F.col("_cnt") > F.col("_k"))
-    whole = df.where(~boundary).withColumn(
-        "split", F.when(F.col("_before") + F.col("_cnt") <= F.col("_k"), "test").otherwise("train"))
-    rn = F.row_number().over(Window.partitionBy(label, "_b").orderBy("_h", id_col))
-    edge = df.where(boundary).withColumn(
-        "split", F.when(rn <= F.col("_k") - F.col("_before"), "test").otherwise("train"))
-    drop = ["_h", "_b", "_cnt", "_before", "_k"]
-    return whole.drop(*drop).unionByName(edge.drop(*drop))
-
-
-def train_split_hashed(features: DataFrame, test_fraction: float = 0.2, seed: int = 42,
-                       id_col: str = "cust_id") -> DataFrame:
-    """Scale variant of M4: hash bucket threshold, no shuffle, no sort."""
-    bucket = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(10000))
-    return features.withColumn(
-        "split", F.when(bucket < int(test_fraction * 10000), "test").otherwise("train"))

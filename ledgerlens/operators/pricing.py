@@ -21,8 +21,7 @@ def credit_terms(customers: DataFrame, products: DataFrame, credit_ids=R.CREDIT_
     and credit-type table are size-checked broadcasts.
     """
     cat = broadcast_bounded(products.select("prod_id", F.col("interest_rate").alias("base_rate")), MAX_CATALOGUE)
-    types = F.broadcast(products.sparkSession.createDataFrame(list(R.CREDIT_TYPES.items()),
-                                                              "prod_id int, credit_type string"))
+    types = R.credit_types(products.sparkSession)
     cols = ["cust_id", "revenue", "credit_score"] + ([jitter_col] if jitter_col else [])
     pairs = customers.select(*cols, F.explode(F.array(*[F.lit(p) for p in credit_ids])).alias("prod_id"))
     df = pairs.join(cat, "prod_id", "left").join(types, "prod_id", "left")

@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.expressions import sigmoid
 from ledgerlens.operators.features import flag_col
 from ledgerlens.plans import rules as R
 from ledgerlens.plans.session import broadcast_bounded

@@ -130,3 +130,23 @@ def test_stream_equals_batch(spark, tmp_path):
     # a restart with the same checkpoint processes nothing twice
     again = ST.drain(spark, src, str(tmp_path / "out"), str(tmp_path / "ckpt"), RULES)
     assert again.count() == 3
+
+
+def test_read_original_session_files(spark, tmp_path):
+    """One JSON array of sessions per customer file; a corrupt file adds nothing,
+    metadata keys may be missing."""
+    import json
+    d = tmp_path / "chatlogs"
+    d.mkdir()
+    (d / "customer_1_chatlogs.json").write_text(json.dumps([
+        {"session_id": "20240101_090000", "timestamp": "2024-01-01T09:00:00.123456", "customer_id": 1,
+         "messages": [{"role": "user", "content": "hi"}, {"role": "assistant", "content": "hello"}],
+         "message_count": 2, "metadata": {"saved_at": "2024-01-01T09:00:01", "api_mode": "mock", "auto_saved": True}},
+        {"session_id": "20240102_090000", "timestamp": "2024-01-02T09:00:00", "customer_id": 1,
+         "messages": [], "message_count": 0, "metadata": {"saved_at": "x", "api_mode": "mock"}}], indent=2))
+    (d / "customer_2_chatlogs.json").write_text("[{not json")
+    df = CSTORE.read_session_files(spark, str(d))
+    got = rows(df, "customer_id", "session_id", "message_count")
+    assert got == [(1, "20240101_090000", 2), (1, "20240102_090000", 0)]
+    r = df.where("message_count = 0").collect()[0]
+    assert r["metadata"]["auto_saved"] is None and r["timestamp"] == dt.datetime(2024, 1, 2, 9)
