@@ -149,3 +149,17 @@ def test_age_distribution_shares_sum_to_100(spark):
 def test_top_cities_ties_by_name(spark):
     df = spark.createDataFrame([(c,) for c in "bbaaccdde"], "location string")
     assert [r["location"] for r in PF.top_cities(df, 3).collect()] == ["a", "b", "c"]
+
+
+def test_exact_median_by_selection_matches_numpy(spark):
+    import numpy as np
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([rng.normal(size=3001), np.full(1500, 0.25), rng.integers(0, 5, 700).astype(float)])
+    df = spark.createDataFrame([(float(x),) for x in vals] + [(None,)], "x double")
+    # tiny max_local forces several refinement passes, including a hot value holding a third of the rows
+    got = PF.exact_median(df, "x", buckets=8, max_local=16)
+    assert got == float(np.median(vals))
+    even = spark.createDataFrame([(float(x),) for x in [5, 1, 4, 2]], "x double")
+    assert PF.exact_median(even, "x", buckets=2, max_local=1) == 3.0
+    ranks = PF.value_at_ranks(df, "x", [1, len(vals)], buckets=4, max_local=8)
+    assert (ranks[1], ranks[len(vals)]) == (float(vals.min()), float(vals.max()))
