@@ -13,7 +13,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark import StorageLevel
 
 from ledgerlens.operators.features import flag_col
 from ledgerlens.operators.scoring import LinearModels, default_feature_order
@@ -67,9 +66,9 @@ def train_models(encoded: DataFrame, splits: DataFrame, product_ids=R.PRODUCT_ID
     """M6 (and M5 with a one-product ``feature_map``): one balanced logistic
     regression per product on its train split.
 
-    Returns a :class:`LinearModels`.  The joined training frame is persisted
-    once and reused by every fit; the class counts of all products come from
-    one aggregate.  The fits are independent distributed jobs, submitted from
+    Returns a :class:`LinearModels`.  The joined training frame is
+    checkpointed once and read by every fit; the class counts of all products
+    come from one aggregate.  The fits are independent distributed jobs, submitted from
     ``parallelism`` driver threads (as Spark ML's tuning does) so that the
     per-iteration scheduling of one fit overlaps with the others.
     """
@@ -78,35 +77,38 @@ def train_models(encoded: DataFrame, splits: DataFrame, product_ids=R.PRODUCT_ID
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
+    from ledgerlens.plans.session import cut_lineage
+
     all_feats = list(default_feature_order())
-    base = (splits.where(F.col("split") == "train").join(encoded, "cust_id")
-            .persist(StorageLevel.MEMORY_AND_DISK))
-    try:
-        counts: dict[int, dict[int, int]] = {}
-        for r in base.groupBy("prod_id", "label").agg(F.count(F.lit(1)).alias("n")).collect():
-            counts.setdefault(int(r["prod_id"]), {})[int(r["label"])] = int(r["n"])
-
-        def fit(p):
-            c = counts.get(int(p), {})
-            n = sum(c.values())
-            if len(c) < 2 or n == 0:
-                return p, None
-            feats = (feature_map or {}).get(p) or [f for f in all_feats if f != flag_col(p)]
-            cw = {k: n / (2.0 * v) for k, v in c.items()}
-            wcol = F.when(F.col("label") == 1, F.lit(cw[1])).otherwise(F.lit(cw[0]))
-            d = base.where(F.col("prod_id") == p)
-            asm = VectorAssembler(inputCols=feats, outputCol="features")
-            train = asm.transform(d.withColumn("w", wcol).withColumn("y", F.col("label").cast("double")))
-            lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w",
-                                    regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
-                                    maxIter=max_iter, tol=tol, fitIntercept=True)
-            m = lr.fit(train)
-            return p, (dict(zip(feats, [float(x) for x in m.coefficients])), float(m.intercept))
-
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            fitted = list(pool.map(fit, product_ids))
-    finally:
-        base.unpersist()
+    # The training frame is written once as a reliable checkpoint to the
+    # shared folder: every fit makes hundreds of passes, and a lost executor
+    # then re-reads the checkpoint instead of re-running split and features.
+    # Each fit's input is a plain filter of it, so Spark ML caches only that
+    # product's instances for its iterations.
+    base = cut_lineage(splits.where(F.col("split") == "train").join(encoded, "cust_id"))
+    counts: dict[int, dict[int, int]] = {}
+    for r in base.groupBy("prod_id", "label").agg(F.count(F.lit(1)).alias("n")).collect():
+        counts.setdefault(int(r["prod_id"]), {})[int(r["label"])] = int(r["n"])
+
+    def fit(p):
+        c = counts.get(int(p), {})
+        n = sum(c.values())
+        if len(c) < 2 or n == 0:
+            return p, None
+        feats = (feature_map or {}).get(p) or [f for f in all_feats if f != flag_col(p)]
+        cw = {k: n / (2.0 * v) for k, v in c.items()}
+        wcol = F.when(F.col("label") == 1, F.lit(cw[1])).otherwise(F.lit(cw[0]))
+        d = base.where(F.col("prod_id") == p)
+        asm = VectorAssembler(inputCols=feats, outputCol="features")
+        train = asm.transform(d.withColumn("w", wcol).withColumn("y", F.col("label").cast("double")))
+        lr = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w",
+                                regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False,
+                                maxIter=max_iter, tol=tol, fitIntercept=True)
+        m = lr.fit(train)
+        return p, (dict(zip(feats, [float(x) for x in m.coefficients])), float(m.intercept))
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        fitted = list(pool.map(fit, product_ids))
     weights = {p: r[0] for p, r in fitted if r is not None}
     intercepts = {p: r[1] for p, r in fitted if r is not None}
     return LinearModels(tuple(all_feats), weights, intercepts)
