@@ -62,15 +62,16 @@ def product_splits(features: DataFrame, product_ids=R.PRODUCT_IDS, **kw) -> Data
 # ---------------------------------------------------------------- training ---
 def train_models(encoded: DataFrame, splits: DataFrame, product_ids=R.PRODUCT_IDS, C: float = 2.0,
                  feature_map: dict | None = None, max_iter: int = 1000, tol: float = 1e-8,
-                 parallelism: int = 8):
+                 parallelism: int | None = None):
     """M6 (and M5 with a one-product ``feature_map``): one balanced logistic
     regression per product on its train split.
 
     Returns a :class:`LinearModels`.  The joined training frame is
     checkpointed once and read by every fit; the class counts of all products
-    come from one aggregate.  The fits are independent distributed jobs, submitted from
-    ``parallelism`` driver threads (as Spark ML's tuning does) so that the
-    per-iteration scheduling of one fit overlaps with the others.
+    come from one aggregate.  The fits are independent distributed jobs,
+    submitted from ``parallelism`` driver threads (default: one per product,
+    at most 16), as Spark ML's tuning does, so that the per-iteration
+    scheduling of one fit overlaps with the others.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -107,7 +108,8 @@ def train_models(encoded: DataFrame, splits: DataFrame, product_ids=R.PRODUCT_ID
         m = lr.fit(train)
         return p, (dict(zip(feats, [float(x) for x in m.coefficients])), float(m.intercept))
 
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+    threads = parallelism or min(16, max(1, len(product_ids)))
+    with ThreadPoolExecutor(max_workers=threads) as pool:
         fitted = list(pool.map(fit, product_ids))
     weights = {p: r[0] for p, r in fitted if r is not None}
     intercepts = {p: r[1] for p, r in fitted if r is not None}

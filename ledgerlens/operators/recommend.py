@@ -93,10 +93,10 @@ def scenario_scores(scored: DataFrame, roles: DataFrame, first_home_ok=None, inv
               .when(real_estate & (F.col("prod_id") == b["investor_prod"]) & investor_ok,
                     F.lit(b["investor_factor"]))
               .otherwise(F.lit(1.0)))
-    return (df.withColumn("base_score", F.col("score"))
-              .withColumn("score", clamp01(s * bonus))
-              .withColumn("is_primary", F.col("role") == "primary")
-              .withColumn("is_cross_sell", F.col("role") == "cross_sell"))
+    # one projection; every new column reads the unscaled input score
+    return df.withColumns({"base_score": F.col("score"), "score": clamp01(s * bonus),
+                           "is_primary": F.col("role") == "primary",
+                           "is_cross_sell": F.col("role") == "cross_sell"})
 
 
 def recommend_scenario(scored: DataFrame, roles: DataFrame, k: int = 3, by=("cust_id",),
