@@ -742,10 +742,27 @@ from ledgerlens.operators import models as MD  # noqa: E402
 _TRAINED: dict[tuple[str, str, str], object] = {}
 
 
-def splits(dom: Domain) -> DataFrame:
+def build_splits(dom: Domain) -> DataFrame:
+    """M4 from the feature table (the plan that builds the split)."""
     return MD.product_splits(features(dom))
 
 
+_SPLIT_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
+def splits(dom: Domain) -> DataFrame:
+    """The (customer, product, label, split) table, written once to the shared
+    folder: training and every evaluation read the same rows, and their
+    lineage starts at a durable file."""
+    from ledgerlens.sources import tables as TB
+    key = (dom.spark.sparkContext.applicationId, dom.sf_dir)
+    if key not in _SPLIT_TABLES:
+        path = scratch_path(dom.spark, "split_table")
+        TB.write_parquet(build_splits(dom), path)
+        _SPLIT_TABLES[key] = TB.read_parquet(dom.spark, path)
+    return _SPLIT_TABLES[key]
+
+
 def predictions(dom: Domain) -> DataFrame:
     return MD.with_prediction(scored(dom, keep_owned=True), splits(dom))
 
@@ -765,7 +782,7 @@ from fx_scores_all s join fx_split l on s.cust_id = l.cust_id and s.prod_id = l.
 
 @query("train_split", O.sql("select cust_id, prod_id, label, split from fx_split", "fx_split"))
 def q_train_split(spark, sf_dir):
-    return splits(domain(spark, sf_dir)).select("cust_id", "prod_id", "label", "split")
+    return build_splits(domain(spark, sf_dir)).select("cust_id", "prod_id", "label", "split")
 
 
 @query("eval_accuracy", O.sql("""
