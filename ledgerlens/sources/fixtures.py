@@ -70,7 +70,7 @@ from {conversations}""",
     "fx_financing": """
 select o_orderkey as request_id, o_custkey as cust_id,
        4e0 * o_totalprice as purchase_price, (o_orderkey % 5) * o_totalprice as equity
-from {orders} where o_orderkey % 10 < 5""",
+from {orders}""",
     "fx_coefficients": """
 select prod_id, feature, (((prod_id * 7 + pos * 13) % 21) - 10) / 1e1 as coefficient
 from (select distinct 100 + cast(substr(p_brand, 7) as int) as prod_id from {part}
