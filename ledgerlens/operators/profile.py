@@ -41,42 +41,38 @@ def product_explain(products: DataFrame, requests: DataFrame, category_info: Dat
     """P2 + P4 + P5: resolve identifiers to products.
 
     An identifier that parses as an integer is looked up by id only; anything
-    else by case-insensitive name (first in catalogue order).  Two broadcast
-    equi-joins in one pass (an OR join would be a nested loop); unmatched
-    identifiers keep a row with ``matched = false``.
+    else by case-insensitive name (first in catalogue order).  All per-product
+    work (name de-duplication, category text, risk label, description) is done
+    on the small catalogue, which becomes one lookup table with tagged keys
+    (``i:<id>`` and ``n:<lower name>``); each request then costs one key
+    expression and one size-checked broadcast lookup.  Unmatched identifiers
+    keep a row with ``matched = false``.
     """
     from ledgerlens.functions.expressions import int_or_null
-    parsed = int_or_null("identifier")
-    req = requests.select("request_id", "identifier", parsed.alias("_pid"))
-    by_id = broadcast_bounded(products.select(F.col("prod_id").alias("_id_pid"),
-                                              F.struct(*[F.col(c) for c in products.columns]).alias("_by_id")),
-                              MAX_CATALOGUE)
-    by_name = broadcast_bounded(
-        products.groupBy(F.lower("name").alias("_lname"))
-                .agg(F.min_by(F.struct(*[F.col(c) for c in products.columns]), F.col("prod_id")).alias("_by_name")),
-        MAX_CATALOGUE)
-    # one scan of the requests, two broadcast lookups: by id when the
-    # identifier parses as an integer, otherwise by case-insensitive name
-    name_key = F.when(F.col("_pid").isNull(), F.lower(F.col("identifier")))
-    out = (req.join(by_id, F.col("_pid") == F.col("_id_pid"), "left")
-              .join(by_name, name_key == F.col("_lname"), "left"))
-    hit = F.when(F.col("_pid").isNotNull(), F.col("_by_id")).otherwise(F.col("_by_name"))
-    out = out.select("request_id", "identifier", hit.alias("_p")).select("request_id", "identifier", "_p.*")
-    out = out.join(category_info, "category", "left")
+    cols = ["prod_id", "name", "category", "risk_class", "price", "interest_rate"]
     description = (F.coalesce(F.col("long_desc"), F.col("short_desc"))
                    if "long_desc" in products.columns else F.lit(None).cast("string"))
     risk_expr = None
     for k, v in R.RISK_INDICATOR.items():
         cond = F.col("risk_class") == k
         risk_expr = F.when(cond, v) if risk_expr is None else risk_expr.when(cond, v)
-    return out.select(
-        "request_id", "identifier", F.col("prod_id").isNotNull().alias("matched"),
-        "prod_id", "name", "category", "risk_class", "price", "interest_rate",
-        description.alias("description"),
-        F.when(F.col("prod_id").isNotNull(),
-               F.coalesce(F.col("category_info"), F.lit(R.CATEGORY_INFO_DEFAULT))).alias("category_info"),
-        F.when(F.col("prod_id").isNotNull(),
-               risk_expr.otherwise(R.RISK_INDICATOR_DEFAULT)).alias("risk_indicator"))
+    cat = (products.select(*cols, description.alias("description"))
+           .join(category_info, "category", "left")
+           .select(*cols, "description",
+                   F.coalesce(F.col("category_info"), F.lit(R.CATEGORY_INFO_DEFAULT)).alias("category_info"),
+                   risk_expr.otherwise(R.RISK_INDICATOR_DEFAULT).alias("risk_indicator")))
+    out_cols = cols + ["description", "category_info", "risk_indicator"]
+    by_id = cat.select(F.concat(F.lit("i:"), F.col("prod_id").cast("string")).alias("_key"), *out_cols)
+    by_name = (cat.groupBy(F.concat(F.lit("n:"), F.lower("name")).alias("_key"))
+               .agg(F.min_by(F.struct(*out_cols), F.col("prod_id")).alias("_p"))
+               .select("_key", "_p.*"))
+    lookup = broadcast_bounded(by_id.unionByName(by_name), 2 * MAX_CATALOGUE)
+    pid = int_or_null("identifier")
+    key = F.when(pid.isNotNull(), F.concat(F.lit("i:"), pid.cast("string"))) \
+           .otherwise(F.concat(F.lit("n:"), F.lower(F.col("identifier"))))
+    req = requests.select("request_id", "identifier", key.alias("_key"))
+    out = req.join(lookup, "_key", "left")
+    return out.select("request_id", "identifier", F.col("prod_id").isNotNull().alias("matched"), *out_cols)
 
 
 def product_list(products: DataFrame) -> DataFrame:
