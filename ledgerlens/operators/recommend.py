@@ -197,3 +197,118 @@ def bundle_offer(recs: DataFrame, products: DataFrame, by=("cust_id",)) -> DataF
                       F.col("_total").cast("double").alias("total_price"),
                       bundle.cast("double").alias("bundle_price"),
                       (F.col("_total") - bundle).cast("double").alias("saving"))
+
+
+# ---------------------------------------------------------------------------
+# Row-local variants: the candidates of a customer are an array on its own
+# row (scoring.candidate_arrays), so ranking is a projection - no shuffle,
+# no window.  Same results as the window operators above.
+# ---------------------------------------------------------------------------
+def _open_candidates(cands="cands"):
+    return F.filter(F.col(cands) if isinstance(cands, str) else cands, lambda x: x["owned"] == 0)
+
+
+def _sorted_by_score(items):
+    """Sort structs whose first field is the negated score: score desc, then prod_id."""
+    return F.sort_array(items)
+
+
+def topk_rows(cands: DataFrame, k: int = 3, key: str = "cust_id") -> DataFrame:
+    """W1 on candidate arrays: top k unowned products per row by score desc,
+    ties in catalogue order; ``rank`` 1..k."""
+    ranked = _sorted_by_score(F.transform(_open_candidates(), lambda x: F.struct(
+        (-x["score"]).alias("_ns"), x["prod_id"].alias("prod_id"), x["owned"].alias("owned"),
+        x["has_model"].alias("has_model"), x["score"].alias("score"))))
+    return (cands.select(key, F.posexplode(F.slice(ranked, 1, k)).alias("_pos", "_r"))
+            .select(key, "_r.prod_id", "_r.owned", "_r.has_model", "_r.score",
+                    (F.col("_pos") + 1).alias("rank")))
+
+
+def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
+                  first_home_ok: bool = True, investor_ok: bool = False) -> DataFrame:
+    """W2 on candidate arrays for fixed bonus flags (defaults: no financing
+    request, i.e. missing ltv = 80 and need = 0).
+
+    Per scenario: role by a literal map, multiplier, real-estate bonus, clamp;
+    primaries, cross-sells and others each sorted by score desc / prod_id;
+    quotas ``np = min(#primary, max(1, k // 2))``, ``nc = min(#cross, k - np)``,
+    the rest from *other*; holistic is a plain top-k.
+    """
+    b = R.MORTGAGE_BONUS
+
+    def item_fn(s, role_map):
+        def item(x):
+            role = role_map[x["prod_id"]]
+            if s == R.HOLISTIC:
+                adj = x["score"]
+            else:
+                mult = when_chain([(role == r, F.lit(m)) for r, m in R.ROLE_MULTIPLIER.items()], F.lit(1.0))
+                bonus = F.lit(1.0)
+                if s == R.REAL_ESTATE:
+                    bonus = (F.when((x["prod_id"] == b["first_home_prod"]) & F.lit(first_home_ok),
+                                    F.lit(b["first_home_factor"]))
+                              .when((x["prod_id"] == b["investor_prod"]) & F.lit(investor_ok),
+                                    F.lit(b["investor_factor"]))
+                              .otherwise(F.lit(1.0)))
+                adj = clamp01(x["score"] * mult * bonus)
+            return F.struct((-adj).alias("_ns"), x["prod_id"].alias("prod_id"), role.alias("role"),
+                            x["score"].alias("base_score"), adj.alias("score"))
+        return item
+
+    def out_fn(s):
+        def out(x, i):
+            return F.struct(F.lit(s).alias("scenario"), (i + 1).alias("rank"), x["prod_id"].alias("prod_id"),
+                            x["role"].alias("role"), x["base_score"].alias("base_score"),
+                            x["score"].alias("score"))
+        return out
+
+    per_scenario = []
+    for s in scenarios:
+        roles = {p: role for _, p, role in scenario_role_rows([s])}
+        role_map = F.create_map(*[x for p, r in sorted(roles.items()) for x in (F.lit(p), F.lit(r))])
+        items = F.filter(F.transform(_open_candidates(), item_fn(s, role_map)), lambda x: x["role"].isNotNull())
+        if s == R.HOLISTIC:
+            picked = F.slice(_sorted_by_score(items), 1, k)
+        else:
+            prim = _sorted_by_score(F.filter(items, lambda x: x["role"] == "primary"))
+            cross = _sorted_by_score(F.filter(items, lambda x: x["role"] == "cross_sell"))
+            other = _sorted_by_score(F.filter(items, lambda x: x["role"] == "other"))
+            n_p = F.least(F.size(prim), F.lit(max(1, k // 2)))
+            n_c = F.least(F.size(cross), F.lit(k) - n_p)
+            n_o = F.greatest(F.lit(0), F.lit(k) - n_p - n_c)
+            picked = F.concat(F.slice(prim, 1, n_p), F.slice(cross, 1, n_c), F.slice(other, 1, n_o))
+        per_scenario.append(F.transform(picked, out_fn(s)))
+    out = cands.select(key, F.inline(F.concat(*per_scenario)))
+    return out.withColumns({"is_primary": F.col("role") == "primary",
+                            "is_cross_sell": F.col("role") == "cross_sell"})
+
+
+def top_potential_rows(cands: DataFrame, products: DataFrame, k: int = 3, key: str = "cust_id",
+                       max_rows: int = MAX_CATALOGUE) -> DataFrame:
+    """A18 on candidate arrays: expected profit = sum(price * score) over the
+    top-k by score, recommendations without a price skipped; every row (every
+    customer of the feature table) gets a result, 0.0 without candidates.
+
+    Prices and names come from the size-checked catalogue as literal maps, so
+    the whole analysis is one projection of the feature rows.
+    """
+    from ledgerlens.plans.session import collect_bounded
+    rows = collect_bounded(products.select("prod_id", "name", "price").where(F.col("price").isNotNull()),
+                           max_rows)
+    name_map = F.create_map(*[x for r in sorted(rows, key=lambda r: r[0])
+                              for x in (F.lit(int(r[0])), F.lit(r[1]))])
+    price_map = F.create_map(*[x for r in sorted(rows, key=lambda r: r[0])
+                               for x in (F.lit(int(r[0])), F.lit(float(r[2])))])
+    ranked = _sorted_by_score(F.transform(_open_candidates(), lambda x: F.struct(
+        (-x["score"]).alias("_ns"), x["prod_id"].alias("prod_id"), x["score"].alias("score"))))
+    recs = F.transform(F.slice(ranked, 1, k), lambda x, i: F.struct(
+        (i + 1).alias("rank"), x["prod_id"].alias("prod_id"), name_map[x["prod_id"]].alias("name"),
+        x["score"].alias("score"), price_map[x["prod_id"]].alias("price"),
+        (price_map[x["prod_id"]] * x["score"]).alias("expected_profit")))
+    priced = F.filter(recs, lambda x: x["price"].isNotNull())
+    dec = "decimal(38,6)"
+    profit = F.aggregate(priced, F.lit(0).cast(dec),
+                         lambda acc, x: (acc + x["expected_profit"].cast("decimal(20,6)")).cast(dec))
+    return cands.select(
+        key, F.round(profit.cast("double"), 6).alias("expected_profit"),
+        F.size(priced).cast("bigint").alias("n_recs"), priced.alias("recommendations"))

@@ -92,13 +92,13 @@ def score_expr(models: LinearModels, prod_id: int) -> Column:
     return F.expr(score_sql(models, prod_id))
 
 
-def score_products(encoded: DataFrame, models: LinearModels, product_ids=R.PRODUCT_IDS,
-                   keep_owned: bool = False) -> DataFrame:
-    """Long table ``(cust_id, prod_id, owned, has_model, score)``.
+def candidate_arrays(encoded: DataFrame, models: LinearModels, product_ids=R.PRODUCT_IDS) -> DataFrame:
+    """``(cust_id, cands)``: per customer row, one struct
+    ``(prod_id, owned, has_model, score)`` per catalogue product.
 
-    J4 + J5 without a join: each customer row emits one struct per catalogue
-    product (a bounded generator), and "not owned" is the customer's own
-    ownership flag, so the anti join becomes a filter.
+    The candidates of a customer never leave its row, so rankings over them
+    (top-k, scenario quotas, expected profit) can be array expressions with
+    no shuffle at all.
     """
     items = []
     for p in product_ids:
@@ -106,7 +106,18 @@ def score_products(encoded: DataFrame, models: LinearModels, product_ids=R.PRODU
         has_model = "true" if (p in models.weights or p in models.intercepts) else "false"
         items.append(f"named_struct('prod_id', {int(p)}, 'owned', {owned}, 'has_model', {has_model}, "
                      f"'score', CAST({score_sql(models, p)} AS DOUBLE))")
-    out = encoded.selectExpr("cust_id", f"inline(array({', '.join(items)}))")
+    return encoded.selectExpr("cust_id", f"array({', '.join(items)}) AS cands")
+
+
+def score_products(encoded: DataFrame, models: LinearModels, product_ids=R.PRODUCT_IDS,
+                   keep_owned: bool = False) -> DataFrame:
+    """Long table ``(cust_id, prod_id, owned, has_model, score)``.
+
+    J4 + J5 without a join: each customer row emits one struct per catalogue
+    product (a bounded generator), and "not owned" is the customer's own
+    ownership flag, so the anti join becomes a filter.
+    """
+    out = candidate_arrays(encoded, models, product_ids).selectExpr("cust_id", "inline(cands)")
     return out if keep_owned else out.where(F.col("owned") == 0)
 
 

@@ -96,9 +96,19 @@ def scored(dom: Domain, keep_owned: bool = False) -> DataFrame:
     return SC.score_products(encoded(dom), models, keep_owned=keep_owned)
 
 
+def candidates(dom: Domain) -> DataFrame:
+    """(cust_id, cands): every customer's scored candidates on its own row."""
+    _, models = fitted(dom)
+    return SC.candidate_arrays(encoded(dom), models)
+
+
+def topk_recs(dom: Domain, k: int = 3) -> DataFrame:
+    """W1 for all customers, ranked inside each customer's row (no shuffle)."""
+    return RC.topk_rows(candidates(dom), k)
+
+
 def topk(dom: Domain, k: int = 3) -> DataFrame:
-    recs = RC.recommend_topk(scored(dom), k)
-    return recs.join(RC.catalogue(dom.products), "prod_id")
+    return topk_recs(dom, k).join(RC.catalogue(dom.products), "prod_id")
 
 
 def joined_ids(arr_col: str, field: str = "prod_id"):
@@ -154,7 +164,7 @@ from fx_customers c left join (
 
 
 def _top_potential(dom: Domain) -> DataFrame:
-    pot = RC.top_potential(RC.recommend_topk(scored(dom), 3), dom.products, dom.customers)
+    pot = RC.top_potential_rows(candidates(dom), dom.products, 3)
     return pot.select("cust_id", "expected_profit", "n_recs",
                       joined_ids("recommendations").alias("rec_prod_ids"))
 
@@ -414,7 +424,8 @@ def roles_df(spark, scenarios=None):
 
 
 def scenario_recs(dom: Domain, k: int = 5) -> DataFrame:
-    return RC.recommend_scenario(scored(dom), roles_df(dom.spark), k)
+    """W2 for every scenario and customer, picked inside each customer's row."""
+    return RC.scenario_rows(candidates(dom), list(R.SCENARIOS), k)
 
 
 O.scenario_block("fx_scen5", "fx_scores", 5, "cust_id", deps=("fx_scores",))
@@ -488,7 +499,7 @@ def q_bundle_offer(spark, sf_dir):
 
 def _xai(dom: Domain) -> DataFrame:
     _, models = fitted(dom)
-    recs = RC.recommend_topk(scored(dom), 3).select("cust_id", "prod_id", "rank")
+    recs = topk_recs(dom, 3).select("cust_id", "prod_id", "rank")
     rows = recs.withColumnRenamed("rank", "rec_rank").join(encoded(dom), "cust_id")
     return SC.contributions(rows, models)
 
@@ -1230,14 +1241,14 @@ left join fx_ans_snapshot s on m.cid = s.cust_id""",
                               "fx_messages", "fx_products", "fx_topk3", "fx_top_potential", "fx_ans_snapshot"))
 def q_msg_answers(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    recs = RC.recommend_topk(scored(dom), 3).groupBy("cust_id").agg(
+    recs = topk_recs(dom, 3).groupBy("cust_id").agg(
         joined_ids_sorted("prod_id").alias("payload"))
     own = dom.ownership.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_own"))
     sal = dom.sales.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_sales"))
     snap = (dom.customers.select("cust_id").join(own, "cust_id", "left").join(sal, "cust_id", "left")
             .select("cust_id", F.format_string("products=%d;transactions=%d", F.coalesce("n_own", F.lit(0)),
                                                F.coalesce("n_sales", F.lit(0))).alias("payload")))
-    best = RC.best_customers(RC.top_potential(RC.recommend_topk(scored(dom), 3), dom.products, dom.customers)
+    best = RC.best_customers(RC.top_potential_rows(candidates(dom), dom.products, 3)
                              .select("cust_id", "expected_profit"), 1).select("cust_id").scalar()
     return MS.answers(dom.messages, FIXTURE_INTENT_RULES, CS.catalogue_rows(dom.products), recs, snap, best)
 

@@ -89,6 +89,21 @@ def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
+_COLLECTED: dict[tuple[str, int, int], list] = {}
+
+
+def collect_bounded(df: DataFrame, max_rows: int) -> list:
+    """Rows of a small dimension, refused beyond ``max_rows``; read once per
+    application and logical plan."""
+    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
+    if key not in _COLLECTED:
+        rows = df.limit(max_rows + 1).collect()
+        if len(rows) > max_rows:
+            raise ValueError(f"dimension exceeds {max_rows} rows")
+        _COLLECTED[key] = rows
+    return _COLLECTED[key]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

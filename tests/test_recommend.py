@@ -131,3 +131,49 @@ def test_reason_default_and_decoration(spark):
     pre, post = R.CROSS_SELL_DECORATION
     assert got[101].startswith(pre) and got[101].endswith(post) and "medium" in got[101]
     assert got[555] == "odd fits your profile with score 46%."
+
+
+def _random_candidates(spark, n_cust=60, seed=5):
+    import random
+    rnd = random.Random(seed)
+    rows = []
+    for c in range(n_cust):
+        cands = [(p, int(rnd.random() < 0.3), True, rnd.choice([0.0, 0.25, 0.5, 0.5, 0.75, 1.0, rnd.random()]))
+                 for p in R.PRODUCT_IDS]
+        rows.append((c, cands))
+    return spark.createDataFrame(
+        rows, "cust_id long, cands array<struct<prod_id:int, owned:int, has_model:boolean, score:double>>")
+
+
+def _long(cands):
+    return cands.selectExpr("cust_id", "inline(cands)").where("owned = 0")
+
+
+def test_row_local_topk_equals_window(spark):
+    cands = _random_candidates(spark)
+    cols = ("cust_id", "rank", "prod_id", "score")
+    for k in (1, 3, 5):
+        assert rows(RC.topk_rows(cands, k), *cols) == rows(RC.recommend_topk(_long(cands), k), *cols)
+
+
+def test_row_local_scenarios_equal_window(spark):
+    cands = _random_candidates(spark)
+    scen = list(R.SCENARIOS) + ["no_such_scenario"]
+    roles = _roles(spark, scen)
+    cols = ("cust_id", "scenario", "rank", "prod_id", "role", "base_score", "score")
+    for k in (2, 3, 5):
+        assert rows(RC.scenario_rows(cands, scen, k), *cols) == rows(RC.recommend_scenario(_long(cands), roles, k), *cols)
+
+
+def test_row_local_top_potential_equals_window(spark):
+    cands = _random_candidates(spark)
+    products = spark.createDataFrame([(p, f"p{p}", None if p == 104 else 10.0 + p % 7) for p in R.PRODUCT_IDS],
+                                     "prod_id int, name string, price double")
+    customers = cands.select("cust_id")
+    a = RC.top_potential_rows(cands, products, 3)
+    b = RC.top_potential(RC.recommend_topk(_long(cands), 3), products, customers)
+    cols = ("cust_id", "expected_profit", "n_recs")
+    assert rows(a, *cols) == rows(b, *cols)
+    ra = {r["cust_id"]: [x["prod_id"] for x in r["recommendations"]] for r in a.collect()}
+    rb = {r["cust_id"]: [x["prod_id"] for x in r["recommendations"]] for r in b.collect()}
+    assert ra == rb
