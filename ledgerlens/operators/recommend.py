@@ -208,6 +208,12 @@ def _open_candidates(cands="cands"):
     return F.filter(F.col(cands) if isinstance(cands, str) else cands, lambda x: x["owned"] == 0)
 
 
+def _role_is(role: str):
+    def keep(x):
+        return x["role"] == role
+    return keep
+
+
 def _sorted_by_score(items):
     """Sort structs whose first field is the negated score: score desc, then prod_id."""
     return F.sort_array(items)
@@ -262,23 +268,43 @@ def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
                             x["score"].alias("score"))
         return out
 
-    per_scenario = []
-    for s in scenarios:
+    # Staged projections: each array below is computed once per row (a
+    # higher-order function gets no common-subexpression elimination, so a
+    # single nested expression would re-evaluate shared arrays many times).
+    names = [f"_s{i}" for i in range(len(scenarios))]
+    df = cands.select(key, _open_candidates().alias("_open"))
+    items = {}
+    for n, s in zip(names, scenarios):
         roles = {p: role for _, p, role in scenario_role_rows([s])}
         role_map = F.create_map(*[x for p, r in sorted(roles.items()) for x in (F.lit(p), F.lit(r))])
-        items = F.filter(F.transform(_open_candidates(), item_fn(s, role_map)), lambda x: x["role"].isNotNull())
+        items[f"{n}_items"] = F.filter(F.transform("_open", item_fn(s, role_map)), lambda x: x["role"].isNotNull())
+    df = df.select(key, *[c.alias(a) for a, c in items.items()])
+    sorted_cols = []
+    for n, s in zip(names, scenarios):
+        it = F.col(f"{n}_items")
+        if s == R.HOLISTIC:
+            sorted_cols.append(F.slice(_sorted_by_score(it), 1, k).alias(f"{n}_picked"))
+        else:
+            for role, tag in (("primary", "p"), ("cross_sell", "c"), ("other", "o")):
+                sorted_cols.append(_sorted_by_score(F.filter(it, _role_is(role))).alias(f"{n}_{tag}"))
+    df = df.select(key, *sorted_cols)
+    counts = []
+    for n, s in zip(names, scenarios):
+        if s != R.HOLISTIC:
+            counts += [F.least(F.size(f"{n}_p"), F.lit(max(1, k // 2))).alias(f"{n}_np"),
+                       F.size(f"{n}_c").alias(f"{n}_sc")]
+    df = df.select("*", *counts)
+    picks = []
+    for n, s in zip(names, scenarios):
         if s == R.HOLISTIC:
-            picked = F.slice(_sorted_by_score(items), 1, k)
+            picked = F.col(f"{n}_picked")
         else:
-            prim = _sorted_by_score(F.filter(items, lambda x: x["role"] == "primary"))
-            cross = _sorted_by_score(F.filter(items, lambda x: x["role"] == "cross_sell"))
-            other = _sorted_by_score(F.filter(items, lambda x: x["role"] == "other"))
-            n_p = F.least(F.size(prim), F.lit(max(1, k // 2)))
-            n_c = F.least(F.size(cross), F.lit(k) - n_p)
+            n_p = F.col(f"{n}_np")
+            n_c = F.least(F.col(f"{n}_sc"), F.lit(k) - n_p)
             n_o = F.greatest(F.lit(0), F.lit(k) - n_p - n_c)
-            picked = F.concat(F.slice(prim, 1, n_p), F.slice(cross, 1, n_c), F.slice(other, 1, n_o))
-        per_scenario.append(F.transform(picked, out_fn(s)))
-    out = cands.select(key, F.inline(F.concat(*per_scenario)))
+            picked = F.concat(F.slice(f"{n}_p", 1, n_p), F.slice(f"{n}_c", 1, n_c), F.slice(f"{n}_o", 1, n_o))
+        picks.append(F.transform(picked, out_fn(s)))
+    out = df.select(key, F.inline(F.concat(*picks)))
     return out.withColumns({"is_primary": F.col("role") == "primary",
                             "is_cross_sell": F.col("role") == "cross_sell"})
 
@@ -305,10 +331,11 @@ def top_potential_rows(cands: DataFrame, products: DataFrame, k: int = 3, key: s
         (i + 1).alias("rank"), x["prod_id"].alias("prod_id"), name_map[x["prod_id"]].alias("name"),
         x["score"].alias("score"), price_map[x["prod_id"]].alias("price"),
         (price_map[x["prod_id"]] * x["score"]).alias("expected_profit")))
-    priced = F.filter(recs, lambda x: x["price"].isNotNull())
+    # staged: the priced list is computed once and then read three times
+    staged = cands.select(key, F.filter(recs, lambda x: x["price"].isNotNull()).alias("recommendations"))
     dec = "decimal(38,6)"
-    profit = F.aggregate(priced, F.lit(0).cast(dec),
+    profit = F.aggregate("recommendations", F.lit(0).cast(dec),
                          lambda acc, x: (acc + x["expected_profit"].cast("decimal(20,6)")).cast(dec))
-    return cands.select(
+    return staged.select(
         key, F.round(profit.cast("double"), 6).alias("expected_profit"),
-        F.size(priced).cast("bigint").alias("n_recs"), priced.alias("recommendations"))
+        F.size("recommendations").cast("bigint").alias("n_recs"), "recommendations")
