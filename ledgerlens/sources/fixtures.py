@@ -14,6 +14,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerlens.plans.session import broadcast_bounded
+
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem",
                  "events", "documents", "embeddings", "pages", "benchmark", "labels",
                  "conversations")
@@ -114,6 +116,11 @@ def with_views(body: str, *views: str) -> str:
     return f"with {ctes}\n{body}"
 
 
+# Driver tables whose size does not grow with the scale factor (row bound for
+# the broadcast size check).
+SMALL_DIMENSIONS = {"nation": 10_000, "region": 10_000}
+
+
 @dataclass
 class Domain:
     """Lazily-built domain DataFrames for one scale-factor directory."""
@@ -131,9 +138,16 @@ class Domain:
     def view(self, name: str) -> DataFrame:
         if name not in self._views:
             sql = VIEW_SQL[name]
-            self._views[name] = self.spark.sql(sql, **{t: self.table(t) for t in tables_used(sql)})
+            self._views[name] = self.spark.sql(sql, **{t: self._input(t) for t in tables_used(sql)})
         return self._views[name]
 
+    def _input(self, name: str) -> DataFrame:
+        """A driver table for a view; the fixed-size dimensions are broadcast
+        behind a size check, everything else is joined as Catalyst plans it."""
+        if name in SMALL_DIMENSIONS:
+            return broadcast_bounded(self.table(name), SMALL_DIMENSIONS[name])
+        return self.table(name)
+
     # Convenience accessors -------------------------------------------------
     @property
     def customers(self) -> DataFrame:
