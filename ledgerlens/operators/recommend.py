@@ -32,16 +32,20 @@ def recommend_topk(scored: DataFrame, k: int = 3, by=("cust_id",)) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def with_reason(recs: DataFrame, customers: DataFrame, templates: DataFrame,
+def with_reason(recs: DataFrame, customers: DataFrame | None, templates: DataFrame,
                 scenario_col: str | None = None) -> DataFrame:
     """P10: reason text from the product's template, the income level and age bucket.
 
     ``recs`` needs cust_id, prod_id, name, score and (optionally) role; the
-    customer attributes come from a join on cust_id.
+    customer attributes come from a join on cust_id, or - with ``customers``
+    None - from ``_revenue`` / ``_age`` columns already on the rows (carried
+    from the customer's own row, no join).
     """
-    cust = customers.select("cust_id", F.col("revenue").alias("_revenue"),
-                            F.col("age_bucket").alias("_age"))
-    out = recs.join(cust, "cust_id", "left").join(templates, "prod_id", "left")
+    if customers is not None:
+        cust = customers.select("cust_id", F.col("revenue").alias("_revenue"),
+                                F.col("age_bucket").alias("_age"))
+        recs = recs.join(cust, "cust_id", "left")
+    out = recs.join(templates, "prod_id", "left")
     pct = F.format_string("%d%%", F.round(F.col("score") * 100).cast("int"))
     default = F.replace(F.replace(F.lit(R.REASON_DEFAULT), F.lit("{name}"), F.col("name")),
                         F.lit("{score}"), pct)
@@ -219,27 +223,30 @@ def _sorted_by_score(items):
     return F.sort_array(items)
 
 
-def topk_rows(cands: DataFrame, k: int = 3, key: str = "cust_id") -> DataFrame:
+def topk_rows(cands: DataFrame, k: int = 3, key: str = "cust_id", keep=()) -> DataFrame:
     """W1 on candidate arrays: top k unowned products per row by score desc,
-    ties in catalogue order; ``rank`` 1..k."""
+    ties in catalogue order; ``rank`` 1..k.  ``keep`` row columns are carried."""
     ranked = _sorted_by_score(F.transform(_open_candidates(), lambda x: F.struct(
         (-x["score"]).alias("_ns"), x["prod_id"].alias("prod_id"), x["owned"].alias("owned"),
         x["has_model"].alias("has_model"), x["score"].alias("score"))))
-    return (cands.select(key, F.posexplode(F.slice(ranked, 1, k)).alias("_pos", "_r"))
-            .select(key, "_r.prod_id", "_r.owned", "_r.has_model", "_r.score",
+    keep = list(keep)
+    return (cands.select(key, *keep, F.posexplode(F.slice(ranked, 1, k)).alias("_pos", "_r"))
+            .select(key, *keep, "_r.prod_id", "_r.owned", "_r.has_model", "_r.score",
                     (F.col("_pos") + 1).alias("rank")))
 
 
 def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
-                  first_home_ok: bool = True, investor_ok: bool = False) -> DataFrame:
+                  first_home_ok: bool = True, investor_ok: bool = False, keep=()) -> DataFrame:
     """W2 on candidate arrays for fixed bonus flags (defaults: no financing
     request, i.e. missing ltv = 80 and need = 0).
 
     Per scenario: role by a literal map, multiplier, real-estate bonus, clamp;
     primaries, cross-sells and others each sorted by score desc / prod_id;
     quotas ``np = min(#primary, max(1, k // 2))``, ``nc = min(#cross, k - np)``,
-    the rest from *other*; holistic is a plain top-k.
+    the rest from *other*; holistic is a plain top-k.  ``keep`` row columns
+    are carried to every output row.
     """
+    keep = list(keep)
     b = R.MORTGAGE_BONUS
 
     def item_fn(s, role_map):
@@ -272,13 +279,13 @@ def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
     # higher-order function gets no common-subexpression elimination, so a
     # single nested expression would re-evaluate shared arrays many times).
     names = [f"_s{i}" for i in range(len(scenarios))]
-    df = cands.select(key, _open_candidates().alias("_open"))
+    df = cands.select(key, *keep, _open_candidates().alias("_open"))
     items = {}
     for n, s in zip(names, scenarios):
         roles = {p: role for _, p, role in scenario_role_rows([s])}
         role_map = F.create_map(*[x for p, r in sorted(roles.items()) for x in (F.lit(p), F.lit(r))])
         items[f"{n}_items"] = F.filter(F.transform("_open", item_fn(s, role_map)), lambda x: x["role"].isNotNull())
-    df = df.select(key, *[c.alias(a) for a, c in items.items()])
+    df = df.select(key, *keep, *[c.alias(a) for a, c in items.items()])
     sorted_cols = []
     for n, s in zip(names, scenarios):
         it = F.col(f"{n}_items")
@@ -287,7 +294,7 @@ def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
         else:
             for role, tag in (("primary", "p"), ("cross_sell", "c"), ("other", "o")):
                 sorted_cols.append(_sorted_by_score(F.filter(it, _role_is(role))).alias(f"{n}_{tag}"))
-    df = df.select(key, *sorted_cols)
+    df = df.select(key, *keep, *sorted_cols)
     counts = []
     for n, s in zip(names, scenarios):
         if s != R.HOLISTIC:
@@ -304,7 +311,7 @@ def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
             n_o = F.greatest(F.lit(0), F.lit(k) - n_p - n_c)
             picked = F.concat(F.slice(f"{n}_p", 1, n_p), F.slice(f"{n}_c", 1, n_c), F.slice(f"{n}_o", 1, n_o))
         picks.append(F.transform(picked, out_fn(s)))
-    out = df.select(key, F.inline(F.concat(*picks)))
+    out = df.select(key, *keep, F.inline(F.concat(*picks)))
     return out.withColumns({"is_primary": F.col("role") == "primary",
                             "is_cross_sell": F.col("role") == "cross_sell"})
 

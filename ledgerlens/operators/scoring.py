@@ -92,13 +92,14 @@ def score_expr(models: LinearModels, prod_id: int) -> Column:
     return F.expr(score_sql(models, prod_id))
 
 
-def candidate_arrays(encoded: DataFrame, models: LinearModels, product_ids=R.PRODUCT_IDS) -> DataFrame:
+def candidate_arrays(encoded: DataFrame, models: LinearModels, product_ids=R.PRODUCT_IDS,
+                     keep=()) -> DataFrame:
     """``(cust_id, cands)``: per customer row, one struct
     ``(prod_id, owned, has_model, score)`` per catalogue product.
 
     The candidates of a customer never leave its row, so rankings over them
     (top-k, scenario quotas, expected profit) can be array expressions with
-    no shuffle at all.
+    no shuffle at all.  ``keep`` columns of the row are carried along.
     """
     items = []
     for p in product_ids:
@@ -106,7 +107,7 @@ def candidate_arrays(encoded: DataFrame, models: LinearModels, product_ids=R.PRO
         has_model = "true" if (p in models.weights or p in models.intercepts) else "false"
         items.append(f"named_struct('prod_id', {int(p)}, 'owned', {owned}, 'has_model', {has_model}, "
                      f"'score', CAST({score_sql(models, p)} AS DOUBLE))")
-    return encoded.selectExpr("cust_id", f"array({', '.join(items)}) AS cands")
+    return encoded.selectExpr("cust_id", *[f"`{c}`" for c in keep], f"array({', '.join(items)}) AS cands")
 
 
 def score_products(encoded: DataFrame, models: LinearModels, product_ids=R.PRODUCT_IDS,

@@ -476,8 +476,13 @@ from fx_scen5 s join fx_products p on s.prod_id = p.prod_id join fx_customers c
                                   "fx_scen5", "fx_products", "fx_customers"))
 def q_recommend_reasons(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    recs = scenario_recs(dom).join(RC.catalogue(dom.products).select("prod_id", "name"), "prod_id")
-    out = RC.with_reason(recs, dom.customers, R.reason_templates(spark), scenario_col="scenario")
+    # income and age bucket ride along from the customer's own feature row
+    scaler, models = fitted(dom)
+    raw = features(dom).withColumns({"_revenue": F.col("revenue"), "_age": F.col("age_bucket")})
+    cands = SC.candidate_arrays(FE.encode_features(raw, scaler), models, keep=("_revenue", "_age"))
+    recs = (RC.scenario_rows(cands, list(R.SCENARIOS), 5, keep=("_revenue", "_age"))
+            .join(RC.catalogue(dom.products).select("prod_id", "name"), "prod_id"))
+    out = RC.with_reason(recs, None, R.reason_templates(spark), scenario_col="scenario")
     return out.select("cust_id", "scenario", "rank", "prod_id", "name", "reason")
 
 
@@ -498,9 +503,12 @@ def q_bundle_offer(spark, sf_dir):
 
 
 def _xai(dom: Domain) -> DataFrame:
+    """W3 for the top-3 of every customer; the encoded features ride along
+    from the customer's own row, so no join back to the feature table."""
     _, models = fitted(dom)
-    recs = topk_recs(dom, 3).select("cust_id", "prod_id", "rank")
-    rows = recs.withColumnRenamed("rank", "rec_rank").join(encoded(dom), "cust_id")
+    feats = list(models.features)
+    cands = SC.candidate_arrays(encoded(dom), models, keep=feats)
+    rows = RC.topk_rows(cands, 3, keep=feats).withColumnRenamed("rank", "rec_rank")
     return SC.contributions(rows, models)
 
 
