@@ -235,6 +235,15 @@ def topk_rows(cands: DataFrame, k: int = 3, key: str = "cust_id", keep=()) -> Da
                     (F.col("_pos") + 1).alias("rank")))
 
 
+def topk_id_list(cands: DataFrame, k: int = 3, key: str = "cust_id", sep: str = ",") -> DataFrame:
+    """``(key, ids)``: the top-k product ids of each row joined in rank order
+    (the one-line form of W1), read straight off the candidate array."""
+    ranked = _sorted_by_score(F.transform(_open_candidates(), lambda x: F.struct(
+        (-x["score"]).alias("_ns"), x["prod_id"].alias("prod_id"))))
+    ids = F.transform(F.slice(ranked, 1, k), lambda x: x["prod_id"].cast("string"))
+    return cands.select(key, F.concat_ws(sep, ids).alias("ids"), F.size(ids).alias("_n"))
+
+
 def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
                   first_home_ok: bool = True, investor_ok: bool = False, keep=()) -> DataFrame:
     """W2 on candidate arrays for fixed bonus flags (defaults: no financing

@@ -1249,8 +1249,9 @@ left join fx_ans_snapshot s on m.cid = s.cust_id""",
                               "fx_messages", "fx_products", "fx_topk3", "fx_top_potential", "fx_ans_snapshot"))
 def q_msg_answers(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    recs = topk_recs(dom, 3).groupBy("cust_id").agg(
-        joined_ids_sorted("prod_id").alias("payload"))
+    # customers without any recommendation give no payload row (as a group-by would)
+    recs = (RC.topk_id_list(candidates(dom), 3).where(F.col("_n") > 0)
+            .select("cust_id", F.col("ids").alias("payload")))
     own = dom.ownership.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_own"))
     sal = dom.sales.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_sales"))
     snap = (dom.customers.select("cust_id").join(own, "cust_id", "left").join(sal, "cust_id", "left")
@@ -1259,9 +1260,3 @@ def q_msg_answers(spark, sf_dir):
     best = RC.best_customers(RC.top_potential_rows(candidates(dom), dom.products, 3)
                              .select("cust_id", "expected_profit"), 1).select("cust_id").scalar()
     return MS.answers(dom.messages, FIXTURE_INTENT_RULES, CS.catalogue_rows(dom.products), recs, snap, best)
-
-
-def joined_ids_sorted(col: str):
-    """Ids of a top-k group joined with ',' in rank order."""
-    return F.concat_ws(",", F.transform(F.sort_array(F.collect_list(F.struct("rank", col))),
-                                        lambda x: x[col].cast("string")))
