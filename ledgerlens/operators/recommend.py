@@ -244,8 +244,8 @@ def topk_id_list(cands: DataFrame, k: int = 3, key: str = "cust_id", sep: str =
     return cands.select(key, F.concat_ws(sep, ids).alias("ids"), F.size(ids).alias("_n"))
 
 
-def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
-                  first_home_ok: bool = True, investor_ok: bool = False, keep=()) -> DataFrame:
+def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok: bool,
+                    investor_ok: bool, keep) -> tuple[DataFrame, list]:
     """W2 on candidate arrays for fixed bonus flags (defaults: no financing
     request, i.e. missing ltv = 80 and need = 0).
 
@@ -320,11 +320,62 @@ def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
             n_o = F.greatest(F.lit(0), F.lit(k) - n_p - n_c)
             picked = F.concat(F.slice(f"{n}_p", 1, n_p), F.slice(f"{n}_c", 1, n_c), F.slice(f"{n}_o", 1, n_o))
         picks.append(F.transform(picked, out_fn(s)))
+    return df, picks
+
+
+def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
+                  first_home_ok: bool = True, investor_ok: bool = False, keep=()) -> DataFrame:
+    """W2 on candidate arrays, one row per pick (see :func:`_scenario_picks`)."""
+    keep = list(keep)
+    df, picks = _scenario_picks(cands, scenarios, k, key, first_home_ok, investor_ok, keep)
     out = df.select(key, *keep, F.inline(F.concat(*picks)))
     return out.withColumns({"is_primary": F.col("role") == "primary",
                             "is_cross_sell": F.col("role") == "cross_sell"})
 
 
+def scenario_lists(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
+                   first_home_ok: bool = True, investor_ok: bool = False) -> DataFrame:
+    """W2 on candidate arrays, one row per (row, scenario) with its ordered
+    ``recs`` list (rank, prod_id, role, base_score, score)."""
+    df, picks = _scenario_picks(cands, scenarios, k, key, first_home_ok, investor_ok, [])
+    per = [F.struct(F.lit(s).alias("scenario"), F.transform(p, lambda x: F.struct(
+        x["rank"].alias("rank"), x["prod_id"].alias("prod_id"), x["role"].alias("role"),
+        x["base_score"].alias("base_score"), x["score"].alias("score"))).alias("recs"))
+           for s, p in zip(scenarios, picks)]
+    return df.select(key, F.inline(F.array(*per)))
+
+
+def bundle_rows(lists: DataFrame, products: DataFrame, by=("cust_id", "scenario"),
+                max_rows: int = MAX_CATALOGUE) -> DataFrame:
+    """A19 on recommendation lists: the first ``size`` recommendations priced
+    together with the discount, only with at least ``min_recs`` of them.
+    Prices and names are size-checked literal maps; no grouping, no shuffle."""
+    from ledgerlens.plans.session import collect_bounded
+    b = R.BUNDLE
+    rows = sorted(collect_bounded(products.select("prod_id", "name", "price"), max_rows), key=lambda r: r[0])
+    name_map = F.create_map(*[x for r in rows for x in (F.lit(int(r[0])), F.lit(r[1]).cast("string"))])
+    price_map = F.create_map(*[x for r in rows
+                               for x in (F.lit(int(r[0])), F.lit(r[2]).cast("double"))])
+    first = F.filter("recs", lambda x: x["rank"] <= b["size"])
+    staged = lists.select(*by, F.size("recs").cast("bigint").alias("n_recs"), first.alias("_first"))
+    staged = staged.where(F.col("n_recs") >= b["min_recs"]).select(
+        *by, "n_recs",
+        F.concat_ws(" + ", F.transform("_first", lambda x: name_map[x["prod_id"]])).alias("bundle_names"),
+        F.filter(F.transform("_first", lambda x: price_map[x["prod_id"]].cast("decimal(18,2)")),
+                 lambda v: v.isNotNull()).alias("_prices"))
+    dec = "decimal(38,2)"
+    total = F.when(F.size("_prices") > 0, F.aggregate("_prices", F.lit(0).cast(dec),
+                                                      lambda acc, v: (acc + v).cast(dec)))
+    staged = staged.select(*by, "n_recs", "bundle_names", total.alias("_total"))
+    bundle = F.col("_total") * F.lit(1 - b["discount"]).cast("decimal(4,2)")
+    return staged.select(*by, "n_recs", "bundle_names",
+                         F.col("_total").cast("double").alias("total_price"),
+                         bundle.cast("double").alias("bundle_price"),
+                         (F.col("_total") - bundle).cast("double").alias("saving"))
+
+
+
+
 def top_potential_rows(cands: DataFrame, products: DataFrame, k: int = 3, key: str = "cust_id",
                        max_rows: int = MAX_CATALOGUE) -> DataFrame:
     """A18 on candidate arrays: expected profit = sum(price * score) over the

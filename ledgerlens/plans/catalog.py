@@ -499,7 +499,8 @@ from fx_scen5 s left join fx_products p on s.prod_id = p.prod_id
 group by s.cust_id, s.scenario having count(*) >= 2""", "fx_scen5", "fx_products"))
 def q_bundle_offer(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    return RC.bundle_offer(scenario_recs(dom), dom.products, by=("cust_id", "scenario"))
+    # priced straight off each customer's scenario lists (no group-by)
+    return RC.bundle_rows(RC.scenario_lists(candidates(dom), list(R.SCENARIOS), 5), dom.products)
 
 
 def _xai(dom: Domain) -> DataFrame:

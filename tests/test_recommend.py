@@ -177,3 +177,14 @@ def test_row_local_top_potential_equals_window(spark):
     ra = {r["cust_id"]: [x["prod_id"] for x in r["recommendations"]] for r in a.collect()}
     rb = {r["cust_id"]: [x["prod_id"] for x in r["recommendations"]] for r in b.collect()}
     assert ra == rb
+
+
+def test_row_local_bundles_equal_grouped(spark):
+    cands = _random_candidates(spark)
+    scen = list(R.SCENARIOS)
+    products = spark.createDataFrame([(p, f"p{p}", None if p == 104 else 10.5 + p % 7) for p in R.PRODUCT_IDS],
+                                     "prod_id int, name string, price double")
+    a = RC.bundle_rows(RC.scenario_lists(cands, scen, 5), products)
+    b = RC.bundle_offer(RC.recommend_scenario(_long(cands), _roles(spark, scen), 5), products,
+                        by=("cust_id", "scenario"))
+    assert rows(a) == rows(b.select(*a.columns)) and a.count() > 0
