@@ -175,3 +175,60 @@ def top_contributions(contrib: DataFrame, labels: DataFrame, n: int = 5, by=("cu
     return out.select(*by, "rank", "feature", F.coalesce("label", "feature").alias("label"), "contribution",
                       (F.abs("contribution") / guard * F.lit(100.0)).alias("share"),
                       F.when(F.col("contribution") > 0, "+").otherwise("-").alias("sign"))
+
+
+def top_contribution_rows(rows: DataFrame, models: LinearModels, labels: DataFrame, n: int = 5,
+                          by=("cust_id", "prod_id"), max_labels: int = 100_000) -> DataFrame:
+    """W3 display computed inside each recommendation row (no window, no
+    shuffle): ``rows`` carry the encoded features and ``prod_id``.
+
+    Same result as :func:`contributions` + :func:`top_contributions`: the n
+    largest |contribution| (nulls last, ties in feature order), each with its
+    share of the n shown, summed left to right in rank order.  The model and
+    the labels are bounded literal tables.
+    """
+    from ledgerlens.plans.session import collect_bounded
+    label_rows = collect_bounded(labels.select("feature", "label"), max_labels)
+    label_map = F.create_map(*[x for r in sorted(label_rows, key=lambda r: r[0])
+                               for x in (F.lit(r[0]), F.lit(r[1]))])
+    per_product = {}
+    for p in models.products():
+        w = models.weights.get(p, {})
+        items = [F.struct(F.lit(pos).alias("pos"), F.lit(f).alias("feature"), F.lit(float(w[f])).alias("coef"))
+                 for pos, f in enumerate(models.features) if f in w]
+        if items:
+            per_product[p] = F.array(*items)
+    coefs = None
+    for p, arr in per_product.items():
+        cond = F.col("prod_id") == p
+        coefs = F.when(cond, arr) if coefs is None else coefs.when(cond, arr)
+    if coefs is None:
+        return rows.limit(0).select(*by, F.lit(0).alias("rank"), F.lit("").alias("feature"),
+                                    F.lit("").alias("label"), F.lit(0.0).alias("contribution"),
+                                    F.lit(0.0).alias("share"), F.lit("").alias("sign"))
+
+    def value_of(feature):
+        v = None
+        for f in models.features:
+            cond = feature == f
+            col = F.col(f).cast("double")
+            v = F.when(cond, col) if v is None else v.when(cond, col)
+        return v
+
+    def contrib(c):
+        x = c["coef"] * value_of(c["feature"])
+        return F.struct(F.coalesce(-F.abs(x), F.lit(float("inf"))).alias("_k"), c["pos"].alias("pos"),
+                        c["feature"].alias("feature"), x.alias("contribution"))
+
+    by = list(by)
+    staged = rows.select(*by, F.slice(F.sort_array(F.transform(coefs, contrib)), 1, n).alias("_top"))
+    staged = staged.select(*by, "_top", F.aggregate("_top", F.lit(0.0),
+                                                    lambda acc, x: acc + F.abs(x["contribution"])).alias("_total"))
+    out = staged.select(*by, "_total", F.posexplode("_top").alias("_pos", "_c"))
+    guard = F.coalesce(F.nullif(F.col("_total"), F.lit(0.0)), F.lit(1.0))
+    contribution = F.col("_c.contribution")
+    return out.select(*by, (F.col("_pos") + 1).alias("rank"), F.col("_c.feature").alias("feature"),
+                      F.coalesce(label_map[F.col("_c.feature")], F.col("_c.feature")).alias("label"),
+                      contribution.alias("contribution"),
+                      (F.abs(contribution) / guard * F.lit(100.0)).alias("share"),
+                      F.when(contribution > 0, "+").otherwise("-").alias("sign"))

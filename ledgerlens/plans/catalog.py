@@ -549,7 +549,10 @@ left join (select feature, label from (values {", ".join(f"('{k}', '{v}')" for k
 where x.rank <= 5""", "fx_xai", "fx_products"))
 def q_xai_top5(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    out = SC.top_contributions(_xai(dom), SC.feature_labels(dom.products), 5)
+    _, models = fitted(dom)
+    feats = list(models.features)
+    rows = RC.topk_rows(SC.candidate_arrays(encoded(dom), models, keep=feats), 3, keep=feats)
+    out = SC.top_contribution_rows(rows, models, SC.feature_labels(dom.products), 5)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 

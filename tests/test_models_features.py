@@ -160,3 +160,26 @@ def test_model_table_roundtrip(spark, tmp_path):
     MD.save_models(spark, models, path)
     back = MD.load_model_table(spark, path)
     assert back.weights == models.weights and back.intercepts == models.intercepts
+
+
+def test_row_local_top_contributions_equal_window(spark):
+    import random
+    rnd = random.Random(9)
+    feats = list(SC.default_feature_order())
+    weights = {p: {f: rnd.choice([0.0, 0.5, -0.5, 1.0, rnd.uniform(-1, 1)]) for f in feats if f != f"has_{p}"}
+               for p in (101, 102, 103)}
+    models = SC.LinearModels(tuple(feats), weights, {p: 0.1 for p in weights})
+    data = []
+    for c in range(40):
+        vals = [rnd.choice([0, 1, 2, 3]), rnd.choice([0.0, 1.0, -1.0, rnd.gauss(0, 1)]),
+                rnd.choice([0.0, 0.5, rnd.gauss(0, 1)])] + [rnd.choice([0, 1]) for _ in range(10)]
+        for p in (101, 102, 103, 104):           # 104 has no model: no rows
+            data.append((c, p, *vals))
+    schema = ", ".join(["cust_id long", "prod_id int", "age_bucket_encoded int", "revenue double",
+                        "credit_score double"] + [f"has_{p} int" for p in R.PRODUCT_IDS])
+    rows_ = spark.createDataFrame(data, schema)
+    labels = SC.feature_labels(spark.createDataFrame([(101, "acc"), (102, "dep")], "prod_id int, name string"))
+    a = SC.top_contribution_rows(rows_, models, labels, 5)
+    b = SC.top_contributions(SC.contributions(rows_, models), labels, 5)
+    cols = ("cust_id", "prod_id", "rank", "feature", "label", "contribution", "share", "sign")
+    assert rows(a, *cols) == rows(b, *cols) and a.count() == 40 * 3 * 5
