@@ -7,7 +7,7 @@ window group holds at most |catalogue| rows whatever the data size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.expressions import clamp01, income_level, when_chain
@@ -244,10 +244,16 @@ def topk_id_list(cands: DataFrame, k: int = 3, key: str = "cust_id", sep: str =
     return cands.select(key, F.concat_ws(sep, ids).alias("ids"), F.size(ids).alias("_n"))
 
 
-def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok: bool,
-                    investor_ok: bool, keep) -> tuple[DataFrame, list]:
-    """W2 on candidate arrays for fixed bonus flags (defaults: no financing
-    request, i.e. missing ltv = 80 and need = 0).
+def _flag(v):
+    """A bonus flag given as a Python bool or as a (boolean) column of the row."""
+    return v if isinstance(v, Column) else F.lit(bool(v))
+
+
+def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok,
+                    investor_ok, keep) -> tuple[DataFrame, list]:
+    """W2 on candidate arrays.  The bonus flags are constants (the defaults
+    mean no financing request: missing ltv = 80, need = 0) or boolean columns
+    of the row.
 
     Per scenario: role by a literal map, multiplier, real-estate bonus, clamp;
     primaries, cross-sells and others each sorted by score desc / prod_id;
@@ -267,9 +273,9 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
                 mult = when_chain([(role == r, F.lit(m)) for r, m in R.ROLE_MULTIPLIER.items()], F.lit(1.0))
                 bonus = F.lit(1.0)
                 if s == R.REAL_ESTATE:
-                    bonus = (F.when((x["prod_id"] == b["first_home_prod"]) & F.lit(first_home_ok),
+                    bonus = (F.when((x["prod_id"] == b["first_home_prod"]) & _flag(first_home_ok),
                                     F.lit(b["first_home_factor"]))
-                              .when((x["prod_id"] == b["investor_prod"]) & F.lit(investor_ok),
+                              .when((x["prod_id"] == b["investor_prod"]) & _flag(investor_ok),
                                     F.lit(b["investor_factor"]))
                               .otherwise(F.lit(1.0)))
                 adj = clamp01(x["score"] * mult * bonus)
@@ -333,6 +339,25 @@ def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
                             "is_cross_sell": F.col("role") == "cross_sell"})
 
 
+def recommend_for_requests_rows(cands: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
+    """W2 for financing requests on candidate arrays (real-estate scenario).
+
+    A request changes the ranking only through its two bonus flags, so each
+    customer's candidate row meets its distinct (flags) keys - at most four -
+    and the quota pick runs inside those rows; the result is joined back to
+    the requests.  No window; a customer with a third of all requests is a
+    skewed equi-join key for AQE's skew join on the request side only.
+    """
+    fh, inv = bonus_flags(F.col("financing_need"), F.col("ltv_ratio"))
+    req = requests.select("request_id", "cust_id", fh.alias("first_home_ok"), inv.alias("investor_ok"))
+    keys = req.select("cust_id", "first_home_ok", "investor_ok").distinct()
+    flags = ["first_home_ok", "investor_ok"]
+    df, picks = _scenario_picks(cands.join(keys, "cust_id"), [R.REAL_ESTATE], k, "cust_id",
+                                F.col("first_home_ok"), F.col("investor_ok"), flags)
+    recs = df.select("cust_id", *flags, F.inline(F.concat(*picks)))
+    return req.join(recs, ["cust_id", *flags]).drop(*flags)
+
+
 def scenario_lists(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
                    first_home_ok: bool = True, investor_ok: bool = False) -> DataFrame:
     """W2 on candidate arrays, one row per (row, scenario) with its ordered

@@ -453,8 +453,7 @@ select request_id, cust_id, rank, prod_id, role, base_score, score
 from fx_mortgage5 where scenario = '{R.REAL_ESTATE}'""", "fx_mortgage5"))
 def q_recommend_mortgage(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    recs = RC.recommend_for_requests(scored(dom), PF.financing_need(dom.financing),
-                                     roles_df(spark, [R.REAL_ESTATE]), 5)
+    recs = RC.recommend_for_requests_rows(candidates(dom), PF.financing_need(dom.financing), 5)
     return recs.select("request_id", "cust_id", "rank", "prod_id", "role", "base_score", "score")
 
 

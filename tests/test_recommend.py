@@ -188,3 +188,17 @@ def test_row_local_bundles_equal_grouped(spark):
     b = RC.bundle_offer(RC.recommend_scenario(_long(cands), _roles(spark, scen), 5), products,
                         by=("cust_id", "scenario"))
     assert rows(a) == rows(b.select(*a.columns)) and a.count() > 0
+
+
+def test_row_local_requests_equal_window(spark):
+    import random
+    rnd = random.Random(2)
+    cands = _random_candidates(spark, n_cust=25)
+    req = spark.createDataFrame(
+        [(f"r{i}", rnd.randrange(25), rnd.choice([0.0, 500000.0, 500000.5, 900000.0, None]),
+          rnd.choice([50.0, 90.0, 90.5, None])) for i in range(120)],
+        "request_id string, cust_id long, financing_need double, ltv_ratio double")
+    a = RC.recommend_for_requests_rows(cands, req, 5)
+    b = RC.recommend_for_requests(_long(cands), req, _roles(spark, [R.REAL_ESTATE]), 5)
+    cols = ("request_id", "cust_id", "rank", "prod_id", "role", "base_score", "score")
+    assert rows(a, *cols) == rows(b, *cols) and a.count() > 0
