@@ -250,7 +250,7 @@ def _flag(v):
 
 
 def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok,
-                    investor_ok, keep) -> tuple[DataFrame, list]:
+                    investor_ok, keep, variants=None) -> tuple[DataFrame, list]:
     """W2 on candidate arrays.  The bonus flags are constants (the defaults
     mean no financing request: missing ltv = 80, need = 0) or boolean columns
     of the row.
@@ -259,12 +259,16 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
     primaries, cross-sells and others each sorted by score desc / prod_id;
     quotas ``np = min(#primary, max(1, k // 2))``, ``nc = min(#cross, k - np)``,
     the rest from *other*; holistic is a plain top-k.  ``keep`` row columns
-    are carried to every output row.
+    are carried to every output row.  ``variants`` (scenario, first_home_ok,
+    investor_ok) triples replace ``scenarios`` and the shared flags when the
+    flags differ per pick list.
     """
     keep = list(keep)
     b = R.MORTGAGE_BONUS
+    if variants is None:
+        variants = [(s, first_home_ok, investor_ok) for s in scenarios]
 
-    def item_fn(s, role_map):
+    def item_fn(s, role_map, first_home_ok, investor_ok):
         def item(x):
             role = role_map[x["prod_id"]]
             if s == R.HOLISTIC:
@@ -293,13 +297,15 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
     # Staged projections: each array below is computed once per row (a
     # higher-order function gets no common-subexpression elimination, so a
     # single nested expression would re-evaluate shared arrays many times).
-    names = [f"_s{i}" for i in range(len(scenarios))]
+    scenarios = [v[0] for v in variants]
+    names = [f"_s{i}" for i in range(len(variants))]
     df = cands.select(key, *keep, _open_candidates().alias("_open"))
     items = {}
-    for n, s in zip(names, scenarios):
+    for n, (s, fh, inv) in zip(names, variants):
         roles = {p: role for _, p, role in scenario_role_rows([s])}
         role_map = F.create_map(*[x for p, r in sorted(roles.items()) for x in (F.lit(p), F.lit(r))])
-        items[f"{n}_items"] = F.filter(F.transform("_open", item_fn(s, role_map)), lambda x: x["role"].isNotNull())
+        items[f"{n}_items"] = F.filter(F.transform("_open", item_fn(s, role_map, fh, inv)),
+                                       lambda x: x["role"].isNotNull())
     df = df.select(key, *keep, *[c.alias(a) for a, c in items.items()])
     sorted_cols = []
     for n, s in zip(names, scenarios):
@@ -342,20 +348,24 @@ def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
 def recommend_for_requests_rows(cands: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
     """W2 for financing requests on candidate arrays (real-estate scenario).
 
-    A request changes the ranking only through its two bonus flags, so each
-    customer's candidate row meets its distinct (flags) keys - at most four -
-    and the quota pick runs inside those rows; the result is joined back to
-    the requests.  No window; a customer with a third of all requests is a
-    skewed equi-join key for AQE's skew join on the request side only.
+    A request changes the ranking only through its two bonus flags, so every
+    customer row computes the pick for all four flag combinations in one
+    projection (a fixed 4x of a bounded list), keyed by ``2*first_home +
+    investor``.  Each request then needs one equi-join on the customer id and
+    takes its combination's list: two shuffles, no window, no distinct.  A
+    customer with a third of all requests is a skewed key on the request side
+    only, which AQE's skew join splits.
     """
     fh, inv = bonus_flags(F.col("financing_need"), F.col("ltv_ratio"))
-    req = requests.select("request_id", "cust_id", fh.alias("first_home_ok"), inv.alias("investor_ok"))
-    keys = req.select("cust_id", "first_home_ok", "investor_ok").distinct()
-    flags = ["first_home_ok", "investor_ok"]
-    df, picks = _scenario_picks(cands.join(keys, "cust_id"), [R.REAL_ESTATE], k, "cust_id",
-                                F.col("first_home_ok"), F.col("investor_ok"), flags)
-    recs = df.select("cust_id", *flags, F.inline(F.concat(*picks)))
-    return req.join(recs, ["cust_id", *flags]).drop(*flags)
+    req = requests.select("request_id", "cust_id",
+                          (fh.cast("int") * 2 + inv.cast("int")).alias("_flags"))
+    combos = [(True, True), (True, False), (False, True), (False, False)]
+    df, picks = _scenario_picks(cands, None, k, "cust_id", None, None, [],
+                                variants=[(R.REAL_ESTATE, a, b) for a, b in combos])
+    by_flags = F.create_map(*[x for (a, b), p in zip(combos, picks) for x in (F.lit(2 * int(a) + int(b)), p)])
+    lists = df.select("cust_id", by_flags.alias("_by_flags"))
+    out = req.join(lists, "cust_id")
+    return out.select("request_id", "cust_id", F.inline(F.element_at("_by_flags", F.col("_flags"))))
 
 
 def scenario_lists(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
