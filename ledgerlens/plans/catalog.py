@@ -418,11 +418,6 @@ def q_class_balance(spark, sf_dir):
 # Scenario recommendations (W2, J12), mortgage requests, reasons (P10),
 # bundle offers (A19), explanations
 # ---------------------------------------------------------------------------
-def roles_df(spark, scenarios=None):
-    rows = RC.scenario_role_rows(list(R.SCENARIOS) if scenarios is None else scenarios)
-    return F.broadcast(spark.createDataFrame(rows, "scenario string, prod_id int, role string"))
-
-
 def scenario_recs(dom: Domain, k: int = 5) -> DataFrame:
     """W2 for every scenario and customer, picked inside each customer's row."""
     return RC.scenario_rows(candidates(dom), list(R.SCENARIOS), k)
