@@ -21,7 +21,7 @@ from ledgerlens.llm.common import broadcast_counted, staged, text_or_empty
 
 #: Characters of the beginning that the second level hashes.
 PREFIX_CHARS = 256
-#: Repeated (length, prefix) keys up to this number are broadcast (about 10 MB).
+#: Repeated lengths or (length, prefix) keys up to this number are broadcast (about 10 MB).
 BROADCAST_KEYS = 100_000
 
 
@@ -44,8 +44,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # Level 1: lengths that occur more than once; level 2: prefixes within them.
     narrow = staged(keyed.select("len", "prefix"), "exact-keys")
-    lengths = narrow.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1").select("len")
-    repeated = staged(narrow.join(lengths, "len", "left_semi").groupBy("len", "prefix")
+    lengths = staged(narrow.groupBy("len").agg(F.count("*").alias("n")).filter("n > 1").select("len"), "exact-lengths")
+    shared = broadcast_counted(lengths, lengths.count(), BROADCAST_KEYS)
+    repeated = staged(narrow.join(shared, "len", "left_semi").groupBy("len", "prefix")
                       .agg(F.count("*").alias("n")).filter("n > 1")
                       .select("len", "prefix", F.lit(True).alias("again")), "exact-repeated")
 
