@@ -7,9 +7,9 @@ dimension, so each shard covers a small range of all of them and a reader can
 skip files by their min/max statistics.
 
 The global order needs no single-task sort: the curve has a fixed number of
-cells, a cell with many rows is split into hash buckets of about
-``BUCKET_ROWS`` rows, and positions are prefix sums over cells, then over the
-buckets of a cell, then within a bucket.
+cells, the n rows of a cell are split into about sqrt(n) hash buckets, and
+positions are prefix sums over cells, then over the buckets of a cell, then
+within a bucket.
 
 Defined cases: null dimension values form the lowest class, a null text has no
 bytes, rows that repeat each other get neighbouring slots, an empty table gives
@@ -25,7 +25,6 @@ from ledgerlens.llm.common import staged, text_or_empty
 
 #: Bits per dimension; 3 dimensions give 2 ** 12 cells.
 BITS = 4
-BUCKET_ROWS = 500
 #: A cell table is broadcast; this is its largest size.
 MAX_CELLS = 1 << 16
 
@@ -87,8 +86,7 @@ def quantise(rows: DataFrame, dims: list[str], bits: int) -> DataFrame:
     return rows.withColumns(out)
 
 
-def hilbert_order(rows: DataFrame, dims: list[str], tie: list[str], bits: int = BITS,
-                  bucket_rows: int = BUCKET_ROWS) -> tuple[DataFrame, int]:
+def hilbert_order(rows: DataFrame, dims: list[str], tie: list[str], bits: int = BITS) -> tuple[DataFrame, int]:
     """``rows`` with ``position``, 0 .. n-1 along the curve, and n.  ``tie`` are
     the columns that order the rows of one cell (through their hash)."""
     if 1 << (len(dims) * bits) > MAX_CELLS:
@@ -102,7 +100,7 @@ def hilbert_order(rows: DataFrame, dims: list[str], tie: list[str], bits: int =
     along = Window.orderBy("curve").rowsBetween(Window.unboundedPreceding, -1)
     cells = placed.groupBy("curve").agg(F.count("*").alias("n")).select(
         "curve", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("cell_offset"),
-        F.ceil(F.col("n") / bucket_rows).alias("buckets"))
+        F.ceil(F.sqrt("n")).alias("buckets"))
     key = F.xxhash64(*tie)
     rows = placed.join(F.broadcast(cells), "curve").withColumn("bucket_key", key).withColumn(
         "bucket", F.pmod(F.col("bucket_key"), F.col("buckets"))).drop("buckets")
