@@ -16,8 +16,9 @@ from array import array
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A space with white space on both sides: cut by SAFE_CUT only.
 INNER = re.compile(r"\s \s")
-#: Cached units and pre-tokens of a worker process before both caches restart.
-MAX_UNITS, MAX_PIECES = 600_000, 400_000
+#: Cached units and pre-tokens of a worker process before a cache restarts;
+#: an entry takes about 200 bytes.
+MAX_UNITS, MAX_PIECES = 1_000_000, 700_000
 
 
 class UnitEncoder:
@@ -32,7 +33,8 @@ class UnitEncoder:
         self.normalise = normaliser.normalize_str if normaliser else (lambda text: text)
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.model = tokenizer.model.tokenize
-        self.units: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}  # ids of a unit behind a space
+        self.heads: dict[str, bytes] = {}  # and at the beginning of a text
         self.pieces: dict[str, bytes] = {}
 
     def piece(self, pre_token: str) -> bytes:
@@ -45,14 +47,14 @@ class UnitEncoder:
         return b"".join([self.piece(p) for p, _ in self.split(self.normalise(unit))])
 
     def learn(self, new: list[str]) -> None:
-        """Encode units that start with a space and hold no other white space,
-        many in one call: a pre-token belongs to the unit it starts in."""
+        """Encode units without white space, many in one call, each behind a
+        space: a pre-token belongs to the unit it starts in."""
         for k in range(0, len(new), 512):
             part = new[k : k + 512]
-            text = self.normalise("".join(part))
+            text = self.normalise(" " + " ".join(part))
             starts = [i for i, c in enumerate(text) if c == " "]
             if len(starts) != len(part):  # normalisation made or removed spaces
-                self.units.update((unit, self.single(unit)) for unit in part)
+                self.units.update((unit, self.single(" " + unit)) for unit in part)
                 continue
             starts.append(len(text) + 1)
             ids: list[list[bytes]] = [[] for _ in part]
@@ -65,21 +67,20 @@ class UnitEncoder:
             self.units.update((unit, b"".join(found)) for unit, found in zip(part, ids, strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if len(self.units) > MAX_UNITS or len(self.pieces) > MAX_PIECES:
-            self.units.clear()
-            self.pieces.clear()
-        cut = []
-        for text in texts:
-            units = SAFE_CUT.split(text) if INNER.search(text) else text.split(" ")
-            units[1:] = [" " + u for u in units[1:]]
-            cut.append(units)
-        known = self.units
-        new = {u for units in cut for u in units if u not in known}
-        plain = [u for u in new if u[:1] == " " and u[1:].split() == [u[1:]]]
+        for cache, limit in ((self.units, MAX_UNITS), (self.pieces, MAX_PIECES), (self.heads, MAX_PIECES // 10)):
+            if len(cache) > limit:
+                cache.clear()
+        cut = [SAFE_CUT.split(text) if INNER.search(text) else text.split(" ") for text in texts]
+        heads = [units.pop(0) for units in cut]
+        new = set().union(*cut).difference(self.units)
+        plain = [u for u in new if u.split() == [u]]
         self.learn(plain)
         for unit in new.difference(plain):
-            known[unit] = self.single(unit)
-        return [b"".join([known[u] for u in units]) for units in cut]
+            self.units[unit] = self.single(" " + unit)
+        for unit in set(heads).difference(self.heads):
+            self.heads[unit] = self.single(unit)
+        known, first = self.units.__getitem__, self.heads.__getitem__
+        return [b"".join([first(head), *map(known, units)]) for head, units in zip(heads, cut, strict=True)]
 
 
 _ENCODERS: dict[str, UnitEncoder] = {}
