@@ -15,11 +15,13 @@ probability equal to their similarity.  Points are drawn up to a time by which
 nearly all registers are filled, and longer where some are not.
 
 Search: bands of ``ROWS`` registers name buckets.  Equal texts are one node.
-In a bucket, every node is compared with the bucket's smallest (exact multiset
-overlap on 64-bit shingle hashes) and similar nodes are linked.  Components of
-the links are classes.  Buckets that still hold several classes are compared in
-full across classes, but for pairs that the triangle inequality (one minus the
-similarity is a metric) rules out by their similarity to the smallest node.
+In a bucket, every node is compared with the bucket's pivot, a random node of it
+(exact multiset overlap on 64-bit shingle hashes), and similar nodes are linked.
+Components of the links are classes.  While buckets that hold several classes
+have many pairs across them, each gets another pivot.  What is left is compared
+in full across the classes of a bucket, but for pairs that the triangle
+inequality (one minus the similarity is a metric) rules out by their similarity
+to the first pivot.
 So a bucket of one class costs one comparison a node, and no pair of a bucket
 is lost.
 
@@ -46,6 +48,9 @@ SHINGLE = 5
 THRESHOLD = 0.8
 #: At a similarity of 0.8 all bands miss with probability (1 - 0.8^6)^32 = 6e-5.
 BANDS, ROWS = 32, 6
+#: Pivots of a bucket at most before its classes are compared in full, and the
+#: number of pairs a node that is few enough to do that at once.
+TURNS, FEW_PAIRS = 2, 4
 
 _BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -265,21 +270,38 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = members.filter("node = rep").drop("rep")
 
     keyed = signed.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    buckets = staged(keyed.join(shared, "key"), "near-buckets")
-    pairs = buckets.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    sims = verify(staged(pairs, "near-pairs"), nodes, docs)
-    links = sims.filter(F.col("sim") >= threshold).select("a", "b")
-    labels = components(links)
-
-    # What one comparison a node can't decide: buckets with several classes.
-    seen = (buckets.filter("node <> pivot").join(
-        sims.withColumnsRenamed({"a": "pivot", "b": "node"}), ["pivot", "node"])
-        .join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    top = labels.withColumnsRenamed({"node": "pivot", "label": "top"})
-    mixed_keys = (seen.join(top, "pivot", "left").withColumn("top", F.coalesce("top", "pivot"))
-                  .groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key"))
-    open_rows = staged(seen.join(mixed_keys, "key").select("key", "node", "label", "sim"), "near-open")
+    crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    open_rows = staged(keyed.join(crowds, "key"), "near-buckets")
+    links, sims, labels = None, None, None
+    for turn in range(TURNS):
+        chosen = F.min_by("node", F.xxhash64(F.lit(turn), "key", "node"))
+        pivots = open_rows.groupBy("key").agg(chosen.alias("pivot"))
+        told = open_rows.join(pivots, "key").filter("node <> pivot")
+        if labels is not None:
+            told = told.join(open_rows.select("key", F.col("node").alias("pivot"), F.col("label").alias("top")),
+                             ["key", "pivot"]).filter("label <> top")
+        pairs = told.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
+        pairs = staged(pairs if sims is None else pairs.join(sims, ["a", "b"], "left_anti"), "near-pairs")
+        found = verify(pairs, nodes, docs)
+        linked = found.filter(F.col("sim") >= threshold).select("a", "b")
+        sims, links = (found, linked) if sims is None else (sims.unionByName(found), links.unionByName(linked))
+        labels = components(links)
+        if turn == 0:  # for the triangle inequality, similarities to this pivot
+            to_pivot = told.select("key", "node", "pivot", F.least("pivot", "node").alias("a"), F.greatest(
+                "pivot", "node").alias("b")).join(found, ["a", "b"]).select("key", "node", "sim")
+            open_rows = open_rows.join(to_pivot, ["key", "node"], "left").fillna(1.0, ["sim"])
+        named = staged(open_rows.drop("label").join(labels, "node", "left").withColumn(
+            "label", F.coalesce("label", "node")), "near-labelled")
+        several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
+            "lo <> hi").select("key")
+        open_rows = staged(named.join(several, "key"), "near-open")
+        # Pairs across the classes of a bucket, against one comparison a node.
+        sizes = open_rows.groupBy("key", "label").agg(F.count("*").alias("n"))
+        across = sizes.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
+                                          F.sum("n").alias("rows")).agg(F.sum("pairs"), F.sum("rows")).first()
+        if (across[0] or 0) <= FEW_PAIRS * (across[1] or 0):
+            break
+
     x, y = open_rows.alias("x"), open_rows.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))
                     & (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - threshold + 1e-9))
@@ -292,8 +314,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     classed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep"))
-    groups = classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
-                                          F.min(order)["node"].alias("stays"))
+    groups = staged(classed.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"),
+                                                 F.min(order)["node"].alias("stays")), "near-classes")
     return classed.join(groups, "label").select(
         "doc_id", "class_id", "class_size", (F.col("node") == F.col("stays")).alias("kept"), "d1", "d2")
 
