@@ -70,7 +70,7 @@ def customer_label(first, last, cust_id) -> Column:
 
 
 def parse_customer_label(label) -> Column:
-    return F.regexp_extract(col(label), r"\(ID (\d+)\)", 1).cast("bigint")
+    return F.regexp_extract(col(label), r"\(ID (\d+)\)", 1).try_cast("bigint")
 
 
 def money_sum(x) -> Column:

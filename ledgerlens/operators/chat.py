@@ -44,12 +44,13 @@ def latest_session(messages: DataFrame) -> DataFrame:
 
 
 def recent_sessions(messages: DataFrame) -> DataFrame:
-    """W5 + P17: sessions newest first (missing time last), display time string."""
+    """W5 + P17: sessions newest first (missing time last, equal times in stored
+    order), display time string."""
     s = session_counts(messages)
     return (s.select("customer_id", "session_id", "seq",
                      F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("display_time"),
                      "timestamp", "message_count")
-            .orderBy(F.col("customer_id"), F.col("timestamp").desc_nulls_last(), F.col("seq").desc())
+            .orderBy(F.col("customer_id"), F.col("timestamp").desc_nulls_last(), F.col("seq"))
             .drop("timestamp"))
 
 
@@ -63,6 +64,6 @@ def search_sessions(messages: DataFrame, term: str) -> DataFrame:
 def search_counts(messages: DataFrame, term: str) -> DataFrame:
     """'k of n' per customer: matching sessions and all sessions."""
     hit = F.lower(F.col("content")).contains(term.lower())
-    s = messages.groupBy("customer_id", "session_id").agg(F.max(hit.cast("int")).alias("hit"))
+    s = messages.groupBy("customer_id", "session_id", "seq").agg(F.max(hit.cast("int")).alias("hit"))
     return s.groupBy("customer_id").agg(F.sum(F.coalesce("hit", F.lit(0))).cast("bigint").alias("matching"),
                                         F.count(F.lit(1)).alias("sessions"))

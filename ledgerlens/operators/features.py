@@ -99,7 +99,8 @@ def encode_features(features: DataFrame, scaler: Scaler) -> DataFrame:
     """M2 + M3 transform: age label index and z-scores, as pure column expressions."""
     def lit(x: float) -> str:
         return f"CAST({float(x)!r} AS DOUBLE)"
-    cases = " ".join(f"WHEN age_bucket = '{lbl}' THEN {i}" for i, lbl in enumerate(scaler.age_labels))
+    labels = [lbl.replace("\\", "\\\\").replace("'", "\\'") for lbl in scaler.age_labels]
+    cases = " ".join(f"WHEN age_bucket = '{lbl}' THEN {i}" for i, lbl in enumerate(labels))
     age = f"CAST(CASE {cases} END AS INT)" if cases else "CAST(NULL AS INT)"
     others = [f"`{c}`" for c in features.columns if c not in ("age_bucket", "revenue", "credit_score")]
     return features.selectExpr(

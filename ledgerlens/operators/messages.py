@@ -75,7 +75,8 @@ def entities(messages: DataFrame, catalogue, key: str = "msg_id", text_col: str
     cust = F.when(ref != "", ref.try_cast("bigint")).otherwise(F.col(context_col).cast("bigint"))
     low = F.lower(text)
     by_name = None
-    for pid, name, _ in sorted(catalogue):
+    # Longer names first: a name may begin with another one.
+    for pid, name, _ in sorted(catalogue, key=lambda c: (-len(c[1] or ""), c[0])):
         if name is None:
             continue
         cond = low.contains(name.lower())

@@ -76,11 +76,13 @@ def logit_sql(models: LinearModels, prod_id: int) -> str | None:
 
 
 def score_sql(models: LinearModels, prod_id: int) -> str:
-    """M7 + M8: rounded P(class 1), or the fallback score without a model."""
+    """M7 + M8: rounded P(class 1), or the fallback score without a model or
+    for a customer whose features are incomplete."""
     z = logit_sql(models, prod_id)
     if z is None:
         return _dbl(R.FALLBACK_SCORE)
-    return f"round(CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({z}))), {SCORE_DIGITS})"
+    chance = f"round(CAST(1.0 AS DOUBLE) / (CAST(1.0 AS DOUBLE) + exp(-({z}))), {SCORE_DIGITS})"
+    return f"coalesce({chance}, {_dbl(R.FALLBACK_SCORE)})"
 
 
 def logit_expr(models: LinearModels, prod_id: int) -> Column | None:

@@ -51,7 +51,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this is set by the operator to shared storage and is only
     read here; if it is missing there, this fails rather than fall back to a
-    machine-local folder.  Only in local mode (tests) a private folder is made.
+    machine-local folder.  Only in local mode (tests; not ``local-cluster``) a private folder is made.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -59,7 +59,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
+        if not (master == "local" or master.startswith("local[")):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster "
                                "(scratch tables and lineage cuts are written there)")
         configured = tempfile.mkdtemp(prefix="ledgerlens-ckpt-")

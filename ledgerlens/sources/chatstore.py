@@ -84,7 +84,7 @@ def read_session_files(spark: SparkSession, path: str) -> DataFrame:
           .json(path))
     return (df.where(F.col("session_id").isNotNull())
               .withColumn("file", F.input_file_name())
-              .withColumn("timestamp", F.to_timestamp("timestamp")))
+              .withColumn("timestamp", F.try_to_timestamp("timestamp")))
 
 
 def messages_of(records: DataFrame) -> DataFrame:

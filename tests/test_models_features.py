@@ -183,3 +183,23 @@ def test_row_local_top_contributions_equal_window(spark):
     b = SC.top_contributions(SC.contributions(rows_, models), labels, 5)
     cols = ("cust_id", "prod_id", "rank", "feature", "label", "contribution", "share", "sign")
     assert rows(a, *cols) == rows(b, *cols) and a.count() == 40 * 3 * 5
+
+
+def test_incomplete_customers_get_the_fallback_score(spark):
+    from ledgerlens.operators.scoring import LinearModels, score_products
+    from ledgerlens.plans import rules as R
+
+    models = LinearModels(features=("revenue",), weights={101: {"revenue": 1.0}}, intercepts={101: 0.0})
+    rows = spark.createDataFrame([(1, 0.0), (2, None)], "cust_id int, revenue double")
+    got = {r["cust_id"]: r["score"] for r in score_products(rows, models, [101]).collect()}
+    assert got == {1: 0.5, 2: R.FALLBACK_SCORE}
+    got = {r["cust_id"]: r["score"] for r in score_products(rows.withColumn("revenue", rows.revenue + 1), models, [101]).collect()}
+    assert got[1] > 0.7 and got[2] == R.FALLBACK_SCORE
+
+
+def test_age_labels_may_hold_quotes(spark):
+    from ledgerlens.operators.features import Scaler, encode_features
+
+    rows = spark.createDataFrame([(1, "it's\\30", 1.0, 2.0)], "cust_id int, age_bucket string, revenue double, credit_score double")
+    scaler = Scaler(("a", "it's\\30"), 0.0, 1.0, 0.0, 1.0)
+    assert encode_features(rows, scaler).first()["age_bucket_encoded"] == 1
