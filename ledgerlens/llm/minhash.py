@@ -18,10 +18,13 @@ Search: bands of ``ROWS`` registers name buckets.  Equal texts are one node.
 In a bucket, every node is compared with the bucket's pivot, a random node of it
 (exact multiset overlap on 64-bit shingle hashes), and similar nodes are linked.
 Components of the links are classes.  While buckets that hold several classes
-have many pairs across them, each gets another pivot.  What is left is compared
-in full across the classes of a bucket, but for pairs that the triangle
-inequality (one minus the similarity is a metric) rules out by their similarity
-to the first pivot.
+have many pairs across them, each gets another pivot.  Where there still are
+many, the shingles that one open node alone has are counted: they are in no
+overlap, so a node with too many of them has no link, and is taken out, which
+makes more shingles lone ones in a second count.  What is left is compared in
+full across the classes of a bucket, but for pairs ruled out by their lone
+shingles or by the triangle inequality (one minus the similarity is a metric)
+on their similarities to the first pivot.
 So a bucket of one class costs one comparison a node, and no pair of a bucket
 is lost.
 
@@ -51,6 +54,8 @@ BANDS, ROWS = 32, 6
 #: Pivots of a bucket at most before its classes are compared in full, and the
 #: number of pairs a node that is few enough to do that at once.
 TURNS, FEW_PAIRS = 2, 4
+#: Counts of lone shingles; each can only take out more nodes.
+PEELS = 2
 
 _BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -243,18 +248,69 @@ def _digests() -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), "text").alias("d1"), F.xxhash64(F.lit(2), "text").alias("d2")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b, sim`` of the pairs; texts are fetched for nodes in pairs only."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+def _lone(batches):
+    for batch in batches:
+        nodes, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        for lo, hi in text_runs(texts, 1_000_000):
+            owner, value, count = bags(texts[lo:hi])
+            order = np.lexsort((nodes[lo + owner], value))
+            owner, value, count = owner[order], value[order], count[order]
+            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])[: len(value)])
+            last = np.concatenate([first[1:], [len(value)]])[: len(first)] - 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(value[first].view(np.int64)), pa.array(nodes[lo + owner[first]]),
+                 pa.array(nodes[lo + owner[last]]), pa.array(count[first].astype(np.int64))],
+                names=["hash", "lo", "hi", "count"])
+
+
+def lone_shingles(texts: DataFrame) -> DataFrame:
+    """``node, lone``: how many shingles (with repeats) a node shares with no
+    other node of ``texts`` (``node, text``); nodes without any are left out.
+
+    Rows of one shingle meet as a smallest and a largest node, first within a
+    batch, so a shingle of many nodes is no hot key."""
+    held = texts.mapInArrow(_lone, "hash long, lo long, hi long, count long").groupBy("hash").agg(
+        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("count").alias("count"))
+    return held.filter("lo = hi").groupBy(F.col("lo").alias("node")).agg(F.sum("count").alias("lone"))
+
+
+def node_texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``node, text`` of the wanted nodes, written."""
     keys = wanted.join(nodes, "node").select("node", F.col("doc_id").alias("_id"), "d1", "d2")
-    texts = staged(docs.select("doc_id", *_digests(), "text").join(
+    return staged(docs.select("doc_id", *_digests(), "text").join(
         keys, ["d1", "d2"]).filter(F.col("doc_id").eqNullSafe(F.col("_id")))
         .select("node", "text").dropDuplicates(["node"]), "near-texts")
+
+
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``a, b, sim`` of the pairs; texts are fetched for nodes in pairs only."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts = node_texts(wanted, nodes, docs)
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(
         texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
     return staged(both.select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long, sim double"), "near-sims")
 
 
+def peeled(open_rows: DataFrame, signed: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """``open_rows`` without nodes that can have no link across the classes of
+    their buckets; ``shared`` of the ``shingles`` of a node can be in an overlap.
+
+    A pair's overlap is at most the smaller ``shared``, so its similarity is at
+    most shared / shingles of either node."""
+    sizes = signed.select("node", "shingles")
+    texts = node_texts(open_rows.select("node").distinct(), nodes, docs)
+    for _ in range(PEELS):
+        shared = texts.select("node").join(sizes, "node").join(lone_shingles(texts), "node", "left").withColumn(
+            "shared", F.col("shingles") - F.coalesce("lone", F.lit(0))).drop("lone")
+        shared = staged(shared.filter(F.col("shared") >= threshold * F.col("shingles") - 1e-6), "near-shared")
+        left = open_rows.join(shared, "node")
+        several = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
+            "lo <> hi").select("key")
+        left = staged(left.join(several, "key"), "near-open")
+        texts = texts.join(left.select("node").distinct(), "node", "left_semi")
+    return left
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id, class_size, kept, d1, d2`` per input row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -301,10 +357,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                                           F.sum("n").alias("rows")).agg(F.sum("pairs"), F.sum("rows")).first()
         if (across[0] or 0) <= FEW_PAIRS * (across[1] or 0):
             break
+    else:
+        open_rows = peeled(open_rows, signed, nodes, docs, threshold)
 
-    x, y = open_rows.alias("x"), open_rows.alias("y")
+    x, y, possible = open_rows.alias("x"), open_rows.alias("y"), F.lit(True)
+    if "shared" in open_rows.columns:
+        possible = ((1 + threshold) * F.least("x.shared", "y.shared")
+                    >= threshold * (F.col("x.shingles") + F.col("y.shingles")) - 1e-6)
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))
-                    & (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - threshold + 1e-9))
+                    & (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - threshold + 1e-9)
+                    & possible)
     across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = staged(across.join(sims, ["a", "b"], "left_anti"), "near-pairs")
     if not more.isEmpty():

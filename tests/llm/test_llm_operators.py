@@ -303,6 +303,30 @@ def test_near_duplicate_families(spark):
     check_classes(spark.createDataFrame(near_rows(), "doc_id long, text string, lang string, source string"), near_rows())
 
 
+def test_near_duplicate_families_by_lone_shingles(spark, monkeypatch):
+    """Wide families keep their links when nodes with many lone shingles are taken out."""
+    monkeypatch.setattr(minhash, "FEW_PAIRS", -1)
+    rng = np.random.default_rng(11)
+    rows = near_rows()
+    for family in range(3):
+        base = [f"g{family}w{x}" for x in rng.integers(0, 400, 300)]
+        for _ in range(40):
+            copy = list(base)
+            for at in rng.choice(300, int(rng.integers(0, 26)), replace=False):
+                copy[at] = f"v{rng.integers(0, 30)}"
+            rows.append((len(rows), " ".join(copy), "en", "s"))
+    check_classes(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), rows)
+
+
+def test_lone_shingles(spark):
+    texts = {1: "a b c d e f", 2: "b c d e f g", 3: "x x x x x x x", 4: "y", 5: "y", 6: "z q"}
+    bags = {k: bag(t) for k, t in texts.items()}
+    want = {k: sum(n for s, n in b.items() if not any(s in o for j, o in bags.items() if j != k)) for k, b in bags.items()}
+    frame = spark.createDataFrame(list(texts.items()), "node long, text string").repartition(4)
+    got = {r["node"]: r["lone"] for r in minhash.lone_shingles(frame).collect()}
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def check_classes(frame, rows):
     got = minhash.near_duplicates(frame).collect()
     members = defaultdict(list)
