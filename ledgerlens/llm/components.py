@@ -30,3 +30,9 @@ def components(edges: DataFrame) -> DataFrame:
         if labels.filter("label <> old").isEmpty():
             return labels.select("node", "label")
         labels = labels.select("node", "label")
+
+
+def spanning(labels: DataFrame) -> DataFrame:
+    """Edges ``a, b`` that join every node to its label: the components found so
+    far in one edge a node, to which further edges are added."""
+    return labels.filter("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))

@@ -18,13 +18,12 @@ Search: bands of ``ROWS`` registers name buckets.  Equal texts are one node.
 In a bucket, every node is compared with the bucket's pivot, a random node of it
 (exact multiset overlap on 64-bit shingle hashes), and similar nodes are linked.
 Components of the links are classes.  While buckets that hold several classes
-have many pairs across them, each gets another pivot.  Where there still are
-many, the shingles that one open node alone has are counted: they are in no
-overlap, so a node with too many of them has no link, and is taken out, which
-makes more shingles lone ones in a second count.  What is left is compared in
-full across the classes of a bucket, but for pairs ruled out by their lone
-shingles or by the triangle inequality (one minus the similarity is a metric)
-on their similarities to the first pivot.
+have many pairs across them, each gets another pivot.  What is left is compared
+in full across the classes of a bucket, but for pairs that cannot be similar: by
+the triangle inequality (one minus the similarity is a metric) on their
+similarities to the first pivot, or by their shingle counts in ``CELLS`` parts
+of the hash range, as the sum of the smaller counts is an overlap at least as
+large as the true one.
 So a bucket of one class costs one comparison a node, and no pair of a bucket
 is lost.
 
@@ -44,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import staged
-from ledgerlens.llm.components import components
+from ledgerlens.llm.components import components, spanning
 from ledgerlens.llm.tokenize import text_runs
 
 SHINGLE = 5
@@ -54,8 +53,9 @@ BANDS, ROWS = 32, 6
 #: Pivots of a bucket at most before its classes are compared in full, and the
 #: number of pairs a node that is few enough to do that at once.
 TURNS, FEW_PAIRS = 2, 4
-#: Counts of lone shingles; each can only take out more nodes.
-PEELS = 2
+#: Cells of the hash range (powers of two) in which shingles are counted: a
+#: quick bound, and a closer one for long texts.
+CELLS = (128, 512)
 
 _BYTES = 4 << 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -248,30 +248,32 @@ def _digests() -> tuple[Column, Column]:
     return F.xxhash64(F.lit(1), "text").alias("d1"), F.xxhash64(F.lit(2), "text").alias("d2")
 
 
-def _lone(batches):
+def cell_counts(texts: list, cells: int) -> np.ndarray:
+    """Shingles (with repeats) of each text by the top bits of their hash."""
+    owner, value, count = bags(texts)
+    cell = owner * cells + (value >> np.uint64(65 - cells.bit_length())).astype(np.int64)
+    return np.bincount(cell, weights=count, minlength=len(texts) * cells).astype(np.int64).reshape(-1, cells)
+
+
+def _cells(batches):
+    """Counts as two bytes; none for a text with a count that needs more."""
     for batch in batches:
-        nodes, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
+        texts = batch.column(1).to_pylist()
         for lo, hi in text_runs(texts, 1_000_000):
-            owner, value, count = bags(texts[lo:hi])
-            order = np.lexsort((nodes[lo + owner], value))
-            owner, value, count = owner[order], value[order], count[order]
-            first = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])[: len(value)])
-            last = np.concatenate([first[1:], [len(value)]])[: len(first)] - 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(value[first].view(np.int64)), pa.array(nodes[lo + owner[first]]),
-                 pa.array(nodes[lo + owner[last]]), pa.array(count[first].astype(np.int64))],
-                names=["hash", "lo", "hi", "count"])
-
+            fine = cell_counts(texts[lo:hi], CELLS[1])
+            levels = [fine.reshape(hi - lo, CELLS[0], -1).sum(axis=2), fine]
+            small = levels[0].max(axis=1) < 1 << 15
+            starts = np.concatenate([[0], np.cumsum(small)])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *(
+                pa.ListArray.from_arrays(
+                    pa.array(starts * cells, pa.int32()),
+                    pa.array(counts[small].astype(np.int16).reshape(-1)), mask=pa.array(~small))
+                for counts, cells in zip(levels, CELLS, strict=True))], names=["node", "coarse", "fine"])
 
-def lone_shingles(texts: DataFrame) -> DataFrame:
-    """``node, lone``: how many shingles (with repeats) a node shares with no
-    other node of ``texts`` (``node, text``); nodes without any are left out.
 
-    Rows of one shingle meet as a smallest and a largest node, first within a
-    batch, so a shingle of many nodes is no hot key."""
-    held = texts.mapInArrow(_lone, "hash long, lo long, hi long, count long").groupBy("hash").agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("count").alias("count"))
-    return held.filter("lo = hi").groupBy(F.col("lo").alias("node")).agg(F.sum("count").alias("lone"))
+def _overlap(x: str, y: str) -> Column:
+    """Sum of the smaller counts of two arrays."""
+    return F.aggregate(F.zip_with(x, y, lambda a, b: F.least(a, b)), F.lit(0), lambda s, n: s + n)
 
 
 def node_texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -282,35 +284,13 @@ def node_texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFram
         .select("node", "text").dropDuplicates(["node"]), "near-texts")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``a, b, sim`` of the pairs; texts are fetched for nodes in pairs only."""
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = node_texts(wanted, nodes, docs)
+def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``a, b, sim`` of the pairs of nodes of ``texts``, written."""
     both = pairs.join(texts.withColumnsRenamed({"node": "a", "text": "ta"}), "a").join(
         texts.withColumnsRenamed({"node": "b", "text": "tb"}), "b")
     return staged(both.select("a", "b", "ta", "tb").mapInArrow(_compare, "a long, b long, sim double"), "near-sims")
 
 
-def peeled(open_rows: DataFrame, signed: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
-    """``open_rows`` without nodes that can have no link across the classes of
-    their buckets; ``shared`` of the ``shingles`` of a node can be in an overlap.
-
-    A pair's overlap is at most the smaller ``shared``, so its similarity is at
-    most shared / shingles of either node."""
-    sizes = signed.select("node", "shingles")
-    texts = node_texts(open_rows.select("node").distinct(), nodes, docs)
-    for _ in range(PEELS):
-        shared = texts.select("node").join(sizes, "node").join(lone_shingles(texts), "node", "left").withColumn(
-            "shared", F.col("shingles") - F.coalesce("lone", F.lit(0))).drop("lone")
-        shared = staged(shared.filter(F.col("shared") >= threshold * F.col("shingles") - 1e-6), "near-shared")
-        left = open_rows.join(shared, "node")
-        several = left.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
-            "lo <> hi").select("key")
-        left = staged(left.join(several, "key"), "near-open")
-        texts = texts.join(left.select("node").distinct(), "node", "left_semi")
-    return left
-
-
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id, class_id, class_size, kept, d1, d2`` per input row."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -328,7 +308,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     keyed = signed.join(nodes.select("node"), "node", "left_semi").select("node", F.explode("bands").alias("key"))
     crowds = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
     open_rows = staged(keyed.join(crowds, "key"), "near-buckets")
-    links, sims, labels = None, None, None
+    # Texts of nodes in open buckets, narrowed as buckets close: the table of all
+    # documents is joined once.
+    texts = node_texts(open_rows.select("node").distinct(), nodes, docs)
+    sims, labels = None, None
     for turn in range(TURNS):
         chosen = F.min_by("node", F.xxhash64(F.lit(turn), "key", "node"))
         pivots = open_rows.groupBy("key").agg(chosen.alias("pivot"))
@@ -338,10 +321,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                              ["key", "pivot"]).filter("label <> top")
         pairs = told.select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct()
         pairs = staged(pairs if sims is None else pairs.join(sims, ["a", "b"], "left_anti"), "near-pairs")
-        found = verify(pairs, nodes, docs)
+        found = verify(pairs, texts)
         linked = found.filter(F.col("sim") >= threshold).select("a", "b")
-        sims, links = (found, linked) if sims is None else (sims.unionByName(found), links.unionByName(linked))
-        labels = components(links)
+        sims = found if sims is None else sims.unionByName(found)
+        labels = components(linked if labels is None else linked.unionByName(spanning(labels)))
         if turn == 0:  # for the triangle inequality, similarities to this pivot
             to_pivot = told.select("key", "node", "pivot", F.least("pivot", "node").alias("a"), F.greatest(
                 "pivot", "node").alias("b")).join(found, ["a", "b"]).select("key", "node", "sim")
@@ -351,28 +334,30 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         several = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter(
             "lo <> hi").select("key")
         open_rows = staged(named.join(several, "key"), "near-open")
+        texts = staged(texts.join(open_rows.select("node").distinct(), "node", "left_semi"), "near-texts")
         # Pairs across the classes of a bucket, against one comparison a node.
         sizes = open_rows.groupBy("key", "label").agg(F.count("*").alias("n"))
         across = sizes.groupBy("key").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"),
                                           F.sum("n").alias("rows")).agg(F.sum("pairs"), F.sum("rows")).first()
         if (across[0] or 0) <= FEW_PAIRS * (across[1] or 0):
             break
-    else:
-        open_rows = peeled(open_rows, signed, nodes, docs, threshold)
 
-    x, y, possible = open_rows.alias("x"), open_rows.alias("y"), F.lit(True)
-    if "shared" in open_rows.columns:
-        possible = ((1 + threshold) * F.least("x.shared", "y.shared")
-                    >= threshold * (F.col("x.shingles") + F.col("y.shingles")) - 1e-6)
+    counted = staged(texts.mapInArrow(_cells, "node long, coarse array<smallint>, fine array<smallint>").join(
+        signed.select("node", "shingles"), "node"), "near-cells")
+    open_rows = open_rows.join(counted, "node")
+    x, y = open_rows.alias("x"), open_rows.alias("y")
+    needed = threshold / (1 + threshold) * (F.col("x.shingles") + F.col("y.shingles")) - 1e-6
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label"))
                     & (F.abs(F.col("x.sim") - F.col("y.sim")) <= 1 - threshold + 1e-9)
-                    & possible)
+                    & (F.least("x.shingles", "y.shingles") >= needed)
+                    & F.coalesce(_overlap("x.coarse", "y.coarse") >= needed, F.lit(True))
+                    & F.coalesce(_overlap("x.fine", "y.fine") >= needed, F.lit(True)))
     across = across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
     more = staged(across.join(sims, ["a", "b"], "left_anti"), "near-pairs")
     if not more.isEmpty():
-        extra = verify(more, nodes, docs).filter(F.col("sim") >= threshold).select("a", "b")
+        extra = verify(more, texts).filter(F.col("sim") >= threshold).select("a", "b")
         if not extra.isEmpty():
-            labels = components(links.unionByName(extra))
+            labels = components(extra.unionByName(spanning(labels)))
 
     classed = members.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
         "label", F.coalesce("label", "rep"))

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -303,9 +304,8 @@ def test_near_duplicate_families(spark):
     check_classes(spark.createDataFrame(near_rows(), "doc_id long, text string, lang string, source string"), near_rows())
 
 
-def test_near_duplicate_families_by_lone_shingles(spark, monkeypatch):
-    """Wide families keep their links when nodes with many lone shingles are taken out."""
-    monkeypatch.setattr(minhash, "FEW_PAIRS", -1)
+def test_near_duplicate_wide_families(spark):
+    """Families whose members share buckets without being links keep their classes."""
     rng = np.random.default_rng(11)
     rows = near_rows()
     for family in range(3):
@@ -318,13 +318,18 @@ def test_near_duplicate_families_by_lone_shingles(spark, monkeypatch):
     check_classes(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), rows)
 
 
-def test_lone_shingles(spark):
-    texts = {1: "a b c d e f", 2: "b c d e f g", 3: "x x x x x x x", 4: "y", 5: "y", 6: "z q"}
-    bags = {k: bag(t) for k, t in texts.items()}
-    want = {k: sum(n for s, n in b.items() if not any(s in o for j, o in bags.items() if j != k)) for k, b in bags.items()}
-    frame = spark.createDataFrame(list(texts.items()), "node long, text string").repartition(4)
-    got = {r["node"]: r["lone"] for r in minhash.lone_shingles(frame).collect()}
-    assert got == {k: n for k, n in want.items() if n}
+def test_cell_counts_bound_the_overlap():
+    texts = [r[1] for r in near_rows()] + ["a b c", "x " * 40_000, "x " * 90 + "y"]
+    for cells in minhash.CELLS:
+        counts = minhash.cell_counts(texts, cells)
+        for i, j in [(0, 5), (0, 40), (3, 80), (-1, -2), (-3, 0)]:
+            true = sum((bag(texts[i]) & bag(texts[j])).values())
+            assert true <= np.minimum(counts[i], counts[j]).sum() <= sum(bag(texts[i]).values())
+    nodes = pa.RecordBatch.from_arrays([pa.array(range(3)), pa.array(texts[-3:])], names=["node", "text"])
+    out = next(minhash._cells([nodes]))
+    # 39,996 equal shingles do not fit two bytes: no counts, so no bound
+    assert [x is None for x in out.column(1).to_pylist()] == [False, True, False]
+    assert [sum(x) for x in out.column(2).to_pylist() if x] == [1, 87]
 
 
 def check_classes(frame, rows):
