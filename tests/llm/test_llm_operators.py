@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ledgerlens.llm import minhash, packing, quality, token_file
+from ledgerlens.llm.components import components
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.language_id import held_out, language_id
 from ledgerlens.llm.licenses import TEMPLATES, license_scan
@@ -332,6 +333,19 @@ def test_cell_counts_bound_the_overlap():
     assert [sum(x) for x in out.column(2).to_pylist() if x] == [1, 87]
 
 
+@pytest.mark.parametrize("edges", [
+    [], [(3, 3), (5, 4)], [(i, i + 1) for i in range(20)], [(i, 99) for i in range(12)],
+    [(9, 1), (9, 2), (8, 2), (8, 3), (20, 21), (21, 20), (22, 21), (30, 8)]])
+def test_components(spark, edges):
+    label = {n: n for e in edges if e[0] != e[1] for n in e}
+    for _ in label:
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert sorted((r["node"], r["label"]) for r in got) == sorted(label.items())
+
+
 def check_classes(frame, rows):
     got = minhash.near_duplicates(frame).collect()
     members = defaultdict(list)
