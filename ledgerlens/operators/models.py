@@ -62,9 +62,10 @@ def product_splits(features: DataFrame, product_ids=R.PRODUCT_IDS, **kw) -> Data
 # ---------------------------------------------------------------- training ---
 def train_models(encoded: DataFrame, splits: DataFrame, product_ids=R.PRODUCT_IDS, C: float = 2.0,
                  feature_map: dict | None = None, max_iter: int = 1000, tol: float = 1e-8,
-                 parallelism: int | None = None):
+                 parallelism: int | None = None, feature_order=None):
     """M6 (and M5 with a one-product ``feature_map``): one balanced logistic
-    regression per product on its train split.
+    regression per product on its train split.  ``feature_order`` names the
+    features (default: the base features and a flag per fixed product).
 
     Returns a :class:`LinearModels`.  The joined training frame is
     checkpointed once and read by every fit; the class counts of all products
@@ -80,7 +81,7 @@ def train_models(encoded: DataFrame, splits: DataFrame, product_ids=R.PRODUCT_ID
 
     from ledgerlens.plans.session import cut_lineage
 
-    all_feats = list(default_feature_order())
+    all_feats = list(feature_order) if feature_order else list(default_feature_order())
     # The training frame is written once as a reliable checkpoint to the
     # shared folder: every fit makes hundreds of passes, and a lost executor
     # then re-reads the checkpoint instead of re-running split and features.
@@ -215,9 +216,9 @@ def auc(pred: DataFrame, split: str = "test") -> DataFrame:
                        .otherwise(F.col("_num").cast("double") / den.cast("double")).alias("auc"))
 
 
-def feature_importance(coefficients: DataFrame) -> DataFrame:
+def feature_importance(coefficients: DataFrame, feature_order=None) -> DataFrame:
     """Coefficients per product ranked by absolute value (ties in feature order)."""
-    order = default_feature_order()
+    order = feature_order or default_feature_order()
     pos = None
     for i, f in enumerate(order):
         cond = F.col("feature") == f

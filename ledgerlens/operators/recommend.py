@@ -59,13 +59,13 @@ def with_reason(recs: DataFrame, customers: DataFrame | None, templates: DataFra
     return out.withColumn("reason", reason).drop("_revenue", "_age", "template")
 
 
-def scenario_role_rows(scenarios) -> list[tuple[str, int, str]]:
+def scenario_role_rows(scenarios, product_ids=R.PRODUCT_IDS) -> list[tuple[str, int, str]]:
     """(scenario, prod_id, role) for the requested scenarios; unknown names get
     the holistic role lists (all primary) but keep non-holistic scoring."""
     rows = []
     for s in scenarios:
         primary, cross = R.SCENARIOS.get(s, R.SCENARIOS[R.HOLISTIC])
-        for p in R.PRODUCT_IDS:
+        for p in product_ids:
             rows.append((s, p, "primary" if p in primary else "cross_sell" if p in cross else "other"))
     return rows
 
@@ -255,7 +255,7 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
     mean no financing request: missing ltv = 80, need = 0) or boolean columns
     of the row.
 
-    Per scenario: role by a literal map, multiplier, real-estate bonus, clamp;
+    Per scenario: role by a literal map (a product outside it is *other*), multiplier, real-estate bonus, clamp;
     primaries, cross-sells and others each sorted by score desc / prod_id;
     quotas ``np = min(#primary, max(1, k // 2))``, ``nc = min(#cross, k - np)``,
     the rest from *other*; holistic is a plain top-k.  ``keep`` row columns
@@ -270,7 +270,7 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
 
     def item_fn(s, role_map, first_home_ok, investor_ok):
         def item(x):
-            role = role_map[x["prod_id"]]
+            role = F.coalesce(role_map[x["prod_id"]], F.lit("other"))
             if s == R.HOLISTIC:
                 adj = x["score"]
             else:
@@ -304,8 +304,7 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
     for n, (s, fh, inv) in zip(names, variants):
         roles = {p: role for _, p, role in scenario_role_rows([s])}
         role_map = F.create_map(*[x for p, r in sorted(roles.items()) for x in (F.lit(p), F.lit(r))])
-        items[f"{n}_items"] = F.filter(F.transform("_open", item_fn(s, role_map, fh, inv)),
-                                       lambda x: x["role"].isNotNull())
+        items[f"{n}_items"] = F.transform("_open", item_fn(s, role_map, fh, inv))
     df = df.select(key, *keep, *[c.alias(a) for a, c in items.items()])
     sorted_cols = []
     for n, s in zip(names, scenarios):

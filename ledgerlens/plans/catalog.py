@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.operators import crosssell as CS
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import recommend as RC
 from ledgerlens.operators import scoring as SC
@@ -49,9 +50,14 @@ def domain(spark: SparkSession, sf_dir: str) -> Domain:
     return _DOMAINS[key]
 
 
+def product_ids(dom: Domain) -> list[int]:
+    """The catalogue's products in order (size-checked, read once)."""
+    return [p for p, _, _ in CS.catalogue_rows(dom.products)]
+
+
 def build_features(dom: Domain) -> DataFrame:
     """M1 straight from the domain tables (the plan that builds the table)."""
-    return FE.build_features(dom.customers, dom.ownership)
+    return FE.build_features(dom.customers, dom.ownership, product_ids(dom))
 
 
 _FEATURE_TABLES: dict[tuple[str, str], DataFrame] = {}
@@ -81,7 +87,7 @@ def fitted(dom: Domain):
     key = (dom.spark.sparkContext.applicationId, dom.sf_dir)
     if key not in _FITS:
         scaler = FE.fit_scaler(features(dom))
-        models = SC.load_models(dom.coefficients, dom.intercepts)
+        models = SC.load_models(dom.coefficients, dom.intercepts, SC.default_feature_order(product_ids(dom)))
         _FITS[key] = (scaler, models)
     return _FITS[key]
 
@@ -93,13 +99,13 @@ def encoded(dom: Domain) -> DataFrame:
 
 def scored(dom: Domain, keep_owned: bool = False) -> DataFrame:
     _, models = fitted(dom)
-    return SC.score_products(encoded(dom), models, keep_owned=keep_owned)
+    return SC.score_products(encoded(dom), models, product_ids(dom), keep_owned=keep_owned)
 
 
 def candidates(dom: Domain) -> DataFrame:
     """(cust_id, cands): every customer's scored candidates on its own row."""
     _, models = fitted(dom)
-    return SC.candidate_arrays(encoded(dom), models)
+    return SC.candidate_arrays(encoded(dom), models, product_ids(dom))
 
 
 def topk_recs(dom: Domain, k: int = 3) -> DataFrame:
@@ -125,11 +131,12 @@ def q_features(spark, sf_dir):
 
 @query("encoded_features", O.sql(
     "select cust_id, age_bucket_encoded, round(revenue, 9) as revenue, round(credit_score, 9) as credit_score, "
-    + ", ".join(f"has_{p}" for p in R.PRODUCT_IDS) + " from fx_encoded", "fx_encoded"))
+    + ", ".join(f"has_{p}" for p in O.PIDS) + " from fx_encoded", "fx_encoded"))
 def q_encoded(spark, sf_dir):
-    e = encoded(domain(spark, sf_dir))
+    dom = domain(spark, sf_dir)
+    e = encoded(dom)
     return e.select("cust_id", "age_bucket_encoded", F.round("revenue", 9).alias("revenue"),
-                    F.round("credit_score", 9).alias("credit_score"), *[f"has_{p}" for p in R.PRODUCT_IDS])
+                    F.round("credit_score", 9).alias("credit_score"), *[f"has_{p}" for p in product_ids(dom)])
 
 
 # ---------------------------------------------------------------------------
@@ -401,7 +408,7 @@ def q_credit_risk_dist(spark, sf_dir):
 
 
 _STACK_FLAGS = " union all ".join(
-    f"select {p} as prod_id, has_{p} as label from fx_features" for p in R.PRODUCT_IDS)
+    f"select {p} as prod_id, has_{p} as label from fx_features" for p in O.PIDS)
 
 
 @query("class_balance", O.sql(f"""
@@ -411,7 +418,8 @@ select prod_id, label, customers,
 from (select prod_id, label, count(*) as customers from ({_STACK_FLAGS}) s group by prod_id, label) t""",
                               "fx_features"))
 def q_class_balance(spark, sf_dir):
-    return PF.class_balance(features(domain(spark, sf_dir)))
+    dom = domain(spark, sf_dir)
+    return PF.class_balance(features(dom), product_ids(dom))
 
 
 # ---------------------------------------------------------------------------
@@ -473,7 +481,7 @@ def q_recommend_reasons(spark, sf_dir):
     # income and age bucket ride along from the customer's own feature row
     scaler, models = fitted(dom)
     raw = features(dom).withColumns({"_revenue": F.col("revenue"), "_age": F.col("age_bucket")})
-    cands = SC.candidate_arrays(FE.encode_features(raw, scaler), models, keep=("_revenue", "_age"))
+    cands = SC.candidate_arrays(FE.encode_features(raw, scaler), models, product_ids(dom), keep=("_revenue", "_age"))
     recs = (RC.scenario_rows(cands, list(R.SCENARIOS), 5, keep=("_revenue", "_age"))
             .join(RC.catalogue(dom.products).select("prod_id", "name"), "prod_id"))
     out = RC.with_reason(recs, None, R.reason_templates(spark), scenario_col="scenario")
@@ -502,7 +510,7 @@ def _xai(dom: Domain) -> DataFrame:
     from the customer's own row, so no join back to the feature table."""
     _, models = fitted(dom)
     feats = list(models.features)
-    cands = SC.candidate_arrays(encoded(dom), models, keep=feats)
+    cands = SC.candidate_arrays(encoded(dom), models, product_ids(dom), keep=feats)
     rows = RC.topk_rows(cands, 3, keep=feats).withColumnRenamed("rank", "rec_rank")
     return SC.contributions(rows, models)
 
@@ -545,7 +553,7 @@ def q_xai_top5(spark, sf_dir):
     dom = domain(spark, sf_dir)
     _, models = fitted(dom)
     feats = list(models.features)
-    rows = RC.topk_rows(SC.candidate_arrays(encoded(dom), models, keep=feats), 3, keep=feats)
+    rows = RC.topk_rows(SC.candidate_arrays(encoded(dom), models, product_ids(dom), keep=feats), 3, keep=feats)
     out = SC.top_contribution_rows(rows, models, SC.feature_labels(dom.products), 5)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
@@ -553,8 +561,6 @@ def q_xai_top5(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Cross-sell, upsell, coverage
 # ---------------------------------------------------------------------------
-from ledgerlens.operators import crosssell as CS  # noqa: E402
-
 
 def _cs(dom: Domain):
     cs = CS.CrossSell(CS.catalogue_rows(dom.products))
@@ -761,7 +767,7 @@ _TRAINED: dict[tuple[str, str, str], object] = {}
 
 def build_splits(dom: Domain) -> DataFrame:
     """M4 from the feature table (the plan that builds the split)."""
-    return MD.product_splits(features(dom))
+    return MD.product_splits(features(dom), product_ids(dom))
 
 
 _SPLIT_TABLES: dict[tuple[str, str], DataFrame] = {}
@@ -785,7 +791,7 @@ def predictions(dom: Domain) -> DataFrame:
 
 
 _UNPIVOT = " union all ".join(f"select cust_id, {p} as prod_id, has_{p} as label from fx_features"
-                              for p in R.PRODUCT_IDS)
+                              for p in O.PIDS)
 O.block("fx_split", ("fx_features",), f"""
 select cust_id, prod_id, label,
        case when row_number() over (partition by prod_id, label
@@ -876,7 +882,8 @@ select prod_id, feature, coefficient, abs(coefficient) as abs_coefficient,
        case when coefficient > 0 then 'up' else 'down' end as direction
 from fx_coefficients""", "fx_coefficients"))
 def q_feature_importance(spark, sf_dir):
-    return MD.feature_importance(domain(spark, sf_dir).coefficients)
+    dom = domain(spark, sf_dir)
+    return MD.feature_importance(dom.coefficients, SC.default_feature_order(product_ids(dom)))
 
 
 @query("model_roundtrip", O.sql("""
@@ -894,8 +901,10 @@ def q_model_roundtrip(spark, sf_dir):
 def trained(dom: Domain, which: str = "multi"):
     key = (dom.spark.sparkContext.applicationId, dom.sf_dir, which)
     if key not in _TRAINED:
+        pids = product_ids(dom)
         if which == "multi":
-            _TRAINED[key] = MD.train_models(encoded(dom), splits(dom), C=2.0)
+            _TRAINED[key] = MD.train_models(encoded(dom), splits(dom), pids, C=2.0,
+                                            feature_order=SC.default_feature_order(pids))
         else:  # single product 102 with the reduced feature list, C = 1
             feats = ["age_bucket_encoded", "revenue", "credit_score", "has_101", "has_103", "has_104",
                      "has_105", "has_106"]
@@ -917,7 +926,7 @@ def q_train_single(spark, sf_dir):
 @query("scores_trained")
 def q_scores_trained(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    return SC.score_products(encoded(dom), trained(dom, "multi")).select("cust_id", "prod_id", "score")
+    return SC.score_products(encoded(dom), trained(dom, "multi"), product_ids(dom)).select("cust_id", "prod_id", "score")
 
 
 # ---------------------------------------------------------------------------
@@ -1133,7 +1142,7 @@ select m.msg_id, regexp_extract(m.text, '(\\d+)', 1) as customer_ref,
          (select min(p.prod_id) from fx_products p where contains(lower(m.text), lower(p.name))),
          try_cast(list_filter(regexp_extract_all(m.text, '(\\d+)', 1),
                               lambda x: list_contains(%s, try_cast(x as bigint)))[1] as int)) as int) as prod_id
-from fx_messages m""" % ("[" + ", ".join(str(p) for p in R.PRODUCT_IDS) + "]"), "fx_messages", "fx_products"))
+from fx_messages m""" % ("[" + ", ".join(str(p) for p in O.PIDS) + "]"), "fx_messages", "fx_products"))
 def q_msg_entities(spark, sf_dir):
     dom = domain(spark, sf_dir)
     return MS.entities(dom.messages, CS.catalogue_rows(dom.products))
@@ -1238,7 +1247,7 @@ from (select msg_id, {_intent_sql("lower(coalesce(text, ''))", FIXTURE_INTENT_RU
              cast(coalesce(
                (select min(p.prod_id) from fx_products p where contains(lower(text), lower(p.name))),
                try_cast(list_filter(regexp_extract_all(text, '(\\d+)', 1),
-                        lambda x: list_contains({"[" + ", ".join(str(p) for p in R.PRODUCT_IDS) + "]"},
+                        lambda x: list_contains({"[" + ", ".join(str(p) for p in O.PIDS) + "]"},
                                                 try_cast(x as bigint)))[1] as int)) as int) as pid
       from fx_messages) m
 left join (select cust_id, string_agg(cast(prod_id as varchar), ',' order by rank) as payload

@@ -8,9 +8,9 @@ Spark results; every computed column is cast explicitly on both sides.
 from __future__ import annotations
 
 from ledgerlens.plans import rules as R
-from ledgerlens.sources.fixtures import duckdb_text
+from ledgerlens.sources.fixtures import ORACLE_PRODUCT_IDS, duckdb_text
 
-PIDS = R.PRODUCT_IDS
+PIDS = ORACLE_PRODUCT_IDS
 FEATURE_ORDER = R.BASE_FEATURES + [f"has_{p}" for p in PIDS]
 
 # Shared CTE bodies (names -> SQL).  Dependencies are resolved by `sql()`.

@@ -42,7 +42,7 @@ select distinct 100 + cast(substr(p_brand, 7) as int) as prod_id,
        25e0 * cast(substr(p_brand, 7) as int) + 1e1 as price,
        case cast(substr(p_brand, 7) as int) when 7 then 385e-2 when 8 then 425e-2 when 9 then 495e-2
             when 10 then 345e-2 end as interest_rate
-from {part} where cast(substr(p_brand, 7) as int) <= 10""",
+from {part}""",
     "fx_ownership": """
 select cust_id, prod_id, since_date,
        case when prod_id >= 107 then 1e5 + 1e3 * ((cust_id * 131 + prod_id) % 700) end as deal_volume,
@@ -52,7 +52,6 @@ select cust_id, prod_id, since_date,
 from (select o_custkey as cust_id, 100 + cast(substr(p_brand, 7) as int) as prod_id,
              cast(min(o_orderdate) as date) as since_date
       from {orders} join {lineitem} on o_orderkey = l_orderkey join {part} on l_partkey = p_partkey
-      where cast(substr(p_brand, 7) as int) <= 10 and o_orderpriority = '1-URGENT'
       group by o_custkey, 100 + cast(substr(p_brand, 7) as int)) t""",
     "fx_sales": """
 select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-', cast(l_partkey as string)) as sale_id,
@@ -62,8 +61,7 @@ select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string), '-'
        case o_orderstatus when 'F' then 'closed' when 'P' then 'rejected'
             else case when l_linenumber % 2 = 0 then 'postponed' else 'in_progress' end end as decision,
        case when l_linenumber % 3 = 0 then null else o_orderpriority end as reason
-from {orders} join {lineitem} on o_orderkey = l_orderkey join {part} on l_partkey = p_partkey
-where cast(substr(p_brand, 7) as int) <= 10""",
+from {orders} join {lineitem} on o_orderkey = l_orderkey join {part} on l_partkey = p_partkey""",
     "fx_chat_messages": """
 select conv_id % 20 as customer_id, cast(conv_id as string) as session_id, conv_id as seq,
        cast('2024-01-01' as date) + cast((conv_id * 37) % 400 as int) as session_date,
@@ -75,16 +73,15 @@ select o_orderkey as request_id, o_custkey as cust_id,
 from {orders}""",
     "fx_coefficients": """
 select prod_id, feature, (((prod_id * 7 + pos * 13) % 21) - 10) / 1e1 as coefficient
-from (select distinct 100 + cast(substr(p_brand, 7) as int) as prod_id from {part}
-      where cast(substr(p_brand, 7) as int) <= 10) p
-cross join (values ('age_bucket_encoded', 0), ('revenue', 1), ('credit_score', 2), ('has_101', 3), ('has_102', 4),
-      ('has_103', 5), ('has_104', 6), ('has_105', 7), ('has_106', 8), ('has_107', 9), ('has_108', 10),
-      ('has_109', 11), ('has_110', 12)) as f(feature, pos)
+from (select distinct 100 + cast(substr(p_brand, 7) as int) as prod_id from {part}) p
+cross join (select * from (values ('age_bucket_encoded', 0), ('revenue', 1), ('credit_score', 2)) as b(feature, pos)
+      union all select distinct concat('has_', cast(100 + cast(substr(p_brand, 7) as int) as string)),
+             2 + cast(substr(p_brand, 7) as int) from {part}) f
 where feature <> concat('has_', cast(prod_id as string))""",
     "fx_intercepts": """
 select distinct 100 + cast(substr(p_brand, 7) as int) as prod_id,
        (((100 + cast(substr(p_brand, 7) as int)) * 3) % 11 - 5) / 1e1 as intercept
-from {part} where cast(substr(p_brand, 7) as int) <= 10""",
+from {part}""",
     # Product look-up requests: ids, upper-cased names and unknown names mixed.
     "fx_product_requests": """
 select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as request_id,
@@ -98,6 +95,10 @@ select doc_id as msg_id, text, doc_id % 20 as context_customer_id
 from {documents}""",
 }
 
+# Products of the driver's catalogue (its 25 brands): the columns that the
+# oracle SQL spells out.  Spark takes them from fx_products.
+ORACLE_PRODUCT_IDS = range(101, 126)
+
 _PLACEHOLDER = re.compile(r"\{(\w+)\}")
 
 
