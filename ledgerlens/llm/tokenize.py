@@ -3,8 +3,9 @@
 Byte-pair encoding never merges across pre-tokens, and a space between two
 characters that are not white space always starts a new pre-token.  A text is
 therefore cut at such spaces, and the ids of each unit are looked up; only new
-units go through the tokenizer's own normaliser, pre-tokeniser and model.  Ids
-equal those of encoding the whole text; the tests compare both.
+units go through the tokenizer's own normaliser, pre-tokeniser and model.  A
+text that contains the string of an added token is encoded whole by the
+tokenizer.  Ids equal those of encoding the whole text; the tests compare both.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        tokenizer.encode_special_tokens = True  # TextEncoder keeps their strings away
         normaliser = tokenizer.normalizer
         self.normalise = normaliser.normalize_str if normaliser else (lambda text: text)
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
@@ -83,13 +84,50 @@ class UnitEncoder:
         return [b"".join([first(head), *map(known, units)]) for head, units in zip(heads, cut, strict=True)]
 
 
-_ENCODERS: dict[str, UnitEncoder] = {}
+class TextEncoder:
+    """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them:
+    a text with the string of an added token goes through the tokenizer itself,
+    which maps it, and all others through the cache of units."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.plain = UnitEncoder(path)
+        tokens = self.tokenizer.get_added_tokens_decoder().values()
+        # A token with normalized=True is looked for in the normalised text.
+        self.raw = _any_of(t.content for t in tokens if not t.normalized)
+        normalise = self.plain.normalise
+        self.normalised = _any_of(normalise(t.content) for t in tokens if t.normalized)
+
+    def has_added(self, text: str) -> bool:
+        return bool(self.raw and self.raw.search(text)
+                    or self.normalised and self.normalised.search(self.plain.normalise(text)))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        added = [k for k, text in enumerate(texts) if self.has_added(text)]
+        if not added:
+            return self.plain.encode_batch(texts)
+        direct = dict.fromkeys(added, b"")
+        for k in added:
+            ids = self.tokenizer.encode(texts[k], add_special_tokens=False).ids
+            direct[k] = array("I", ids).tobytes()
+        rest = iter(self.plain.encode_batch([text for k, text in enumerate(texts) if k not in direct]))
+        return [direct[k] if k in direct else next(rest) for k in range(len(texts))]
+
+
+def _any_of(strings) -> re.Pattern | None:
+    found = sorted({s for s in strings if s}, key=len, reverse=True)
+    return re.compile("|".join(map(re.escape, found))) if found else None
+
+
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder(path: str) -> UnitEncoder:
+def encoder(path: str) -> TextEncoder:
     """The worker process's encoder for a vocabulary file."""
     if path not in _ENCODERS:
-        _ENCODERS[path] = UnitEncoder(path)
+        _ENCODERS[path] = TextEncoder(path)
     return _ENCODERS[path]
 
 
