@@ -1,4 +1,4 @@
-"""License scan (DataFrame functions only, no shuffle).
+"""License scan (DataFrame functions only; no shuffle of texts).
 
 Texts and templates are cut into words of letters and digits, lower-cased, and
 into shingles of five words.  Overlapping windows of ``2 * BLOCK`` shingles, one
@@ -11,8 +11,12 @@ again.  Templates below ``BLOCK`` shingles use windows of one shingle, whose
 signature is the shingle itself: at a containment of 0.8 they can't be missed.
 
 A retrieved template matches if at least ``THRESHOLD`` of its shingles stand in
-the text (exact containment).  Templates are a parameter: a list of bounded
-size that the plan holds as literals.
+the text (exact containment).  Sibling licenses share most of their wording, so
+with ``best`` a match is dropped if another template matches better (by
+containment, then by shared shingles) and covers all shingles of this match; a
+text with both notices keeps both.  Only matches are shuffled for that.
+Templates are a parameter: a list of bounded size that the plan holds as
+literals.
 
 Defined cases: a null text, or one of fewer than five words, has no match; a
 template of fewer than five words is refused; a license repeated in a text is
@@ -51,6 +55,46 @@ TEMPLATES = (
                 "General Public License as published by the Free Software Foundation, either version 3 of the "
                 "License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This work is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                "General Public License as published by the Free Software Foundation; either version 2 of the "
+                "License, or (at your option) any later version."),
+    ("LGPL-2.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Library General Public License as published by the Free Software Foundation; either version 2 of "
+                 "the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation; either version 2.1 of "
+                 "the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Lesser General Public License as published by the Free Software Foundation, either version 3 of "
+                 "the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+                 "Affero General Public License as published by the Free Software Foundation, either version 3 of "
+                 "the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted, provided that the above copyright notice and this permission notice appear in all "
+            "copies."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International "
+                     "License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 "
+                        "International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International "
+                     "License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+                        "International License."),
+    ("CC0-1.0", "To the extent possible under law, the person who associated CC0 with this work has waived all "
+                "copyright and related or neighboring rights to this work."),
+    ("EPL-1.0", "This program and the accompanying materials are made available under the terms of the Eclipse "
+                "Public License v1.0 which accompanies this distribution, and is available at "
+                "http://www.eclipse.org/legal/epl-v10.html"),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse "
+                "Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
 )
 
 
@@ -142,24 +186,40 @@ def _owners(keys: Column, owners: dict[int, set[int]]) -> Column:
     return F.flatten(F.transform(F.array_intersect(keys, _longs(owners)), lambda k: table[k]))
 
 
-def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def _best(matched: DataFrame) -> DataFrame:
+    """Drops a match whose shared shingles a better match of its row covers."""
+    rows = matched.groupBy("row").agg(F.collect_list(F.struct(*(c for c in matched.columns if c != "row"))).alias("m"))
+
+    def beaten(x):
+        return F.exists("m", lambda y: (
+            (F.struct(y["containment"], y["shared"]) > F.struct(x["containment"], x["shared"]))
+            & (F.size(F.array_except(x["both"], y["both"])) == 0)))
+    return rows.select(F.inline(F.filter("m", lambda x: ~beaten(x))))
+
+
+def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, best: bool = False) -> DataFrame:
     """``doc_id, license, template, containment, shared, template_shingles,
-    first_shingle`` per text and matching template."""
+    first_shingle`` per text and matching template, with ``best`` without the
+    matches that a better one explains."""
     table = Templates(docs.sparkSession, templates)
     # Exploding an array of one element computes the shingles once for all uses;
     # a plain column would be copied into each of them by the optimiser.
-    cut = docs.select("doc_id", F.explode(F.array(shingles(F.col("text")))).alias("s"))
+    row = [F.monotonically_increasing_id().alias("row")] if best else []
+    cut = docs.select("doc_id", *row, F.explode(F.array(shingles(F.col("text")))).alias("s"))
+    row = ["row"] if best else []
     found = F.array_distinct(F.concat(_owners(F.col("s"), table.by_shingle),
                                       _owners(window_keys("s", F.size("s")), table.by_band)))
     found = F.when(F.size("s") > 0, found)
-    retrieved = cut.select("doc_id", "s", F.explode_outer(found).alias("hit")).filter("hit IS NOT NULL")
+    retrieved = cut.select("doc_id", *row, "s", F.explode_outer(found).alias("hit")).filter("hit IS NOT NULL")
     spans = F.array(*(F.struct(F.lit(i).alias("template"), F.lit(table.licenses[i]).alias("license"),
                                _longs(s).alias("ts")) for i, s in sorted(table.shingles.items())))
     hits = retrieved.withColumn("t", spans[F.col("hit")])
-    matched = hits.select("doc_id", "s", F.col("t.license").alias("license"), F.col("t.template").alias("template"),
+    matched = hits.select("doc_id", *row, "s", F.col("t.license").alias("license"), F.col("t.template").alias("template"),
                           F.array_intersect("t.ts", "s").alias("both"), F.size("t.ts").alias("template_shingles"))
     shared = F.size("both")
     first = F.array_min(F.transform("both", lambda h: F.array_position("s", h)))
-    return matched.filter(shared >= F.lit(threshold) * F.col("template_shingles")).select(
-        "doc_id", "license", "template", (shared / F.col("template_shingles")).alias("containment"),
-        shared.alias("shared"), "template_shingles", (first - 1).cast("int").alias("first_shingle"))
+    found = matched.filter(shared >= F.lit(threshold) * F.col("template_shingles")).select(
+        "doc_id", *row, "license", "template", (shared / F.col("template_shingles")).alias("containment"),
+        shared.alias("shared"), "template_shingles", (first - 1).cast("int").alias("first_shingle"),
+        *(["both"] if best else []))
+    return _best(found).drop("both") if best else found

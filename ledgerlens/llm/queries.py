@@ -56,7 +56,7 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(documents(spark, sf_dir))
+    return license_scan(documents(spark, sf_dir), best=True)
 
 
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
