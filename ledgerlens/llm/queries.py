@@ -16,6 +16,7 @@ from ledgerlens.llm.line_dedup import line_dedup
 from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix_documents
 from ledgerlens.llm.packing import pack_documents
+from ledgerlens.llm.periodic import periodic_runs
 from ledgerlens.llm.quality import BASE, quality_rules
 from ledgerlens.llm.sharding import shard_documents
 from ledgerlens.llm.token_file import read_token_file, write_token_file
@@ -67,10 +68,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), digest_all=True)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(documents(spark, sf_dir), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_quality_rules, op3_line_dedup, op4_minhash_near_dedup, op5_token_file,
-        op6_language_id, op7_source_mix, op8_license_scan, op9_hilbert_shards, op10_exact_dedup)}
+        op6_language_id, op7_source_mix, op8_license_scan, op9_hilbert_shards, op10_exact_dedup,
+        op13_periodic_runs)}
 
 # Queries not listed here are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
