@@ -1,4 +1,5 @@
-"""One registered query per operator, over the whole ``documents`` table."""
+"""One registered query per operator, over the whole ``documents`` or
+``conversations`` table."""
 
 from __future__ import annotations
 
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import documents
+from ledgerlens.llm.conversations import damaged, repair_conversations
 from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.language_id import language_id
 from ledgerlens.llm.licenses import license_scan
@@ -68,6 +70,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), digest_all=True)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(damaged(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(documents(spark, sf_dir), plant=True)
 
@@ -76,7 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_quality_rules, op3_line_dedup, op4_minhash_near_dedup, op5_token_file,
         op6_language_id, op7_source_mix, op8_license_scan, op9_hilbert_shards, op10_exact_dedup,
-        op13_periodic_runs)}
+        op11_conversation_repair, op13_periodic_runs)}
 
 # Queries not listed here are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
