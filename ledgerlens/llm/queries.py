@@ -15,6 +15,7 @@ from ledgerlens.llm.exact_dedup import exact_dedup
 from ledgerlens.llm.language_id import language_id
 from ledgerlens.llm.licenses import license_scan
 from ledgerlens.llm.line_dedup import line_dedup
+from ledgerlens.llm.maxent import maxent_scores
 from ledgerlens.llm.minhash import near_duplicates
 from ledgerlens.llm.mixing import mix_documents
 from ledgerlens.llm.packing import pack_documents
@@ -74,6 +75,10 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(damaged(spark.read.parquet(f"{sf_dir.rstrip('/')}/conversations.parquet")))
 
 
+def op12_maxent_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_scores(documents(spark, sf_dir))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(documents(spark, sf_dir), plant=True)
 
@@ -82,7 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_quality_rules, op3_line_dedup, op4_minhash_near_dedup, op5_token_file,
         op6_language_id, op7_source_mix, op8_license_scan, op9_hilbert_shards, op10_exact_dedup,
-        op11_conversation_repair, op13_periodic_runs)}
+        op11_conversation_repair, op12_maxent_scores, op13_periodic_runs)}
 
 # Queries not listed here are tested against brute force in tests/llm.
 ORACLE: dict[str, str] = {
