@@ -55,7 +55,11 @@ HEAD = HEAD_CLASSES * CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 #: Size of the weight tables.
 TOKENS_PER_ROW, MIN_BITS, MAX_BITS = 2048, 10, 16
-ROUNDS, STEP, MINI_BATCH = 2, 0.25, 2048
+ROUNDS, STEP, MINI_BATCH = 2, 0.1, 4096
+LARGEST = np.float32(40)
+_OFTEN = 24
+#: Characters that are cut into tokens together, few enough for a processor's cache.
+_CHARS = 200_000
 #: Characters of a block of texts, and of the texts that a training task reads.
 BLOCK_CHARS, TASK_CHARS = 8 << 20, 64 << 20
 
@@ -127,11 +131,11 @@ class Model:
                          mixed(second * _ODD ^ _KINDS[2])], axis=1)
 
     def class_rows(self, features: np.ndarray) -> np.ndarray:
-        return (features >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (features >> np.uint64(64 - self.bits)).astype(np.uint16)
 
     def word_rows(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
         own = mixed(classes.astype(np.uint64) + np.uint64(1))[:, None]
-        return (mixed(features ^ own) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (mixed(features ^ own) >> np.uint64(64 - self.bits)).astype(np.uint16)
 
 
 def _logits(table: np.ndarray, rows: np.ndarray, constant: np.ndarray) -> np.ndarray:
@@ -143,11 +147,13 @@ def _logits(table: np.ndarray, rows: np.ndarray, constant: np.ndarray) -> np.nda
 
 
 def _softmax_of(logits: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Natural logarithm of each row's outcome; the exponentials, their sums."""
-    logits -= logits.max(axis=1, keepdims=True)
+    """Natural logarithm of each row's outcome; the exponentials, their sums.
+    The constants are logarithms of shares, so that only weights could make a
+    large sum; ``LARGEST`` bounds it alike in training and scoring."""
+    np.minimum(logits, LARGEST, out=logits)
     at = logits[np.arange(len(logits)), outcome]
-    powers = np.exp(logits)
-    total = powers.sum(axis=1)
+    powers = np.exp(logits, out=logits)
+    total = powers @ np.ones(powers.shape[1], np.float32)
     return at - np.log(total), powers, total
 
 
@@ -170,6 +176,26 @@ def log_chances(model: Model, owner: np.ndarray, value: np.ndarray, tail: np.nda
     return out
 
 
+def _sums_by_row(rows: np.ndarray, slope: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct rows (token x feature), the sum of the slopes of the tokens
+    that name each, and how many do."""
+    flat = rows.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    flat = flat[order]
+    first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    counts = np.diff(np.concatenate([first, [len(flat)]]))
+    falling = np.argsort(-counts, kind="stable")
+    first, counts, order = first[falling], counts[falling], order // rows.shape[1]
+    sums = slope.take(order[first], axis=0)
+    often = int(np.searchsorted(-counts, -_OFTEN, side="left"))
+    for k in range(often):
+        sums[k] = slope[order[first[k] : first[k] + counts[k]]].sum(axis=0)
+    for nth in range(1, int(counts[often]) if often < len(counts) else 0):
+        more = int(np.searchsorted(-counts, -nth, side="left"))
+        sums[often:more] += slope.take(order[first[often:more] + nth], axis=0)
+    return flat[first], sums, counts
+
+
 class Learner:
     """Gradient steps of one task on a copy of the weights."""
 
@@ -181,12 +207,10 @@ class Learner:
         self.met = [np.zeros(n, np.int64) for _ in self.tables]
 
     def _step(self, which: int, rows: np.ndarray, powers: np.ndarray, total: np.ndarray, outcome: np.ndarray) -> None:
-        slope = powers / -total[:, None]
+        slope = powers
+        slope *= (-1 / total)[:, None]
         slope[np.arange(len(slope)), outcome] += 1
-        flat = rows.reshape(-1)
-        order = np.argsort(flat, kind="stable")
-        found, first, counts = np.unique(flat[order], return_index=True, return_counts=True)
-        change = np.add.reduceat(slope[order // rows.shape[1]], first, axis=0)
+        found, change, counts = _sums_by_row(rows, slope)
         squares = self.squares[which]
         squares[found] += np.einsum("ij,ij->i", change, change) / change.shape[1]
         self.tables[which][found] += change * (STEP / np.sqrt(squares[found]))[:, None]
@@ -220,18 +244,21 @@ class Learner:
 
 
 # ------------------------------------------------------------- passes over the texts
-def _blocks(batches):
-    """Adds the number of a block within the task."""
-    block = size = 0
-    for batch in batches:
-        numbers = []
-        for text in batch.column(1).to_pylist():
-            numbers.append(block)
-            size += len(text or "")
-            if size >= BLOCK_CHARS:
-                block, size = block + 1, 0
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())],
-                                         names=["doc_id", "text", "part", "run"])
+def _blocks(chars: int):
+    """Adds the number of a block of about ``chars`` characters within the task."""
+    def number(batches):
+        block = size = 0
+        for batch in batches:
+            numbers = []
+            for text in batch.column(1).to_pylist():
+                numbers.append(block)
+                size += len(text or "")
+                if size >= chars:
+                    block, size = block + 1, 0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers, pa.int64())],
+                                             names=["doc_id", "text", "part", "run"])
+
+    return number
 
 
 def _counts(batches):
@@ -242,13 +269,18 @@ def _counts(batches):
             piece = batch.slice(first[0], first[1] - first[0])
             learn = training(piece.column("doc_id").to_pylist())
             texts = piece.column("text").to_pylist()
-            for lo, hi in text_runs([t or "" for t in texts], BLOCK_CHARS):
+            found = []
+            for lo, hi in text_runs([t or "" for t in texts], _CHARS):
                 owner, value, tail = tokens(texts[lo:hi])
                 kinds, first_at, place = np.unique(value, return_index=True, return_inverse=True)
                 n = np.bincount(place, weights=learn[lo:hi][owner], minlength=len(kinds)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(kinds), block)), pa.array(kinds.view(np.int64)), pa.array(tail[first_at]), pa.array(n)],
-                    names=["block", "word", "tail", "n"])
+                found.append((kinds, tail[first_at], n))
+            value, tail, n = (np.concatenate(c) for c in zip(*found, strict=True))
+            kinds, first_at, place = np.unique(value, return_index=True, return_inverse=True)
+            n = np.bincount(place, weights=n, minlength=len(kinds)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(kinds), block)), pa.array(kinds.view(np.int64)), pa.array(tail[first_at]), pa.array(n)],
+                names=["block", "word", "tail", "n"])
 
 
 def _runs_of_blocks(column):
@@ -272,7 +304,7 @@ def _train(sent, round_of: int):
                       if ok and zlib.crc32(f"round {i}".encode()) % ROUNDS == round_of]
             if chosen and learner is None:
                 learner = Learner(sent.value)
-            for lo, hi in text_runs([t or "" for t in chosen]):
+            for lo, hi in text_runs([t or "" for t in chosen], _CHARS):
                 learner.learn(*tokens(chosen[lo:hi]))
         if learner is not None:
             rows = [(w, c, m, d) for w, c, m, d in learner.changes(PER_CHUNK)]
@@ -315,7 +347,7 @@ def _score(sent, id_type):
         known, count = known[order], words.column("c").to_numpy()[order]
         whole = model.tokens + model.kinds + 1
         columns = []
-        for lo, hi in text_runs([t or "" for t in docs]):
+        for lo, hi in text_runs([t or "" for t in docs], _CHARS):
             owner, value, tail = tokens(docs[lo:hi])
             c = count[np.searchsorted(known, value)]
             base = np.log10((c + 1) / whole)
@@ -353,9 +385,9 @@ def _model(counts: DataFrame) -> Model:
         places_of[r.tail] -= 1
     classes = np.zeros(((1 << bits) + 1, CLASSES), np.float32)
     weight = np.concatenate([frequency.sum(axis=1), places + places_of])
-    classes[-1] = np.log(np.maximum(weight, 1e-9))
+    classes[-1] = np.log(np.maximum(weight, 1e-9) / weight.sum())
     words = np.zeros(((1 << bits) + HEAD_CLASSES, CLASS_WORDS), np.float32)
-    words[1 << bits :] = np.log(np.maximum(frequency, 1e-9))
+    words[1 << bits :] = np.log(np.maximum(frequency, 1e-9) / np.maximum(frequency.sum(axis=1, keepdims=True), 1))
     hashes = np.array([r.word for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
     return Model(hashes[order], order, bits, classes, words, np.log(places + places_of), n, kinds)
@@ -383,13 +415,13 @@ def trained(texts: DataFrame, counts: DataFrame, chars: int) -> Model:
     return model
 
 
-def maxent_scores(docs: DataFrame) -> DataFrame:
+def maxent_scores(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``
     per row of ``docs``."""
     spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
     placed = docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(
-        _blocks, f"doc_id {id_type}, text string, part long, run long")
+        _blocks(block_chars), f"doc_id {id_type}, text string, part long, run long")
     placed = staged(placed.select("doc_id", "text", F.shiftleft("part", 32).bitwiseOR(F.col("run")).alias("block")), "lm-texts")
     words = staged(placed.mapInArrow(_counts, "block long, word long, tail long, n long"), "lm-words")
     counts = staged(words.groupBy("word", "tail").agg(F.sum("n").alias("c")), "lm-counts")
