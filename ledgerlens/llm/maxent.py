@@ -25,8 +25,9 @@ met the row, and the mean makes the next weights.  The tables have a row per
 sent to the tasks (at most 2 * 2 ** MAX_BITS * 64 * 4 bytes = 32 MB).
 
 The word counts of the corpus are a distributed table that grows with it.  Texts
-lie in blocks of about ``BLOCK_CHARS`` characters; a block gets the counts of its own words
-by a join, not the whole table.
+lie in blocks of about ``BLOCK_CHARS`` characters.  A block's words, with their
+counts in it, meet those of the other blocks in a window by word, and go back to
+it with the sum: no task holds more than the words of a block.
 
 Defined cases: null and empty texts consist of the end token; a null id trains
 (it has no remainder); without a training text all counts are 0, the base score
@@ -38,11 +39,11 @@ from __future__ import annotations
 
 import math
 import zlib
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import staged
@@ -54,25 +55,26 @@ HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 64, 32
 HEAD = HEAD_CLASSES * CLASS_WORDS
 CLASSES = HEAD_CLASSES + TAIL_CLASSES
 #: Size of the weight tables.
-TOKENS_PER_ROW, MIN_BITS, MAX_BITS = 2048, 10, 16
+TOKENS_PER_ROW, MIN_BITS, MAX_BITS = 8192, 10, 16
 ROUNDS, STEP, MINI_BATCH = 2, 0.1, 4096
 LARGEST = np.float32(40)
 _OFTEN = 24
 #: Characters that are cut into tokens together, few enough for a processor's cache.
 _CHARS = 200_000
 #: Characters of a block of texts, and of the texts that a training task reads.
-BLOCK_CHARS, TASK_CHARS = 8 << 20, 64 << 20
+BLOCK_CHARS, TASK_CHARS = 32 << 20, 256 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _END, _BEGIN = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 _KINDS = np.array([0xA24BAED4963EE407, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
+_HASH = ~np.uint64(TAIL_CLASSES - 1)  # TAIL_CLASSES is a power of two
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Text number, hash and tail class of every token; each text ends in the
-    end token."""
+def tokens(texts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of every token; each text ends in the end token.
+    The lowest bits of a hash are the tail class of its word."""
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     limits = np.cumsum([len(p) + 1 for p in parts])
     data = _LOWER[np.frombuffer(b"\n".join(parts) + b"\n", np.uint8)]
@@ -80,7 +82,7 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     apart = _SEPARATOR[data]
     end = np.flatnonzero(apart & ~np.concatenate([[True], apart[:-1]]))
     last = data[end - 1].astype(np.uint64) * np.uint64(256) + np.where(end - begin > 1, data[end - 2], 0).astype(np.uint64)
-    tail = mixed(last * _ODD) % np.uint64(TAIL_CLASSES)
+    value = value & _HASH | mixed(last * _ODD) & ~_HASH
     owner = np.searchsorted(limits, begin, side="right")
     # The end tokens go behind the words of their texts.
     count = np.bincount(owner, minlength=len(parts))
@@ -88,11 +90,14 @@ def tokens(texts: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(owner) + len(parts)
     words = np.ones(n, bool)
     words[closes] = False
-    out = np.empty(n, np.int64), np.full(n, _END, np.uint64), np.zeros(n, np.int64)
-    for column, found in zip(out, (owner, value, tail), strict=True):
-        column[words] = found
-    out[0][closes] = np.arange(len(parts))
-    return out
+    owners, values = np.empty(n, np.int64), np.full(n, _END & _HASH, np.uint64)
+    owners[words], values[words] = owner, value
+    owners[closes] = np.arange(len(parts))
+    return owners, values
+
+
+def tail_class(value: np.ndarray) -> np.ndarray:
+    return (value & ~_HASH).astype(np.int64)
 
 
 def training(ids: list) -> np.ndarray:
@@ -105,7 +110,8 @@ class Model:
     """What scoring sends to the tasks; its size has a documented bound."""
 
     head: np.ndarray      # hashes of the head words, sorted
-    outcome: np.ndarray   # and their places by frequency
+    outcome: np.ndarray   # their places by frequency
+    count: np.ndarray     # and their training counts
     bits: int             # of the rows of the weight tables
     classes: np.ndarray   # weights of the classes, and their constants in the last row
     words: np.ndarray     # weights of the words in a head class, then the constants of each class
@@ -113,12 +119,12 @@ class Model:
     tokens: int           # training tokens
     kinds: int            # and distinct ones
 
-    def outcomes(self, value: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    def outcomes(self, value: np.ndarray) -> np.ndarray:
         """Place of head words, ``HEAD`` and more for the class of the others."""
         if not len(self.head):
-            return HEAD + tail
+            return HEAD + tail_class(value)
         at = np.minimum(np.searchsorted(self.head, value), len(self.head) - 1)
-        return np.where(self.head[at] == value, self.outcome[at], HEAD + tail)
+        return np.where(self.head[at] == value, self.outcome[at], HEAD + tail_class(value))
 
     def features(self, owner: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Hash of each feature of every token's history (token x feature)."""
@@ -157,11 +163,10 @@ def _softmax_of(logits: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np
     return at - np.log(total), powers, total
 
 
-def log_chances(model: Model, owner: np.ndarray, value: np.ndarray, tail: np.ndarray) -> np.ndarray:
+def log_chances(model: Model, owner: np.ndarray, value: np.ndarray, outcome: np.ndarray) -> np.ndarray:
     """Natural logarithm of P(class) for every token, times P(word | class) for
     the head words."""
-    out = np.empty(len(value))
-    outcome, features = model.outcomes(value, tail), model.features(owner, value)
+    out, features = np.empty(len(value)), model.features(owner, value)
     rows, constants = 1 << model.bits, model.words[1 << model.bits :]
     for lo in range(0, len(value), MINI_BATCH):
         part, f = outcome[lo : lo + MINI_BATCH], features[lo : lo + MINI_BATCH]
@@ -216,9 +221,9 @@ class Learner:
         self.tables[which][found] += change * (STEP / np.sqrt(squares[found]))[:, None]
         self.met[which][found] += counts
 
-    def learn(self, owner: np.ndarray, value: np.ndarray, tail: np.ndarray) -> None:
+    def learn(self, owner: np.ndarray, value: np.ndarray) -> None:
         model, n = self.model, 1 << self.model.bits
-        outcome, features = model.outcomes(value, tail), model.features(owner, value)
+        outcome, features = model.outcomes(value), model.features(owner, value)
         for lo in range(0, len(value), MINI_BATCH):
             part, f = outcome[lo : lo + MINI_BATCH], features[lo : lo + MINI_BATCH]
             in_head = part < HEAD
@@ -233,14 +238,14 @@ class Learner:
                 self._step(1, rows, powers, total, word)
 
     def changes(self, per_chunk: int):
-        """Weighted changes by chunk of rows: table, chunk, weights, change."""
+        """Changes by chunk of rows: table, chunk, how often met, change."""
         n = 1 << self.model.bits
         for which, (new, old) in enumerate(zip(self.tables, (self.model.classes, self.model.words), strict=True)):
             for lo in range(0, n, per_chunk):
                 met = self.met[which][lo : lo + per_chunk]
                 if met.any():
-                    moved = (new[lo : lo + per_chunk] - old[lo : lo + per_chunk]) * met[:, None]
-                    yield which, lo // per_chunk, met.tobytes(), moved.astype(np.float32).tobytes()
+                    moved = new[lo : lo + per_chunk] - old[lo : lo + per_chunk]
+                    yield which, lo // per_chunk, met.tobytes(), moved.astype(np.float16).tobytes()
 
 
 # ------------------------------------------------------------- passes over the texts
@@ -262,33 +267,36 @@ def _blocks(chars: int):
 
 
 def _counts(batches):
-    """Words of each block: their hash, tail class and training count (0: only
-    in texts that are held out)."""
+    """Words of each block with their count in training texts (0: none), once a
+    block: its rows follow each other."""
+    block, values = None, ([], [])
+
+    def told():
+        learnt, held = (np.concatenate(v) if v else np.empty(0, np.uint64) for v in values)
+        kinds, n = np.unique(learnt, return_counts=True)
+        only = np.setdiff1d(held, kinds)
+        n = np.concatenate([n, np.zeros(len(only), np.int64)])
+        kinds = np.concatenate([kinds, only])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(kinds), block)), pa.array(kinds.view(np.int64)), pa.array(n)], names=["block", "word", "n"])
+
     for batch in batches:
-        for block, first in _runs_of_blocks(batch.column("block")):
-            piece = batch.slice(first[0], first[1] - first[0])
-            learn = training(piece.column("doc_id").to_pylist())
-            texts = piece.column("text").to_pylist()
-            found = []
-            for lo, hi in text_runs([t or "" for t in texts], _CHARS):
-                owner, value, tail = tokens(texts[lo:hi])
-                kinds, first_at, place = np.unique(value, return_index=True, return_inverse=True)
-                n = np.bincount(place, weights=learn[lo:hi][owner], minlength=len(kinds)).astype(np.int64)
-                found.append((kinds, tail[first_at], n))
-            value, tail, n = (np.concatenate(c) for c in zip(*found, strict=True))
-            kinds, first_at, place = np.unique(value, return_index=True, return_inverse=True)
-            n = np.bincount(place, weights=n, minlength=len(kinds)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(kinds), block)), pa.array(kinds.view(np.int64)), pa.array(tail[first_at]), pa.array(n)],
-                names=["block", "word", "tail", "n"])
-
-
-def _runs_of_blocks(column):
-    blocks = column.to_numpy(zero_copy_only=False)
-    cuts = np.flatnonzero(np.diff(blocks)) + 1 if len(blocks) else []
-    for lo, hi in zip([0, *cuts], [*cuts, len(blocks)], strict=True):
-        if hi > lo:
-            yield int(blocks[lo]), (int(lo), int(hi))
+        texts = [t or "" for t in batch.column("text").to_pylist()]
+        learn = training(batch.column("doc_id").to_pylist())
+        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1), len(blocks)]
+        for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+            if end > begin and blocks[begin] != block:
+                if block is not None:
+                    yield told()
+                block, values = int(blocks[begin]), ([], [])
+            for lo, hi in text_runs(texts[begin:end], _CHARS):
+                owner, value = tokens(texts[begin + lo : begin + hi])
+                of_learnt = learn[begin + lo : begin + hi][owner]
+                values[0].append(value[of_learnt])
+                values[1].append(np.unique(value[~of_learnt]))
+    if block is not None:
+        yield told()
 
 
 PER_CHUNK = 1024
@@ -323,15 +331,16 @@ def _sum(batches):
     sums: dict[tuple[int, int], list] = {}
     for batch in batches:
         for which, chunk, met, moved in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            weights, change = np.frombuffer(met, np.int64), np.frombuffer(moved, np.float32)
+            weights = np.frombuffer(met, np.int64)
+            change = np.frombuffer(moved, np.float16).reshape(len(weights), -1).astype(float) * weights[:, None]
             have = sums.get((which, chunk))
             if have is None:
-                sums[which, chunk] = [weights.copy(), change.astype(float)]
+                sums[which, chunk] = [weights.copy(), change]
             else:
                 have[0] += weights
                 have[1] += change
     for (which, chunk), (weights, change) in sums.items():
-        mean = change.reshape(len(weights), -1) / np.maximum(weights, 1)[:, None]
+        mean = change / np.maximum(weights, 1)[:, None]
         yield pa.RecordBatch.from_arrays(
             [pa.array([which], pa.int32()), pa.array([chunk], pa.int32()), pa.array([mean.astype(np.float32).tobytes()])],
             names=["which", "chunk", "mean"])
@@ -348,12 +357,14 @@ def _score(sent, id_type):
         whole = model.tokens + model.kinds + 1
         columns = []
         for lo, hi in text_runs([t or "" for t in docs], _CHARS):
-            owner, value, tail = tokens(docs[lo:hi])
-            c = count[np.searchsorted(known, value)]
+            owner, value = tokens(docs[lo:hi])
+            outcome = model.outcomes(value)
+            rest = outcome >= HEAD
+            c = model.count[np.where(rest, 0, outcome)]
+            c[rest] = count[np.searchsorted(known, value[rest])]
             base = np.log10((c + 1) / whole)
-            chance = log_chances(model, owner, value, tail)
-            rest = model.outcomes(value, tail) >= HEAD
-            chance[rest] += np.log(c[rest] + 1) - model.tail[tail[rest]]
+            chance = log_chances(model, owner, value, outcome)
+            chance[rest] += np.log(c[rest] + 1) - model.tail[tail_class(value[rest])]
             chance /= math.log(10)
             if not model.tokens:
                 chance[:] = 0
@@ -370,7 +381,7 @@ def _score(sent, id_type):
 # ---------------------------------------------------------------------- the operator
 def _model(counts: DataFrame) -> Model:
     """The untrained model: head words, classes, constants."""
-    known = counts.filter("c > 0")
+    known = counts.filter("c > 0").withColumn("tail", F.col("word").bitwiseAND(TAIL_CLASSES - 1).cast("int"))
     sizes = known.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("kinds")).collect()  # TAIL_CLASSES rows
     n, kinds = sum(r.c for r in sizes), sum(r.kinds for r in sizes)
     bits = min(max(math.ceil(math.log2(max(n, 1) / TOKENS_PER_ROW)), MIN_BITS), MAX_BITS)
@@ -390,7 +401,8 @@ def _model(counts: DataFrame) -> Model:
     words[1 << bits :] = np.log(np.maximum(frequency, 1e-9) / np.maximum(frequency.sum(axis=1, keepdims=True), 1))
     hashes = np.array([r.word for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    return Model(hashes[order], order, bits, classes, words, np.log(places + places_of), n, kinds)
+    count = np.array([*(r.c for r in top), 0], np.int64)
+    return Model(hashes[order], order, count, bits, classes, words, np.log(places + places_of), n, kinds)
 
 
 def trained(texts: DataFrame, counts: DataFrame, chars: int) -> Model:
@@ -410,7 +422,7 @@ def trained(texts: DataFrame, counts: DataFrame, chars: int) -> Model:
             mean = np.frombuffer(row["mean"], np.float32).reshape(-1, tables[row["which"]].shape[1])
             lo = row["chunk"] * PER_CHUNK
             tables[row["which"]][lo : lo + len(mean)] += mean
-        model = Model(model.head, model.outcome, model.bits, *tables, model.tail, model.tokens, model.kinds)
+        model = replace(model, classes=tables[0], words=tables[1])
         sent.unpersist()
     return model
 
@@ -423,13 +435,14 @@ def maxent_scores(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     placed = docs.select("doc_id", "text", F.spark_partition_id().cast("long").alias("part")).mapInArrow(
         _blocks(block_chars), f"doc_id {id_type}, text string, part long, run long")
     placed = staged(placed.select("doc_id", "text", F.shiftleft("part", 32).bitwiseOR(F.col("run")).alias("block")), "lm-texts")
-    words = staged(placed.mapInArrow(_counts, "block long, word long, tail long, n long"), "lm-words")
-    counts = staged(words.groupBy("word", "tail").agg(F.sum("n").alias("c")), "lm-counts")
+    word = Window.partitionBy("word")
+    words = staged(placed.mapInArrow(_counts, "block long, word long, n long").select(
+        "block", "word", F.sum("n").over(word).alias("c"),
+        (F.row_number().over(word.orderBy("block")) == 1).alias("first")), "lm-words")
+    counts = words.filter("first").select("word", "c")
     chars = placed.agg(F.sum(F.length("text"))).first()[0] or 0
     model = trained(placed, counts, chars)
     sent = spark.sparkContext.broadcast(model)
-    own = words.select("block", "word").distinct().join(counts.select("word", "c"), "word")
-    scores = placed.groupBy("block").cogroup(own.groupBy("block")).applyInArrow(
+    return placed.groupBy("block").cogroup(words.drop("first").groupBy("block")).applyInArrow(
         _score(sent, id_type), f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                "base_score double, score double")
-    return scores

@@ -73,9 +73,9 @@ def test_probabilities_add_up_to_one(spark, monkeypatch):
     rows = [(i, t) for i, t in enumerate(sentences(rng, 400)) if not held(i)]
     value = {w: M.tokens([w])[1][0] for w in {w for _, t in rows for w in t.split()}}
     counts = Counter(w for _, t in rows for w in split(t))
-    table = [(int(np.int64(np.uint64(value.get(w, M._END)).view(np.int64))), int(M.tokens([w])[2][0]) if w else 0, c)
-             for w, c in counts.items()]
-    model = M._model(spark.createDataFrame(table, "word long, tail long, c long"))
+    end = M.tokens([""])[1][0]
+    table = [(int(np.uint64(value.get(w, end)).view(np.int64)), c) for w, c in counts.items()]
+    model = M._model(spark.createDataFrame(table, "word long, c long"))
     learner = M.Learner(model)
     learner.learn(*M.tokens([t for _, t in rows]))
     model.classes, model.words = learner.tables
@@ -84,17 +84,17 @@ def test_probabilities_add_up_to_one(spark, monkeypatch):
         total = 0.0
         for w in vocabulary:
             text = " ".join([*history, w]) if w else " ".join(history)
-            owner, hashes, tail = M.tokens([text])
-            at = len(history)
-            chance = M.log_chances(model, owner, hashes, tail)[at]
-            if model.outcomes(hashes, tail)[at] >= M.HEAD:
-                chance += math.log(counts[w] + 1) - model.tail[tail[at]]
+            owner, hashes = M.tokens([text])
+            at, outcome = len(history), model.outcomes(hashes)
+            chance = M.log_chances(model, owner, hashes, outcome)[at]
+            if outcome[at] >= M.HEAD:
+                chance += math.log(counts[w] + 1) - model.tail[M.tail_class(hashes)[at]]
             total += math.exp(chance)
         unknown = 0.0
         for c in range(M.TAIL_CLASSES):  # one place for the unknown words of each class
-            owner, hashes, tail = M.tokens([" ".join([*history, "x"])])
-            hashes[len(history)], tail[len(history)] = 12345 + c, c
-            unknown += math.exp(M.log_chances(model, owner, hashes, tail)[len(history)] - model.tail[c])
+            owner, hashes = M.tokens([" ".join([*history, "x"])])
+            hashes[len(history)] = (12345 << 10) + c
+            unknown += math.exp(M.log_chances(model, owner, hashes, model.outcomes(hashes))[len(history)] - model.tail[c])
         assert abs(total + unknown - 1) < 1e-3
 
 
