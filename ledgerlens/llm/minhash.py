@@ -58,6 +58,8 @@ TURNS, FEW_PAIRS = 2, 4
 CELLS = (128, 512)
 
 _BYTES = 4 << 20
+#: Points drawn at once, and texts signed at once.
+_POINTS, _TEXTS = 1 << 15, 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD1342543DE82EF95
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -148,7 +150,11 @@ def bags(texts: list, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _fill(owner, value, count, until, registers: int, out: np.ndarray) -> None:
-    """Earliest points up to ``until[text]`` into ``out`` (text x register)."""
+    """Earliest points up to ``until[text]`` into ``out`` (text x register).
+
+    ``owner`` is sorted.  All processes go forward by the same numbers of points,
+    in slices of bounded size; a text whose registers are all filled needs no
+    point later than the latest of them."""
     levels = 1 + np.ceil(np.log2(count)).astype(np.int64)
     of = np.repeat(np.arange(len(owner)), levels)
     level = np.arange(len(of)) - np.repeat(np.cumsum(levels) - levels, levels)
@@ -156,24 +162,33 @@ def _fill(owner, value, count, until, registers: int, out: np.ndarray) -> None:
     width = np.where(level > 1, 2.0 ** (level - 1), 1.0)
     weight = count[of].astype(float)
     text, seed = owner[of], mixed(value[of] + (level + 1).astype(np.uint64) * _ODD)
-    time, limit = np.zeros(len(of)), until[text]
+    time, limit = np.zeros(len(of)), until.copy()
     partial = low + width > weight
     flat, drawn, size = out.reshape(-1), 0, 1
     while len(text):
-        draw = mixed(seed[:, None] + np.arange(drawn + 1, drawn + size + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-        gap = -np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / width[:, None]
-        at = time[:, None] + np.cumsum(gap, axis=1)
-        more = mixed(draw ^ _ODD)
-        register = ((more >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)
-        good = at <= limit[:, None]
-        place = low[:, None] + width[:, None] * (more & np.uint64(0xFFFFFFFF)).astype(float) * 2.0**-32
-        good &= ~partial[:, None] | (place < weight[:, None])
-        index = text[:, None] * registers + register.astype(np.int64)
-        np.minimum.at(flat, index[good], at[good])
-        on = at[:, -1] <= limit
-        time = at[on, -1]
-        text, seed, low, width, weight, limit, partial = (
-            x[on] for x in (text, seed, low, width, weight, limit, partial))
+        steps = np.arange(drawn + 1, drawn + size + 1, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407)
+        each = max(1, _POINTS // size)
+        for lo in range(0, len(text), each):
+            at_once = slice(lo, lo + each)
+            own = text[at_once]
+            draw = mixed(seed[at_once, None] + steps)
+            gap = -np.log(((draw >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53) / width[at_once, None]
+            at = time[at_once, None] + np.cumsum(gap, axis=1)
+            time[at_once] = at[:, -1]
+            good = np.flatnonzero(at <= limit[own, None])
+            process = good // size
+            at, more = at.reshape(-1)[good], mixed(draw.reshape(-1)[good] ^ _ODD)
+            if partial[at_once].any():
+                above = low[at_once][process] + width[at_once][process] * (
+                    more & np.uint64(0xFFFFFFFF)).astype(float) * 2.0**-32
+                inside = ~partial[at_once][process] | (above < weight[at_once][process])
+                at, more, process = at[inside], more[inside], process[inside]
+            register = ((more >> np.uint64(32)) * np.uint64(registers)) >> np.uint64(32)
+            np.minimum.at(flat, own[process] * registers + register.astype(np.int64), at)
+        live = text[np.concatenate([[True], text[1:] != text[:-1]])]
+        limit[live] = np.minimum(limit[live], out[live].max(axis=1))
+        on = time <= limit[text]
+        text, seed, low, width, weight, partial, time = (x[on] for x in (text, seed, low, width, weight, partial, time))
         drawn += size
         size = min(2 * size, 256) if drawn > 2 else 1
 
@@ -216,7 +231,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 def _sign(batches):
     for batch in batches:
         texts = batch.column(3).to_pylist()
-        for lo, hi in text_runs([t or "" for t in texts], 1_000_000):
+        for lo, hi in text_runs([t or "" for t in texts], 1_000_000, _TEXTS):
             total, registers = signatures(texts[lo:hi])
             keys = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(np.where(total > 0, BANDS, 0))]), pa.int32()),

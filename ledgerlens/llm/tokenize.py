@@ -131,12 +131,13 @@ def encoder(path: str) -> TextEncoder:
     return _ENCODERS[path]
 
 
-def text_runs(texts: list, limit: int = 2_000_000):
-    """Index ranges of ``texts`` with about ``limit`` characters each."""
+def text_runs(texts: list, limit: int = 2_000_000, most: int | None = None):
+    """Index ranges of ``texts`` with about ``limit`` characters each, and with
+    ``most`` texts at most if given."""
     begin = size = 0
     for k, text in enumerate(texts):
         size += len(text)
-        if size >= limit:
+        if size >= limit or k + 1 - begin == most:
             yield begin, k + 1
             begin, size = k + 1, 0
     if begin < len(texts):
