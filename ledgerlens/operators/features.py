@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.plans import rules as R
@@ -68,45 +68,55 @@ def _moments(n: int, sx, sxx) -> tuple[float, float]:
     return mean, (std if std != 0.0 else 1.0)
 
 
-def fit_scaler(features: DataFrame, max_labels: int = 64) -> Scaler:
-    """M2 + M3 fit: sorted distinct age labels; global mean and population std.
+#: Digits after the point that sums of fractional columns keep.
+FRACTION = 6
+MAX_LABELS = 10_000
 
-    One pass, exact integer moments (sum x, sum x^2 as decimals), so the result
-    does not depend on partitioning or summation order.  Only the one-row
-    aggregate and the bounded label list reach the driver.
-    """
-    d = "decimal(38,0)"
-    row = features.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("revenue").cast(d)).alias("sr"),
-        F.sum(F.col("revenue").cast(d) * F.col("revenue").cast(d)).alias("srr"),
-        F.sum(F.col("credit_score").cast(d)).alias("sc"),
-        F.sum(F.col("credit_score").cast(d) * F.col("credit_score").cast(d)).alias("scc"),
-    ).first()
+
+def fit_scaler(features: DataFrame, max_labels: int = MAX_LABELS) -> Scaler:
+    """M2 + M3 fit: sorted distinct age labels; mean and population std of each
+    column over its own values (nulls are left out).
+
+    One pass, exact decimal moments (sum x, sum x^2; six digits after the point for
+    fractional columns), so the result does not depend on partitioning.  Only the
+    one-row aggregate and the bounded label list reach the driver; a longer list
+    is not a category and is refused."""
+    def moments(c):
+        whole = dict(features.dtypes)[c] in ("tinyint", "smallint", "int", "bigint")
+        x = F.col(c).cast("decimal(19,0)" if whole else f"decimal(20,{FRACTION})")
+        return [F.count(c).alias(f"n_{c}"), F.sum(x).alias(f"s_{c}"), F.sum((x * x).cast(
+            "decimal(38,0)" if whole else "decimal(38,9)")).alias(f"q_{c}")]
+
+    columns = ("revenue", "credit_score")
+    row = features.agg(*(m for c in columns for m in moments(c))).first()
     labels_df = features.select("age_bucket").where(F.col("age_bucket").isNotNull()).distinct()
     labels = [r[0] for r in labels_df.limit(max_labels + 1).collect()]
     if len(labels) > max_labels:
         raise ValueError(f"age_bucket has more than {max_labels} labels")
-    n = int(row["n"])
-    if n == 0:
-        return Scaler(tuple(sorted(labels)), 0.0, 1.0, 0.0, 1.0)
-    rm, rs = _moments(n, row["sr"], row["srr"])
-    cm, cs = _moments(n, row["sc"], row["scc"])
-    return Scaler(tuple(sorted(labels)), rm, rs, cm, cs)
+    fitted = [_moments(row[f"n_{c}"], row[f"s_{c}"], row[f"q_{c}"]) if row[f"n_{c}"] else (0.0, 1.0) for c in columns]
+    return Scaler(tuple(sorted(labels)), *fitted[0], *fitted[1])
+
+
+def _encoded(scaler: Scaler) -> tuple[Column, Column, Column]:
+    """Age label index (null for an unknown label) and the two z-scores."""
+    labels = F.array(*map(F.lit, scaler.age_labels)) if scaler.age_labels else F.array().cast("array<string>")
+    place = F.array_position(labels, F.col("age_bucket"))
+    age = F.when(place > 0, (place - 1).cast("int"))
+    return (age, (F.col("revenue") - F.lit(scaler.revenue_mean)) / F.lit(scaler.revenue_std),
+            (F.col("credit_score") - F.lit(scaler.credit_mean)) / F.lit(scaler.credit_std))
 
 
 def encode_features(features: DataFrame, scaler: Scaler) -> DataFrame:
     """M2 + M3 transform: age label index and z-scores, as pure column expressions."""
-    def lit(x: float) -> str:
-        return f"CAST({float(x)!r} AS DOUBLE)"
-    labels = [lbl.replace("\\", "\\\\").replace("'", "\\'") for lbl in scaler.age_labels]
-    cases = " ".join(f"WHEN age_bucket = '{lbl}' THEN {i}" for i, lbl in enumerate(labels))
-    age = f"CAST(CASE {cases} END AS INT)" if cases else "CAST(NULL AS INT)"
-    others = [f"`{c}`" for c in features.columns if c not in ("age_bucket", "revenue", "credit_score")]
-    return features.selectExpr(
-        *others, f"{age} AS age_bucket_encoded",
-        f"(revenue - {lit(scaler.revenue_mean)}) / {lit(scaler.revenue_std)} AS revenue",
-        f"(credit_score - {lit(scaler.credit_mean)}) / {lit(scaler.credit_std)} AS credit_score")
+    age, revenue, credit = _encoded(scaler)
+    others = [F.col(f"`{c}`") for c in features.columns if c not in ("age_bucket", "revenue", "credit_score")]
+    return features.select(*others, age.alias("age_bucket_encoded"), revenue.alias("revenue"), credit.alias("credit_score"))
+
+
+def encode_vectors(vectors: DataFrame, scaler: Scaler) -> DataFrame:
+    """``vectors`` with the encoded base features as the array ``base``, in the order
+    of ``rules.BASE_FEATURES``."""
+    return vectors.withColumn("base", F.array(*(c.cast("double") for c in _encoded(scaler))))
 
 
 def scaler_table(spark, scaler: Scaler) -> DataFrame:

@@ -8,7 +8,7 @@ map task.  Percent-of-total windows only run on already aggregated rows
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.expressions import age_bucket, customer_label, income_level, money_sum
@@ -243,6 +243,11 @@ def exact_median(df: DataFrame, c: str, **kw) -> float | None:
     return vals[lo_r] if lo_r == hi_r else (vals[lo_r] + vals[hi_r]) / 2.0
 
 
+def exact_mean(column: str) -> Column:
+    """Mean over a column's own values from an exact sum; six digits after the point."""
+    return F.sum(F.col(column).cast("decimal(28,6)")).cast("double") / F.count(column)
+
+
 def customer_overview(customers: DataFrame) -> DataFrame:
     """N, mean/min/max/median revenue and credit score.
 
@@ -254,11 +259,10 @@ def customer_overview(customers: DataFrame) -> DataFrame:
     med_c = exact_median(customers, "credit_score")
     return customers.agg(
         F.count(F.lit(1)).alias("customers"),
-        (F.sum(F.col("revenue").cast("decimal(38,0)")).cast("double") / F.count("revenue")).alias("revenue_mean"),
+        exact_mean("revenue").alias("revenue_mean"),
         F.min("revenue").alias("revenue_min"), F.max("revenue").alias("revenue_max"),
         F.lit(med_r).cast("double").alias("revenue_median"),
-        (F.sum(F.col("credit_score").cast("decimal(38,0)")).cast("double") / F.count("credit_score"))
-        .alias("credit_score_mean"),
+        exact_mean("credit_score").alias("credit_score_mean"),
         F.min("credit_score").alias("credit_score_min"), F.max("credit_score").alias("credit_score_max"),
         F.lit(med_c).cast("double").alias("credit_score_median"))
 
@@ -308,10 +312,16 @@ def credit_risk_dist(ownership: DataFrame) -> DataFrame:
             .groupBy("risk_class").agg(F.count(F.lit(1)).alias("credits")))
 
 
-def class_balance(features: DataFrame, product_ids=R.PRODUCT_IDS) -> DataFrame:
-    """Per product, customers with / without it and the share of each class."""
-    stacked = features.select(F.inline(F.array(*[
-        F.struct(F.lit(p).alias("prod_id"), F.col(flag_col(p)).alias("label")) for p in product_ids])))
-    agg = stacked.groupBy("prod_id", "label").agg(F.count(F.lit(1)).alias("customers"))
-    tot = agg.groupBy("prod_id").agg(F.sum("customers").alias("_total"))
-    return agg.join(tot, "prod_id").withColumn("share", share("customers", "_total")).drop("_total")
+def class_balance(vectors: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """Per product, customers with / without it and the share of each class.
+
+    The owners of every product come from one count over the owned positions, the
+    others from the number of customers; a class without customers has no row."""
+    owners = vectors.select(F.explode("owned").alias("pos")).groupBy("pos").agg(F.count(F.lit(1)).alias("n1"))
+    total = vectors.select(F.count(F.lit(1))).scalar()
+    both = catalogue.select("pos", "prod_id").join(owners, "pos", "left").withColumns(
+        {"_total": total, "n1": F.coalesce("n1", F.lit(0))})
+    rows = both.select("prod_id", "_total", F.inline(F.array(
+        F.struct(F.lit(0).alias("label"), (F.col("_total") - F.col("n1")).alias("customers")),
+        F.struct(F.lit(1).alias("label"), F.col("n1").alias("customers")))))
+    return rows.where("customers > 0").withColumn("share", share("customers", "_total")).drop("_total")

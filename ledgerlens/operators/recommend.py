@@ -15,6 +15,8 @@ from ledgerlens.plans import rules as R
 from ledgerlens.plans.session import broadcast_bounded
 
 MAX_CATALOGUE = 10_000
+#: Rows of a table with a row per partition that are broadcast.
+MAX_PARTS = 1_000_000
 
 
 def catalogue(products: DataFrame, max_rows: int = MAX_CATALOGUE) -> DataFrame:
@@ -228,10 +230,10 @@ def topk_rows(cands: DataFrame, k: int = 3, key: str = "cust_id", keep=()) -> Da
     ties in catalogue order; ``rank`` 1..k.  ``keep`` row columns are carried."""
     ranked = _sorted_by_score(F.transform(_open_candidates(), lambda x: F.struct(
         (-x["score"]).alias("_ns"), x["prod_id"].alias("prod_id"), x["owned"].alias("owned"),
-        x["has_model"].alias("has_model"), x["score"].alias("score"))))
+        x["has_model"].alias("has_model"), x["score"].alias("score"), x["pos"].alias("pos"))))
     keep = list(keep)
     return (cands.select(key, *keep, F.posexplode(F.slice(ranked, 1, k)).alias("_pos", "_r"))
-            .select(key, *keep, "_r.prod_id", "_r.owned", "_r.has_model", "_r.score",
+            .select(key, *keep, "_r.prod_id", "_r.owned", "_r.has_model", "_r.score", "_r.pos",
                     (F.col("_pos") + 1).alias("rank")))
 
 
@@ -249,13 +251,13 @@ def _flag(v):
     return v if isinstance(v, Column) else F.lit(bool(v))
 
 
-def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok,
+def _scenario_picks(cands: DataFrame, matrix, scenarios, k: int, key: str, first_home_ok,
                     investor_ok, keep, variants=None) -> tuple[DataFrame, list]:
     """W2 on candidate arrays.  The bonus flags are constants (the defaults
     mean no financing request: missing ltv = 80, need = 0) or boolean columns
     of the row.
 
-    Per scenario: role by a literal map (a product outside it is *other*), multiplier, real-estate bonus, clamp;
+    Per scenario: role from the matrix at the candidate's position, multiplier, real-estate bonus, clamp;
     primaries, cross-sells and others each sorted by score desc / prod_id;
     quotas ``np = min(#primary, max(1, k // 2))``, ``nc = min(#cross, k - np)``,
     the rest from *other*; holistic is a plain top-k.  ``keep`` row columns
@@ -268,9 +270,11 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
     if variants is None:
         variants = [(s, first_home_ok, investor_ok) for s in scenarios]
 
-    def item_fn(s, role_map, first_home_ok, investor_ok):
+    def item_fn(s, first_home_ok, investor_ok):
+        roles = matrix.roles(s)
+
         def item(x):
-            role = F.coalesce(role_map[x["prod_id"]], F.lit("other"))
+            role = roles[x["pos"]]
             if s == R.HOLISTIC:
                 adj = x["score"]
             else:
@@ -284,14 +288,14 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
                               .otherwise(F.lit(1.0)))
                 adj = clamp01(x["score"] * mult * bonus)
             return F.struct((-adj).alias("_ns"), x["prod_id"].alias("prod_id"), role.alias("role"),
-                            x["score"].alias("base_score"), adj.alias("score"))
+                            x["score"].alias("base_score"), adj.alias("score"), x["pos"].alias("pos"))
         return item
 
     def out_fn(s):
         def out(x, i):
             return F.struct(F.lit(s).alias("scenario"), (i + 1).alias("rank"), x["prod_id"].alias("prod_id"),
                             x["role"].alias("role"), x["base_score"].alias("base_score"),
-                            x["score"].alias("score"))
+                            x["score"].alias("score"), x["pos"].alias("pos"))
         return out
 
     # Staged projections: each array below is computed once per row (a
@@ -302,9 +306,7 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
     df = cands.select(key, *keep, _open_candidates().alias("_open"))
     items = {}
     for n, (s, fh, inv) in zip(names, variants):
-        roles = {p: role for _, p, role in scenario_role_rows([s])}
-        role_map = F.create_map(*[x for p, r in sorted(roles.items()) for x in (F.lit(p), F.lit(r))])
-        items[f"{n}_items"] = F.transform("_open", item_fn(s, role_map, fh, inv))
+        items[f"{n}_items"] = F.transform("_open", item_fn(s, fh, inv))
     df = df.select(key, *keep, *[c.alias(a) for a, c in items.items()])
     sorted_cols = []
     for n, s in zip(names, scenarios):
@@ -334,17 +336,17 @@ def _scenario_picks(cands: DataFrame, scenarios, k: int, key: str, first_home_ok
     return df, picks
 
 
-def scenario_rows(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
+def scenario_rows(cands: DataFrame, matrix, scenarios, k: int = 3, key: str = "cust_id",
                   first_home_ok: bool = True, investor_ok: bool = False, keep=()) -> DataFrame:
     """W2 on candidate arrays, one row per pick (see :func:`_scenario_picks`)."""
     keep = list(keep)
-    df, picks = _scenario_picks(cands, scenarios, k, key, first_home_ok, investor_ok, keep)
+    df, picks = _scenario_picks(cands, matrix, scenarios, k, key, first_home_ok, investor_ok, keep)
     out = df.select(key, *keep, F.inline(F.concat(*picks)))
     return out.withColumns({"is_primary": F.col("role") == "primary",
                             "is_cross_sell": F.col("role") == "cross_sell"})
 
 
-def recommend_for_requests_rows(cands: DataFrame, requests: DataFrame, k: int = 5) -> DataFrame:
+def recommend_for_requests_rows(cands: DataFrame, matrix, requests: DataFrame, k: int = 5) -> DataFrame:
     """W2 for financing requests on candidate arrays (real-estate scenario).
 
     A request changes the ranking only through its two bonus flags, so every
@@ -359,7 +361,7 @@ def recommend_for_requests_rows(cands: DataFrame, requests: DataFrame, k: int =
     req = requests.select("request_id", "cust_id",
                           (fh.cast("int") * 2 + inv.cast("int")).alias("_flags"))
     combos = [(True, True), (True, False), (False, True), (False, False)]
-    df, picks = _scenario_picks(cands, None, k, "cust_id", None, None, [],
+    df, picks = _scenario_picks(cands, matrix, None, k, "cust_id", None, None, [],
                                 variants=[(R.REAL_ESTATE, a, b) for a, b in combos])
     by_flags = F.create_map(*[x for (a, b), p in zip(combos, picks) for x in (F.lit(2 * int(a) + int(b)), p)])
     lists = df.select("cust_id", by_flags.alias("_by_flags"))
@@ -367,35 +369,30 @@ def recommend_for_requests_rows(cands: DataFrame, requests: DataFrame, k: int =
     return out.select("request_id", "cust_id", F.inline(F.element_at("_by_flags", F.col("_flags"))))
 
 
-def scenario_lists(cands: DataFrame, scenarios, k: int = 3, key: str = "cust_id",
+def scenario_lists(cands: DataFrame, matrix, scenarios, k: int = 3, key: str = "cust_id",
                    first_home_ok: bool = True, investor_ok: bool = False) -> DataFrame:
     """W2 on candidate arrays, one row per (row, scenario) with its ordered
-    ``recs`` list (rank, prod_id, role, base_score, score)."""
-    df, picks = _scenario_picks(cands, scenarios, k, key, first_home_ok, investor_ok, [])
+    ``recs`` list (rank, prod_id, role, base_score, score, pos)."""
+    df, picks = _scenario_picks(cands, matrix, scenarios, k, key, first_home_ok, investor_ok, [])
     per = [F.struct(F.lit(s).alias("scenario"), F.transform(p, lambda x: F.struct(
         x["rank"].alias("rank"), x["prod_id"].alias("prod_id"), x["role"].alias("role"),
-        x["base_score"].alias("base_score"), x["score"].alias("score"))).alias("recs"))
+        x["base_score"].alias("base_score"), x["score"].alias("score"), x["pos"].alias("pos"))).alias("recs"))
            for s, p in zip(scenarios, picks)]
     return df.select(key, F.inline(F.array(*per)))
 
 
-def bundle_rows(lists: DataFrame, products: DataFrame, by=("cust_id", "scenario"),
-                max_rows: int = MAX_CATALOGUE) -> DataFrame:
+def bundle_rows(lists: DataFrame, matrix, by=("cust_id", "scenario")) -> DataFrame:
     """A19 on recommendation lists: the first ``size`` recommendations priced
     together with the discount, only with at least ``min_recs`` of them.
-    Prices and names are size-checked literal maps; no grouping, no shuffle."""
-    from ledgerlens.plans.session import collect_bounded
+    Prices and names are read at the product's position; no grouping, no shuffle."""
     b = R.BUNDLE
-    rows = sorted(collect_bounded(products.select("prod_id", "name", "price"), max_rows), key=lambda r: r[0])
-    name_map = F.create_map(*[x for r in rows for x in (F.lit(int(r[0])), F.lit(r[1]).cast("string"))])
-    price_map = F.create_map(*[x for r in rows
-                               for x in (F.lit(int(r[0])), F.lit(r[2]).cast("double"))])
+    m = matrix
     first = F.filter("recs", lambda x: x["rank"] <= b["size"])
     staged = lists.select(*by, F.size("recs").cast("bigint").alias("n_recs"), first.alias("_first"))
     staged = staged.where(F.col("n_recs") >= b["min_recs"]).select(
         *by, "n_recs",
-        F.concat_ws(" + ", F.transform("_first", lambda x: name_map[x["prod_id"]])).alias("bundle_names"),
-        F.filter(F.transform("_first", lambda x: price_map[x["prod_id"]].cast("decimal(18,2)")),
+        F.concat_ws(" + ", F.transform("_first", lambda x: m["names"][x["pos"]])).alias("bundle_names"),
+        F.filter(F.transform("_first", lambda x: m["prices"][x["pos"]].cast("decimal(18,2)")),
                  lambda v: v.isNotNull()).alias("_prices"))
     dec = "decimal(38,2)"
     total = F.when(F.size("_prices") > 0, F.aggregate("_prices", F.lit(0).cast(dec),
@@ -410,33 +407,62 @@ def bundle_rows(lists: DataFrame, products: DataFrame, by=("cust_id", "scenario"
 
 
 
-def top_potential_rows(cands: DataFrame, products: DataFrame, k: int = 3, key: str = "cust_id",
-                       max_rows: int = MAX_CATALOGUE) -> DataFrame:
+def top_potential_rows(cands: DataFrame, matrix, k: int = 3, key: str = "cust_id", keep=()) -> DataFrame:
     """A18 on candidate arrays: expected profit = sum(price * score) over the
     top-k by score, recommendations without a price skipped; every row (every
     customer of the feature table) gets a result, 0.0 without candidates.
 
-    Prices and names come from the size-checked catalogue as literal maps, so
-    the whole analysis is one projection of the feature rows.
+    Prices and names are read from the matrix at the product's position, so the
+    whole analysis is one projection of the customers' rows.
     """
-    from ledgerlens.plans.session import collect_bounded
-    rows = collect_bounded(products.select("prod_id", "name", "price").where(F.col("price").isNotNull()),
-                           max_rows)
-    name_map = F.create_map(*[x for r in sorted(rows, key=lambda r: r[0])
-                              for x in (F.lit(int(r[0])), F.lit(r[1]))])
-    price_map = F.create_map(*[x for r in sorted(rows, key=lambda r: r[0])
-                               for x in (F.lit(int(r[0])), F.lit(float(r[2])))])
+    m, keep = matrix, list(keep)
     ranked = _sorted_by_score(F.transform(_open_candidates(), lambda x: F.struct(
-        (-x["score"]).alias("_ns"), x["prod_id"].alias("prod_id"), x["score"].alias("score"))))
+        (-x["score"]).alias("_ns"), x["prod_id"].alias("prod_id"), x["score"].alias("score"), x["pos"].alias("pos"))))
     recs = F.transform(F.slice(ranked, 1, k), lambda x, i: F.struct(
-        (i + 1).alias("rank"), x["prod_id"].alias("prod_id"), name_map[x["prod_id"]].alias("name"),
-        x["score"].alias("score"), price_map[x["prod_id"]].alias("price"),
-        (price_map[x["prod_id"]] * x["score"]).alias("expected_profit")))
+        (i + 1).alias("rank"), x["prod_id"].alias("prod_id"), m["names"][x["pos"]].alias("name"),
+        x["score"].alias("score"), m["prices"][x["pos"]].cast("double").alias("price"),
+        (m["prices"][x["pos"]].cast("double") * x["score"]).alias("expected_profit")))
     # staged: the priced list is computed once and then read three times
-    staged = cands.select(key, F.filter(recs, lambda x: x["price"].isNotNull()).alias("recommendations"))
+    staged = cands.select(key, *keep, F.filter(recs, lambda x: x["price"].isNotNull()).alias("recommendations"))
     dec = "decimal(38,6)"
     profit = F.aggregate("recommendations", F.lit(0).cast(dec),
                          lambda acc, x: (acc + x["expected_profit"].cast("decimal(20,6)")).cast(dec))
     return staged.select(
-        key, F.round(profit.cast("double"), 6).alias("expected_profit"),
+        key, *keep, F.round(profit.cast("double"), 6).alias("expected_profit"),
         F.size("recommendations").cast("bigint").alias("n_recs"), "recommendations")
+
+
+def customer_names(customers: DataFrame) -> DataFrame:
+    """``cust_id, customer_name``: first and last name."""
+    return customers.select("cust_id", F.concat_ws(" ", "first_name", "last_name").alias("customer_name"))
+
+
+def named_customers(rows: DataFrame, customers: DataFrame, key: str = "cust_id") -> DataFrame:
+    """``rows`` with ``customer_name``; a customer that is unknown, or has
+    neither name, gets a label with the id."""
+    names = customer_names(customers).withColumnRenamed("cust_id", key)
+    label = F.concat(F.lit(R.CUSTOMER_LABEL), F.col(key).cast("string"))
+    return rows.join(names, key, "left").withColumn(
+        "customer_name", F.coalesce(F.nullif(F.col("customer_name"), F.lit("")), label))
+
+
+def ranked_customers(potential: DataFrame, score: str = "expected_profit", key: str = "cust_id") -> DataFrame:
+    """A18 as the ordered list: ``rank`` 1, 2, ... over all rows by score desc, ties
+    by id.
+
+    A global rank without a task that sees all rows: range partitions in order,
+    sorted within; a row's rank is its place in its partition plus the sizes of
+    the partitions before.  The sizes are one row per partition."""
+    from ledgerlens.plans.session import scratch_path
+    spark = potential.sparkSession
+    order = [F.col(score).desc_nulls_last(), F.col(key).asc_nulls_first()]
+    place = F.monotonically_increasing_id()  # partition << 33 | place within it
+    path = scratch_path(spark, "ranked")
+    potential.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place).write.parquet(path)
+    written = spark.read.parquet(path).withColumn("_part", F.shiftright("_place", 33))
+    sizes = written.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
+    return written.join(broadcast_bounded(offsets, MAX_PARTS), "_part").withColumn(
+        "rank", within + F.col("_before") + 1).drop("_part", "_place", "_before")

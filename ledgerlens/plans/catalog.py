@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.operators import crosssell as CS
 from ledgerlens.operators import features as FE
+from ledgerlens.operators import models as MD
 from ledgerlens.operators import recommend as RC
 from ledgerlens.operators import scoring as SC
 from ledgerlens.plans import oracle as O
@@ -40,7 +41,6 @@ def query(name: str, oracle: str | None = None):
 # shared Spark building blocks
 # ---------------------------------------------------------------------------
 _DOMAINS: dict[tuple[str, str], Domain] = {}
-_FITS: dict[tuple[str, str], tuple] = {}
 
 
 def domain(spark: SparkSession, sf_dir: str) -> Domain:
@@ -60,52 +60,60 @@ def build_features(dom: Domain) -> DataFrame:
     return FE.build_features(dom.customers, dom.ownership, product_ids(dom))
 
 
-_FEATURE_TABLES: dict[tuple[str, str], DataFrame] = {}
+_WRITTEN: dict[tuple[str, str, str], object] = {}
 
 
-def features(dom: Domain) -> DataFrame:
-    """The feature table, built once per application and data directory and
-    written as parquet to the shared checkpoint folder (S3), then read back
-    (S2) by every scoring, training and evaluation query.
+def once(dom: Domain, name: str, build):
+    """``build()`` once per application and data directory.  A DataFrame is written as
+    parquet to the shared checkpoint folder and read back, so that the work above it
+    runs once and a lost executor re-reads files."""
+    key = (dom.spark.sparkContext.applicationId, dom.sf_dir, name)
+    if key not in _WRITTEN:
+        built = build()
+        if isinstance(built, DataFrame):
+            path = scratch_path(dom.spark, name)
+            built.write.parquet(path)
+            built = dom.spark.read.parquet(path)
+        _WRITTEN[key] = built
+    return _WRITTEN[key]
 
-    This is the feature-store step of the training pipeline: the
-    orders/lineitem join behind ownership runs once instead of once per
-    query, and downstream lineage starts at a durable file, so a lost
-    executor never recomputes the join.
-    """
-    from ledgerlens.sources import tables as TB
-    key = (dom.spark.sparkContext.applicationId, dom.sf_dir)
-    if key not in _FEATURE_TABLES:
-        path = scratch_path(dom.spark, "feature_table")
-        TB.write_parquet(build_features(dom), path)
-        _FEATURE_TABLES[key] = TB.read_parquet(dom.spark, path)
-    return _FEATURE_TABLES[key]
 
+def positions(dom: Domain) -> DataFrame:
+    return once(dom, "catalogue", lambda: SC.catalogue_positions(dom.products))
+
+
+def raw_vectors(dom: Domain) -> DataFrame:
+    """The feature table as vectors (M1), with each customer's split key: the feature
+    store that scoring, training and evaluation read."""
+    return once(dom, "feature_vectors", lambda: MD.with_split_key(
+        SC.customer_vectors(dom.customers, dom.ownership, positions(dom))))
+
+
+def scaler(dom: Domain) -> FE.Scaler:
+    return once(dom, "scaler", lambda: FE.fit_scaler(raw_vectors(dom)))
 
-def fitted(dom: Domain):
-    """Scaler and model fitted once per application and data directory."""
-    key = (dom.spark.sparkContext.applicationId, dom.sf_dir)
-    if key not in _FITS:
-        scaler = FE.fit_scaler(features(dom))
-        models = SC.load_models(dom.coefficients, dom.intercepts, SC.default_feature_order(product_ids(dom)))
-        _FITS[key] = (scaler, models)
-    return _FITS[key]
 
+def vectors(dom: Domain) -> DataFrame:
+    return FE.encode_vectors(raw_vectors(dom), scaler(dom))
 
-def encoded(dom: Domain) -> DataFrame:
-    scaler, _ = fitted(dom)
-    return FE.encode_features(features(dom), scaler)
+
+def matrix(dom: Domain) -> SC.ModelMatrix:
+    return once(dom, "matrix", lambda: SC.model_matrix(positions(dom), SC.model_rows(
+        positions(dom), dom.coefficients, dom.intercepts)))
+
+
+def fitted(dom: Domain):
+    """Scaler and model matrix, built once per application and data directory."""
+    return scaler(dom), matrix(dom)
 
 
 def scored(dom: Domain, keep_owned: bool = False) -> DataFrame:
-    _, models = fitted(dom)
-    return SC.score_products(encoded(dom), models, product_ids(dom), keep_owned=keep_owned)
+    return SC.score_products(vectors(dom), matrix(dom), keep_owned=keep_owned)
 
 
-def candidates(dom: Domain) -> DataFrame:
+def candidates(dom: Domain, keep=()) -> DataFrame:
     """(cust_id, cands): every customer's scored candidates on its own row."""
-    _, models = fitted(dom)
-    return SC.candidate_arrays(encoded(dom), models, product_ids(dom))
+    return SC.candidate_arrays(vectors(dom), matrix(dom), keep)
 
 
 def topk_recs(dom: Domain, k: int = 3) -> DataFrame:
@@ -114,7 +122,9 @@ def topk_recs(dom: Domain, k: int = 3) -> DataFrame:
 
 
 def topk(dom: Domain, k: int = 3) -> DataFrame:
-    return topk_recs(dom, k).join(RC.catalogue(dom.products), "prod_id")
+    m = matrix(dom)
+    return topk_recs(dom, k).withColumns({"name": m["names"][F.col("pos")], "category": m["categories"][F.col("pos")],
+                                          "price": m["prices"][F.col("pos")]})
 
 
 def joined_ids(arr_col: str, field: str = "prod_id"):
@@ -134,9 +144,10 @@ def q_features(spark, sf_dir):
     + ", ".join(f"has_{p}" for p in O.PIDS) + " from fx_encoded", "fx_encoded"))
 def q_encoded(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    e = encoded(dom)
-    return e.select("cust_id", "age_bucket_encoded", F.round("revenue", 9).alias("revenue"),
-                    F.round("credit_score", 9).alias("credit_score"), *[f"has_{p}" for p in product_ids(dom)])
+    e, base = vectors(dom), F.col("base")
+    return e.select("cust_id", base[0].cast("int").alias("age_bucket_encoded"), F.round(base[1], 9).alias("revenue"),
+                    F.round(base[2], 9).alias("credit_score"),
+                    *[F.array_contains("owned", i).cast("int").alias(f"has_{p}") for i, p in enumerate(product_ids(dom))])
 
 
 # ---------------------------------------------------------------------------
@@ -158,33 +169,39 @@ def q_recommend_topk(spark, sf_dir):
     return topk(domain(spark, sf_dir)).select("cust_id", "prod_id", "name", "category", "score", "rank")
 
 
-_TOP_POTENTIAL_SQL = O.sql("""
+_POTENTIAL_SQL = """
 select c.cust_id,
        round(cast(coalesce(t.profit, 0) as double), 6) as expected_profit,
        cast(coalesce(t.n_recs, 0) as bigint) as n_recs,
-       coalesce(t.rec_prod_ids, '') as rec_prod_ids
+       coalesce(t.rec_prod_ids, '') as rec_prod_ids,
+       coalesce(nullif(concat_ws(' ', c.first_name, c.last_name), ''),
+                '""" + R.CUSTOMER_LABEL + """' || cast(c.cust_id as varchar)) as customer_name
 from fx_customers c left join (
   select cust_id, sum(cast(price * score as decimal(20,6))) as profit, count(*) as n_recs,
          string_agg(cast(prod_id as varchar), ',' order by rank) as rec_prod_ids
-  from fx_topk3 where price is not null group by cust_id) t on c.cust_id = t.cust_id""",
+  from fx_topk3 where price is not null group by cust_id) t on c.cust_id = t.cust_id"""
+_TOP_POTENTIAL_SQL = O.sql(f"""
+select *, row_number() over (order by expected_profit desc, cust_id) as rank from ({_POTENTIAL_SQL}) p""",
                            "fx_customers", "fx_topk3")
 
 
-def _top_potential(dom: Domain) -> DataFrame:
-    pot = RC.top_potential_rows(candidates(dom), dom.products, 3)
+def _potential(dom: Domain) -> DataFrame:
+    pot = RC.top_potential_rows(candidates(dom), matrix(dom), 3)
     return pot.select("cust_id", "expected_profit", "n_recs",
                       joined_ids("recommendations").alias("rec_prod_ids"))
 
 
 @query("top_potential", _TOP_POTENTIAL_SQL)
 def q_top_potential(spark, sf_dir):
-    return _top_potential(domain(spark, sf_dir))
+    dom = domain(spark, sf_dir)
+    return RC.ranked_customers(RC.named_customers(_potential(dom), dom.customers))
 
 
-@query("top_potential_best", f"""
-select * from ({_TOP_POTENTIAL_SQL}) x order by expected_profit desc, cust_id limit 1""")
+@query("top_potential_best", O.sql(f"""
+select * from ({_POTENTIAL_SQL}) x order by expected_profit desc, cust_id limit 1""", "fx_customers", "fx_topk3"))
 def q_top_potential_best(spark, sf_dir):
-    return RC.best_customers(_top_potential(domain(spark, sf_dir)), 1)
+    dom = domain(spark, sf_dir)
+    return RC.named_customers(RC.best_customers(_potential(dom), 1), dom.customers)
 
 
 # ---------------------------------------------------------------------------
@@ -419,7 +436,7 @@ from (select prod_id, label, count(*) as customers from ({_STACK_FLAGS}) s group
                               "fx_features"))
 def q_class_balance(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    return PF.class_balance(features(dom), product_ids(dom))
+    return PF.class_balance(raw_vectors(dom), positions(dom))
 
 
 # ---------------------------------------------------------------------------
@@ -428,7 +445,7 @@ def q_class_balance(spark, sf_dir):
 # ---------------------------------------------------------------------------
 def scenario_recs(dom: Domain, k: int = 5) -> DataFrame:
     """W2 for every scenario and customer, picked inside each customer's row."""
-    return RC.scenario_rows(candidates(dom), list(R.SCENARIOS), k)
+    return RC.scenario_rows(candidates(dom), matrix(dom), list(R.SCENARIOS), k)
 
 
 O.scenario_block("fx_scen5", "fx_scores", 5, "cust_id", deps=("fx_scores",))
@@ -456,7 +473,7 @@ select request_id, cust_id, rank, prod_id, role, base_score, score
 from fx_mortgage5 where scenario = '{R.REAL_ESTATE}'""", "fx_mortgage5"))
 def q_recommend_mortgage(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    recs = RC.recommend_for_requests_rows(candidates(dom), PF.financing_need(dom.financing), 5)
+    recs = RC.recommend_for_requests_rows(candidates(dom), matrix(dom), PF.financing_need(dom.financing), 5)
     return recs.select("request_id", "cust_id", "rank", "prod_id", "role", "base_score", "score")
 
 
@@ -479,11 +496,11 @@ from fx_scen5 s join fx_products p on s.prod_id = p.prod_id join fx_customers c
 def q_recommend_reasons(spark, sf_dir):
     dom = domain(spark, sf_dir)
     # income and age bucket ride along from the customer's own feature row
-    scaler, models = fitted(dom)
-    raw = features(dom).withColumns({"_revenue": F.col("revenue"), "_age": F.col("age_bucket")})
-    cands = SC.candidate_arrays(FE.encode_features(raw, scaler), models, product_ids(dom), keep=("_revenue", "_age"))
-    recs = (RC.scenario_rows(cands, list(R.SCENARIOS), 5, keep=("_revenue", "_age"))
-            .join(RC.catalogue(dom.products).select("prod_id", "name"), "prod_id"))
+    keep = ("_revenue", "_age")
+    raw = vectors(dom).withColumns({"_revenue": F.col("revenue"), "_age": F.col("age_bucket")})
+    m = matrix(dom)
+    recs = RC.scenario_rows(SC.candidate_arrays(raw, matrix(dom), keep), matrix(dom), list(R.SCENARIOS), 5, keep=keep)
+    recs = recs.withColumn("name", m["names"][F.col("pos")])
     out = RC.with_reason(recs, None, R.reason_templates(spark), scenario_col="scenario")
     return out.select("cust_id", "scenario", "rank", "prod_id", "name", "reason")
 
@@ -502,17 +519,16 @@ group by s.cust_id, s.scenario having count(*) >= 2""", "fx_scen5", "fx_products
 def q_bundle_offer(spark, sf_dir):
     dom = domain(spark, sf_dir)
     # priced straight off each customer's scenario lists (no group-by)
-    return RC.bundle_rows(RC.scenario_lists(candidates(dom), list(R.SCENARIOS), 5), dom.products)
+    return RC.bundle_rows(RC.scenario_lists(candidates(dom), matrix(dom), list(R.SCENARIOS), 5), matrix(dom))
 
 
-def _xai(dom: Domain) -> DataFrame:
-    """W3 for the top-3 of every customer; the encoded features ride along
-    from the customer's own row, so no join back to the feature table."""
-    _, models = fitted(dom)
-    feats = list(models.features)
-    cands = SC.candidate_arrays(encoded(dom), models, product_ids(dom), keep=feats)
-    rows = RC.topk_rows(cands, 3, keep=feats).withColumnRenamed("rank", "rec_rank")
-    return SC.contributions(rows, models)
+def _xai(dom: Domain, by) -> DataFrame:
+    """W3 for the top-3 of every customer; the features ride along from the
+    customer's own row, so no join back to the feature table."""
+    own = vectors(dom).withColumn("owned_positions", F.col("owned"))
+    keep = ("base", "owned_positions")
+    rows = RC.topk_rows(SC.candidate_arrays(own, matrix(dom), keep), 3, keep=keep).drop("owned")
+    return SC.contributions(rows.withColumnsRenamed({"rank": "rec_rank", "owned_positions": "owned"}), matrix(dom), by)
 
 
 _FPOS = " ".join(f"when '{f}' then {i}" for i, f in enumerate(O.FEATURE_ORDER))
@@ -527,8 +543,8 @@ from fx_topk3 t join fx_encoded e on t.cust_id = e.cust_id join fx_coefficients
 @query("xai_contributions", O.sql("""
 select cust_id, prod_id, rec_rank, feature, coefficient, value, contribution from fx_xai""", "fx_xai"))
 def q_xai_contributions(spark, sf_dir):
-    return _xai(domain(spark, sf_dir)).select("cust_id", "prod_id", "rec_rank", "feature", "coefficient",
-                                              "value", "contribution")
+    listed = _xai(domain(spark, sf_dir), ("cust_id", "prod_id", "rec_rank"))
+    return listed.select("cust_id", "prod_id", "rec_rank", F.inline("contribs")).drop("feature_pos")
 
 
 _TOT = " + ".join(f"coalesce(max(case when rank = {i} then abs(contribution) end), 0e0)" for i in range(1, 6))
@@ -551,10 +567,7 @@ left join (select feature, label from (values {", ".join(f"('{k}', '{v}')" for k
 where x.rank <= 5""", "fx_xai", "fx_products"))
 def q_xai_top5(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    _, models = fitted(dom)
-    feats = list(models.features)
-    rows = RC.topk_rows(SC.candidate_arrays(encoded(dom), models, product_ids(dom), keep=feats), 3, keep=feats)
-    out = SC.top_contribution_rows(rows, models, SC.feature_labels(dom.products), 5)
+    out = SC.top_contributions(_xai(dom, ("cust_id", "prod_id")), matrix(dom), 5)
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
@@ -760,44 +773,35 @@ def q_rejection_reasons(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Split (M4), training (M5, M6, S9), evaluation (M9-M12), importance
 # ---------------------------------------------------------------------------
-from ledgerlens.operators import models as MD  # noqa: E402
-
-_TRAINED: dict[tuple[str, str, str], object] = {}
-
-
-def build_splits(dom: Domain) -> DataFrame:
-    """M4 from the feature table (the plan that builds the split)."""
-    return MD.product_splits(features(dom), product_ids(dom))
-
-
-_SPLIT_TABLES: dict[tuple[str, str], DataFrame] = {}
-
-
-def splits(dom: Domain) -> DataFrame:
-    """The (customer, product, label, split) table, written once to the shared
-    folder: training and every evaluation read the same rows, and their
-    lineage starts at a durable file."""
-    from ledgerlens.sources import tables as TB
-    key = (dom.spark.sparkContext.applicationId, dom.sf_dir)
-    if key not in _SPLIT_TABLES:
-        path = scratch_path(dom.spark, "split_table")
-        TB.write_parquet(build_splits(dom), path)
-        _SPLIT_TABLES[key] = TB.read_parquet(dom.spark, path)
-    return _SPLIT_TABLES[key]
+def thresholds(dom: Domain) -> DataFrame:
+    """M4: a threshold on the split key per product and class."""
+    return once(dom, "thresholds", lambda: MD.split_thresholds(raw_vectors(dom), positions(dom)))
 
 
 def predictions(dom: Domain) -> DataFrame:
-    return MD.with_prediction(scored(dom, keep_owned=True), splits(dom))
+    return MD.predictions(vectors(dom), matrix(dom), thresholds(dom))
 
 
 _UNPIVOT = " union all ".join(f"select cust_id, {p} as prod_id, has_{p} as label from fx_features"
                               for p in O.PIDS)
+# Test rows of a product: ceil(0.2 * customers), apportioned to its classes by largest
+# remainder; within a class the rows with the smallest keys.
 O.block("fx_split", ("fx_features",), f"""
-select cust_id, prod_id, label,
-       case when row_number() over (partition by prod_id, label
-                                    order by md5(concat_ws(':', '42', cast(cust_id as varchar))), cust_id)
-                 <= ceil(count(*) over (partition by prod_id, label) * 2e-1) then 'test' else 'train' end as split
-from ({_UNPIVOT}) u""")
+select cust_id, prod_id, label, case when key <= threshold then 'test' else 'train' end as split
+from (select *, coalesce(max(case when nth = n_test then key end) over (partition by prod_id, label), -1) as threshold
+      from (select *, quota + case when row_number_of_class <= wanted - quotas then 1 else 0 end as n_test
+            from (select u.*, q.quota, q.wanted, q.quotas, q.row_number_of_class,
+                         row_number() over (partition by u.prod_id, u.label order by u.key) as nth
+                  from (select *, cast('0x' || substr(md5(concat_ws(':', '42', cast(cust_id as varchar))), 1, 15) as bigint) as key
+                        from ({_UNPIVOT}) k) u
+                  join (select *, sum(quota) over (partition by prod_id) as quotas,
+                               row_number() over (partition by prod_id order by rest desc, label) as row_number_of_class
+                        from (select prod_id, label, n, total, wanted, (n * wanted) // total as quota, (n * wanted) % total as rest
+                              from (select *, cast(ceil(total * 2e-1) as bigint) as wanted
+                                    from (select prod_id, label, n, cast(sum(n) over (partition by prod_id) as bigint) as total
+                                          from (select prod_id, label, count(*) as n from ({_UNPIVOT}) c
+                                                group by prod_id, label) d) e) f) g) q
+                    on u.prod_id = q.prod_id and u.label = q.label) h) i) j""")
 O.block("fx_pred", ("fx_split", "fx_scores_all"), """
 select s.cust_id, s.prod_id, s.score, l.label, l.split, cast(s.score > 5e-1 as int) as pred
 from fx_scores_all s join fx_split l on s.cust_id = l.cust_id and s.prod_id = l.prod_id""")
@@ -805,7 +809,8 @@ from fx_scores_all s join fx_split l on s.cust_id = l.cust_id and s.prod_id = l.
 
 @query("train_split", O.sql("select cust_id, prod_id, label, split from fx_split", "fx_split"))
 def q_train_split(spark, sf_dir):
-    return build_splits(domain(spark, sf_dir)).select("cust_id", "prod_id", "label", "split")
+    dom = domain(spark, sf_dir)
+    return MD.product_splits(raw_vectors(dom), thresholds(dom), positions(dom))
 
 
 @query("eval_accuracy", O.sql("""
@@ -872,61 +877,57 @@ def q_eval_auc(spark, sf_dir):
     return MD.auc(predictions(domain(spark, sf_dir)))
 
 
-_FPOS2 = " ".join(f"when '{f}' then {i}" for i, f in enumerate(O.FEATURE_ORDER))
+#: The single-product model: its product and reduced feature list.
+SINGLE = {102: ["age_bucket_encoded", "revenue", "credit_score", "has_101", "has_103", "has_104", "has_105", "has_106"]}
 
 
-@query("feature_importance", O.sql(f"""
-select prod_id, feature, coefficient, abs(coefficient) as abs_coefficient,
-       cast(row_number() over (partition by prod_id order by abs(coefficient) desc,
-                               case feature {_FPOS2} else {len(O.FEATURE_ORDER)} end, feature) as int) as rank,
-       case when coefficient > 0 then 'up' else 'down' end as direction
-from fx_coefficients""", "fx_coefficients"))
-def q_feature_importance(spark, sf_dir):
-    dom = domain(spark, sf_dir)
-    return MD.feature_importance(dom.coefficients, SC.default_feature_order(product_ids(dom)))
+def trained(dom: Domain, which: str = "multi") -> DataFrame:
+    """The trained models: all products with C = 2, or product 102 with C = 1."""
+    if which == "multi":
+        return once(dom, "trained", lambda: MD.train_models(vectors(dom), thresholds(dom), positions(dom), C=2.0))
+    return once(dom, "trained_single", lambda: MD.train_models(
+        vectors(dom), thresholds(dom), positions(dom), C=1.0, feature_map=SINGLE))
 
 
-@query("model_roundtrip", O.sql("""
-select cast(prod_id as int) as prod_id, feature, coefficient from fx_coefficients
-union all select cast(prod_id as int), '(intercept)', intercept from fx_intercepts""",
-                                "fx_coefficients", "fx_intercepts"))
-def q_model_roundtrip(spark, sf_dir):
-    dom = domain(spark, sf_dir)
-    _, models = fitted(dom)
-    path = scratch_path(spark, "models")
-    MD.save_models(spark, models, path)
-    return MD.model_table(spark, MD.load_model_table(spark, path))
-
-
-def trained(dom: Domain, which: str = "multi"):
-    key = (dom.spark.sparkContext.applicationId, dom.sf_dir, which)
-    if key not in _TRAINED:
-        pids = product_ids(dom)
-        if which == "multi":
-            _TRAINED[key] = MD.train_models(encoded(dom), splits(dom), pids, C=2.0,
-                                            feature_order=SC.default_feature_order(pids))
-        else:  # single product 102 with the reduced feature list, C = 1
-            feats = ["age_bucket_encoded", "revenue", "credit_score", "has_101", "has_103", "has_104",
-                     "has_105", "has_106"]
-            _TRAINED[key] = MD.train_models(encoded(dom), splits(dom), product_ids=[102], C=1.0,
-                                            feature_map={102: feats})
-    return _TRAINED[key]
+def trained_matrix(dom: Domain) -> SC.ModelMatrix:
+    return once(dom, "trained_matrix", lambda: SC.model_matrix(positions(dom), trained(dom)))
 
 
 @query("train_models")
 def q_train_models(spark, sf_dir):
-    return MD.model_table(spark, trained(domain(spark, sf_dir), "multi"))
+    dom = domain(spark, sf_dir)
+    return MD.model_table(trained(dom), positions(dom))
 
 
 @query("train_single")
 def q_train_single(spark, sf_dir):
-    return MD.model_table(spark, trained(domain(spark, sf_dir), "single"))
+    dom = domain(spark, sf_dir)
+    return MD.model_table(trained(dom, "single"), positions(dom))
+
+
+_TRAIN_ROWS = """
+select s.prod_id, count(*) as train_rows, cast(sum(s.label) as bigint) as positives, true as optimal
+from fx_split s join fx_encoded e on s.cust_id = e.cust_id
+where s.split = 'train' and e.age_bucket_encoded is not null and e.revenue is not null and e.credit_score is not null
+group by s.prod_id having sum(s.label) between 1 and count(*) - 1"""
+
+
+@query("train_optimality", O.sql(_TRAIN_ROWS, "fx_split", "fx_encoded"))
+def q_train_optimality(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return MD.optimality(vectors(dom), trained(dom), thresholds(dom), positions(dom)).drop("residual")
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    return MD.feature_importance(trained(dom), positions(dom))
 
 
 @query("scores_trained")
 def q_scores_trained(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    return SC.score_products(encoded(dom), trained(dom, "multi"), product_ids(dom)).select("cust_id", "prod_id", "score")
+    return SC.score_products(vectors(dom), trained_matrix(dom)).select("cust_id", "prod_id", "score")
 
 
 # ---------------------------------------------------------------------------
@@ -1264,6 +1265,6 @@ def q_msg_answers(spark, sf_dir):
     snap = (dom.customers.select("cust_id").join(own, "cust_id", "left").join(sal, "cust_id", "left")
             .select("cust_id", F.format_string("products=%d;transactions=%d", F.coalesce("n_own", F.lit(0)),
                                                F.coalesce("n_sales", F.lit(0))).alias("payload")))
-    best = RC.best_customers(RC.top_potential_rows(candidates(dom), dom.products, 3)
+    best = RC.best_customers(RC.top_potential_rows(candidates(dom), matrix(dom), 3)
                              .select("cust_id", "expected_profit"), 1).select("cust_id").scalar()
     return MS.answers(dom.messages, FIXTURE_INTENT_RULES, CS.catalogue_rows(dom.products), recs, snap, best)

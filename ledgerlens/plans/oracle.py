@@ -38,13 +38,13 @@ from fx_customers c left join fx_ownership o on c.cust_id = o.cust_id
 group by c.cust_id, c.age_bucket, c.revenue, c.credit_score""")
 
 block("fx_moments", ("fx_features",), """
-select cast(sr as double) / n as rev_mean,
-       case when cast(srr as double) / n - (cast(sr as double) / n) * (cast(sr as double) / n) > 0
-            then sqrt(cast(srr as double) / n - (cast(sr as double) / n) * (cast(sr as double) / n)) else 1e0 end as rev_std,
-       cast(sc as double) / n as cs_mean,
-       case when cast(scc as double) / n - (cast(sc as double) / n) * (cast(sc as double) / n) > 0
-            then sqrt(cast(scc as double) / n - (cast(sc as double) / n) * (cast(sc as double) / n)) else 1e0 end as cs_std
-from (select count(*) as n, sum(cast(revenue as hugeint)) as sr,
+select cast(sr as double) / nr as rev_mean,
+       case when cast(srr as double) / nr - (cast(sr as double) / nr) * (cast(sr as double) / nr) > 0
+            then sqrt(cast(srr as double) / nr - (cast(sr as double) / nr) * (cast(sr as double) / nr)) else 1e0 end as rev_std,
+       cast(sc as double) / nc as cs_mean,
+       case when cast(scc as double) / nc - (cast(sc as double) / nc) * (cast(sc as double) / nc) > 0
+            then sqrt(cast(scc as double) / nc - (cast(sc as double) / nc) * (cast(sc as double) / nc)) else 1e0 end as cs_std
+from (select count(revenue) as nr, count(credit_score) as nc, sum(cast(revenue as hugeint)) as sr,
              sum(cast(revenue as hugeint) * cast(revenue as hugeint)) as srr,
              sum(cast(credit_score as hugeint)) as sc,
              sum(cast(credit_score as hugeint) * cast(credit_score as hugeint)) as scc
@@ -75,11 +75,11 @@ def _logit() -> str:
     return f"m.intercept + {terms}"
 
 
-_owned_case = "case m.prod_id " + " ".join(f"when {p} then e.has_{p}" for p in PIDS) + " end"
-block("fx_scores_all", ("fx_encoded", "fx_model"), f"""
-select e.cust_id, cast(m.prod_id as int) as prod_id, cast({_owned_case} as int) as owned,
-       round(1e0 / (1e0 + exp(-({_logit()}))), 6) as score
-from fx_encoded e cross join fx_model m""")
+_owned_case = "case p.prod_id " + " ".join(f"when {p} then e.has_{p}" for p in PIDS) + " end"
+block("fx_scores_all", ("fx_encoded", "fx_model", "fx_products"), f"""
+select e.cust_id, cast(p.prod_id as int) as prod_id, cast({_owned_case} as int) as owned,
+       coalesce(round(1e0 / (1e0 + exp(-({_logit()}))), 6), {d(R.FALLBACK_SCORE)}) as score
+from fx_encoded e cross join fx_products p left join fx_model m on p.prod_id = m.prod_id""")
 
 block("fx_scores", ("fx_scores_all",), """
 select cust_id, prod_id, score from fx_scores_all where owned = 0""")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Shuffle-partition sizing: ~128 MB per post-shuffle partition at scale.  AQE
@@ -109,6 +110,13 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list:
     return _COLLECTED[key]
 
 
+def constant(value, schema: str) -> Column:
+    """A nested constant of bounded size (lists, dicts) as one literal: the optimiser
+    reads the JSON once, and the value goes to the tasks as an object, not as code.
+    A scalar subquery can't stand inside a higher-order function."""
+    return F.from_json(F.lit(json.dumps(value)), schema)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint to the shared checkpoint folder (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -23,13 +23,13 @@ DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "
 VIEW_SQL: dict[str, str] = {
     "fx_customers": """
 select c_custkey as cust_id,
-       concat('first', cast(c_custkey % 97 as string)) as first_name,
-       concat('last', cast(c_custkey % 89 as string)) as last_name,
+       case when c_custkey % 29 <> 3 then concat('first', cast(c_custkey % 97 as string)) end as first_name,
+       case when c_custkey % 29 <> 3 then concat('last', cast(c_custkey % 89 as string)) end as last_name,
        n_name as location,
-       cast(floor(2e4 + (c_acctbal + 1e3) * 2e1) as bigint) as revenue,
-       cast(300 + (c_custkey * 7919) % 551 as int) as credit_score,
-       case c_mktsegment when 'AUTOMOBILE' then '18-24' when 'BUILDING' then '25-39'
-            when 'FURNITURE' then '40-59' else '60+' end as age_bucket,
+       case when c_custkey % 43 <> 5 then cast(floor(2e4 + (c_acctbal + 1e3) * 2e1) as bigint) end as revenue,
+       case when c_custkey % 53 <> 7 then cast(300 + (c_custkey * 7919) % 551 as int) end as credit_score,
+       case when c_custkey % 47 = 6 then null else case c_mktsegment when 'AUTOMOBILE' then '18-24' when 'BUILDING' then '25-39'
+            when 'FURNITURE' then '40-59' else '60+' end end as age_bucket,
        cast('1935-01-01' as date) + cast((c_custkey * 6247) % 27500 as int) as birth_date
 from {customer} join {nation} on c_nationkey = n_nationkey""",
     "fx_products": """
@@ -77,11 +77,11 @@ from (select distinct 100 + cast(substr(p_brand, 7) as int) as prod_id from {par
 cross join (select * from (values ('age_bucket_encoded', 0), ('revenue', 1), ('credit_score', 2)) as b(feature, pos)
       union all select distinct concat('has_', cast(100 + cast(substr(p_brand, 7) as int) as string)),
              2 + cast(substr(p_brand, 7) as int) from {part}) f
-where feature <> concat('has_', cast(prod_id as string))""",
+where feature <> concat('has_', cast(prod_id as string)) and prod_id <> 113""",
     "fx_intercepts": """
 select distinct 100 + cast(substr(p_brand, 7) as int) as prod_id,
        (((100 + cast(substr(p_brand, 7) as int)) * 3) % 11 - 5) / 1e1 as intercept
-from {part}""",
+from {part} where substr(p_brand, 7) <> '13'""",
     # Product look-up requests: ids, upper-cased names and unknown names mixed.
     "fx_product_requests": """
 select concat(cast(l_orderkey as string), '-', cast(l_linenumber as string)) as request_id,
