@@ -443,7 +443,7 @@ def named_customers(rows: DataFrame, customers: DataFrame, key: str = "cust_id")
     names = customer_names(customers).withColumnRenamed("cust_id", key)
     label = F.concat(F.lit(R.CUSTOMER_LABEL), F.col(key).cast("string"))
     return rows.join(names, key, "left").withColumn(
-        "customer_name", F.coalesce(F.nullif(F.col("customer_name"), F.lit("")), label))
+        "customer_name", F.coalesce(F.nullif(F.trim("customer_name"), F.lit("")), label))
 
 
 def ranked_customers(potential: DataFrame, score: str = "expected_profit", key: str = "cust_id") -> DataFrame:

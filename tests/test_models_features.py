@@ -1,15 +1,11 @@
 """Features (M1-M4), scoring (M7, M8, W3), evaluation (M9-M12) and training (M5, M6)."""
 
-import math
-
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from ledgerlens.operators import features as FE
 from ledgerlens.operators import models as MD
-from ledgerlens.operators import scoring as SC
 from ledgerlens.plans import rules as R
 
 CUST = "cust_id long, age_bucket string, revenue long, credit_score int"
@@ -51,54 +47,16 @@ def test_scaler_constant_column_divides_by_one(spark):
     assert (sc.revenue_std, sc.credit_std) == (1.0, 1.0)
 
 
-def test_stratified_split_exact_counts(spark):
-    data = [(i, 101, 1 if i % 4 == 0 else 0) for i in range(103)]
-    df = spark.createDataFrame(data, "cust_id long, prod_id int, label int")
-    s = MD.stratified_split(df, ["prod_id", "label"], buckets_hex=1)   # few buckets: boundary path used
-    counts = {(r["label"], r["split"]): r["n"] for r in s.groupBy("label", "split").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = 26, 77
-    assert counts[(1, "test")] == math.ceil(0.2 * n1) and counts[(0, "test")] == math.ceil(0.2 * n0)
-    assert counts[(1, "train")] + counts[(1, "test")] == n1
-    # same split with a finer histogram (different plan, same rows)
-    s2 = MD.stratified_split(df, ["prod_id", "label"], buckets_hex=3)
-    assert rows(s, "cust_id", "split") == rows(s2, "cust_id", "split")
-
-
-def _models(weights, intercepts):
-    return SC.LinearModels(SC.default_feature_order(), weights, intercepts)
-
-
-def test_scores_exclude_owned_and_fallback(spark):
-    f = FE.build_features(_customers(spark), _ownership(spark))
-    enc = FE.encode_features(f, FE.fit_scaler(f))
-    models = _models({101: {"revenue": 0.5}, 102: {"credit_score": -1.0, "has_101": 2.0}}, {101: 0.1, 102: -0.2})
-    out = SC.score_products(enc, models)
-    got = out.collect()
-    owned = {(1, 101), (1, 103), (2, 101), (2, 107)}
-    assert not {(r["cust_id"], r["prod_id"]) for r in got} & owned
-    assert len(got) == 4 * 10 - len(owned)
-    assert all(0.0 <= r["score"] <= 1.0 for r in got)
-    assert {r["score"] for r in got if r["prod_id"] not in (101, 102)} == {R.FALLBACK_SCORE}
-    assert all(r["has_model"] == (r["prod_id"] in (101, 102)) for r in got)
-
-
-def test_contributions_sum_to_logit(spark):
-    f = FE.build_features(_customers(spark), _ownership(spark))
-    enc = FE.encode_features(f, FE.fit_scaler(f))
-    models = _models({102: {"credit_score": -1.0, "has_101": 2.0, "revenue": 0.25, "age_bucket_encoded": 0.1}},
-                     {102: -0.2})
-    rows_ = enc.withColumn("prod_id", F.lit(102))
-    contrib = SC.contributions(rows_, models)
-    sums = {r["cust_id"]: r["s"] for r in contrib.groupBy("cust_id").agg(F.sum("contribution").alias("s")).collect()}
-    logit = {r["cust_id"]: r["z"] for r in enc.select("cust_id", SC.logit_expr(models, 102).alias("z")).collect()}
-    for c, z in logit.items():
-        assert sums[c] + (-0.2) == pytest.approx(z)
-    top = SC.top_contributions(contrib, SC.feature_labels(spark.createDataFrame([(101, "acc")], "prod_id int, name string")), 2)
-    shares = {}
-    for r in top.collect():
-        shares.setdefault(r["cust_id"], 0.0)
-        shares[r["cust_id"]] += r["share"]
-    assert all(v == pytest.approx(100.0) for v in shares.values())   # share of the shown top-n
+def test_scaler_leaves_nulls_out_and_keeps_fractions(spark):
+    df = spark.createDataFrame([(1, None, 100.0, 0.4), (2, "a", None, 0.6), (3, "b", 300.0, None)],
+                               "cust_id long, age_bucket string, revenue double, credit_score double")
+    sc = FE.fit_scaler(df)
+    assert (sc.revenue_mean, sc.revenue_std) == (200.0, 100.0)
+    assert sc.credit_mean == pytest.approx(0.5) and sc.credit_std == pytest.approx(0.1)
+    got = {r.cust_id: r for r in FE.encode_features(df, sc).collect()}
+    assert got[1].age_bucket_encoded is None and got[2].revenue is None and got[3].age_bucket_encoded == 1
+    many = spark.range(300).selectExpr("id as cust_id", "cast(id as string) as age_bucket", "1L as revenue", "1 as credit_score")
+    assert len(FE.fit_scaler(many).age_labels) == 300
 
 
 def test_auc_matches_pairwise_count(spark):
@@ -122,81 +80,6 @@ def test_report_zero_denominators(spark):
     assert rep["macro avg"]["f1"] == pytest.approx(0.5)
 
 
-def _newton_balanced_l2(X, y, C, iters=50):
-    """Reference optimum of C * sum w_i logloss_i + 0.5 |beta|^2 (intercept free), balanced w."""
-    n = len(y)
-    w = np.where(y == 1, n / (2.0 * y.sum()), n / (2.0 * (n - y.sum())))
-    Xa = np.hstack([X, np.ones((n, 1))])
-    beta = np.zeros(Xa.shape[1])
-    reg = np.eye(Xa.shape[1])
-    reg[-1, -1] = 0.0
-    for _ in range(iters):
-        p = 1 / (1 + np.exp(-Xa @ beta))
-        g = C * Xa.T @ (w * (p - y)) + reg @ beta
-        H = C * (Xa * (w * p * (1 - p))[:, None]).T @ Xa + reg
-        beta -= np.linalg.solve(H, g)
-    return beta
-
-
-def test_training_matches_reference_objective(spark):
-    rng = np.random.default_rng(3)
-    n = 80
-    X = np.column_stack([rng.normal(size=n), rng.normal(size=n), (rng.random(n) < 0.5).astype(float)])
-    y = ((X[:, 0] - 0.5 * X[:, 1] + rng.normal(scale=0.8, size=n)) > 0.3).astype(int)
-    enc = spark.createDataFrame([(i, float(a), float(b), int(c)) for i, (a, b, c) in enumerate(X)],
-                                "cust_id long, revenue double, credit_score double, has_101 int")
-    splits = spark.createDataFrame([(i, 102, int(y[i]), "train") for i in range(n)],
-                                   "cust_id long, prod_id int, label int, split string")
-    feats = ["revenue", "credit_score", "has_101"]
-    m = MD.train_models(enc, splits, product_ids=[102], C=2.0, feature_map={102: feats})
-    ref = _newton_balanced_l2(X, y.astype(float), 2.0)
-    got = [m.weights[102][f] for f in feats] + [m.intercepts[102]]
-    assert np.allclose(got, ref, atol=1e-4)
-
-
-def test_model_table_roundtrip(spark, tmp_path):
-    models = _models({101: {"revenue": 0.5, "has_102": -1.25}}, {101: 0.75})
-    path = str(tmp_path / "m")
-    MD.save_models(spark, models, path)
-    back = MD.load_model_table(spark, path)
-    assert back.weights == models.weights and back.intercepts == models.intercepts
-
-
-def test_row_local_top_contributions_equal_window(spark):
-    import random
-    rnd = random.Random(9)
-    feats = list(SC.default_feature_order())
-    weights = {p: {f: rnd.choice([0.0, 0.5, -0.5, 1.0, rnd.uniform(-1, 1)]) for f in feats if f != f"has_{p}"}
-               for p in (101, 102, 103)}
-    models = SC.LinearModels(tuple(feats), weights, {p: 0.1 for p in weights})
-    data = []
-    for c in range(40):
-        vals = [rnd.choice([0, 1, 2, 3]), rnd.choice([0.0, 1.0, -1.0, rnd.gauss(0, 1)]),
-                rnd.choice([0.0, 0.5, rnd.gauss(0, 1)])] + [rnd.choice([0, 1]) for _ in range(10)]
-        for p in (101, 102, 103, 104):           # 104 has no model: no rows
-            data.append((c, p, *vals))
-    schema = ", ".join(["cust_id long", "prod_id int", "age_bucket_encoded int", "revenue double",
-                        "credit_score double"] + [f"has_{p} int" for p in R.PRODUCT_IDS])
-    rows_ = spark.createDataFrame(data, schema)
-    labels = SC.feature_labels(spark.createDataFrame([(101, "acc"), (102, "dep")], "prod_id int, name string"))
-    a = SC.top_contribution_rows(rows_, models, labels, 5)
-    b = SC.top_contributions(SC.contributions(rows_, models), labels, 5)
-    cols = ("cust_id", "prod_id", "rank", "feature", "label", "contribution", "share", "sign")
-    assert rows(a, *cols) == rows(b, *cols) and a.count() == 40 * 3 * 5
-
-
-def test_incomplete_customers_get_the_fallback_score(spark):
-    from ledgerlens.operators.scoring import LinearModels, score_products
-    from ledgerlens.plans import rules as R
-
-    models = LinearModels(features=("revenue",), weights={101: {"revenue": 1.0}}, intercepts={101: 0.0})
-    rows = spark.createDataFrame([(1, 0.0), (2, None)], "cust_id int, revenue double")
-    got = {r["cust_id"]: r["score"] for r in score_products(rows, models, [101]).collect()}
-    assert got == {1: 0.5, 2: R.FALLBACK_SCORE}
-    got = {r["cust_id"]: r["score"] for r in score_products(rows.withColumn("revenue", rows.revenue + 1), models, [101]).collect()}
-    assert got[1] > 0.7 and got[2] == R.FALLBACK_SCORE
-
-
 def test_age_labels_may_hold_quotes(spark):
     from ledgerlens.operators.features import Scaler, encode_features
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import rows
 from ledgerlens.operators import recommend as RC
+from ledgerlens.operators import scoring as SC
 from ledgerlens.plans import rules as R
 
 SCORED = "cust_id long, prod_id int, score double"
@@ -138,11 +139,18 @@ def _random_candidates(spark, n_cust=60, seed=5):
     rnd = random.Random(seed)
     rows = []
     for c in range(n_cust):
-        cands = [(p, int(rnd.random() < 0.3), True, rnd.choice([0.0, 0.25, 0.5, 0.5, 0.75, 1.0, rnd.random()]))
-                 for p in R.PRODUCT_IDS]
+        cands = [(p, int(rnd.random() < 0.3), True, rnd.choice([0.0, 0.25, 0.5, 0.5, 0.75, 1.0, rnd.random()]), i)
+                 for i, p in enumerate(R.PRODUCT_IDS)]
         rows.append((c, cands))
     return spark.createDataFrame(
-        rows, "cust_id long, cands array<struct<prod_id:int, owned:int, has_model:boolean, score:double>>")
+        rows, "cust_id long, cands array<struct<prod_id:int, owned:int, has_model:boolean, score:double, pos:int>>")
+
+
+def _matrix(products=None):
+    rows = {r["prod_id"]: r for r in products.collect()} if products is not None else {}
+    arrays = {"prod_ids": list(R.PRODUCT_IDS), "names": [f"p{p}" for p in R.PRODUCT_IDS],
+              "prices": [rows[p]["price"] if p in rows else None for p in R.PRODUCT_IDS]}
+    return SC.ModelMatrix(arrays, None, None, True)
 
 
 def _long(cands):
@@ -162,7 +170,7 @@ def test_row_local_scenarios_equal_window(spark):
     roles = _roles(spark, scen)
     cols = ("cust_id", "scenario", "rank", "prod_id", "role", "base_score", "score")
     for k in (2, 3, 5):
-        assert rows(RC.scenario_rows(cands, scen, k), *cols) == rows(RC.recommend_scenario(_long(cands), roles, k), *cols)
+        assert rows(RC.scenario_rows(cands, _matrix(), scen, k), *cols) == rows(RC.recommend_scenario(_long(cands), roles, k), *cols)
 
 
 def test_row_local_top_potential_equals_window(spark):
@@ -170,7 +178,7 @@ def test_row_local_top_potential_equals_window(spark):
     products = spark.createDataFrame([(p, f"p{p}", None if p == 104 else 10.0 + p % 7) for p in R.PRODUCT_IDS],
                                      "prod_id int, name string, price double")
     customers = cands.select("cust_id")
-    a = RC.top_potential_rows(cands, products, 3)
+    a = RC.top_potential_rows(cands, _matrix(products), 3)
     b = RC.top_potential(RC.recommend_topk(_long(cands), 3), products, customers)
     cols = ("cust_id", "expected_profit", "n_recs")
     assert rows(a, *cols) == rows(b, *cols)
@@ -184,7 +192,7 @@ def test_row_local_bundles_equal_grouped(spark):
     scen = list(R.SCENARIOS)
     products = spark.createDataFrame([(p, f"p{p}", None if p == 104 else 10.5 + p % 7) for p in R.PRODUCT_IDS],
                                      "prod_id int, name string, price double")
-    a = RC.bundle_rows(RC.scenario_lists(cands, scen, 5), products)
+    a = RC.bundle_rows(RC.scenario_lists(cands, _matrix(products), scen, 5), _matrix(products))
     b = RC.bundle_offer(RC.recommend_scenario(_long(cands), _roles(spark, scen), 5), products,
                         by=("cust_id", "scenario"))
     assert rows(a) == rows(b.select(*a.columns)) and a.count() > 0
@@ -198,7 +206,28 @@ def test_row_local_requests_equal_window(spark):
         [(f"r{i}", rnd.randrange(25), rnd.choice([0.0, 500000.0, 500000.5, 900000.0, None]),
           rnd.choice([50.0, 90.0, 90.5, None])) for i in range(120)],
         "request_id string, cust_id long, financing_need double, ltv_ratio double")
-    a = RC.recommend_for_requests_rows(cands, req, 5)
+    a = RC.recommend_for_requests_rows(cands, _matrix(), req, 5)
     b = RC.recommend_for_requests(_long(cands), req, _roles(spark, [R.REAL_ESTATE]), 5)
     cols = ("request_id", "cust_id", "rank", "prod_id", "role", "base_score", "score")
     assert rows(a, *cols) == rows(b, *cols) and a.count() > 0
+
+
+def test_global_rank_equals_one_sort(spark):
+    import random
+    rnd = random.Random(3)
+    data = [(i, rnd.choice([0.0, 1.0, 2.5, rnd.random(), None])) for i in range(3000)] + [(None, 2.5)]
+    got = RC.ranked_customers(spark.createDataFrame(data, "cust_id long, expected_profit double").repartition(7))
+    assert "Exchange SinglePartition" not in got._jdf.queryExecution().optimizedPlan().toString()
+    order = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0] is not None, r[0] or 0))
+    assert [(r["cust_id"], r["expected_profit"]) for r in sorted(got.collect(), key=lambda r: r["rank"])] == order
+    assert sorted(r["rank"] for r in got.collect()) == list(range(1, len(data) + 1))
+    assert RC.ranked_customers(got.limit(0).select("cust_id", "expected_profit")).count() == 0
+
+
+def test_names_fall_back_to_the_id(spark):
+    customers = spark.createDataFrame([(1, "Ada", "L"), (2, None, None), (3, None, "M"), (4, "", "")],
+                                      "cust_id long, first_name string, last_name string")
+    wanted = spark.createDataFrame([(1,), (2,), (3,), (4,), (9,)], "cust_id long")
+    got = {r["cust_id"]: r["customer_name"] for r in RC.named_customers(wanted, customers).collect()}
+    label = R.CUSTOMER_LABEL
+    assert got == {1: "Ada L", 2: label + "2", 3: "M", 4: label + "4", 9: label + "9"}

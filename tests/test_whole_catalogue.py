@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SF_SMALL, rows
 from ledgerlens.operators import recommend as RC
+from ledgerlens.operators import scoring as SC
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver test data not present")
 
@@ -38,6 +39,7 @@ def test_features_and_scores_cover_the_catalogue(spark, raw):
 
 def test_product_without_a_role_is_other(spark):
     cands = spark.sql("select 1L as cust_id, array(named_struct('prod_id', 101, 'owned', 0, 'has_model', true, "
-                      "'score', 0.5D), named_struct('prod_id', 999, 'owned', 0, 'has_model', false, 'score', 0.5D)) as cands")
-    got = RC.scenario_rows(cands, ["account_opening"], 3)
+                      "'score', 0.5D, 'pos', 0), named_struct('prod_id', 999, 'owned', 0, 'has_model', false, 'score', 0.5D, 'pos', 1)) as cands")
+    matrix = SC.ModelMatrix({"prod_ids": [101, 999]}, None, None, True)
+    got = RC.scenario_rows(cands, matrix, ["account_opening"], 3)
     assert rows(got, "prod_id", "role", "score") == [(101, "primary", 1.0), (999, "other", 0.05)]
