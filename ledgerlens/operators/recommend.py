@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.expressions import clamp01, income_level, when_chain
+from ledgerlens.functions.ordering import global_rank
 from ledgerlens.plans import rules as R
 from ledgerlens.plans.session import broadcast_bounded
 
 MAX_CATALOGUE = 10_000
-#: Rows of a table with a row per partition that are broadcast.
-MAX_PARTS = 1_000_000
 
 
 def catalogue(products: DataFrame, max_rows: int = MAX_CATALOGUE) -> DataFrame:
@@ -448,21 +447,5 @@ def named_customers(rows: DataFrame, customers: DataFrame, key: str = "cust_id")
 
 def ranked_customers(potential: DataFrame, score: str = "expected_profit", key: str = "cust_id") -> DataFrame:
     """A18 as the ordered list: ``rank`` 1, 2, ... over all rows by score desc, ties
-    by id.
-
-    A global rank without a task that sees all rows: range partitions in order,
-    sorted within; a row's rank is its place in its partition plus the sizes of
-    the partitions before.  The sizes are one row per partition."""
-    from ledgerlens.plans.session import scratch_path
-    spark = potential.sparkSession
-    order = [F.col(score).desc_nulls_last(), F.col(key).asc_nulls_first()]
-    place = F.monotonically_increasing_id()  # partition << 33 | place within it
-    path = scratch_path(spark, "ranked")
-    potential.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_place", place).write.parquet(path)
-    written = spark.read.parquet(path).withColumn("_part", F.shiftright("_place", 33))
-    sizes = written.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    within = F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))
-    return written.join(broadcast_bounded(offsets, MAX_PARTS), "_part").withColumn(
-        "rank", within + F.col("_before") + 1).drop("_part", "_place", "_before")
+    by id."""
+    return global_rank(potential, [F.col(score).desc_nulls_last(), F.col(key).asc_nulls_first()])

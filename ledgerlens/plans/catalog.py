@@ -948,35 +948,66 @@ def chat_messages(dom: Domain) -> DataFrame:
                                     "turn", "role", "content")
 
 
+def chat_sessions(dom: Domain) -> DataFrame:
+    """Stored sessions, empty ones too, with the caller's metadata."""
+    return dom.view("fx_chat_sessions").select(
+        "customer_id", "session_id", "seq", F.col("session_date").cast("timestamp").alias("timestamp"),
+        F.col("message_count").cast("int").alias("message_count"),
+        F.create_map(F.lit("channel"), F.concat(F.lit("c"), (F.col("seq") % 3).cast("string"))).alias("metadata"))
+
+
+def _store(dom: Domain, where: str = "true") -> str:
+    """A chat store of the sessions (and their messages) with ``where``; its path."""
+    path = scratch_path(dom.spark, "chat_store")
+    CSTORE.write_store(CSTORE.to_records(chat_messages(dom).where(where), sessions=chat_sessions(dom).where(where)), path)
+    return path
+
+
 def _sessions_out(sessions: DataFrame) -> DataFrame:
     return sessions.select("customer_id", "session_id", "seq", F.date_format("timestamp", TS_FMT).alias("ts"),
-                           F.col("message_count").cast("bigint").alias("message_count"))
+                           F.col("message_count").cast("bigint").alias("message_count"),
+                           F.element_at("metadata", "channel").alias("channel"))
 
 
-_SESSIONS_SQL = O.sql(f"""
-select customer_id, session_id, seq, {_TS_SQL} as ts, count(*) as message_count
-from fx_chat_messages group by customer_id, session_id, seq, session_date""", "fx_chat_messages")
+_SESSION_COLS = f"""customer_id, session_id, seq, {_TS_SQL} as ts, cast(message_count as bigint) as message_count,
+       'c' || cast(seq % 3 as varchar) as channel"""
+_SESSIONS_SQL = O.sql(f"select {_SESSION_COLS} from fx_chat_sessions", "fx_chat_sessions")
 
 
 @query("chat_sessions", _SESSIONS_SQL)
 def q_chat_sessions(spark, sf_dir):
-    dom = domain(spark, sf_dir)
-    path = scratch_path(spark, "chat_store")
-    CSTORE.write_store(CSTORE.to_records(chat_messages(dom)), path)
-    return _sessions_out(CSTORE.sessions_of(CSTORE.read_store(spark, path)))
+    return _sessions_out(CSTORE.sessions_of(CSTORE.read_store(spark, _store(domain(spark, sf_dir)))))
 
 
 @query("chat_append", _SESSIONS_SQL)
 def q_chat_append(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    path = scratch_path(spark, "chat_store")
-    msgs = chat_messages(dom)
-    cut = F.lit("2024-07-01").cast("timestamp")
-    CSTORE.write_store(CSTORE.to_records(msgs.where(F.col("timestamp") < cut)), path)
-    CSTORE.write_store(CSTORE.to_records(msgs.where(F.col("timestamp") >= cut)), path, mode="append")
+    cut = "timestamp < timestamp'2024-07-01'"
+    path = _store(dom, cut)
+    rest = f"NOT ({cut})"
+    CSTORE.write_store(CSTORE.to_records(chat_messages(dom).where(rest), sessions=chat_sessions(dom).where(rest)), path,
+                       mode="append")
     return _sessions_out(CSTORE.sessions_of(CSTORE.read_store(spark, path)))
 
 
+@query("chat_rejects", O.sql("""
+select case when seq % 17 = 0 then 'malformed' when seq % 19 = 0 then 'no session_id' else 'read' end as reason, count(*) as rows
+from fx_chat_sessions group by 1 union all select 'lines', count(*) from fx_chat_sessions""", "fx_chat_sessions"))
+def q_chat_rejects(spark, sf_dir):
+    """A copy of the store in which some lines are cut off and some have lost their id."""
+    dom = domain(spark, sf_dir)
+    path, bad, aside = _store(dom), scratch_path(spark, "chat_store"), scratch_path(spark, "chat_rejects")
+    seq = F.get_json_object("value", "$.seq").cast("bigint")
+    lines = spark.read.text(path).where(F.get_json_object("value", "$.block").cast("int") == 0)
+    lines.select("customer_bucket", F.when(seq % 17 == 0, F.substring("value", 1, 40)).when(
+        seq % 19 == 0, F.regexp_replace("value", '"session_id":"[^"]*",', "")).otherwise(F.col("value")).alias("value")
+    ).write.partitionBy("customer_bucket").text(bad)
+    told = CSTORE.quarantine(CSTORE.read_lines(spark, bad), aside)
+    read = CSTORE.read_store(spark, bad).agg(F.count("*").alias("rows")).select(F.lit("read").alias("reason"), "rows")
+    every = spark.read.text(bad).agg(F.count("*").alias("rows")).select(F.lit("lines").alias("reason"), "rows")
+    return told.unionByName(read).unionByName(every)
+
+
 @query("chat_export", O.sql(f"""
 select customer_id, session_id, {_TS_SQL} as timestamp, turn, role, content from fx_chat_messages""",
                             "fx_chat_messages"))
@@ -988,29 +1019,54 @@ def q_chat_export(spark, sf_dir):
 
 
 @query("chat_customers", O.sql(
-    "select distinct customer_id from fx_chat_messages order by customer_id", "fx_chat_messages"))
+    "select distinct customer_id from fx_chat_sessions order by customer_id", "fx_chat_sessions"))
 def q_chat_customers(spark, sf_dir):
-    dom = domain(spark, sf_dir)
-    path = scratch_path(spark, "chat_store")
-    CSTORE.write_store(CSTORE.to_records(chat_messages(dom)), path)
-    return CSTORE.customers_with_chats(CSTORE.read_store(spark, path))
+    return CSTORE.customers_with_chats(CSTORE.read_store(spark, _store(domain(spark, sf_dir))))
+
+
+O.block("fx_found_sessions", ("fx_chat_messages",), f"""
+select distinct customer_id, session_id from fx_chat_messages where contains(lower(content), '{SEARCH_TERM}')""")
 
 
 @query("chat_delete", O.sql(f"""
-select customer_id, session_id, seq, {_TS_SQL} as ts, count(*) as message_count
-from fx_chat_messages m
-where not exists (select 1 from fx_chat_messages x where x.customer_id = m.customer_id
-                  and x.session_id = m.session_id and contains(lower(x.content), '{SEARCH_TERM}'))
-group by customer_id, session_id, seq, session_date""", "fx_chat_messages"))
+select {_SESSION_COLS} from fx_chat_sessions m where (customer_id, session_id) not in (from fx_found_sessions)""",
+                            "fx_chat_sessions", "fx_found_sessions"))
 def q_chat_delete(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    src, dst = scratch_path(spark, "chat_store"), scratch_path(spark, "chat_store")
-    msgs = chat_messages(dom)
-    CSTORE.write_store(CSTORE.to_records(msgs), src)
-    deletes = CH.search_sessions(msgs, SEARCH_TERM).select("customer_id", "session_id")
-    kept, _ = CSTORE.delete_sessions(CSTORE.read_store(spark, src), deletes)
-    CSTORE.write_store(kept, dst)
-    return _sessions_out(CSTORE.sessions_of(CSTORE.read_store(spark, dst)))
+    path = _store(dom)
+    found = CH.search_sessions(chat_messages(dom), SEARCH_TERM).select("customer_id", "session_id")
+    CSTORE.delete_sessions(spark, path, found)
+    return _sessions_out(CSTORE.sessions_of(CSTORE.read_store(spark, path)))
+
+
+# Requests: all sessions of some customers (with and without any), single sessions, unknown ones.
+O.block("fx_delete_requests", ("fx_customers", "fx_chat_sessions"), """
+select cust_id as customer_id, cast(null as varchar) as session_id from fx_customers where cust_id % 10 = 3
+union all select customer_id, session_id from fx_chat_sessions where customer_id % 10 = 4 and seq % 2 = 0
+union all select cust_id, 'unknown' from fx_customers where cust_id % 10 = 5""")
+
+
+@query("chat_delete_all", O.sql("""
+select r.customer_id, r.session_id, count(s.seq) as removed
+from fx_delete_requests r left join fx_chat_sessions s
+  on r.customer_id = s.customer_id and (r.session_id is null or r.session_id = s.session_id)
+group by r.customer_id, r.session_id
+union all
+select null, 'left', count(*) from fx_chat_sessions s
+where not exists (select 1 from fx_delete_requests r
+                  where r.customer_id = s.customer_id and (r.session_id is null or r.session_id = s.session_id))""",
+                                "fx_delete_requests", "fx_chat_sessions"))
+def q_chat_delete_all(spark, sf_dir):
+    dom = domain(spark, sf_dir)
+    path = _store(dom)
+    who = dom.customers.select(F.col("cust_id").alias("customer_id"))
+    asked = who.where("customer_id % 10 = 3").withColumn("session_id", F.lit(None).cast("string")).unionByName(
+        chat_sessions(dom).where("customer_id % 10 = 4 AND seq % 2 = 0").select("customer_id", "session_id")).unionByName(
+        who.where("customer_id % 10 = 5").withColumn("session_id", F.lit("unknown")))
+    removed = CSTORE.delete_sessions(spark, path, asked)
+    left = CSTORE.sessions_of(CSTORE.read_store(spark, path)).agg(F.count("*").alias("removed")).select(
+        F.lit(None).cast("bigint").alias("customer_id"), F.lit("left").alias("session_id"), "removed")
+    return removed.unionByName(left)
 
 
 @query("chat_stats", O.sql(f"""
@@ -1020,37 +1076,35 @@ select c.cust_id as customer_id, cast(coalesce(s.total_sessions, 0) as bigint) a
             else cast(s.total_messages as double) / cast(s.total_sessions as double) end as avg_messages_per_session,
        s.first_chat, s.last_chat
 from fx_customers c left join (
-  select customer_id, count(*) as total_sessions, sum(n) as total_messages,
+  select customer_id, count(*) as total_sessions, sum(message_count) as total_messages,
          strftime(arg_min(ts, seq), '%Y-%m-%d %H:%M:%S') as first_chat,
          strftime(arg_max(ts, seq), '%Y-%m-%d %H:%M:%S') as last_chat
-  from (select customer_id, session_id, seq, cast(session_date as timestamp) as ts, count(*) as n
-        from fx_chat_messages group by customer_id, session_id, seq, session_date) t
-  group by customer_id) s on c.cust_id = s.customer_id""", "fx_customers", "fx_chat_messages"))
+  from (select *, cast(session_date as timestamp) as ts from fx_chat_sessions) t
+  group by customer_id) s on c.cust_id = s.customer_id""", "fx_customers", "fx_chat_sessions"))
 def q_chat_stats(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    st = CH.chat_stats(dom.customers, chat_messages(dom))
+    st = CH.chat_stats(dom.customers, chat_sessions(dom))
     return st.withColumn("first_chat", F.date_format("first_chat", TS_FMT)) \
              .withColumn("last_chat", F.date_format("last_chat", TS_FMT))
 
 
 @query("chat_latest", O.sql(f"""
 select customer_id, arg_max(session_id, seq) as session_id, strftime(arg_max(ts, seq), '%Y-%m-%d %H:%M:%S') as ts,
-       arg_max(n, seq) as message_count
-from (select customer_id, session_id, seq, cast(session_date as timestamp) as ts, count(*) as n
-      from fx_chat_messages group by customer_id, session_id, seq, session_date) t
-group by customer_id""", "fx_chat_messages"))
+       arg_max(cast(message_count as int), seq) as message_count
+from (select *, cast(session_date as timestamp) as ts from fx_chat_sessions) t
+group by customer_id""", "fx_chat_sessions"))
 def q_chat_latest(spark, sf_dir):
-    lat = CH.latest_session(chat_messages(domain(spark, sf_dir)))
+    lat = CH.latest_session(chat_sessions(domain(spark, sf_dir)))
     return lat.select("customer_id", "session_id", F.date_format("timestamp", TS_FMT).alias("ts"),
                       "message_count")
 
 
 @query("chat_recent", O.sql(f"""
-select customer_id, session_id, seq, {_TS_SQL} as display_time, count(*) as message_count
-from fx_chat_messages group by customer_id, session_id, seq, session_date
-order by customer_id, session_date desc nulls last, seq desc""", "fx_chat_messages"))
+select customer_id, session_id, seq, {_TS_SQL} as display_time, cast(message_count as int) as message_count,
+       row_number() over (order by customer_id, session_date desc nulls last, seq) as place
+from fx_chat_sessions""", "fx_chat_sessions"))
 def q_chat_recent(spark, sf_dir):
-    return CH.recent_sessions(chat_messages(domain(spark, sf_dir)))
+    return CH.recent_sessions(chat_sessions(domain(spark, sf_dir)))
 
 
 @query("chat_search", O.sql(f"""
@@ -1062,9 +1116,9 @@ def q_chat_search(spark, sf_dir):
 
 @query("chat_search_counts", O.sql(f"""
 select customer_id, cast(sum(hit) as bigint) as matching, count(*) as sessions
-from (select customer_id, session_id,
+from (select customer_id, session_id, seq,
              coalesce(max(cast(contains(lower(content), '{SEARCH_TERM}') as int)), 0) as hit
-      from fx_chat_messages group by customer_id, session_id) t
+      from fx_chat_messages group by customer_id, session_id, seq) t
 group by customer_id""", "fx_chat_messages"))
 def q_chat_search_counts(spark, sf_dir):
     return CH.search_counts(chat_messages(domain(spark, sf_dir)), SEARCH_TERM)

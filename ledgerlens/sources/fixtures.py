@@ -67,6 +67,15 @@ select conv_id % 20 as customer_id, cast(conv_id as string) as session_id, conv_
        cast('2024-01-01' as date) + cast((conv_id * 37) % 400 as int) as session_date,
        turn, role, text as content
 from {conversations}""",
+    # Stored sessions; those of some customers have no message.
+    "fx_chat_sessions": """
+select conv_id % 20 as customer_id, cast(conv_id as string) as session_id, conv_id as seq,
+       cast('2024-01-01' as date) + cast((conv_id * 37) % 400 as int) as session_date, count(*) as message_count
+from {conversations} group by conv_id
+union all
+select distinct conv_id % 20, concat('empty', cast(conv_id as string)), 1000000000 + conv_id,
+       cast('2024-01-01' as date) + cast((conv_id * 41) % 400 as int), 0
+from {conversations} where conv_id % 13 = 0""",
     "fx_financing": """
 select o_orderkey as request_id, o_custkey as cust_id,
        4e0 * o_totalprice as purchase_price, (o_orderkey % 5) * o_totalprice as equity

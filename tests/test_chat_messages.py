@@ -1,7 +1,9 @@
 """Chat store, chat analytics, message routing and the streaming variant."""
 
 import datetime as dt
+import pathlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
@@ -25,7 +27,7 @@ def _messages(spark):
 
 def test_chat_stats_stored_order_and_zero_rows(spark):
     cust = spark.createDataFrame([(1,), (2,), (3,)], "cust_id long")
-    out = {r["customer_id"]: r for r in CH.chat_stats(cust, _messages(spark)).collect()}
+    out = {r["customer_id"]: r for r in CH.chat_stats(cust, CH.session_counts(_messages(spark))).collect()}
     assert (out[1]["total_sessions"], out[1]["total_messages"]) == (3, 6)
     assert out[1]["avg_messages_per_session"] == 2.0
     # first / last by stored order (seq), not by time: s3 (Feb) is stored after s2 (Mar)
@@ -35,9 +37,9 @@ def test_chat_stats_stored_order_and_zero_rows(spark):
 
 
 def test_latest_and_recent(spark):
-    lat = {r["customer_id"]: r["session_id"] for r in CH.latest_session(_messages(spark)).collect()}
+    lat = {r["customer_id"]: r["session_id"] for r in CH.latest_session(CH.session_counts(_messages(spark))).collect()}
     assert lat == {1: "s3", 2: "s1"}
-    rec = [(r["customer_id"], r["session_id"], r["display_time"]) for r in CH.recent_sessions(_messages(spark)).collect()]
+    rec = [(r["customer_id"], r["session_id"], r["display_time"]) for r in CH.recent_sessions(CH.session_counts(_messages(spark))).orderBy("place").collect()]
     assert rec[:3] == [(1, "s2", "2024-03-01 09:00:00"), (1, "s3", "2024-02-01 09:00:00"), (1, "s1", "2024-01-01 09:00:00")]
     assert rec[3] == (2, "s1", None)                                   # missing time sorts last
 
@@ -60,18 +62,94 @@ def test_store_round_trip_append_and_delete(spark, tmp_path):
     # delete: (1, s1) removes that session; (2, null) removes every session of customer 2;
     # (1, nope) removes nothing
     deletes = spark.createDataFrame([(1, "s1"), (2, None), (1, "nope")], "customer_id long, session_id string")
-    kept, removed = CSTORE.delete_sessions(back, deletes)
+    removed = CSTORE.delete_sessions(spark, path, deletes)
+    kept = CSTORE.read_store(spark, path)
     assert rows(CSTORE.sessions_of(kept), "customer_id", "session_id") == [(1, "s2"), (1, "s3")]
     assert rows(removed, "customer_id", "session_id", "removed") == [(1, "nope", 0), (1, "s1", 1), (2, None, 1)]
 
 
+def _files(path):
+    return {str(f.relative_to(path)): f.stat().st_mtime_ns for f in pathlib.Path(path).rglob("part-*")}
+
+
+def test_delete_touches_only_buckets_with_a_deleted_session(spark, tmp_path):
+    path = str(tmp_path / "store")
+    msgs = spark.range(400).selectExpr("id % 100 as customer_id", "concat('s', id) as session_id", "id as seq",
+                                       "timestamp'2024-01-01 00:00:00' as timestamp", "0L as turn", "'user' as role", "'x' as content")
+    CSTORE.write_store(CSTORE.to_records(msgs), path)
+    before = _files(path)
+    bucket = spark.range(1).select(F.lit(7).cast("long").alias("customer_id")).select(CSTORE.bucket_of()).first()[0]
+    removed = CSTORE.delete_sessions(spark, path, spark.createDataFrame(
+        [(7, None), (8, "unknown"), (12345, None)], "customer_id long, session_id string"))
+    assert rows(removed) == [(12345, None, 0), (7, None, 4), (8, "unknown", 0)]
+    after = _files(path)
+    changed = {f.split("/")[0] for f in before.keys() ^ after.keys()}
+    assert changed == {f"customer_bucket={bucket}"}
+    assert all(after[f] == t for f, t in before.items() if not f.startswith(f"customer_bucket={bucket}/"))
+    assert CSTORE.sessions_of(CSTORE.read_store(spark, path)).count() == 396
+    # Nothing left of any customer: every folder stays readable, and none has sessions.
+    CSTORE.delete_sessions(spark, path, msgs.selectExpr("customer_id", "cast(null as string) as session_id"))
+    assert CSTORE.read_store(spark, path).count() == 0 and CSTORE.rejects(CSTORE.read_lines(spark, path)).count() == 0
+
+
+def test_deletion_that_was_cut_off_is_repeated(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "store")
+    CSTORE.write_store(CSTORE.to_records(_messages(spark)), path)
+    deletes = spark.createDataFrame([(1, "s2"), (2, None)], "customer_id long, session_id string")
+
+    def lost(*args, **kwargs):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(CSTORE, "read_store", lost)
+        with pytest.raises(RuntimeError):
+            CSTORE.delete_sessions(spark, path, deletes)
+    assert CSTORE.sessions_of(CSTORE.read_store(spark, path)).count() == 4
+    assert rows(CSTORE.unfinished(spark, path), "customer_id", "session_id") == [(1, "s2"), (2, None)]
+    assert CSTORE.finish_deletions(spark, path) == 1 and CSTORE.finish_deletions(spark, path) == 0
+    assert rows(CSTORE.sessions_of(CSTORE.read_store(spark, path)), "session_id") == [("s1",), ("s3",)]
+
+
+def test_empty_sessions_stored_counts_and_any_metadata(spark, tmp_path):
+    path = str(tmp_path / "store")
+    sessions = spark.createDataFrame(
+        [(1, "a", 1, T1, 7, {"mood": "good", "n": "3"}), (1, "b", 2, T2, 0, {}), (2, "c", 3, T3, 1, None)],
+        "customer_id long, session_id string, seq long, timestamp timestamp, message_count int, metadata map<string,string>")
+    msgs = _messages(spark).where("session_id = 's1' AND customer_id = 1").withColumn("session_id", F.lit("a"))
+    CSTORE.write_store(CSTORE.to_records(msgs, sessions=sessions), path)
+    back = CSTORE.read_store(spark, path)
+    got = {r.session_id: (r.message_count, r.metadata) for r in CSTORE.sessions_of(back).collect()}
+    assert got["a"] == (7, {"mood": "good", "n": "3"}) and got["b"][0] == 0 and got["c"] == (1, None)
+    assert CSTORE.messages_of(back).count() == 2
+    stats = CH.chat_stats(spark.createDataFrame([(1,)], "cust_id long"), CSTORE.sessions_of(back)).first()
+    assert (stats.total_sessions, stats.total_messages, stats.avg_messages_per_session) == (2, 7, 3.5)
+    assert {r.customer_id: r.session_id for r in CH.latest_session(CSTORE.sessions_of(back)).collect()} == {1: "b", 2: "c"}
+
+
+def test_rejected_lines_are_kept_and_counted(spark, tmp_path):
+    path = tmp_path / "store"
+    CSTORE.write_store(CSTORE.to_records(_messages(spark)), str(path))
+    extra = path / "customer_bucket=3"
+    extra.mkdir(exist_ok=True)
+    (extra / "part-x.json").write_text('{"customer_id": 1, "session_id"\n{"customer_id": 5, "seq": 1}\n{"session_id": "z"}\n[]x\n'
+                                       '{"customer_id": "one", "session_id": "q"}\n')
+    lines = CSTORE.read_lines(spark, str(path))
+    told = rows(CSTORE.quarantine(lines, str(tmp_path / "aside")))
+    assert told == [("malformed", 3), ("no customer_id", 1), ("no session_id", 1)]
+    kept = CSTORE.read_store(spark, str(path)).count()
+    assert kept + 5 == spark.read.text(str(path)).count()
+    aside = spark.read.parquet(str(tmp_path / "aside"))
+    assert all("part-x.json" in r.file for r in aside.collect()) and aside.where("line LIKE '%[]x%'").count() == 1
+
+
 def test_store_splits_long_sessions_into_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(CSTORE, "BLOCK_TURNS", 2)
     recs = CSTORE.to_records(_messages(spark))
     blocks = {r["session_id"]: r["n"] for r in recs.where("customer_id = 1").groupBy("session_id")
               .agg(F.count("*").alias("n")).collect()}
     assert blocks == {"s1": 1, "s2": 1, "s3": 2}
-    assert rows(CSTORE.sessions_of(recs), "session_id", "message_count") == [("s1", 1), ("s1", 2), ("s2", 1), ("s3", 3)]
+    got = CSTORE.sessions_of(recs)
+    assert rows(got, "session_id", "message_count") == [("s1", 1), ("s1", 2), ("s2", 1), ("s3", 3)]
 
 
 def test_export_csv_round_trip(spark, tmp_path):
@@ -145,8 +223,10 @@ def test_read_original_session_files(spark, tmp_path):
         {"session_id": "20240102_090000", "timestamp": "2024-01-02T09:00:00", "customer_id": 1,
          "messages": [], "message_count": 0, "metadata": {"saved_at": "x", "api_mode": "mock"}}], indent=2))
     (d / "customer_2_chatlogs.json").write_text("[{not json")
+    (d / "customer_3_chatlogs.json").write_text('[{"customer_id": 3, "messages": []}]')
     df = CSTORE.read_session_files(spark, str(d))
+    assert rows(CSTORE.rejects(CSTORE.read_session_lines(spark, str(d))), "reason") == [("malformed",), ("no session_id",)]
     got = rows(df, "customer_id", "session_id", "message_count")
     assert got == [(1, "20240101_090000", 2), (1, "20240102_090000", 0)]
     r = df.where("message_count = 0").collect()[0]
-    assert r["metadata"]["auto_saved"] is None and r["timestamp"] == dt.datetime(2024, 1, 2, 9)
+    assert "auto_saved" not in r["metadata"] and r["timestamp"] == dt.datetime(2024, 1, 2, 9)
