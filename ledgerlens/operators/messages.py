@@ -1,7 +1,8 @@
 """Message classification and entity extraction.
 
 Keyword rules are short parameter lists compiled into CASE / OR expressions
-(codegen, no UDF).  The customer-name test needs a set that can hold millions
+(codegen).  Product names, which may be many, are found by one automaton in an
+Arrow-batched function.  The customer-name test needs a set that can hold millions
 of names, so it is a join: each message's distinct whitespace tokens meet the
 name-token table (broadcast only behind a size check), then a per-message
 count of distinct matches.
@@ -9,6 +10,7 @@ count of distinct matches.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +37,15 @@ def related(messages: DataFrame, keys, tokens: DataFrame, keywords=R.BANK_KEYWOR
     ``min_names`` distinct whitespace tokens that are customer names."""
     keys = list(keys)
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
-    base = messages.select(*keys, low.alias("_t"))
-    toks = base.select(*keys, F.explode(F.array_distinct(F.split(F.trim("_t"), r"\s+"))).alias("token"))
+    words = messages.select(*keys, low.alias("_t"))
+    # Only keys and flags go through the joins, not the texts.
+    flags = words.select(*keys, contains_any("_t", keywords).alias("by_keyword"), F.col("_t").rlike(pattern).alias("by_pattern"))
+    toks = words.select(*keys, F.explode(F.array_distinct(F.split(F.trim("_t"), r"\s+"))).alias("token"))
     hits = (toks.join(broadcast_bounded(tokens, MAX_BROADCAST_TOKENS), "token")
             .groupBy(*keys).agg(F.count(F.lit(1)).alias("name_hits")))
-    out = base.join(hits, keys, "left")
-    by_kw = contains_any("_t", keywords)
-    by_pat = F.col("_t").rlike(pattern)
-    by_names = F.coalesce("name_hits", F.lit(0)) >= min_names
-    return out.select(*keys, (by_kw | by_pat | by_names).alias("related"), by_kw.alias("by_keyword"),
-                      by_pat.alias("by_pattern"), by_names.alias("by_names"))
+    out = flags.join(hits, keys, "left").withColumn("by_names", F.coalesce("name_hits", F.lit(0)) >= min_names)
+    return out.select(*keys, (F.col("by_keyword") | F.col("by_pattern") | F.col("by_names")).alias("related"),
+                      "by_keyword", "by_pattern", "by_names")
 
 
 def intent_expr(text_lower, rules=R.INTENT_RULES, default: str = R.DEFAULT_INTENT):
@@ -61,47 +62,75 @@ def intents(messages: DataFrame, keys, rules=R.INTENT_RULES, text_col: str = "co
     return messages.select(*keys, intent_expr(low, rules).alias("intent"))
 
 
+#: Names that a task's automaton holds (some 100 bytes each).
+MAX_NAMES = 1_000_000
+
+
+def name_mention(names: list[tuple[int, str]]):
+    """T4: a column function: the id of the longest name contained in a lower-case
+    text (ties: the smaller id), null if there is none.
+
+    An Aho-Corasick automaton, built once per worker: a text is read once, however
+    many names there are, prefixes of one another and names of several words
+    included."""
+    if len(names) > MAX_NAMES:
+        raise ValueError(f"more than {MAX_NAMES} names")
+    best: dict[str, int] = {}
+    for pid, name in sorted(names, reverse=True):
+        if name:
+            best[name] = pid
+    built = []
+
+    def longest(texts: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        if not built:
+            automaton = ahocorasick.Automaton()
+            for name, pid in best.items():
+                automaton.add_word(name, (len(name), -pid))
+            automaton.make_automaton()
+            built.append(automaton)
+        found = [max((hit for _, hit in built[0].iter(t)), default=None) if t else None for t in texts]
+        return pd.Series([None if f is None else -f[1] for f in found], dtype="Int32")
+
+    return F.pandas_udf(longest, "int") if best else lambda text: F.lit(None).cast("int")
+
+
+def lowered_names(catalogue) -> list[tuple[int, str]]:
+    return [(p, name.lower()) for p, name, _ in catalogue if name]
+
+
 def entities(messages: DataFrame, catalogue, key: str = "msg_id", text_col: str = "text",
              context_col: str = "context_customer_id", extra=()) -> DataFrame:
     """T3 + T4: customer id = first digit run of the message, else the context
-    customer (0 or none -> ``id_missing``); product = first catalogue name
-    contained in the message (catalogue order), else the first number that is
-    a catalogue id.
+    customer (0 or none -> ``id_missing``); product = the longest catalogue name
+    contained in the message (a name may begin with another one), else the first
+    number that is a catalogue id.
 
     ``catalogue`` is the size-checked list of (prod_id, name, category).
     """
     text = F.col(text_col)
     ref = F.regexp_extract(text, r"(\d+)", 1)
     cust = F.when(ref != "", ref.try_cast("bigint")).otherwise(F.col(context_col).cast("bigint"))
-    low = F.lower(text)
-    by_name = None
-    # Longer names first: a name may begin with another one.
-    for pid, name, _ in sorted(catalogue, key=lambda c: (-len(c[1] or ""), c[0])):
-        if name is None:
-            continue
-        cond = low.contains(name.lower())
-        by_name = F.when(cond, F.lit(pid)) if by_name is None else by_name.when(cond, F.lit(pid))
+    by_name = name_mention(lowered_names(catalogue))(F.lower(text))
     ids = [p for p, _, _ in catalogue]
     nums = F.regexp_extract_all(text, F.lit(r"(\d+)"), 1)
     in_cat = F.filter(nums, lambda x: x.try_cast("bigint").isin(ids))
     by_num = F.get(in_cat, 0).try_cast("int")
-    prod = F.coalesce(by_name, by_num) if by_name is not None else by_num
     return messages.select(
         key, *extra, ref.alias("customer_ref"), cust.alias("customer_id"),
         F.when(cust.isNull() | (cust == 0), "id_missing").otherwise("ok").alias("status"),
-        prod.cast("int").alias("prod_id"))
+        F.coalesce(by_name, by_num).cast("int").alias("prod_id"))
 
 
-def answers(msgs: DataFrame, intent_rules, catalogue, recs: DataFrame, snapshot: DataFrame,
-            best_customer, key: str = "msg_id", text_col: str = "text",
+def answers(msgs: DataFrame, intent_rules, products: DataFrame, catalogue, recs: DataFrame, snapshot: DataFrame,
+            best: DataFrame, key: str = "msg_id", text_col: str = "text",
             context_col: str = "context_customer_id") -> DataFrame:
     """T5: answer every message from batch results instead of one call each.
 
-    ``recs`` is (cust_id, payload) for recommendations, ``snapshot`` is
-    (cust_id, payload) for the customer overview, ``best_customer`` a scalar
-    column (e.g. a scalar subquery).  Both tables hold one row per customer,
-    so each is one equi-join on the extracted customer id.
-    """
+    ``recs`` and ``snapshot`` are (cust_id, payload), ``products`` (prod_id, payload):
+    each is one equi-join on an extracted id.  ``best`` is one row (payload), the
+    answer to the top-potential question."""
     # intent and entities come from one projection over the messages (one
     # scan of the texts, no self join on the message key)
     low = F.lower(F.coalesce(F.col(text_col), F.lit("")))
@@ -109,10 +138,9 @@ def answers(msgs: DataFrame, intent_rules, catalogue, recs: DataFrame, snapshot:
     m = entities(tagged, catalogue, key, text_col, context_col, extra=("intent",))
     r = recs.select(F.col("cust_id").alias("customer_id"), F.col("payload").alias("_rec"))
     s = snapshot.select(F.col("cust_id").alias("customer_id"), F.col("payload").alias("_snap"))
-    m = m.join(r, "customer_id", "left").join(s, "customer_id", "left")
-    names = {p: n for p, n, _ in catalogue}
-    name_map = F.create_map(*[x for p, n in sorted(names.items()) for x in (F.lit(p), F.lit(n))])
-    listing = ", ".join(n for _, n in sorted(names.items()) if n is not None)
+    p = broadcast_bounded(products.select("prod_id", F.col("payload").alias("_prod")), MAX_NAMES)
+    m = m.join(r, "customer_id", "left").join(s, "customer_id", "left").join(p, "prod_id", "left")
+    listing = ", ".join(n for _, n, _ in sorted(catalogue) if n is not None)
     intent = F.col("intent")
     missing_id = F.col("status") == "id_missing"
     status = (F.when(intent.isin("recommend", "snapshot") & missing_id, "id_missing")
@@ -122,8 +150,8 @@ def answers(msgs: DataFrame, intent_rules, catalogue, recs: DataFrame, snapshot:
                .otherwise("ok"))
     payload = (F.when(intent == "recommend", F.col("_rec"))
                 .when(intent == "snapshot", F.col("_snap"))
-                .when(intent == "explain", name_map[F.col("prod_id")])
+                .when(intent == "explain", F.col("_prod"))
                 .when(intent == "list", F.lit(listing))
-                .when(intent == "top_potential", best_customer.cast("string")))
+                .when(intent == "top_potential", best.scalar()))
     return m.select(key, "intent", status.alias("status"),
                     F.when(status == "ok", payload).alias("payload"))

@@ -12,9 +12,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.expressions import age_bucket, customer_label, income_level, money_sum
-from ledgerlens.operators.features import flag_col
 from ledgerlens.plans import rules as R
-from ledgerlens.plans.session import broadcast_bounded
+from ledgerlens.plans.session import broadcast_bounded, collect_bounded, constant
 
 MAX_CATALOGUE = 10_000
 
@@ -37,6 +36,15 @@ def customer_lookup(customers: DataFrame, requests: DataFrame) -> DataFrame:
     return customers.join(requests.select("cust_id").distinct(), "cust_id", "left_semi")
 
 
+def risk_indicator(column: str = "risk_class") -> Column:
+    """P5: the indicator of a risk class."""
+    out = None
+    for k, v in R.RISK_INDICATOR.items():
+        cond = F.col(column) == k
+        out = F.when(cond, v) if out is None else out.when(cond, v)
+    return out.otherwise(R.RISK_INDICATOR_DEFAULT)
+
+
 def product_explain(products: DataFrame, requests: DataFrame, category_info: DataFrame) -> DataFrame:
     """P2 + P4 + P5: resolve identifiers to products.
 
@@ -46,21 +54,17 @@ def product_explain(products: DataFrame, requests: DataFrame, category_info: Dat
     on the small catalogue, which becomes one lookup table with tagged keys
     (``i:<id>`` and ``n:<lower name>``); each request then costs one key
     expression and one size-checked broadcast lookup.  Unmatched identifiers
-    keep a row with ``matched = false``.
+    keep a row with ``matched = false``, with the names there are in ``available``.
     """
     from ledgerlens.functions.expressions import int_or_null
     cols = ["prod_id", "name", "category", "risk_class", "price", "interest_rate"]
     description = (F.coalesce(F.col("long_desc"), F.col("short_desc"))
                    if "long_desc" in products.columns else F.lit(None).cast("string"))
-    risk_expr = None
-    for k, v in R.RISK_INDICATOR.items():
-        cond = F.col("risk_class") == k
-        risk_expr = F.when(cond, v) if risk_expr is None else risk_expr.when(cond, v)
     cat = (products.select(*cols, description.alias("description"))
            .join(category_info, "category", "left")
            .select(*cols, "description",
                    F.coalesce(F.col("category_info"), F.lit(R.CATEGORY_INFO_DEFAULT)).alias("category_info"),
-                   risk_expr.otherwise(R.RISK_INDICATOR_DEFAULT).alias("risk_indicator")))
+                   risk_indicator().alias("risk_indicator")))
     out_cols = cols + ["description", "category_info", "risk_indicator"]
     by_id = cat.select(F.concat(F.lit("i:"), F.col("prod_id").cast("string")).alias("_key"), *out_cols)
     by_name = (cat.groupBy(F.concat(F.lit("n:"), F.lower("name")).alias("_key"))
@@ -72,12 +76,22 @@ def product_explain(products: DataFrame, requests: DataFrame, category_info: Dat
            .otherwise(F.concat(F.lit("n:"), F.lower(F.col("identifier"))))
     req = requests.select("request_id", "identifier", key.alias("_key"))
     out = req.join(lookup, "_key", "left")
-    return out.select("request_id", "identifier", F.col("prod_id").isNotNull().alias("matched"), *out_cols)
+    names = constant(catalogue_names(products), "array<string>")
+    available = F.when(F.col("prod_id").isNull(), F.array_join(names, ", "))
+    return out.select("request_id", "identifier", F.col("prod_id").isNotNull().alias("matched"), *out_cols,
+                      available.alias("available"))
+
+
+def catalogue_names(products: DataFrame) -> list[str]:
+    """Product names in id order (size-checked)."""
+    rows = collect_bounded(products.select("prod_id", "name"), MAX_CATALOGUE)
+    return [r["name"] for r in sorted(rows, key=lambda r: r["prod_id"]) if r["name"] is not None]
 
 
 def product_list(products: DataFrame) -> DataFrame:
     """Catalogue listing in id order."""
-    return products.select("prod_id", "name", "category", "price", "risk_class").orderBy("prod_id")
+    short = F.col("short_desc") if "short_desc" in products.columns else F.lit(None).cast("string").alias("short_desc")
+    return products.select("prod_id", "name", "category", "price", "risk_class", short).orderBy("prod_id")
 
 
 # ------------------------------------------------------------- expressions ---
@@ -118,7 +132,8 @@ def portfolio(ownership: DataFrame, products: DataFrame) -> DataFrame:
         "prod_id", "name", "category", "price",
         F.col("interest_rate").alias("catalogue_interest_rate"),
         F.col("risk_class").alias("catalogue_risk_class")), MAX_CATALOGUE)
-    own = ownership.select("cust_id", "prod_id", "since_date", "deal_volume", "adviser_id",
+    kind = F.col("credit_type") if "credit_type" in ownership.columns else F.lit(None).cast("string").alias("credit_type")
+    own = ownership.select("cust_id", "prod_id", "since_date", "deal_volume", "adviser_id", kind,
                            F.col("interest_rate").alias("individual_interest_rate"),
                            F.col("risk_class").alias("individual_risk_class"))
     return own.join(cat, "prod_id", "left")

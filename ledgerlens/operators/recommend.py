@@ -409,7 +409,8 @@ def bundle_rows(lists: DataFrame, matrix, by=("cust_id", "scenario")) -> DataFra
 def top_potential_rows(cands: DataFrame, matrix, k: int = 3, key: str = "cust_id", keep=()) -> DataFrame:
     """A18 on candidate arrays: expected profit = sum(price * score) over the
     top-k by score, recommendations without a price skipped; every row (every
-    customer of the feature table) gets a result, 0.0 without candidates.
+    customer of the feature table) gets a result, 0.0 without candidates.  ``top`` lists
+    the top-k whether priced or not.
 
     Prices and names are read from the matrix at the product's position, so the
     whole analysis is one projection of the customers' rows.
@@ -421,14 +422,15 @@ def top_potential_rows(cands: DataFrame, matrix, k: int = 3, key: str = "cust_id
         (i + 1).alias("rank"), x["prod_id"].alias("prod_id"), m["names"][x["pos"]].alias("name"),
         x["score"].alias("score"), m["prices"][x["pos"]].cast("double").alias("price"),
         (m["prices"][x["pos"]].cast("double") * x["score"]).alias("expected_profit")))
-    # staged: the priced list is computed once and then read three times
-    staged = cands.select(key, *keep, F.filter(recs, lambda x: x["price"].isNotNull()).alias("recommendations"))
+    # staged: each list is computed once; the priced one is then read three times
+    staged = cands.select(key, *keep, recs.alias("top"))
+    staged = staged.select(key, *keep, "top", F.filter("top", lambda x: x["price"].isNotNull()).alias("recommendations"))
     dec = "decimal(38,6)"
     profit = F.aggregate("recommendations", F.lit(0).cast(dec),
                          lambda acc, x: (acc + x["expected_profit"].cast("decimal(20,6)")).cast(dec))
     return staged.select(
         key, *keep, F.round(profit.cast("double"), 6).alias("expected_profit"),
-        F.size("recommendations").cast("bigint").alias("n_recs"), "recommendations")
+        F.size("recommendations").cast("bigint").alias("n_recs"), "recommendations", "top")
 
 
 def customer_names(customers: DataFrame) -> DataFrame:

@@ -22,6 +22,7 @@ from ledgerlens.operators import scoring as SC
 from ledgerlens.plans import oracle as O
 from ledgerlens.plans import rules as R
 from ledgerlens.plans.session import scratch_path
+from ledgerlens.sources import modelstore as MSTORE
 from ledgerlens.sources.fixtures import Domain
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -231,7 +232,8 @@ def _risk_case(col: str) -> str:
 
 @query("product_explain", O.sql(f"""
 select r.request_id, r.identifier, p.prod_id is not null as matched, p.prod_id, p.name, p.category,
-       p.risk_class, p.price, p.interest_rate, cast(null as varchar) as description,
+       p.risk_class, p.price, p.interest_rate, coalesce(p.long_desc, p.short_desc) as description,
+       case when p.prod_id is null then (select string_agg(name, ', ' order by prod_id) from fx_products) end as available,
        case when p.prod_id is not null then coalesce(ci.info, '{R.CATEGORY_INFO_DEFAULT}') end as category_info,
        case when p.prod_id is not null then {_risk_case('p.risk_class')} end as risk_indicator
 from (select request_id, identifier, try_cast(identifier as integer) as pid from fx_product_requests) r
@@ -245,7 +247,7 @@ def q_product_explain(spark, sf_dir):
 
 
 @query("product_list", O.sql(
-    "select prod_id, name, category, price, risk_class from fx_products order by prod_id", "fx_products"))
+    "select prod_id, name, category, price, risk_class, short_desc from fx_products order by prod_id", "fx_products"))
 def q_product_list(spark, sf_dir):
     return PF.product_list(domain(spark, sf_dir).products)
 
@@ -288,7 +290,7 @@ def q_customer_label(spark, sf_dir):
 
 
 @query("portfolio", O.sql("""
-select o.prod_id, o.cust_id, o.since_date, o.deal_volume, o.adviser_id,
+select o.prod_id, o.cust_id, o.since_date, o.deal_volume, o.adviser_id, o.credit_type,
        o.interest_rate as individual_interest_rate, o.risk_class as individual_risk_class,
        p.name, p.category, p.price, p.interest_rate as catalogue_interest_rate,
        p.risk_class as catalogue_risk_class
@@ -494,15 +496,18 @@ select s.cust_id, s.scenario, s.rank, s.prod_id, p.name, {_reason_sql()} as reas
 from fx_scen5 s join fx_products p on s.prod_id = p.prod_id join fx_customers c on s.cust_id = c.cust_id""",
                                   "fx_scen5", "fx_products", "fx_customers"))
 def q_recommend_reasons(spark, sf_dir):
-    dom = domain(spark, sf_dir)
-    # income and age bucket ride along from the customer's own feature row
+    return reasoned(domain(spark, sf_dir)).select("cust_id", "scenario", "rank", "prod_id", "name", "reason")
+
+
+def reasoned(dom: Domain) -> DataFrame:
+    """Scenario recommendations with name, category, role flags and reason; income and
+    age bucket ride along from the customer's own feature row."""
     keep = ("_revenue", "_age")
     raw = vectors(dom).withColumns({"_revenue": F.col("revenue"), "_age": F.col("age_bucket")})
     m = matrix(dom)
-    recs = RC.scenario_rows(SC.candidate_arrays(raw, matrix(dom), keep), matrix(dom), list(R.SCENARIOS), 5, keep=keep)
-    recs = recs.withColumn("name", m["names"][F.col("pos")])
-    out = RC.with_reason(recs, None, R.reason_templates(spark), scenario_col="scenario")
-    return out.select("cust_id", "scenario", "rank", "prod_id", "name", "reason")
+    recs = RC.scenario_rows(SC.candidate_arrays(raw, m, keep), m, list(R.SCENARIOS), 5, keep=keep)
+    recs = recs.withColumns({"name": m["names"][F.col("pos")], "category": m["categories"][F.col("pos")]})
+    return RC.with_reason(recs, None, R.reason_templates(dom.spark), scenario_col="scenario")
 
 
 @query("bundle_offer", O.sql("""
@@ -924,6 +929,29 @@ def q_feature_importance(spark, sf_dir):
     return MD.feature_importance(trained(dom), positions(dom))
 
 
+@query("model_roundtrip", O.sql(f"""
+select t.prod_id, t.train_rows, t.positives, {len(O.FEATURE_ORDER) - 1} as n_features, true as same_weights, true as same_scaler,
+       true as same_split, (select count(*) from fx_split s where s.prod_id = t.prod_id and s.split = 'test') as test_rows,
+       true as auc_in_range
+from ({_TRAIN_ROWS}) t""", "fx_split", "fx_encoded"))
+def q_model_roundtrip(spark, sf_dir):
+    """The trained package saved, read back and compared value by value."""
+    dom = domain(spark, sf_dir)
+    root, models = scratch_path(spark, "package"), trained(dom)
+    metrics = MD.auc(MD.predictions(vectors(dom), trained_matrix(dom), thresholds(dom)))
+    MSTORE.save_package(root, positions(dom), models, scaler(dom), thresholds(dom), metrics)
+    back = MSTORE.load_package(spark, root)
+    saved, limits = back.tables["models"], back.tables["thresholds"]
+    same = saved.join(models.select("prod_id", F.col("weights").alias("w"), F.col("intercept").alias("b")), "prod_id")
+    split = limits.exceptAll(thresholds(dom)).isEmpty() and thresholds(dom).exceptAll(limits).isEmpty()
+    tests = limits.groupBy("prod_id").agg(F.sum("n_test").alias("test_rows"))
+    told = back.tables["metrics"].select("prod_id", F.col("auc").between(0, 1).alias("auc_in_range"))
+    return same.join(back.tables["feature_map"], "prod_id").join(tests, "prod_id").join(told, "prod_id").select(
+        "prod_id", "train_rows", "positives", F.size("features").alias("n_features"),
+        (F.col("weights").eqNullSafe(F.col("w")) & (F.col("intercept") == F.col("b"))).alias("same_weights"),
+        F.lit(back.scaler == scaler(dom)).alias("same_scaler"), F.lit(split).alias("same_split"), "test_rows", "auc_in_range")
+
+
 @query("scores_trained")
 def q_scores_trained(spark, sf_dir):
     dom = domain(spark, sf_dir)
@@ -1185,6 +1213,12 @@ def q_msg_intent(spark, sf_dir):
     return MS.intents(domain(spark, sf_dir).chat_messages, ["session_id", "turn"], FIXTURE_INTENT_RULES)
 
 
+def longest_sql() -> str:
+    """T4 from its rule: the longest name in the text, ties by id."""
+    return ("(select p.prod_id from fx_products p where contains(lower(fx_messages.text), lower(p.name)) "
+            "order by length(p.name) desc, p.prod_id limit 1)")
+
+
 @query("msg_entities", O.sql("""
 select m.msg_id, regexp_extract(m.text, '(\\d+)', 1) as customer_ref,
        case when regexp_extract(m.text, '(\\d+)', 1) <> '' then try_cast(regexp_extract(m.text, '(\\d+)', 1) as bigint)
@@ -1194,7 +1228,7 @@ select m.msg_id, regexp_extract(m.text, '(\\d+)', 1) as customer_ref,
                                else cast(m.context_customer_id as bigint) end, 0) = 0
             then 'id_missing' else 'ok' end as status,
        cast(coalesce(
-         (select min(p.prod_id) from fx_products p where contains(lower(m.text), lower(p.name))),
+         (select p.prod_id from fx_products p where contains(lower(m.text), lower(p.name)) order by length(p.name) desc, p.prod_id limit 1),
          try_cast(list_filter(regexp_extract_all(m.text, '(\\d+)', 1),
                               lambda x: list_contains(%s, try_cast(x as bigint)))[1] as int)) as int) as prod_id
 from fx_messages m""" % ("[" + ", ".join(str(p) for p in O.PIDS) + "]"), "fx_messages", "fx_products"))
@@ -1211,9 +1245,28 @@ def q_stream_intents(spark, sf_dir):
     dom = domain(spark, sf_dir)
     src, out, ckpt = (scratch_path(spark, "stream_in"), scratch_path(spark, "stream_out"),
                       scratch_path(spark, "stream_ckpt"))
-    msgs = dom.chat_messages.select(*[F.col(f.name).cast(f.dataType) for f in ST.MESSAGE_SCHEMA.fields])
-    msgs.repartition(4).write.parquet(src)
-    return ST.drain(spark, src, out, ckpt, FIXTURE_INTENT_RULES, max_files_per_trigger=1)
+    dom.chat_messages.select(*[F.col(f.name).cast(f.dataType) for f in ST.MESSAGE_SCHEMA.fields]).write.json(src)
+    ST.drain(spark, src, out, ckpt, FIXTURE_INTENT_RULES)
+    return ST.read_tags(spark, out)
+
+
+@query("stream_rejects", O.sql("""
+select case when seq % 23 = 0 then 'malformed' when seq % 5 = 1 then 'no session_id' else 'tagged' end as kind, count(*) as rows
+from fx_chat_messages group by 1""", "fx_chat_messages"))
+def q_stream_rejects(spark, sf_dir):
+    """The stream over files with cut lines and lines without an id, drained in two goes."""
+    dom = domain(spark, sf_dir)
+    src, out, ckpt = (scratch_path(spark, "stream_in"), scratch_path(spark, "stream_out"),
+                      scratch_path(spark, "stream_ckpt"))
+    line = F.to_json(F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in ST.MESSAGE_SCHEMA.fields]))
+    lines = dom.chat_messages.select("seq", F.when(F.col("seq") % 23 == 0, F.substring(line, 1, 25)).when(
+        F.col("seq") % 5 == 1, F.regexp_replace(line, '"session_id":"[^"]*",', "")).otherwise(line).alias("value"))
+    lines.where("seq % 2 = 0").select("value").write.text(src)
+    ST.drain(spark, src, out, ckpt, FIXTURE_INTENT_RULES)
+    lines.where("seq % 2 = 1").select("value").write.mode("append").text(src)
+    ST.drain(spark, src, out, ckpt, FIXTURE_INTENT_RULES)
+    kept = ST.read_tags(spark, out).agg(F.count("*").alias("rows")).select(F.lit("tagged").alias("kind"), "rows")
+    return kept.unionByName(ST.read_rejects(spark, out).groupBy(F.col("reason").alias("kind")).agg(F.count("*").alias("rows")))
 
 
 # ---------------------------------------------------------------------------
@@ -1222,21 +1275,29 @@ def q_stream_intents(spark, sf_dir):
 from ledgerlens.sources import tables as TB  # noqa: E402
 
 
-@query("src_tables", O.sql("""
-select 'customers' as table_name, count(*) as rows from fx_customers
-union all select 'products', count(*) from fx_products
-union all select 'ownership', count(*) from fx_ownership
-union all select 'sales', count(*) from fx_sales""", "fx_customers", "fx_products", "fx_ownership", "fx_sales"))
+def _digest_sql() -> str:
+    """Row count, present values and digest of every column of the four tables."""
+    parts = []
+    for table, schema in TB.SCHEMAS.items():
+        for f in schema.fields:
+            text = f"cast(cast({f.name} as decimal(18,2)) as varchar)" if f.dataType.typeName() == "double" else \
+                f"cast({f.name} as varchar)"
+            parts.append(f"select '{table}' as table_name, '{f.name}' as column_name, count(*) as rows, count({f.name}) as present, "
+                         f"cast(coalesce(sum(cast('0x' || substr(md5({text}), 1, 8) as bigint)), 0) as bigint) as digest from fx_{table}")
+    return " union all ".join(parts)
+
+
+@query("src_tables", O.sql(_digest_sql(), "fx_customers", "fx_products", "fx_ownership", "fx_sales"))
 def q_src_tables(spark, sf_dir):
+    """Each table written as CSV with its columns in another order, and read by name."""
     dom = domain(spark, sf_dir)
     frames = {"customers": dom.customers, "products": dom.products, "ownership": dom.ownership, "sales": dom.sales}
     out = None
     for name, df in frames.items():
-        path = scratch_path(spark, f"csv_{name}")
-        TB.write_csv(df.select(*[F.col(f.name).cast(f.dataType) for f in TB.SCHEMAS[name].fields]), path)
-        back = TB.read_csv(spark, path, TB.SCHEMAS[name])
-        cnt = back.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), "rows")
-        out = cnt if out is None else out.unionByName(cnt)
+        path, schema = scratch_path(spark, f"csv_{name}"), TB.SCHEMAS[name]
+        TB.write_csv(df.select(*[F.col(f.name).cast(f.dataType) for f in reversed(schema.fields)]), path)
+        told = TB.column_digests(TB.read_csv(spark, path, schema), name)
+        out = told if out is None else out.unionByName(told)
     return out
 
 
@@ -1247,38 +1308,65 @@ def q_sink_features(spark, sf_dir):
     return TB.read_parquet(spark, path)
 
 
-_RECS_SCHEMA = "cust_id bigint, prod_id int, name string, category string, score double, rank int"
+_RECS_SCHEMA = ("cust_id bigint, scenario string, rank int, prod_id int, name string, score double, reason string, "
+                "category string, is_cross_sell boolean, is_primary boolean")
 
 
-@query("sink_recommendations", O.sql(
-    "select cust_id, prod_id, name, category, score, rank from fx_topk3", "fx_topk3"))
+@query("sink_recommendations", O.sql(f"""
+select s.cust_id, s.scenario, s.rank, s.prod_id, p.name, s.score, {_reason_sql()} as reason, p.category,
+       s.role = 'cross_sell' as is_cross_sell, s.role = 'primary' as is_primary
+from fx_scen5 s join fx_products p on s.prod_id = p.prod_id join fx_customers c on s.cust_id = c.cust_id""",
+                                     "fx_scen5", "fx_products", "fx_customers"))
 def q_sink_recommendations(spark, sf_dir):
     path = scratch_path(spark, "recommendations")
-    recs = topk(domain(spark, sf_dir)).select("cust_id", "prod_id", "name", "category", "score", "rank")
-    TB.write_csv(recs, path)
+    TB.write_csv(reasoned(domain(spark, sf_dir)).select(
+        "cust_id", "scenario", "rank", "prod_id", "name", "score", "reason", "category", "is_cross_sell", "is_primary"), path)
     return spark.read.schema(_RECS_SCHEMA).option("header", True).option("escape", '"').csv(path)
 
 
+SORT_KEYS = ["cust_id", "prod_id", "sale_date", "sale_id"]
+
+
 @query("sink_sorted_sales", O.sql("select * from fx_sales", "fx_sales"))
 def q_sink_sorted_sales(spark, sf_dir):
     path = scratch_path(spark, "sales_sorted")
-    TB.write_sorted(domain(spark, sf_dir).sales, path, ["cust_id", "prod_id", "sale_date"])
+    TB.write_sorted(domain(spark, sf_dir).sales, path, SORT_KEYS)
     return TB.read_parquet(spark, path)
 
 
+@query("sink_sorted_order", O.sql(
+    "select count(*) as rows, true as inside, true as behind, true as several from fx_sales", "fx_sales"))
+def q_sink_sorted_order(spark, sf_dir):
+    """The sorted sink with small files, and the check of their order."""
+    path = scratch_path(spark, "sales_sorted")
+    n = TB.write_sorted(domain(spark, sf_dir).sales, path, SORT_KEYS, file_bytes=64 << 10)
+    return TB.sorted_files(spark, path, SORT_KEYS).agg(
+        F.sum("rows").alias("rows"), F.bool_and("inside").alias("inside"), F.bool_and("behind").alias("behind"),
+        (F.count("*") == n).alias("several"))
+
+
 # ---------------------------------------------------------------------------
 # T5 batch answering
 # ---------------------------------------------------------------------------
-O.block("fx_top_potential", ("fx_customers", "fx_topk3"), """
-select c.cust_id, round(cast(coalesce(t.profit, 0) as double), 6) as expected_profit
-from fx_customers c left join (
-  select cust_id, sum(cast(price * score as decimal(20,6))) as profit from fx_topk3
-  where price is not null group by cust_id) t on c.cust_id = t.cust_id""")
-O.block("fx_ans_snapshot", ("fx_customers", "fx_ownership", "fx_sales"), """
-select c.cust_id, 'products=' || cast(coalesce(p.n, 0) as varchar) || ';transactions=' || cast(coalesce(s.n, 0) as varchar)
-       as payload
-from fx_customers c left join (select cust_id, count(*) as n from fx_ownership group by cust_id) p on c.cust_id = p.cust_id
-left join (select cust_id, count(*) as n from fx_sales group by cust_id) s on c.cust_id = s.cust_id""")
+O.block("fx_ans_best", ("fx_customers", "fx_topk3"), f"""
+select customer_name || ' (' || cast(cust_id as varchar) || '): ' || cast(cast(expected_profit as decimal(18,2)) as varchar) as payload
+from (select * from ({_POTENTIAL_SQL}) x order by expected_profit desc, cust_id limit 1) b""")
+O.block("fx_ans_snapshot", ("fx_customers", "fx_ownership", "fx_products", "fx_sales"), f"""
+select c.cust_id, concat_ws('; ', coalesce(c.location, '-'), 'age ' || coalesce(c.age_bucket, '-'),
+       'income ' || coalesce(cast(c.revenue as varchar), '-'), 'score ' || coalesce(cast(c.credit_score as varchar), '-'),
+       'products ' || cast(coalesce(p.products, 0) as varchar),
+       'fees ' || cast(cast(coalesce(p.annual_fees, 0e0) as decimal(18,2)) as varchar),
+       'sales ' || cast(cast(coalesce(s.total_sales, 0e0) as decimal(18,2)) as varchar),
+       'transactions ' || cast(coalesce(s.transactions, 0) as varchar)) as payload
+from fx_customers c left join ({_SNAP_PORT}) p on c.cust_id = p.cust_id
+left join ({_SNAP_SALES}) s on c.cust_id = s.cust_id""")
+O.block("fx_ans_recs", ("fx_topk3",), """
+select cust_id, string_agg(name || ' (' || cast(prod_id as varchar) || ') ' || cast(cast(round(score * 1e2) as int) as varchar) || '%',
+                           '; ' order by rank) as payload
+from fx_topk3 group by cust_id""")
+O.block("fx_ans_products", ("fx_products",), f"""
+select prod_id, concat_ws('; ', name, coalesce(category, '-'), {_risk_case('risk_class')}, cast(cast(price as decimal(18,2)) as varchar),
+                          coalesce(long_desc, short_desc, '-')) as payload from fx_products""")
 
 
 @query("msg_answers", O.sql(f"""
@@ -1292,33 +1380,41 @@ select m.msg_id, m.intent,
              and not (m.intent = 'snapshot' and s.payload is null)
              and not (m.intent = 'explain' and m.pid is null) then
          case m.intent when 'recommend' then r.payload when 'snapshot' then s.payload
-              when 'explain' then (select name from fx_products p where p.prod_id = m.pid)
+              when 'explain' then p.payload
               when 'list' then (select string_agg(name, ', ' order by prod_id) from fx_products)
-              when 'top_potential' then (select cast(cust_id as varchar) from fx_top_potential
-                                         order by expected_profit desc, cust_id limit 1) end end as payload
+              when 'top_potential' then (select payload from fx_ans_best) end end as payload
 from (select msg_id, {_intent_sql("lower(coalesce(text, ''))", FIXTURE_INTENT_RULES)} as intent,
              case when regexp_extract(text, '(\\d+)', 1) <> '' then try_cast(regexp_extract(text, '(\\d+)', 1) as bigint)
                   else cast(context_customer_id as bigint) end as cid,
              cast(coalesce(
-               (select min(p.prod_id) from fx_products p where contains(lower(text), lower(p.name))),
+               {longest_sql()},
                try_cast(list_filter(regexp_extract_all(text, '(\\d+)', 1),
                         lambda x: list_contains({"[" + ", ".join(str(p) for p in O.PIDS) + "]"},
                                                 try_cast(x as bigint)))[1] as int)) as int) as pid
       from fx_messages) m
-left join (select cust_id, string_agg(cast(prod_id as varchar), ',' order by rank) as payload
-           from fx_topk3 group by cust_id) r on m.cid = r.cust_id
-left join fx_ans_snapshot s on m.cid = s.cust_id""",
-                              "fx_messages", "fx_products", "fx_topk3", "fx_top_potential", "fx_ans_snapshot"))
+left join fx_ans_recs r on m.cid = r.cust_id
+left join fx_ans_snapshot s on m.cid = s.cust_id
+left join fx_ans_products p on m.pid = p.prod_id""",
+                              "fx_messages", "fx_products", "fx_ans_recs", "fx_ans_best", "fx_ans_snapshot", "fx_ans_products"))
 def q_msg_answers(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    # customers without any recommendation give no payload row (as a group-by would)
-    recs = (RC.topk_id_list(candidates(dom), 3).where(F.col("_n") > 0)
-            .select("cust_id", F.col("ids").alias("payload")))
-    own = dom.ownership.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_own"))
-    sal = dom.sales.groupBy("cust_id").agg(F.count(F.lit(1)).alias("n_sales"))
-    snap = (dom.customers.select("cust_id").join(own, "cust_id", "left").join(sal, "cust_id", "left")
-            .select("cust_id", F.format_string("products=%d;transactions=%d", F.coalesce("n_own", F.lit(0)),
-                                               F.coalesce("n_sales", F.lit(0))).alias("payload")))
-    best = RC.best_customers(RC.top_potential_rows(candidates(dom), matrix(dom), 3)
-                             .select("cust_id", "expected_profit"), 1).select("cust_id").scalar()
-    return MS.answers(dom.messages, FIXTURE_INTENT_RULES, CS.catalogue_rows(dom.products), recs, snap, best)
+    m = matrix(dom)
+    money = lambda c: F.col(c).cast("decimal(18,2)").cast("string")
+    # The recommendations and the expected profit are read from one written table.
+    pot = once(dom, "top3", lambda: RC.top_potential_rows(candidates(dom), m, 3))
+    recs = pot.where(F.size("top") > 0).select("cust_id", F.array_join(F.transform("top", lambda x: F.concat(
+        x["name"], F.lit(" ("), x["prod_id"].cast("string"), F.lit(") "),
+        F.round(x["score"] * 100).cast("int").cast("string"), F.lit("%"))), "; ").alias("payload"))
+    best = RC.named_customers(RC.best_customers(pot, 1), dom.customers).select(F.concat(
+        "customer_name", F.lit(" ("), F.col("cust_id").cast("string"), F.lit("): "), money("expected_profit")).alias("payload"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    shot = PF.snapshot(dom.customers, dom.ownership, dom.products, dom.sales)
+    shot = shot.select("cust_id", F.concat_ws(
+        "; ", text("location"), F.concat(F.lit("age "), text("age_bucket")), F.concat(F.lit("income "), text("revenue")),
+        F.concat(F.lit("score "), text("credit_score")), F.concat(F.lit("products "), text("products")),
+        F.concat(F.lit("fees "), money("annual_fees")), F.concat(F.lit("sales "), money("total_sales")),
+        F.concat(F.lit("transactions "), text("transactions"))).alias("payload"))
+    told = PF.risk_indicator()
+    goods = dom.products.select("prod_id", F.concat_ws(
+        "; ", "name", text("category"), told, money("price"), F.coalesce("long_desc", "short_desc", F.lit("-"))).alias("payload"))
+    return MS.answers(dom.messages, FIXTURE_INTENT_RULES, goods, CS.catalogue_rows(dom.products), recs, shot, best)

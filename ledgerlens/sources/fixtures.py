@@ -34,18 +34,21 @@ select c_custkey as cust_id,
 from {customer} join {nation} on c_nationkey = n_nationkey""",
     "fx_products": """
 select distinct 100 + cast(substr(p_brand, 7) as int) as prod_id,
-       p_brand as name,
+       case p_brand when 'Brand#12' then 'Brand#11 Plus' else p_brand end as name,
        case cast(substr(p_brand, 7) as int) when 1 then 'account' when 2 then 'depot' when 3 then 'card'
             when 4 then 'insurance' when 5 then 'depot' when 6 then 'insurance' else 'mortgage' end as category,
        case cast(substr(p_brand, 7) as int) when 2 then 'medium' when 5 then 'high' when 7 then 'medium'
             when 8 then 'medium' when 9 then 'high' else 'low' end as risk_class,
        25e0 * cast(substr(p_brand, 7) as int) + 1e1 as price,
        case cast(substr(p_brand, 7) as int) when 7 then 385e-2 when 8 then 425e-2 when 9 then 495e-2
-            when 10 then 345e-2 end as interest_rate
+            when 10 then 345e-2 end as interest_rate,
+       case when cast(substr(p_brand, 7) as int) % 7 <> 0 then concat('Short text, ', p_brand) end as short_desc,
+       case when cast(substr(p_brand, 7) as int) % 3 <> 0 then concat('A longer text about "', p_brand, '".') end as long_desc
 from {part}""",
     "fx_ownership": """
 select cust_id, prod_id, since_date,
        case when prod_id >= 107 then 1e5 + 1e3 * ((cust_id * 131 + prod_id) % 700) end as deal_volume,
+       case when prod_id >= 107 then case (cust_id + prod_id) % 2 when 0 then 'annuity loan' else 'bullet loan' end end as credit_type,
        case when prod_id >= 107 then (200 + (cust_id * 17 + prod_id) % 600) / 1e2 end as interest_rate,
        case when prod_id >= 107 then case (cust_id + prod_id) % 3 when 0 then 'low' when 1 then 'medium' else 'high' end end as risk_class,
        nullif(cust_id % 20, 0) as adviser_id
@@ -100,7 +103,11 @@ from {lineitem} join {part} on l_partkey = p_partkey""",
     # Messages for entity extraction: the documents table is the only driver
     # text with digits; doc_id is the message id, the context customer is derived.
     "fx_messages": """
-select doc_id as msg_id, text, doc_id % 20 as context_customer_id
+select doc_id as msg_id, doc_id % 20 as context_customer_id,
+       case doc_id % 4 when 0 then text
+            when 1 then concat(text, ' about bRaNd#', cast(11 + 10 * (doc_id % 5) + doc_id % 3 as string))
+            when 2 then concat('Brand#1', cast(1 + doc_id % 3 as string), ' plus, ', text)
+            else concat(text, ' Kunde ', cast(doc_id as string), ' anna meier') end as text
 from {documents}""",
 }
 

@@ -1,44 +1,97 @@
 """Relational sources and sinks.
 
-Every read uses an explicit schema (never inference); CSV is read with
-header and standard quoting, so quoted fields with commas survive.
+Columns are matched by their names in the header, never by place; every type is
+explicit.  A file whose header does not fit is refused with the difference, and a
+value that does not fit its type is a reject, not a silent null.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CUSTOMERS = T.StructType([
-    T.StructField("cust_id", T.LongType()), T.StructField("first_name", T.StringType()),
-    T.StructField("last_name", T.StringType()), T.StructField("location", T.StringType()),
-    T.StructField("revenue", T.LongType()), T.StructField("credit_score", T.IntegerType()),
-    T.StructField("age_bucket", T.StringType()), T.StructField("birth_date", T.DateType())])
-PRODUCTS = T.StructType([
-    T.StructField("prod_id", T.IntegerType()), T.StructField("name", T.StringType()),
-    T.StructField("category", T.StringType()), T.StructField("risk_class", T.StringType()),
-    T.StructField("price", T.DoubleType()), T.StructField("interest_rate", T.DoubleType())])
-OWNERSHIP = T.StructType([
-    T.StructField("cust_id", T.LongType()), T.StructField("prod_id", T.IntegerType()),
-    T.StructField("since_date", T.DateType()), T.StructField("deal_volume", T.DoubleType()),
-    T.StructField("interest_rate", T.DoubleType()), T.StructField("risk_class", T.StringType()),
-    T.StructField("adviser_id", T.LongType())])
-SALES = T.StructType([
-    T.StructField("sale_id", T.StringType()), T.StructField("cust_id", T.LongType()),
-    T.StructField("prod_id", T.IntegerType()), T.StructField("amount", T.DoubleType()),
-    T.StructField("sale_date", T.DateType()), T.StructField("adviser_id", T.LongType()),
-    T.StructField("decision", T.StringType()), T.StructField("reason", T.StringType())])
+from ledgerlens.plans.session import scratch_path
+
+
+_TYPES = {"bigint": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
+          "date": T.DateType()}
+
+
+def _schema(text: str) -> T.StructType:
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in (c.split() for c in text.split(","))])
+
+
+CUSTOMERS = _schema("cust_id bigint, first_name string, last_name string, location string, revenue bigint, "
+                    "credit_score int, age_bucket string, birth_date date")
+PRODUCTS = _schema("prod_id int, name string, category string, risk_class string, price double, interest_rate double, "
+                   "short_desc string, long_desc string")
+OWNERSHIP = _schema("cust_id bigint, prod_id int, since_date date, deal_volume double, credit_type string, "
+                    "interest_rate double, risk_class string, adviser_id bigint")
+SALES = _schema("sale_id string, cust_id bigint, prod_id int, amount double, sale_date date, adviser_id bigint, "
+                "decision string, reason string")
 SCHEMAS = {"customers": CUSTOMERS, "products": PRODUCTS, "ownership": OWNERSHIP, "sales": SALES}
+#: Columns that a file may leave out.
+OPTIONAL = {"birth_date"}
+# Header names of the given files, and ours.
+HEADER_NAMES = {"kundenbetreuer_id": "adviser_id", "entscheidung": "decision", "begruendung": "reason"}
+
+
+class HeaderMismatch(ValueError):
+    """A header without a needed column, or with one that the table does not have."""
+
+    def __init__(self, path: str, missing: list[str], unknown: list[str]):
+        super().__init__(f"{path}: missing columns {missing}, unknown columns {unknown}")
+        self.missing, self.unknown = missing, unknown
+
+
+@dataclass(frozen=True)
+class Read:
+    """A table as read: the typed rows, and the rows with a value that fits no type
+    (``bad_columns`` and all values as text).  Together they are all rows."""
+
+    rows: DataFrame
+    rejects: DataFrame
 
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header, quoted fields (commas inside quotes), empty field = null."""
-    return (spark.read.schema(schema).option("header", True).option("escape", '"')
-            .option("mode", "PERMISSIVE").csv(path))
+def read_csv_checked(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> Read:
+    """Header, quoted fields (commas inside quotes), empty field = null.
+
+    The header of the first file names the columns; with ``enforceSchema`` off, Spark
+    compares the header of every other file with it and refuses a different one."""
+    options = {"header": True, "escape": '"', "multiLine": multi_line}
+    header = spark.read.options(**options).csv(path).columns
+    names = [HEADER_NAMES.get(h.strip().lower(), h.strip().lower()) for h in header]
+    wanted = schema.fieldNames()
+    missing = [c for c in wanted if c not in names and c not in OPTIONAL]
+    unknown = [h for h, c in zip(header, names, strict=True) if c not in wanted]
+    if missing or unknown or len(set(names)) < len(names):
+        raise HeaderMismatch(path, missing, unknown or [n for n in names if names.count(n) > 1])
+    text = T.StructType([T.StructField(h, T.StringType()) for h in header])
+    raw = spark.read.schema(text).options(**options, enforceSchema=False).csv(path).toDF(*names)
+    typed = {f.name: F.col(f.name).try_cast(f.dataType) if f.name in names else F.lit(None).cast(f.dataType)
+             for f in schema.fields}
+    bad = F.filter(F.array(*[F.when(F.col(c).isNotNull() & typed[c].isNull(), F.lit(c)) for c in names]),
+                   lambda c: c.isNotNull())
+    marked = raw.withColumn("bad_columns", bad)
+    good = marked.filter(F.size("bad_columns") == 0).select(*(typed[c].alias(c) for c in wanted))
+    return Read(good, marked.filter(F.size("bad_columns") > 0))
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """The rows of :func:`read_csv_checked`; a file with rejects is refused, so that
+    no row is lost unseen."""
+    read = read_csv_checked(spark, path, schema, multi_line)
+    example = read.rejects.first()
+    if example is not None:
+        raise ValueError(f"{path}: a value does not fit the type of {example['bad_columns']}, e.g. in {example.asDict()}")
+    return read.rows
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -48,6 +101,21 @@ def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(path)
 
 
+def column_digests(df: DataFrame, table: str) -> DataFrame:
+    """``table_name, column_name, rows, present, digest`` per column: the digest adds
+    up a hash of every value's text (money and rates with two digits)."""
+    def told(f):
+        c = F.col(f.name)
+        return c.cast("decimal(18,2)").cast("string") if isinstance(f.dataType, T.DoubleType) else c.cast("string")
+
+    sums = [F.struct(F.lit(f.name).alias("column_name"), F.count(f.name).alias("present"), F.coalesce(F.sum(
+        F.conv(F.substring(F.md5(told(f).cast("binary")), 1, 8), 16, 10).cast("bigint")), F.lit(0)).alias("digest"))
+        for f in df.schema.fields]
+    one = df.agg(F.count(F.lit(1)).alias("rows"), F.array(*sums).alias("c"))
+    return one.select(F.lit(table).alias("table_name"), "rows", F.inline("c")).select(
+        "table_name", "column_name", "rows", "present", "digest")
+
+
 def write_parquet(df: DataFrame, path: str) -> None:
     """S3: features and other derived tables."""
     df.write.mode("overwrite").parquet(path)
@@ -58,12 +126,39 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_sorted(df: DataFrame, path: str, keys, partitions: int | None = None) -> None:
-    """Range-partition on the keys, sort inside partitions, write.
+FILE_BYTES = 128 << 20
+
+
+def written_bytes(spark: SparkSession, path: str) -> int:
+    """Size of the files under ``path``, from their listing (no content is read)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.agg(F.sum("length")).first()[0] or 0
+
+
+def write_sorted(df: DataFrame, path: str, keys, file_bytes: int = FILE_BYTES) -> int:
+    """Range-partition on the keys, sort inside partitions, write; returns the
+    number of range partitions.
+
+    The rows are written aside first: that measures the bytes from which the number of
+    files follows, and the range sampling then reads files instead of repeating the
+    plan.  A key that holds a third of the rows is spread by the keys behind it."""
+    spark, keys = df.sparkSession, list(keys)
+    aside = scratch_path(spark, "sort_input")
+    df.write.parquet(aside)
+    n = max(1, -(-written_bytes(spark, aside) // file_bytes))
+    spark.read.parquet(aside).repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+    return n
+
 
-    Range partitioning samples the key distribution, so a key holding a third
-    of the rows is spread over the partitions its sort range covers.
-    """
-    keys = list(keys)
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
+def sorted_files(spark: SparkSession, path: str, keys) -> DataFrame:
+    """Check of S8, a row per file: ``file, rows, inside`` (its rows are in order) and
+    ``behind`` (none sorts before the last row of the file before)."""
+    key = F.struct(*keys)
+    rows = spark.read.parquet(path).select(
+        F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("i"), key.alias("k"))
+    before = F.lag("k").over(Window.partitionBy("file").orderBy("i"))
+    per_file = rows.withColumn("before", before).groupBy("file").agg(
+        F.count("*").alias("rows"), F.min("k").alias("least"), F.max("k").alias("most"),
+        F.bool_and(F.col("before").isNull() | (F.col("before") <= F.col("k"))).alias("inside"))
+    last = F.lag("most").over(Window.orderBy("file"))
+    return per_file.select("file", "rows", "inside", F.coalesce(last <= F.col("least"), F.lit(True)).alias("behind"))

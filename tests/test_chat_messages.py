@@ -196,18 +196,70 @@ def test_related_by_keyword_pattern_or_two_names(spark):
     assert got[5] == (False, False, False, False)
 
 
-def test_stream_equals_batch(spark, tmp_path):
-    msgs = spark.createDataFrame([
+def _stream_messages(spark):
+    return spark.createDataFrame([
         (1, "a", 1, dt.date(2024, 1, 1), 0, "user", "please recommend"),
         (1, "a", 1, dt.date(2024, 1, 1), 1, "assistant", "price is 12"),
         (2, "b", 2, dt.date(2024, 1, 2), 0, "user", None)], ST.MESSAGE_SCHEMA)
-    src = str(tmp_path / "in")
-    msgs.repartition(2).write.parquet(src)
-    out = ST.drain(spark, src, str(tmp_path / "out"), str(tmp_path / "ckpt"), RULES, max_files_per_trigger=1)
-    assert rows(out) == rows(ST.tag(msgs, RULES))
+
+
+def test_stream_equals_batch(spark, tmp_path):
+    msgs = _stream_messages(spark)
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    msgs.repartition(2).write.json(src)
+    ST.drain(spark, src, out, ckpt, RULES, max_files_per_trigger=1)
+    assert rows(ST.read_tags(spark, out)) == rows(ST.tag(msgs, RULES))
     # a restart with the same checkpoint processes nothing twice
-    again = ST.drain(spark, src, str(tmp_path / "out"), str(tmp_path / "ckpt"), RULES)
-    assert again.count() == 3
+    ST.drain(spark, src, out, ckpt, RULES)
+    assert ST.read_tags(spark, out).count() == 3 and ST.read_rejects(spark, out).count() == 0
+
+
+def test_killed_stream_equals_batch(spark, tmp_path):
+    """A batch that was written but not noted in the checkpoint runs again."""
+    msgs = _stream_messages(spark)
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    msgs.repartition(3).write.json(src)
+    ST.drain(spark, src, out, ckpt, RULES, max_files_per_trigger=1)
+    noted = sorted(pathlib.Path(ckpt, "commits").glob("[0-9]*"), key=lambda f: int(f.name))
+    last = noted[-1]
+    last.unlink()
+    last.with_name(f".{last.name}.crc").unlink(missing_ok=True)
+    msgs.withColumn("session_id", F.lit("later")).write.mode("append").json(src)
+    ST.drain(spark, src, out, ckpt, RULES)
+    want = rows(ST.tag(msgs.unionByName(msgs.withColumn("session_id", F.lit("later"))), RULES))
+    assert rows(ST.read_tags(spark, out)) == want
+
+
+def test_stream_keeps_bad_lines(spark, tmp_path):
+    src, out, ckpt = (str(tmp_path / n) for n in ("in", "out", "ckpt"))
+    _stream_messages(spark).coalesce(1).write.json(src)
+    pathlib.Path(src, "bad.json").write_text('{"customer_id": 1,\n[]\n{"customer_id": 2, "content": "no id"}\n')
+    ST.drain(spark, src, out, ckpt, RULES)
+    assert ST.read_tags(spark, out).count() == 3
+    assert rows(ST.read_rejects(spark, out)) == [("malformed", "[]"), ("malformed", '{"customer_id": 1,'),
+                                                 ("no session_id", '{"customer_id": 2, "content": "no id"}')]
+
+
+def test_names_that_begin_with_another_or_have_several_words(spark):
+    cat = [(1, "Depot", "d"), (2, "Depot Plus", "d"), (3, "DepotBasic", "d"), (4, "Plus Card Gold", "c"), (5, None, "x"),
+           (7, "depot", "d")]
+    texts = ["my DEPOT PLUS please", "depotbasic", "xdepotx", "plus card gold or depot", "plus card", None, "", "no 7 here"]
+    msgs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "msg_id long, text string, context_customer_id long")
+    got = {r.msg_id: r.prod_id for r in MS.entities(msgs, cat).collect()}
+    assert got == {0: 2, 1: 3, 2: 1, 3: 4, 4: None, 5: None, 6: None, 7: 7}
+
+
+def test_names_equal_brute_force(spark):
+    import random
+    rnd = random.Random(8)
+    names = list({"".join(rnd.choices("ab ", k=rnd.randrange(1, 6))).strip() for _ in range(150)} - {""})
+    cat = [(i, n, "x") for i, n in enumerate(names)]
+    texts = ["".join(rnd.choices("abc ", k=30)) for _ in range(200)]
+    msgs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "msg_id long, text string, context_customer_id long")
+    got = {r.msg_id: r.prod_id for r in MS.entities(msgs, cat).collect()}
+    for i, t in enumerate(texts):
+        inside = [(-len(n), p) for p, n, _ in cat if n in t]
+        assert got[i] == (min(inside)[1] if inside else None)
 
 
 def test_read_original_session_files(spark, tmp_path):
