@@ -65,8 +65,8 @@ def int_or_null(text) -> Column:
 
 
 def customer_label(first, last, cust_id) -> Column:
-    """``first last (ID n)``."""
-    return F.format_string("%s %s (ID %d)", col(first), col(last), col(cust_id))
+    """``first last (ID n)``, without a name that is unknown."""
+    return F.concat_ws(" ", col(first), col(last), F.format_string("(ID %d)", col(cust_id)))
 
 
 def parse_customer_label(label) -> Column:

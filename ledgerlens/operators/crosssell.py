@@ -13,27 +13,16 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.expressions import coverage_band
 from ledgerlens.plans import rules as R
+from ledgerlens.plans.session import collect_bounded
 
 MAX_CATALOGUE = 10_000
 
 
-_CATALOGUES: dict[tuple[str, int, int], list] = {}
-
-
 def catalogue_rows(products: DataFrame, max_rows: int = MAX_CATALOGUE):
-    """The catalogue as a sorted list of (prod_id, name, category); size-checked.
-
-    Read once per application and logical plan (the catalogue is a dimension
-    shared by many queries).
-    """
-    sel = products.select("prod_id", "name", "category")
-    key = (sel.sparkSession.sparkContext.applicationId, sel.semanticHash(), max_rows)
-    if key not in _CATALOGUES:
-        rows = sel.limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            raise ValueError(f"catalogue exceeds {max_rows} rows")
-        _CATALOGUES[key] = sorted((int(r["prod_id"]), r["name"], r["category"]) for r in rows)
-    return _CATALOGUES[key]
+    """The catalogue as a sorted list of (prod_id, name, category); size-checked, and
+    read once for the many queries that share it."""
+    rows = collect_bounded(products.select("prod_id", "name", "category"), max_rows)
+    return sorted((int(r["prod_id"]), r["name"], r["category"]) for r in rows)
 
 
 def _int_map(d: dict) -> F.Column:

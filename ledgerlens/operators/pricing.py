@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.expressions import credit_rate, credit_risk_class, deal_volume_bounds
@@ -39,12 +39,15 @@ def _credit_rows(ownership: DataFrame, customers: DataFrame) -> DataFrame:
     return ownership.where(F.col("interest_rate").isNotNull()).join(cust, "cust_id")
 
 
-def credit_rate_check(ownership: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
-    """C1 on the stored credits: the rate the rules give next to the stored one."""
+def credit_rate_check(ownership: DataFrame, customers: DataFrame, products: DataFrame,
+                      jitter: Column | None = None) -> DataFrame:
+    """C1 on the stored credits: the rate the rules give next to the stored one.
+    ``jitter`` is an individual adjustment, a column of the credit (default: none)."""
     cat = broadcast_bounded(products.select("prod_id", F.col("interest_rate").alias("base_rate")), MAX_CATALOGUE)
     df = _credit_rows(ownership, customers).join(cat, "prod_id", "left")
+    df = df.withColumn("_jitter", F.lit(0.0) if jitter is None else jitter.cast("double"))
     return df.select("cust_id", "prod_id", F.col("interest_rate").alias("stored_rate"),
-                     credit_rate("base_rate", "credit_score", "revenue").alias("rule_rate"))
+                     credit_rate("base_rate", "credit_score", "revenue", "_jitter").alias("rule_rate"))
 
 
 def credit_risk_check(ownership: DataFrame, customers: DataFrame) -> DataFrame:

@@ -209,7 +209,8 @@ def contributions(rows: DataFrame, matrix: ModelMatrix, by=("cust_id", "prod_id"
 
 def top_contributions(listed: DataFrame, matrix: ModelMatrix, n: int = 5, by=("cust_id", "prod_id")) -> DataFrame:
     """W3 display: the n largest |contribution| of each list (unknown last, ties in
-    feature order), each with its share of the n shown, summed in rank order."""
+    feature order), each with its share of the n shown, summed in rank order, and
+    that share as text with one decimal (P15)."""
     m = matrix
     ranked = F.sort_array(F.transform("contribs", lambda c: F.struct(
         F.coalesce(-F.abs(c["contribution"]), F.lit(float("inf"))).alias("_k"), c["feature_pos"].alias("pos"),
@@ -223,4 +224,5 @@ def top_contributions(listed: DataFrame, matrix: ModelMatrix, n: int = 5, by=("c
         *by, (F.col("_pos") + 1).alias("rank"), F.col("_c.feature").alias("feature"),
         F.coalesce(m["labels"][F.col("_c.pos")], F.col("_c.feature")).alias("label"), contribution.alias("contribution"),
         (F.abs(contribution) / guard * F.lit(100.0)).alias("share"),
+        F.concat(F.round((F.abs(contribution) / guard * F.lit(100.0)).cast("decimal(18,6)"), 1).cast("string"), F.lit("%")).alias("shown"),
         F.when(contribution > 0, "+").otherwise("-").alias("sign"))

@@ -214,11 +214,12 @@ REF_DATE = "2025-07-01"  # reference date for ages (a parameter, not today)
 
 
 @query("customer_lookup", O.sql("""
-select * from fx_customers where cust_id in (select cust_id from fx_financing)""",
+select * from fx_customers where cust_id in (select cust_id from fx_financing where equity = 0e0 and purchase_price > 1200000e0)""",
                                 "fx_customers", "fx_financing"))
 def q_customer_lookup(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    return PF.customer_lookup(dom.customers, dom.financing)
+    asked = dom.financing.where("equity = 0 AND purchase_price > 1200000")  # large requests without equity
+    return PF.customer_lookup(dom.customers, asked)
 
 
 def _category_info_values() -> str:
@@ -283,7 +284,7 @@ def q_financing_need(spark, sf_dir):
 
 @query("customer_label", O.sql("""
 select cust_id, label, cast(regexp_extract(label, '\\(ID (\\d+)\\)', 1) as bigint) as parsed_id
-from (select cust_id, first_name || ' ' || last_name || ' (ID ' || cast(cust_id as varchar) || ')' as label
+from (select cust_id, concat_ws(' ', first_name, last_name, '(ID ' || cast(cust_id as varchar) || ')') as label
       from fx_customers) t""", "fx_customers"))
 def q_customer_label(spark, sf_dir):
     return PF.customer_labels(domain(spark, sf_dir).customers)
@@ -558,6 +559,7 @@ _TOT = " + ".join(f"coalesce(max(case when rank = {i} then abs(contribution) end
 @query("xai_top5", O.sql(f"""
 select x.cust_id, x.prod_id, x.rank, x.feature, coalesce(l.label, x.feature) as label, x.contribution,
        abs(x.contribution) / coalesce(nullif(t.total, 0e0), 1e0) * 1e2 as share,
+       cast(round(cast(abs(x.contribution) / coalesce(nullif(t.total, 0e0), 1e0) * 1e2 as decimal(18,6)), 1) as varchar) || '%' as shown,
        case when x.contribution > 0 then '+' else '-' end as sign
 from (select *, row_number() over (partition by cust_id, prod_id order by abs(contribution) desc, feature_pos) as rank
       from fx_xai) x
@@ -688,8 +690,8 @@ def _income_adj_sql(r: str) -> str:
             + f" else {O.d(R.CREDIT_INCOME_ADJ_ELSE)} end")
 
 
-def _rate_sql(base: str, s: str, r: str) -> str:
-    raw = f"coalesce(cast({base} as double), {O.d(R.CREDIT_BASE_RATE_DEFAULT)}) + {_score_adj_sql(s)} + {_income_adj_sql(r)} + 0e0"
+def _rate_sql(base: str, s: str, r: str, jitter: str = "0e0") -> str:
+    raw = f"coalesce(cast({base} as double), {O.d(R.CREDIT_BASE_RATE_DEFAULT)}) + {_score_adj_sql(s)} + {_income_adj_sql(r)} + {jitter}"
     clamped = f"greatest({O.d(R.CREDIT_RATE_MIN)}, least({O.d(R.CREDIT_RATE_MAX)}, {raw}))"
     return f"cast(round(cast({clamped} as decimal(10,4)), 2) as double)"
 
@@ -709,7 +711,9 @@ def _band_bounds_sql(r: str):
 
 _LO, _HI = _band_bounds_sql("c.revenue")
 _CTYPES = ", ".join(f"({p}, '{t}')" for p, t in R.CREDIT_TYPES.items())
-_CREDIT_IDS = ", ".join(f"({p})" for p in R.CREDIT_PRODUCT_IDS)
+# 111 is priced like a credit but has no type of its own.
+PRICED_IDS = [*R.CREDIT_PRODUCT_IDS, 111]
+_CREDIT_IDS = ", ".join(f"({p})" for p in PRICED_IDS)
 
 
 @query("credit_terms", O.sql(f"""
@@ -722,7 +726,7 @@ left join fx_products p on p.prod_id = k.prod_id
 left join (values {_CTYPES}) as t(prod_id, credit_type) on t.prod_id = k.prod_id""", "fx_customers", "fx_products"))
 def q_credit_terms(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    return PR.credit_terms(dom.customers, dom.products)
+    return PR.credit_terms(dom.customers, dom.products, PRICED_IDS)
 
 
 O.block("fx_credit_rows", ("fx_ownership", "fx_customers"), """
@@ -730,13 +734,17 @@ select o.*, c.revenue, c.credit_score from fx_ownership o join fx_customers c on
 where o.interest_rate is not null""")
 
 
+_JITTER = "((o.cust_id * 7 + o.prod_id) % 5 - 2) / 1e1"  # an adjustment of -0.2 to 0.2 per credit
+
+
 @query("credit_rate", O.sql(f"""
 select o.cust_id, o.prod_id, o.interest_rate as stored_rate,
-       {_rate_sql('p.interest_rate', 'o.credit_score', 'o.revenue')} as rule_rate
+       {_rate_sql('p.interest_rate', 'o.credit_score', 'o.revenue', _JITTER)} as rule_rate
 from fx_credit_rows o left join fx_products p on o.prod_id = p.prod_id""", "fx_credit_rows", "fx_products"))
 def q_credit_rate(spark, sf_dir):
     dom = domain(spark, sf_dir)
-    return PR.credit_rate_check(dom.ownership, dom.customers, dom.products)
+    jitter = ((F.col("cust_id") * 7 + F.col("prod_id")) % 5 - 2) / F.lit(10.0)
+    return PR.credit_rate_check(dom.ownership, dom.customers, dom.products, jitter)
 
 
 @query("credit_risk_class", O.sql(f"""

@@ -31,15 +31,17 @@ DEFAULT_CONF = {
 }
 
 
-def build_session(master: str | None = None, shuffle_partitions: int = 8,
+def build_session(master: str | None = None, shuffle_partitions: int | None = None,
                   app_name: str = "ledgerlens") -> SparkSession:
-    """Create (or reuse) a session with the settings every job here assumes."""
+    """Create (or reuse) a session with the settings every job here assumes.  The number
+    of shuffle partitions stays the cluster's unless it is given (AQE merges small ones)."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     for key, value in DEFAULT_CONF.items():
         builder = builder.config(key, value)
-    builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if shuffle_partitions is not None:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     builder = builder.config("spark.driver.memory", os.environ.get("LEDGERLENS_DRIVER_MEM", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -75,7 +77,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/ledgerlens/{name}/{uuid.uuid4().hex}"
 
 
-_BOUND_CHECKS: dict[tuple[str, int, int], int] = {}
+class _PlanMemo:
+    """What was read from a plan, per application: found again only for a plan that
+    Spark calls the same, over the same input files.  (A hash alone could name two.)"""
+
+    def __init__(self):
+        self.known: dict[tuple, list[tuple]] = {}
+
+    def get(self, df: DataFrame, param, read):
+        key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), param)
+        files = sorted(df.inputFiles())
+        for other, other_files, value in self.known.get(key, ()):
+            if other_files == files and df.sameSemantics(other):
+                return value
+        value = read()
+        self.known.setdefault(key, []).append((df, files, value))
+        return value
+
+
+_BOUND_CHECKS, _COLLECTED = _PlanMemo(), _PlanMemo()
 
 
 def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
@@ -84,30 +104,20 @@ def broadcast_bounded(df: DataFrame, max_rows: int) -> DataFrame:
     The proof is a ``limit(max_rows + 1).count()``, which stops reading as soon
     as the bound is exceeded.  Beyond the bound the frame is returned unhinted
     and Spark plans a shuffle join (AQE may still demote it at runtime).  The
-    result is remembered per application and logical plan, so a dimension
+    result is remembered per application, plan and input files, so a dimension
     used by many queries is checked once.
     """
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
-    n = _BOUND_CHECKS.get(key)
-    if n is None:
-        n = df.limit(max_rows + 1).count()
-        _BOUND_CHECKS[key] = n
+    n = _BOUND_CHECKS.get(df, max_rows, lambda: df.limit(max_rows + 1).count())
     return F.broadcast(df) if n <= max_rows else df
 
 
-_COLLECTED: dict[tuple[str, int, int], list] = {}
-
-
 def collect_bounded(df: DataFrame, max_rows: int) -> list:
     """Rows of a small dimension, refused beyond ``max_rows``; read once per
-    application and logical plan."""
-    key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), max_rows)
-    if key not in _COLLECTED:
-        rows = df.limit(max_rows + 1).collect()
-        if len(rows) > max_rows:
-            raise ValueError(f"dimension exceeds {max_rows} rows")
-        _COLLECTED[key] = rows
-    return _COLLECTED[key]
+    application, plan and input files."""
+    rows = _COLLECTED.get(df, max_rows, lambda: df.limit(max_rows + 1).collect())
+    if len(rows) > max_rows:
+        raise ValueError(f"dimension exceeds {max_rows} rows")
+    return rows
 
 
 def constant(value, schema: str) -> Column:
