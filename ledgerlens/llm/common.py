@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.plans.session import scratch_path
@@ -26,6 +26,43 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def own_names(docs: DataFrame):
+    """A function from stems to column names that ``docs`` does not have (nor in
+    another case), for the columns that an operator adds on its way."""
+    taken = {c.lower() for c in docs.columns}
+
+    def name(stem: str) -> str:
+        out = f"_ll_{stem}"
+        while out.lower() in taken:
+            out += "_"
+        return out
+
+    return name
+
+
+def column_of(name: str) -> Column:
+    """The column of exactly this name, whatever its characters."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def value_ranks(rows: DataFrame, column: str) -> tuple[DataFrame, int]:
+    """``value, rank`` of every distinct value of a column, null apart: the rank is
+    the number of rows with a smaller one.  And the number of values.
+
+    Counts first; their prefix sums are taken within range partitions, and over
+    the partitions, of which there are few."""
+    counts = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    ordered = staged(counts.repartitionByRange("value").sortWithinPartitions("value").withColumn(
+        "place", F.monotonically_increasing_id()), "value-ranks").withColumn("part", F.shiftright("place", 33))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ordered.groupBy("part").agg(F.sum("n").alias("n")).select(
+        "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    within = Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    ranks = ordered.withColumn("ahead", F.coalesce(F.sum("n").over(within), F.lit(0))).join(parts, "part").select(
+        "value", (F.col("offset") + F.col("ahead")).cast("long").alias("rank"))
+    return ranks, ordered.count()
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

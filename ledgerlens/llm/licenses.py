@@ -10,6 +10,9 @@ half or more with it, so ``BANDS`` bands of one row miss it with probability
 again.  Templates below ``BLOCK`` shingles use windows of one shingle, whose
 signature is the shingle itself: at a containment of 0.8 they can't be missed.
 
+Before that, texts that can't match are left out: those without any word of a set
+that every template needs for its containment (:func:`telling_words`).
+
 A retrieved template matches if at least ``THRESHOLD`` of its shingles stand in
 the text (exact containment).  Sibling licenses share most of their wording, so
 with ``best`` a match is dropped if another template matches better (by
@@ -26,6 +29,10 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,10 +105,13 @@ TEMPLATES = (
 )
 
 
+def words_of(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def shingles(text: Column) -> Column:
     """Hashes of the five-word shingles of a text, in order."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    hashed = F.transform(words_of(text), lambda w: F.xxhash64(w))
     # let() binds the array of word hashes, so that it is made once.
     bound = F.transform(F.array(hashed), lambda h: F.when(F.size(h) >= SHINGLE, F.transform(
         F.sequence(F.lit(1), F.size(h) - (SHINGLE - 1)),
@@ -139,11 +149,32 @@ def window_keys(column: str, size: Column) -> Column:
     return F.flatten(F.array(*bands))
 
 
+def telling_words(templates: list[list[str]], threshold: float) -> list[str]:
+    """Words of which a text must have one to match any of the templates (as lists of
+    words).
+
+    If the shingles of a template that hold none of some words are too few for the
+    threshold, a matching text shares a shingle with one of these words.  Words that
+    many templates have come first, longer ones before shorter ones."""
+    held = Counter(w for words in templates for w in set(words))
+    chosen: set[str] = set()
+    for words in templates:
+        whole = {tuple(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)}
+        order = sorted(set(words), key=lambda w: (len(w) < 6, w not in chosen, -held[w], -len(w), w))
+        rest, needed = whole, threshold * len(whole)
+        for w in order:
+            if len(rest) < needed:
+                break
+            rest = {s for s in rest if w not in s}
+            chosen.add(w)
+    return sorted(chosen)
+
+
 class Templates:
     """Shingles and retrieval keys of the templates, computed by Spark with the
     expressions that the texts go through."""
 
-    def __init__(self, spark: SparkSession, templates=TEMPLATES):
+    def __init__(self, spark: SparkSession, templates=TEMPLATES, threshold: float = THRESHOLD):
         if len(templates) > MAX_TEMPLATES:
             raise ValueError(f"more than {MAX_TEMPLATES} templates")
         frame = spark.createDataFrame([(i, text) for i, (_, text) in enumerate(templates)], "id int, text string")
@@ -157,6 +188,7 @@ class Templates:
         minima = [_band_key(band)(F.array_min(F.transform("segment", _ordered(band)))) for band in range(BANDS)]
         rows = segments.select("id", "s", "n", F.array(*minima).alias("keys")).collect()
         self.licenses = [name for name, _ in templates]
+        self.telling = telling_words([r["w"] for r in frame.select(words_of(F.col("text")).alias("w")).collect()], threshold)
         self.shingles = {r["id"]: r["s"] for r in rows}
         if any(not s for s in self.shingles.values()):
             raise ValueError(f"a template needs {SHINGLE} words")
@@ -201,7 +233,10 @@ def license_scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESH
     """``doc_id, license, template, containment, shared, template_shingles,
     first_shingle`` per text and matching template, with ``best`` without the
     matches that a better one explains."""
-    table = Templates(docs.sparkSession, templates)
+    table = Templates(docs.sparkSession, templates, threshold)
+    # A text without any of the telling words can't reach the threshold.
+    low = F.lower("text")
+    docs = docs.filter(reduce(or_, (low.contains(w) for w in table.telling)))
     # Exploding an array of one element computes the shingles once for all uses;
     # a plain column would be copied into each of them by the optimiser.
     row = [F.monotonically_increasing_id().alias("row")] if best else []

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import staged
+from ledgerlens.llm.common import column_of, own_names, staged
 
 #: Lines of a window; the method's fixed value.
 WINDOW = 3
@@ -61,23 +61,25 @@ def covered_lines(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return later.groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set("line")).alias("starts"))
 
 
-def line_dedup(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def line_dedup(docs: DataFrame, window: int = WINDOW, lines: str = "_ll_lines",
+               removed: str = "_ll_removed") -> DataFrame:
     """``docs`` with the later occurrences cut out of ``text``, and the columns
-    ``_ll_lines`` (lines before) and ``_ll_removed`` (lines cut)."""
+    ``lines`` (lines before) and ``removed`` (lines cut), whose names ``docs`` must
+    not have."""
+    own = own_names(docs)
+    key, digest, starts, every, kept = (own(n) for n in ("id", "hash", "starts", "all", "kept"))
     found = covered_lines(docs, window).select(
-        F.col("doc_id").alias("_ll_id"), F.col("text_hash").alias("_ll_hash"), F.col("starts").alias("_ll_starts"))
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_ll_id"))
-                       & (F.xxhash64("text") == F.col("_ll_hash")), "left")
-    joined = joined.withColumn("_ll_all", F.split("text", "\n", -1))
+        F.col("doc_id").alias(key), F.col("text_hash").alias(digest), F.col("starts").alias(starts))
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(key)) & (F.xxhash64("text") == F.col(digest)), "left")
+    joined = joined.withColumn(every, F.split("text", "\n", -1))
     # Lines between the end of one removed window and the start of the next.
-    gaps = F.zip_with(F.concat(F.array(F.lit(-window)), F.col("_ll_starts")),
-                      F.concat(F.col("_ll_starts"), F.array(F.size("_ll_all"))),
+    gaps = F.zip_with(F.concat(F.array(F.lit(-window)), F.col(starts)),
+                      F.concat(F.col(starts), F.array(F.size(every))),
                       lambda a, b: F.struct((a + window).alias("lo"), F.greatest(b - a - window, F.lit(0)).alias("n")))
-    kept = F.flatten(F.transform(gaps, lambda g: F.slice("_ll_all", g["lo"] + 1, g["n"])))
-    joined = joined.withColumn("_ll_kept", F.when(F.col("_ll_starts").isNotNull(), kept))
-    lines = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_ll_all"))
+    rest = F.flatten(F.transform(gaps, lambda g: F.slice(every, g["lo"] + 1, g["n"])))
+    joined = joined.withColumn(kept, F.when(F.col(starts).isNotNull(), rest))
+    count = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(every))
     return joined.select(
-        *(F.when(F.col("_ll_kept").isNull(), F.col("text")).otherwise(F.array_join("_ll_kept", "\n")).alias("text")
-          if c == "text" else F.col(f"`{c}`") for c in docs.columns),
-        lines.alias("_ll_lines"),
-        F.when(F.col("_ll_kept").isNull(), F.lit(0)).otherwise(lines - F.size("_ll_kept")).alias("_ll_removed"))
+        *(F.when(F.col(kept).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")).alias("text")
+          if c == "text" else column_of(c) for c in docs.columns),
+        count.alias(lines), F.when(F.col(kept).isNull(), F.lit(0)).otherwise(count - F.size(kept)).alias(removed))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import staged
+from ledgerlens.llm.common import column_of, own_names, staged
 from ledgerlens.llm.components import components, spanning
 from ledgerlens.llm.tokenize import text_runs
 
@@ -385,13 +385,15 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def near_dedup_filter(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that stay, one of each class, with their columns."""
     def key(i, a, b):
-        return F.concat_ws("|", F.coalesce(i.cast("string"), F.lit("-")), a, b)
+        return F.concat_ws("|", i.isNull().cast("string"), i.cast("string"), a, b)
 
     d1, d2 = _digests()
+    own = own_names(docs)
+    name, rows, number = own("key"), own("rows"), own("number")
     # Wordless rows are classes of their own: each stays, however often repeated.
     stays = near_duplicates(docs, threshold).filter("kept").select(
-        key(F.col("doc_id"), F.col("d1"), F.col("d2")).alias("_ll_key"))
-    stays = stays.groupBy("_ll_key").agg(F.count("*").alias("_ll_rows"))
-    numbered = docs.withColumn("_ll_key", key(F.col("doc_id"), d1, d2)).withColumn(
-        "_ll_number", F.row_number().over(Window.partitionBy("_ll_key").orderBy("_ll_key")))
-    return numbered.join(stays, "_ll_key").filter("_ll_number <= _ll_rows").select(*(F.col(f"`{c}`") for c in docs.columns))
+        key(F.col("doc_id"), F.col("d1"), F.col("d2")).alias(name))
+    stays = stays.groupBy(name).agg(F.count("*").alias(rows))
+    numbered = docs.withColumn(name, key(F.col("doc_id"), d1, d2)).withColumn(
+        number, F.row_number().over(Window.partitionBy(name).orderBy(name)))
+    return numbered.join(stays, name).filter(F.col(number) <= F.col(rows)).select(*map(column_of, docs.columns))

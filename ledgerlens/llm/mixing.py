@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WORD, broadcast_counted, staged
+from ledgerlens.llm.common import WORD, broadcast_counted, column_of, own_names, staged
 
 MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
@@ -44,7 +44,7 @@ def random_key(seed: int) -> Column:
 
 def row_key(text_md5: Column) -> Column:
     """One string for id, source and text; rows that share it are equal."""
-    return F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_md5,
+    return F.md5(F.concat_ws("|", F.col("doc_id").isNull().cast("string"), F.col("doc_id").cast("string"), text_md5,
                              F.col("source").isNull().cast("string"), F.col("source")))
 
 
@@ -122,19 +122,22 @@ def mix_documents(docs: DataFrame, seed: int = 17) -> DataFrame:
 def mixed_texts(docs: DataFrame, seed: int = 17) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row once per time it is taken,
     the row at the cut with the words up to the budget only."""
+    own = own_names(docs)
+    name, size, begin, epochs, rest, copy, part, times, time = (
+        own(n) for n in ("key", "size", "begin", "epochs", "rest", "copy", "part", "times", "time"))
     blocks = mix_blocks(docs, seed).select(
-        row_key(F.col("text_md5")).alias("_ll_key"), *(F.col(c).alias(f"_ll_{c}") for c in ("size", "begin", "epochs", "rest")))
+        row_key(F.col("text_md5")).alias(name), F.col("size").alias(size), F.col("begin").alias(begin),
+        F.col("epochs").alias(epochs), F.col("rest").alias(rest))
     key = row_key(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
-    rows = docs.withColumn("_ll_key", key).withColumn(
-        "_ll_copy", F.row_number().over(Window.partitionBy("_ll_key").orderBy("_ll_key")) - 1).join(blocks, "_ll_key")
-    rest = F.col("_ll_rest") - F.col("_ll_begin") - F.col("_ll_copy") * F.col("_ll_size")
-    part = F.greatest(F.least(rest, F.col("_ll_size")), F.lit(0))
-    rows = rows.withColumn("_ll_part", part).withColumn(
-        "_ll_times", F.col("_ll_epochs") + F.when(F.col("_ll_part") > 0, 1).otherwise(0)).filter("_ll_times > 0")
-    rows = rows.withColumn("_ll_time", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_ll_times").cast("long"))))
-    cut = (F.col("_ll_time") == F.col("_ll_times")) & (F.col("_ll_part") > 0) & (F.col("_ll_part") < F.col("_ll_size"))
+    rows = docs.withColumn(name, key).withColumn(
+        copy, F.row_number().over(Window.partitionBy(name).orderBy(name)) - 1).join(blocks, name)
+    left = F.col(rest) - F.col(begin) - F.col(copy) * F.col(size)
+    rows = rows.withColumn(part, F.greatest(F.least(left, F.col(size)), F.lit(0))).withColumn(
+        times, F.col(epochs) + F.when(F.col(part) > 0, 1).otherwise(0)).filter(F.col(times) > 0)
+    rows = rows.withColumn(time, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times).cast("long"))))
+    cut = (F.col(time) == F.col(times)) & (F.col(part) > 0) & (F.col(part) < F.col(size))
     # The first n words with what stands between them.
     words = F.regexp_extract_all("text", F.lit(r"(?:^|[\x20\x09-\x0D]+)?[^\x20\x09-\x0D]+"), F.lit(0))
-    begin = F.array_join(F.slice(words, 1, F.greatest(F.col("_ll_part").cast("int"), F.lit(0))), "")
-    return rows.select(*(F.when(cut, begin).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`")
+    first = F.array_join(F.slice(words, 1, F.greatest(F.col(part).cast("int"), F.lit(0))), "")
+    return rows.select(*(F.when(cut, first).otherwise(F.col("text")).alias("text") if c == "text" else column_of(c)
                          for c in docs.columns))

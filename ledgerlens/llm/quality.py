@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WORD, staged
+from ledgerlens.llm.common import WORD, own_names, staged
 
 MIN_WORDS = 50
 KEEP_AT = 0.5
@@ -169,9 +169,11 @@ def quality_filter(docs: DataFrame, rules: dict = RULES) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns.  Equal texts have
     equal verdicts, so the rejected digests decide, read once per digest."""
     digest = [F.xxhash64(F.lit(1), "text"), F.xxhash64(F.lit(2), "text")]
+    own = own_names(docs)
+    a, b = own("a"), own("b")
     rejected = scored(docs, digest, rules).filter("NOT kept").select(
-        F.col("_k0").alias("_ll_a"), F.col("_k1").alias("_ll_b")).distinct()
-    return docs.join(rejected, (digest[0] == F.col("_ll_a")) & (digest[1] == F.col("_ll_b")), "left_anti")
+        F.col("_k0").alias(a), F.col("_k1").alias(b)).distinct()
+    return docs.join(rejected, (digest[0] == F.col(a)) & (digest[1] == F.col(b)), "left_anti")
 
 
 def rule_names() -> list[str]:

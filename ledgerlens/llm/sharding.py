@@ -21,20 +21,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import staged, text_or_empty
+from ledgerlens.llm.common import broadcast_counted, column_of, own_names, staged, text_or_empty, value_ranks
 
 #: Bits per dimension; 3 dimensions give 2 ** 12 cells.
 BITS = 4
+#: Distinct values of a dimension whose ranks are broadcast.
+BROADCAST_VALUES = 100_000
 #: A cell table is broadcast; this is its largest size.
 MAX_CELLS = 1 << 16
 
 
-def string_rank(column: Column) -> Column:
-    """A long that orders like the first seven bytes of a string."""
-    padded = F.rpad(F.hex(F.substring(F.encode(column, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(padded, 16, 10).cast("long")
-
-
 def hilbert_cells(spark, dims: int, bits: int) -> DataFrame:
     """All cells of the grid with their index on the Hilbert curve.
 
@@ -114,14 +110,24 @@ def hilbert_order(rows: DataFrame, dims: list[str], tie: list[str], bits: int =
     return out.drop("curve", "bucket", "bucket_key", "rank", "cell_offset", "bucket_offset"), placed.count()
 
 
+def ranked(rows: DataFrame, column: str, name: str) -> DataFrame:
+    """``rows`` with the rank of a string column (of whole values; null for null) in
+    its place.  A value that many rows share is no hot key: the values are broadcast
+    if they are few, and else the join's skewed partitions are split."""
+    ranks, values = value_ranks(rows, column)
+    ranks = broadcast_counted(ranks.select(F.col("value").alias(column), F.col("rank").alias(name)), values, BROADCAST_VALUES)
+    return rows.join(ranks, column, "left").drop(column)
+
+
 def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard`` per row, by
     the law ``rows``: shard counts differ by one at most.  Dimensions: source,
     language and size."""
     text = text_or_empty()
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"),
-                       string_rank(F.col("source")).alias("d_source"), string_rank(F.col("lang")).alias("d_lang"))
+                       F.crc32(text.cast("binary")).alias("text_crc32"), "source", "lang")
+    for column in ("source", "lang"):
+        rows = ranked(rows, column, f"d_{column}")
     ordered, n = hilbert_order(rows, ["d_source", "d_lang", "size"], ["doc_id", "text_crc32", "size"])
     shard = F.expr(f"(position * {shards}L) div {max(n, 1)}L")
     first = F.expr(f"(shard * {max(n, 1)}L + {shards - 1}L) div {shards}L")
@@ -130,16 +136,26 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
         (F.col("position") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 40, files_per_shard: int = 8) -> None:
+def write_shards(docs: DataFrame, path: str, shards: int = 40, files_per_shard: int = 8) -> str:
     """Write the documents as one folder per shard, in curve order within each
-    file, so that file statistics prune on source, language and size."""
+    file, so that file statistics prune on source, language and size.  Returns the
+    name of the folder column: ``shard``, or a free name if ``docs`` has that one.
+
+    Rows that share id and text get the slots of these rows in any order."""
+    own = own_names(docs)
+    folder = "shard" if "shard" not in {c.lower() for c in docs.columns} else own("shard")
+    key, crc, nth, slot, run = (own(n) for n in ("id", "crc", "nth", "slot", "run"))
+    same = Window.partitionBy(key, crc)
     placed = shard_documents(docs, shards).select(
-        F.col("doc_id").alias("_ll_id"), F.col("text_crc32").alias("_ll_crc"), "shard", "slot")
-    placed = placed.dropDuplicates(["_ll_id", "_ll_crc"])
-    body = docs.drop("shard", "slot")
-    joined = body.join(placed, F.col("doc_id").eqNullSafe(F.col("_ll_id"))
-                       & (F.crc32(text_or_empty().cast("binary")) == F.col("_ll_crc")))
-    run = F.expr(f"slot div greatest(1, (max(slot) over (partition by shard) + {files_per_shard}) div {files_per_shard})")
-    (joined.drop("_ll_id", "_ll_crc").withColumn("_ll_run", run)
-     .repartition("shard", "_ll_run").sortWithinPartitions("shard", "slot")
-     .drop("_ll_run").write.partitionBy("shard").parquet(path))
+        F.col("doc_id").alias(key), F.col("text_crc32").alias(crc), F.col("shard").alias(folder), F.col("slot").alias(slot))
+    placed = placed.withColumn(nth, F.row_number().over(same.orderBy(folder, slot))).withColumnsRenamed(
+        {key: f"{key}_", crc: f"{crc}_", nth: f"{nth}_"})
+    body = docs.withColumn(key, F.col("doc_id")).withColumn(crc, F.crc32(text_or_empty().cast("binary")))
+    body = body.withColumn(nth, F.row_number().over(same.orderBy(key)))
+    joined = body.join(placed, F.col(key).eqNullSafe(F.col(f"{key}_")) & (F.col(crc) == F.col(f"{crc}_"))
+                       & (F.col(nth) == F.col(f"{nth}_")))
+    last = F.max(slot).over(Window.partitionBy(folder))
+    number = F.floor(F.col(slot) / F.greatest(F.lit(1), F.floor((last + files_per_shard) / files_per_shard)))
+    (joined.withColumn(run, number).repartition(folder, run).sortWithinPartitions(folder, slot)
+     .select(*map(column_of, docs.columns), folder).write.partitionBy(folder).parquet(path))
+    return folder
