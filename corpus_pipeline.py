@@ -3,6 +3,11 @@
 ``STAGES`` lists the stages in order.  Each takes (spark, docs, sf_dir) and
 returns a DataFrame that is written as Parquet and read back as the next
 stage's ``docs``; all but the last return the columns of ``documents``.
+
+Defined cases, as in the operators: a null or empty text is rejected by the quality
+rules (too few words); of rows that repeat each other one stays (near duplicates);
+an empty table gives no rows; further columns, whatever their names, stay with
+their rows up to the last stage.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import documents, staged
+from ledgerlens.llm.common import documents, own_names, staged
 from ledgerlens.llm.line_dedup import line_dedup
 from ledgerlens.llm.minhash import near_dedup_filter
 from ledgerlens.llm.mixing import mixed_texts
@@ -33,8 +38,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated three-line windows cut; a document of which nothing is left goes."""
-    cut = line_dedup(docs).filter("_ll_removed = 0 OR _ll_removed < _ll_lines")
-    return _with_length(cut.drop("_ll_lines", "_ll_removed"))
+    own = own_names(docs)
+    lines, removed = own("lines"), own("removed")
+    cut = line_dedup(docs, lines=lines, removed=removed)
+    left = (F.col(removed) == 0) | (F.col(removed) < F.col(lines))
+    return _with_length(cut.filter(left).drop(lines, removed))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
