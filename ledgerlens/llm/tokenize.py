@@ -17,11 +17,35 @@ from array import array
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A space with white space on both sides: cut by SAFE_CUT only.
 INNER = re.compile(r"\s \s")
-#: Cached units and pre-tokens of a worker process before a cache restarts;
-#: an entry takes about 200 bytes.
+#: Cached units and pre-tokens of a worker process, in two generations; an entry
+#: takes about 200 bytes.
 MAX_UNITS, MAX_PIECES = 1_000_000, 700_000
 
 
+class Cache(dict):
+    """The entries used since the last turn, and those of the turn before in ``old``:
+    what is in use survives a full cache."""
+
+    def __init__(self, limit: int):
+        super().__init__()
+        self.old: dict = {}
+        self.limit = limit
+
+    def turn(self) -> None:
+        """Between batches: a cache that is half full becomes the old one."""
+        if 2 * len(self) > self.limit:
+            self.old = dict(self)
+            self.clear()
+
+    def missing(self, wanted: set) -> set:
+        """Those of ``wanted`` that are in neither generation; the others are now in
+        the young one."""
+        new = wanted.difference(self)
+        kept = new.intersection(self.old)
+        self.update((k, self.old[k]) for k in kept)
+        return new.difference(kept)
+
+
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
@@ -34,14 +58,17 @@ class UnitEncoder:
         self.normalise = normaliser.normalize_str if normaliser else (lambda text: text)
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.model = tokenizer.model.tokenize
-        self.units: dict[str, bytes] = {}  # ids of a unit behind a space
-        self.heads: dict[str, bytes] = {}  # and at the beginning of a text
-        self.pieces: dict[str, bytes] = {}
+        self.units = Cache(MAX_UNITS)  # ids of a unit behind a space
+        self.heads = Cache(MAX_PIECES // 10)  # and at the beginning of a text
+        self.pieces = Cache(MAX_PIECES)
 
     def piece(self, pre_token: str) -> bytes:
         ids = self.pieces.get(pre_token)
         if ids is None:
-            ids = self.pieces[pre_token] = array("I", [t.id for t in self.model(pre_token)]).tobytes()
+            ids = self.pieces.old.get(pre_token)
+            if ids is None:
+                ids = array("I", [t.id for t in self.model(pre_token)]).tobytes()
+            self.pieces[pre_token] = ids
         return ids
 
     def single(self, unit: str) -> bytes:
@@ -68,17 +95,16 @@ class UnitEncoder:
             self.units.update((unit, b"".join(found)) for unit, found in zip(part, ids, strict=True))
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        for cache, limit in ((self.units, MAX_UNITS), (self.pieces, MAX_PIECES), (self.heads, MAX_PIECES // 10)):
-            if len(cache) > limit:
-                cache.clear()
+        for cache in (self.units, self.pieces, self.heads):
+            cache.turn()
         cut = [SAFE_CUT.split(text) if INNER.search(text) else text.split(" ") for text in texts]
         heads = [units.pop(0) for units in cut]
-        new = set().union(*cut).difference(self.units)
+        new = self.units.missing(set().union(*cut))
         plain = [u for u in new if u.split() == [u]]
         self.learn(plain)
         for unit in new.difference(plain):
             self.units[unit] = self.single(" " + unit)
-        for unit in set(heads).difference(self.heads):
+        for unit in self.heads.missing(set(heads)):
             self.heads[unit] = self.single(unit)
         known, first = self.units.__getitem__, self.heads.__getitem__
         return [b"".join([first(head), *map(known, units)]) for head, units in zip(heads, cut, strict=True)]
