@@ -33,22 +33,3 @@ def test_packing_maps_added_tokens(spark):
         ids = [*plain.encode(text, add_special_tokens=False).ids, 0]
         want[i] = (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
     assert got == want
-
-
-def test_full_caches_keep_what_is_in_use(monkeypatch):
-    """Ids stay right while both generations of every cache turn."""
-    import random
-
-    import numpy as np
-    from ledgerlens.llm import tokenize
-
-    monkeypatch.setattr(tokenize, "MAX_UNITS", 40)
-    monkeypatch.setattr(tokenize, "MAX_PIECES", 100)
-    rnd = random.Random(1)
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    encoder, plain = tokenize.TextEncoder(path), Tokenizer.from_file(path)
-    for _ in range(30):
-        texts = [" ".join(f"word{min(rnd.randrange(200), rnd.randrange(200))}," for _ in range(20)) for _ in range(5)]
-        got = encoder.encode_batch(texts)
-        assert got == [np.array(e.ids, "<u4").tobytes() for e in plain.encode_batch(texts, add_special_tokens=False)]
-    assert 0 < len(encoder.plain.units) < 150 and encoder.plain.units.old
