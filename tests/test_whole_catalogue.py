@@ -30,6 +30,18 @@ def test_sales_and_ownership_cover_all_brands_and_priorities(spark, raw):
     assert (got["sales"], got["owned_pairs"]) == (sold, pairs)
 
 
+def test_lookup_takes_every_request(spark, tmp_path):
+    """Requests with equity and of any price name their customers, repeated and null ones too."""
+    spark.sql("select * from values (1L, 'Customer#1', 1Y, 10.0D, 'AUTOMOBILE'), (2L, 'Customer#2', 2Y, 20.0D, 'BUILDING'), "
+              "(3L, 'Customer#3', 3Y, 30.0D, 'MACHINERY') as t(c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)"
+              ).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.sql("select * from values (1Y, 'A'), (2Y, 'B'), (3Y, 'C') as t(n_nationkey, n_name)").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.sql("select * from values (5L, 1L, 10.0D), (6L, 2L, 9e6D), (7L, 2L, 9e6D), (8L, null, 10.0D) "
+              "as t(o_orderkey, o_custkey, o_totalprice)").write.parquet(f"{tmp_path}/orders.parquet")
+    got = E.queries()["customer_lookup"](spark, str(tmp_path))
+    assert rows(got, "cust_id") == [(1,), (2,)]
+
+
 def test_features_and_scores_cover_the_catalogue(spark, raw):
     brands = {100 + int(b[6:]) for b, in raw.execute("select distinct p_brand from part").fetchall()}
     features = E.queries()["features"](spark, SF_SMALL)
