@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -127,6 +127,8 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 FILE_BYTES = 128 << 20
+#: Small files that one task writes one after the other.
+TASK_FILES = 64
 
 
 def written_bytes(spark: SparkSession, path: str) -> int:
@@ -137,17 +139,31 @@ def written_bytes(spark: SparkSession, path: str) -> int:
 
 def write_sorted(df: DataFrame, path: str, keys, file_bytes: int = FILE_BYTES) -> int:
     """Range-partition on the keys, sort inside partitions, write; returns the
-    number of range partitions.
+    number of files.
 
     The rows are written aside first: that measures the bytes from which the number of
     files follows, and the range sampling then reads files instead of repeating the
-    plan.  A key that holds a third of the rows is spread by the keys behind it."""
+    plan.  A key that holds a third of the rows is spread by the keys behind it.
+
+    The driver gets a sample of keys for each range and the commit of each task.  So a
+    range holds many small files (``TASK_FILES``), which its task cuts by rows."""
     spark, keys = df.sparkSession, list(keys)
     aside = scratch_path(spark, "sort_input")
     df.write.parquet(aside)
     n = max(1, -(-written_bytes(spark, aside) // file_bytes))
-    spark.read.parquet(aside).repartitionByRange(n, *keys).sortWithinPartitions(*keys).write.mode("overwrite").parquet(path)
-    return n
+    together = max(1, min(TASK_FILES, FILE_BYTES // file_bytes))
+    found = spark.read.parquet(aside)
+    ordered = found.repartitionByRange(-(-n // together), *keys).sortWithinPartitions(*keys)
+    if together == 1:
+        ordered.write.mode("overwrite").parquet(path)
+        return n
+    rows = max(1, -(-found.count() // n))
+    # A file begins at every so many rows of a partition: the lower 33 bits are the row's place there.
+    begins = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) % rows == 0
+    files = Observation()
+    ordered.observe(files, F.count_if(begins).alias("n")).write.mode("overwrite").option(
+        "maxRecordsPerFile", rows).parquet(path)
+    return max(1, files.get["n"])
 
 
 def sorted_files(spark: SparkSession, path: str, keys) -> DataFrame:
@@ -160,5 +176,7 @@ def sorted_files(spark: SparkSession, path: str, keys) -> DataFrame:
     per_file = rows.withColumn("before", before).groupBy("file").agg(
         F.count("*").alias("rows"), F.min("k").alias("least"), F.max("k").alias("most"),
         F.bool_and(F.col("before").isNull() | (F.col("before") <= F.col("k"))).alias("inside"))
-    last = F.lag("most").over(Window.orderBy("file"))
+    # Names count partitions and the files of each, with five and three digits at least.
+    number = lambda pattern: F.regexp_extract("file", pattern, 1).try_cast("long")
+    last = F.lag("most").over(Window.orderBy(number(r"^part-(\d+)"), number(r"-c(\d+)"), "file"))
     return per_file.select("file", "rows", "inside", F.coalesce(last <= F.col("least"), F.lit(True)).alias("behind"))

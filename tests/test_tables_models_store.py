@@ -85,6 +85,24 @@ def test_sorted_sink_file_count_and_order(spark, tmp_path):
     assert not all(r.inside and r.behind for r in TB.sorted_files(spark, path, ["a", "b"]).collect())
 
 
+def test_sorted_sink_small_files_in_few_ranges(spark, tmp_path):
+    """Files are cut inside a range's task, more than a thousand of them too, and are known in their order."""
+    df = spark.range(0, 6000, numPartitions=5).select((F.col("id") * 7919 % 6000).alias("a"), F.lit("x").alias("_begins"))
+    path, few = str(tmp_path / "s"), str(tmp_path / "few")
+    n = TB.write_sorted(df, few, ["a"], file_bytes=300)
+    names = [r.file for r in TB.sorted_files(spark, few, ["a"]).collect()]
+    assert len(names) == n > 3 * len({f.split("-")[1] for f in names})
+    assert spark.read.parquet(few).columns == ["a", "_begins"]
+    df.coalesce(1).sort("a").write.option("maxRecordsPerFile", 5).parquet(path)
+    told = TB.sorted_files(spark, path, ["a"]).collect()
+    assert len(told) == 1200 and all(r.inside and r.behind for r in told)
+    assert TB.write_sorted(df.limit(0), str(tmp_path / "none"), ["a"], file_bytes=100) > 0
+    same = spark.range(300).select(F.lit(1).alias("a"), "id")  # one key, one range
+    n = TB.write_sorted(same, str(tmp_path / "same"), ["a"], file_bytes=100)
+    told = TB.sorted_files(spark, str(tmp_path / "same"), ["a"]).collect()
+    assert len(told) == n > 3 and all(r.inside and r.behind for r in told) and sum(r.rows for r in told) == 300
+
+
 @pytest.fixture
 def package(spark, tmp_path):
     cat = SC.catalogue_positions(spark.createDataFrame([(101, "a", "x", 1.0), (102, "b", "x", 2.0)],
