@@ -17,6 +17,8 @@ from array import array
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A space with white space on both sides: cut by SAFE_CUT only.
 INNER = re.compile(r"\s \s")
+#: The pattern of the byte-level pre-tokeniser on printable ASCII behind a space, which it writes as Ġ.
+ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|Ġ?[A-Za-z]+|Ġ?[0-9]+|Ġ?[^A-Za-z0-9Ġ]+")
 #: Cached units and pre-tokens of a worker process before a cache restarts;
 #: an entry takes about 200 bytes.
 MAX_UNITS, MAX_PIECES = 1_000_000, 700_000
@@ -34,6 +36,7 @@ class UnitEncoder:
         self.normalise = normaliser.normalize_str if normaliser else (lambda text: text)
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.model = tokenizer.model.tokenize
+        self.byte_level = normaliser is None and _is_byte_level(tokenizer.pre_tokenizer)
         self.units: dict[str, bytes] = {}  # ids of a unit behind a space
         self.heads: dict[str, bytes] = {}  # and at the beginning of a text
         self.pieces: dict[str, bytes] = {}
@@ -48,8 +51,8 @@ class UnitEncoder:
         return b"".join([self.piece(p) for p, _ in self.split(self.normalise(unit))])
 
     def learn(self, new: list[str]) -> None:
-        """Encode units without white space, many in one call, each behind a
-        space: a pre-token belongs to the unit it starts in."""
+        """Encode units without a space and without white space at their ends, many
+        in one call, each behind a space: a pre-token belongs to the unit it starts in."""
         for k in range(0, len(new), 512):
             part = new[k : k + 512]
             text = self.normalise(" " + " ".join(part))
@@ -74,10 +77,20 @@ class UnitEncoder:
         cut = [SAFE_CUT.split(text) if INNER.search(text) else text.split(" ") for text in texts]
         heads = [units.pop(0) for units in cut]
         new = set().union(*cut).difference(self.units)
-        plain = [u for u in new if u.split() == [u]]
+        plain, lined = [], []
+        piece, units = self.piece, self.units
+        for unit in new:
+            if unit.split() != [unit]:
+                if unit and unit == unit.strip() and " " not in unit:
+                    lined.append(unit)
+                else:
+                    units[unit] = self.single(" " + unit)
+            elif self.byte_level and unit.isascii() and unit.isprintable():
+                units[unit] = b"".join(map(piece, ASCII_PIECES.findall("Ġ" + unit)))
+            else:
+                plain.append(unit)
         self.learn(plain)
-        for unit in new.difference(plain):
-            self.units[unit] = self.single(" " + unit)
+        self.learn(lined)
         for unit in set(heads).difference(self.heads):
             self.heads[unit] = self.single(unit)
         known, first = self.units.__getitem__, self.heads.__getitem__
@@ -116,6 +129,13 @@ class TextEncoder:
         return [direct[k] if k in direct else next(rest) for k in range(len(texts))]
 
 
+def _is_byte_level(pre_tokenizer) -> bool:
+    """Is it the byte-level pre-tokeniser with its own pattern and no added space?"""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    return isinstance(pre_tokenizer, ByteLevel) and pre_tokenizer.use_regex and not pre_tokenizer.add_prefix_space
+
+
 def _any_of(strings) -> re.Pattern | None:
     found = sorted({s for s in strings if s}, key=len, reverse=True)
     return re.compile("|".join(map(re.escape, found))) if found else None
