@@ -6,11 +6,16 @@ therefore cut at such spaces, and the ids of each unit are looked up; only new
 units go through the tokenizer's own normaliser, pre-tokeniser and model.  A
 text that contains the string of an added token is encoded whole by the
 tokenizer.  Ids equal those of encoding the whole text; the tests compare both.
+
+A tokenizer that lower-cases and then takes words by a pattern (``WORD_STEPS``)
+needs no units: the pattern cuts whole texts, and the ids of each word are looked up.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from array import array
 
 #: A cut is safe between two characters that are not white space.
@@ -19,9 +24,24 @@ SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 INNER = re.compile(r"\s \s")
 #: The pattern of the byte-level pre-tokeniser on printable ASCII behind a space, which it writes as Ġ.
 ASCII_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|Ġ?[A-Za-z]+|Ġ?[0-9]+|Ġ?[^A-Za-z0-9Ġ]+")
+#: Normaliser and pre-tokeniser of tokenizers of words.
+WORD_STEPS = (
+    {"type": "Sequence", "normalizers": [
+        {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+         "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]})
+#: Their pattern on lower-case ASCII, and on texts that ``WordEncoder.reads_alike`` lets pass.
+ASCII_WORDS = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t-\r0-9a-z]+")
+WORDS = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
+#: The character of each byte in byte-level pre-tokens: itself if printable, else one from U+0100 on.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_CHARS = "".join(chr(b if b in _PRINTABLE else 0x100 + sum(c not in _PRINTABLE for c in range(b))) for b in range(256))
 #: Cached units and pre-tokens of a worker process before a cache restarts;
-#: an entry takes about 200 bytes.
-MAX_UNITS, MAX_PIECES = 1_000_000, 700_000
+#: an entry takes about 200 bytes.  Words have the room of both, longer ones than
+#: ``LONG_WORD`` characters are not kept.
+MAX_UNITS, MAX_PIECES, LONG_WORD = 1_000_000, 700_000, 64
 
 
 class UnitEncoder:
@@ -44,9 +64,12 @@ class UnitEncoder:
     def piece(self, pre_token: str) -> bytes:
         ids = self.pieces.get(pre_token)
         if ids is None:
-            ids = self.pieces[pre_token] = array("I", [t.id for t in self.model(pre_token)]).tobytes()
+            ids = self.pieces[pre_token] = self.merged(pre_token)
         return ids
 
+    def merged(self, pre_token: str) -> bytes:
+        return array("I", [t.id for t in self.model(pre_token)]).tobytes()
+
     def single(self, unit: str) -> bytes:
         return b"".join([self.piece(p) for p, _ in self.split(self.normalise(unit))])
 
@@ -97,16 +120,77 @@ class UnitEncoder:
         return [b"".join([first(head), *map(known, units)]) for head, units in zip(heads, cut, strict=True)]
 
 
+class _Words(dict):
+    """Ids of words, encoded when first asked for."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.encode(word)
+        if len(word) <= LONG_WORD:
+            self[word] = ids
+        return ids
+
+
+class WordEncoder(UnitEncoder):
+    """The same for a tokenizer of ``WORD_STEPS``.  A text with characters that
+    Python and the tokenizer may read differently is encoded by units."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.words = _Words(self.word)
+        self.alike: dict[str, bool] = {}  # is a character read alike by both?
+
+    def word(self, word: str) -> bytes:
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(BYTE_CHARS)
+        return self.merged(word)
+
+    def same_kind(self, char: str) -> bool:
+        """Is the character normalised alike, and of the same kind (letter, digit, space, other)?"""
+        low, normal = char.lower(), self.normalise(char)
+        if unicodedata.category(char) == "Cn" or low != normal and WORDS.search(low):
+            return False
+        return all([m.span() for m in WORDS.finditer(a)] == [span for _, span in self.split(b)]
+                   for a, b in (("a" + low, "a" + normal), (low + low, normal + normal)))
+
+    def reads_alike(self, text: str) -> bool:
+        if text.isascii():
+            return True
+        # Python lower-cases a sigma by its place in the word, the tokenizer does not.
+        if "Σ" in text or not unicodedata.is_normalized("NFC", text):
+            return False
+        chars = set(text)
+        for char in chars.difference(self.alike):
+            self.alike[char] = self.same_kind(char)
+        return all(map(self.alike.__getitem__, chars))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        caches = self.words, self.units, self.pieces
+        if sum(map(len, caches)) > MAX_UNITS + MAX_PIECES:
+            for cache in caches:
+                cache.clear()
+        alike = [self.reads_alike(text) for text in texts]
+        rest = iter(super().encode_batch([text for text, same in zip(texts, alike, strict=True) if not same]))
+        ids, found = self.words.__getitem__, []
+        for text, same in zip(texts, alike, strict=True):
+            cut = ASCII_WORDS if text.isascii() else WORDS
+            found.append(b"".join(map(ids, cut.findall(text.lower()))) if same else next(rest))
+        return found
+
+
 class TextEncoder:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them:
     a text with the string of an added token goes through the tokenizer itself,
-    which maps it, and all others through the cache of units."""
+    which maps it, and all others through the cache of units or words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.plain = UnitEncoder(path)
+        self.plain = (WordEncoder if _is_of_words(self.tokenizer) else UnitEncoder)(path)
         tokens = self.tokenizer.get_added_tokens_decoder().values()
         # A token with normalized=True is looked for in the normalised text.
         self.raw = _any_of(t.content for t in tokens if not t.normalized)
@@ -136,6 +220,11 @@ def _is_byte_level(pre_tokenizer) -> bool:
     return isinstance(pre_tokenizer, ByteLevel) and pre_tokenizer.use_regex and not pre_tokenizer.add_prefix_space
 
 
+def _is_of_words(tokenizer) -> bool:
+    steps = tokenizer.normalizer, tokenizer.pre_tokenizer
+    return None not in steps and tuple(json.loads(step.__getstate__()) for step in steps) == WORD_STEPS
+
+
 def _any_of(strings) -> re.Pattern | None:
     found = sorted({s for s in strings if s}, key=len, reverse=True)
     return re.compile("|".join(map(re.escape, found))) if found else None
