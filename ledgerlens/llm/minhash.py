@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import column_of, own_names, staged
 from ledgerlens.llm.components import components, spanning
-from ledgerlens.llm.tokenize import text_runs
+from ledgerlens.llm.tokenize import small_batches, text_runs
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -57,7 +57,8 @@ TURNS, FEW_PAIRS = 2, 4
 #: quick bound, and a closer one for long texts.
 CELLS = (128, 512)
 
-_BYTES = 4 << 20
+#: Bytes that are hashed together; a worker keeps 16 bytes of powers for each.
+_BYTES = 1 << 20
 #: Points drawn at once, and texts signed at once.
 _POINTS, _TEXTS = 1 << 15, 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -229,7 +230,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _sign(batches):
-    for batch in batches:
+    for batch in small_batches(batches, 3):
         texts = batch.column(3).to_pylist()
         for lo, hi in text_runs([t or "" for t in texts], 1_000_000, _TEXTS):
             total, registers = signatures(texts[lo:hi])
@@ -242,7 +243,7 @@ def _sign(batches):
 
 
 def _compare(batches):
-    for batch in batches:
+    for batch in small_batches(batches, 2, 3):
         left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
         sims, lo, size = [], 0, 0
         for hi in range(1, batch.num_rows + 1):
@@ -272,7 +273,7 @@ def cell_counts(texts: list, cells: int) -> np.ndarray:
 
 def _cells(batches):
     """Counts as two bytes; none for a text with a count that needs more."""
-    for batch in batches:
+    for batch in small_batches(batches, 1):
         texts = batch.column(1).to_pylist()
         for lo, hi in text_runs(texts, 1_000_000):
             fine = cell_counts(texts[lo:hi], CELLS[1])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import staged, text_or_empty
-from ledgerlens.llm.tokenize import encoder, text_runs
+from ledgerlens.llm.tokenize import encoder, small_batches, text_runs
 
 CAPACITY = 2048
 #: Pieces that one task packs.
@@ -46,7 +46,7 @@ def pieces_of(docs: DataFrame, tokenizer_path: str, end_id: int = 0, capacity: i
 
     def cut(batches):
         encode = encoder(tokenizer_path).encode_batch
-        for batch in batches:
+        for batch in small_batches(batches, 1):
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in text_runs(texts):
                 rows, out = [], {"piece": [], "start": [], "length": [], "ids_crc32": [], "ids": []}

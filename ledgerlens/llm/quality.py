@@ -28,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import WORD, own_names, staged
+from ledgerlens.llm.tokenize import small_batches
 
 MIN_WORDS = 50
 KEEP_AT = 0.5
@@ -94,7 +95,7 @@ def votes_of(docs: DataFrame, key: list[Column], rules: dict = RULES) -> DataFra
     limits = list(rules.values())
 
     def measure(batches):
-        for batch in batches:
+        for batch in small_batches(batches, len(names)):
             rows = []
             for text in batch.column(len(names)).to_pylist():
                 base, values = _features(text or "")

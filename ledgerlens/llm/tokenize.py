@@ -18,6 +18,9 @@ import re
 import unicodedata
 from array import array
 
+import numpy as np
+import pyarrow.compute as pc
+
 #: A cut is safe between two characters that are not white space.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 #: A space with white space on both sides: cut by SAFE_CUT only.
@@ -251,3 +254,16 @@ def text_runs(texts: list, limit: int = 2_000_000, most: int | None = None):
             begin, size = k + 1, 0
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def small_batches(batches, *columns: int, limit: int = 4_000_000):
+    """The rows of the batches in slices of about ``limit`` bytes of text in these
+    columns, so that no more than a slice at a time becomes Python strings."""
+    for batch in batches:
+        size = np.zeros(batch.num_rows, np.int64)
+        for k in columns:
+            size += pc.binary_length(batch.column(k)).fill_null(0).to_numpy(zero_copy_only=False)
+        part = np.cumsum(size) // limit
+        bounds = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(bounds, bounds[1:]):
+            yield batch.slice(lo, hi - lo)
