@@ -7,8 +7,9 @@ units go through the tokenizer's own normaliser, pre-tokeniser and model.  A
 text that contains the string of an added token is encoded whole by the
 tokenizer.  Ids equal those of encoding the whole text; the tests compare both.
 
-A tokenizer that lower-cases and then takes words by a pattern (``WORD_STEPS``)
-needs no units: the pattern cuts whole texts, and the ids of each word are looked up.
+A tokenizer that lower-cases and then takes words by a pattern (``WORD_STEPS``), and
+one of the byte-level pattern alone, need no units: the pattern cuts whole texts, and
+the ids of each word, or pre-token, are looked up.
 """
 
 from __future__ import annotations
@@ -38,28 +39,32 @@ WORD_STEPS = (
 #: Their pattern on lower-case ASCII, and on texts that ``WordEncoder.reads_alike`` lets pass.
 ASCII_WORDS = re.compile(r"[a-z]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^ \t-\r0-9a-z]+")
 WORDS = re.compile(r"[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:[^\w\s]|_)+")
+#: The byte-level pattern on ASCII, and on texts that ``PieceEncoder.reads_alike`` lets pass.
+ASCII_TEXT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r 0-9A-Za-z]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+TEXT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\w\s]|_)+|\s+(?!\S)|\s+")
 #: The character of each byte in byte-level pre-tokens: itself if printable, else one from U+0100 on.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 BYTE_CHARS = "".join(chr(b if b in _PRINTABLE else 0x100 + sum(c not in _PRINTABLE for c in range(b))) for b in range(256))
 #: Cached units and pre-tokens of a worker process before a cache restarts;
 #: an entry takes about 200 bytes.  Words have the room of both, longer ones than
-#: ``LONG_WORD`` characters are not kept.
+#: ``LONG_WORD`` characters are not kept.  The pre-tokens of whole texts share the
+#: room of ``MAX_PIECES`` with what the units of other texts take.
 MAX_UNITS, MAX_PIECES, LONG_WORD = 1_000_000, 700_000, 64
 
 
 class UnitEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, tokenizer=None):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # TextEncoder keeps their strings away
+        # Its parts know no added tokens; TextEncoder keeps their strings away.
+        tokenizer = tokenizer or Tokenizer.from_file(path)
         normaliser = tokenizer.normalizer
         self.normalise = normaliser.normalize_str if normaliser else (lambda text: text)
         self.split = tokenizer.pre_tokenizer.pre_tokenize_str
         self.model = tokenizer.model.tokenize
-        self.byte_level = normaliser is None and _is_byte_level(tokenizer.pre_tokenizer)
+        self.byte_level = _is_of_pieces(tokenizer)
         self.units: dict[str, bytes] = {}  # ids of a unit behind a space
         self.heads: dict[str, bytes] = {}  # and at the beginning of a text
         self.pieces: dict[str, bytes] = {}
@@ -137,53 +142,87 @@ class _Words(dict):
         return ids
 
 
-class WordEncoder(UnitEncoder):
-    """The same for a tokenizer of ``WORD_STEPS``.  A text with characters that
-    Python and the tokenizer may read differently is encoded by units."""
+class PatternEncoder(UnitEncoder):
+    """The same for a tokenizer whose pattern Python can apply to whole texts.  A
+    text with characters that both may read differently is encoded by units."""
 
-    def __init__(self, path: str):
-        super().__init__(path)
+    def __init__(self, path: str, tokenizer=None):
+        super().__init__(path, tokenizer)
         self.words = _Words(self.word)
         self.alike: dict[str, bool] = {}  # is a character read alike by both?
 
     def word(self, word: str) -> bytes:
-        if not (word.isascii() and word.isprintable()):
+        if not (word.isascii() and word.isprintable()) or " " in word:
             word = word.encode().decode("latin-1").translate(BYTE_CHARS)
         return self.merged(word)
 
     def same_kind(self, char: str) -> bool:
-        """Is the character normalised alike, and of the same kind (letter, digit, space, other)?"""
-        low, normal = char.lower(), self.normalise(char)
-        if unicodedata.category(char) == "Cn" or low != normal and WORDS.search(low):
-            return False
-        return all([m.span() for m in WORDS.finditer(a)] == [span for _, span in self.split(b)]
-                   for a, b in (("a" + low, "a" + normal), (low + low, normal + normal)))
+        raise NotImplementedError
 
     def reads_alike(self, text: str) -> bool:
         if text.isascii():
             return True
-        # Python lower-cases a sigma by its place in the word, the tokenizer does not.
-        if "Σ" in text or not unicodedata.is_normalized("NFC", text):
-            return False
         chars = set(text)
         for char in chars.difference(self.alike):
             self.alike[char] = self.same_kind(char)
         return all(map(self.alike.__getitem__, chars))
 
+    def words_of(self, text: str) -> list[str]:
+        raise NotImplementedError
+
+    def room(self) -> int:
+        return MAX_PIECES
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         caches = self.words, self.units, self.pieces
-        if sum(map(len, caches)) > MAX_UNITS + MAX_PIECES:
+        if sum(map(len, caches)) > self.room():
             for cache in caches:
                 cache.clear()
         alike = [self.reads_alike(text) for text in texts]
         rest = iter(super().encode_batch([text for text, same in zip(texts, alike, strict=True) if not same]))
         ids, found = self.words.__getitem__, []
         for text, same in zip(texts, alike, strict=True):
-            cut = ASCII_WORDS if text.isascii() else WORDS
-            found.append(b"".join(map(ids, cut.findall(text.lower()))) if same else next(rest))
+            found.append(b"".join(map(ids, self.words_of(text))) if same else next(rest))
         return found
 
 
+class WordEncoder(PatternEncoder):
+    """For a tokenizer of ``WORD_STEPS``."""
+
+    def same_kind(self, char: str) -> bool:
+        """Is the character normalised alike, and of the same kind (letter, digit, space, other)?"""
+        low, normal = char.lower(), self.normalise(char)
+        if unicodedata.category(char) == "Cn" or low != normal and WORDS.search(low):
+            return False
+        return all([m.span() for m in WORDS.finditer(a)] == [span for _, span in self.split(b)]
+                   for a, b in (("a" + low, "a" + normal), (low + low, normal + normal)))
+
+    def reads_alike(self, text: str) -> bool:
+        # Python lower-cases a sigma by its place in the word, the tokenizer does not.
+        if not text.isascii() and ("Σ" in text or not unicodedata.is_normalized("NFC", text)):
+            return False
+        return super().reads_alike(text)
+
+    def words_of(self, text: str) -> list[str]:
+        return (ASCII_WORDS if text.isascii() else WORDS).findall(text.lower())
+
+    def room(self) -> int:
+        return MAX_UNITS + MAX_PIECES
+
+
+class PieceEncoder(PatternEncoder):
+    """For a tokenizer without a normaliser, of the byte-level pattern."""
+
+    def same_kind(self, char: str) -> bool:
+        """Is the character of the same kind (letter, digit, space, other)?  It goes on
+        with a letter, a digit or another character only if it is of that kind."""
+        return all([m.span() for m in TEXT.finditer(a + char)] == [span for _, span in self.split(a + char)]
+                   for a in ("a", "1", "!", " "))
+
+    def words_of(self, text: str) -> list[str]:
+        return (ASCII_TEXT if text.isascii() else TEXT).findall(text)
+
+
 class TextEncoder:
     """Ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them:
     a text with the string of an added token goes through the tokenizer itself,
@@ -192,8 +231,9 @@ class TextEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.plain = (WordEncoder if _is_of_words(self.tokenizer) else UnitEncoder)(path)
+        self.tokenizer = Tokenizer.from_file(path)  # once, also for the parts
+        kind = WordEncoder if _is_of_words(self.tokenizer) else PieceEncoder if _is_of_pieces(self.tokenizer) else UnitEncoder
+        self.plain = kind(path, self.tokenizer)
         tokens = self.tokenizer.get_added_tokens_decoder().values()
         # A token with normalized=True is looked for in the normalised text.
         self.raw = _any_of(t.content for t in tokens if not t.normalized)
@@ -216,11 +256,12 @@ class TextEncoder:
         return [direct[k] if k in direct else next(rest) for k in range(len(texts))]
 
 
-def _is_byte_level(pre_tokenizer) -> bool:
-    """Is it the byte-level pre-tokeniser with its own pattern and no added space?"""
+def _is_of_pieces(tokenizer) -> bool:
+    """Is there only the byte-level pre-tokeniser with its own pattern and no added space?"""
     from tokenizers.pre_tokenizers import ByteLevel
 
-    return isinstance(pre_tokenizer, ByteLevel) and pre_tokenizer.use_regex and not pre_tokenizer.add_prefix_space
+    step = tokenizer.pre_tokenizer
+    return tokenizer.normalizer is None and isinstance(step, ByteLevel) and step.use_regex and not step.add_prefix_space
 
 
 def _is_of_words(tokenizer) -> bool:
