@@ -145,9 +145,9 @@ class Model:
 
 
 def _logits(table: np.ndarray, rows: np.ndarray, constant: np.ndarray) -> np.ndarray:
-    out = table[rows[:, 0]]
+    out = table.take(rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        out += table[rows[:, k]]
+        out += table.take(rows[:, k], axis=0)
     out += constant
     return out
 
@@ -156,7 +156,8 @@ def _softmax_of(logits: np.ndarray, outcome: np.ndarray) -> tuple[np.ndarray, np
     """Natural logarithm of each row's outcome; the exponentials, their sums.
     The constants are logarithms of shares, so that only weights could make a
     large sum; ``LARGEST`` bounds it alike in training and scoring."""
-    np.minimum(logits, LARGEST, out=logits)
+    if logits.max() > LARGEST:
+        np.minimum(logits, LARGEST, out=logits)
     at = logits[np.arange(len(logits)), outcome]
     powers = np.exp(logits, out=logits)
     total = powers @ np.ones(powers.shape[1], np.float32)
@@ -175,7 +176,7 @@ def log_chances(model: Model, owner: np.ndarray, value: np.ndarray, outcome: np.
         chance = _softmax_of(_logits(model.classes, model.class_rows(f), model.classes[rows]), classes)[0].astype(float)
         own = classes[in_head]
         if len(own):
-            chance[in_head] += _softmax_of(_logits(model.words, model.word_rows(f[in_head], own), constants[own]),
+            chance[in_head] += _softmax_of(_logits(model.words, model.word_rows(f[in_head], own), constants.take(own, axis=0)),
                                            part[in_head] % CLASS_WORDS)[0]
         out[lo : lo + MINI_BATCH] = chance
     return out
@@ -218,7 +219,9 @@ class Learner:
         found, change, counts = _sums_by_row(rows, slope)
         squares = self.squares[which]
         squares[found] += np.einsum("ij,ij->i", change, change) / change.shape[1]
-        self.tables[which][found] += change * (STEP / np.sqrt(squares[found]))[:, None]
+        change *= (STEP / np.sqrt(squares[found]))[:, None]
+        change += self.tables[which].take(found, axis=0)
+        self.tables[which][found] = change
         self.met[which][found] += counts
 
     def learn(self, owner: np.ndarray, value: np.ndarray) -> None:
@@ -234,7 +237,7 @@ class Learner:
             own, word = classes[in_head], part[in_head] % CLASS_WORDS
             if len(own):
                 rows = model.word_rows(f[in_head], own)
-                _, powers, total = _softmax_of(_logits(self.tables[1], rows, self.tables[1][n + own]), word)
+                _, powers, total = _softmax_of(_logits(self.tables[1], rows, self.tables[1].take(n + own, axis=0)), word)
                 self._step(1, rows, powers, total, word)
 
     def changes(self, per_chunk: int):
